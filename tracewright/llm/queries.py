@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tracewright.llm.common import scratch
 
@@ -22,6 +21,12 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_crc(read_tokens(spark, path))
 
 
+def op3_log_frequency_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracewright.llm.lm import score
+
+    return score(table(spark, sf_dir, "documents"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracewright.llm.simhash import near_duplicates
 
@@ -34,8 +39,23 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracewright.llm.pii import digest, find_pii
+
+    return digest(find_pii(table(spark, sf_dir, "documents")))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracewright.llm.common import id_crc
+    from tracewright.llm.toxicity import fit, scored
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = scored(docs, fit(docs, table(spark, sf_dir, "labels")))
+    return found.select("row.doc_id", (id_crc("row.doc_id") % 4 == 2).alias("held_out"), "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op4_simhash, op5_best_fit_packing)}
+    return {f.__name__: f for f in (op1_token_files, op3_log_frequency_lm, op4_simhash, op5_best_fit_packing, op7_pii, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
