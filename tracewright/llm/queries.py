@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tracewright.llm.common import scratch
 
@@ -21,6 +22,12 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_crc(read_tokens(spark, path))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracewright.llm.decontaminate import contained
+
+    return contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_log_frequency_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracewright.llm.lm import score
 
@@ -39,12 +46,31 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op6_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracewright.llm.merkle import compare_edited
+
+    return compare_edited(table(spark, sf_dir, "documents"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracewright.llm.pii import digest, find_pii
 
     return digest(find_pii(table(spark, sf_dir, "documents")))
 
 
+def op8_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracewright.llm.line_templates import dedup_lines
+
+    found = dedup_lines(table(spark, sf_dir, "documents"))
+    return found.select("row.doc_id", F.size(F.split("row.text", "\n")).cast("long").alias("n_lines"), F.size("dropped").cast("long").alias("n_dropped"), F.col("kept").alias("text"))
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracewright.llm.urls import judge
+
+    return judge(table(spark, sf_dir, "pages"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracewright.llm.common import id_crc
     from tracewright.llm.toxicity import fit, scored
@@ -55,8 +81,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op3_log_frequency_lm, op4_simhash, op5_best_fit_packing, op7_pii, op10_toxicity)}
+    return {f.__name__: f for f in (op1_token_files, op2_decontamination, op3_log_frequency_lm, op4_simhash, op5_best_fit_packing, op6_merkle, op7_pii, op8_line_templates, op9_url_filter, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from tracewright.llm import decontaminate, line_templates
+
+    return {"op2_decontamination": decontaminate.ORACLE, "op8_line_templates": line_templates.ORACLE}
