@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 
 def floor_div(a: Column, b: Column) -> Column:
@@ -153,9 +155,6 @@ def scope_code(name: Column) -> Column:
 
 
 def _numbers(kind: str):
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
-
     def egcd(a: int, b: int) -> tuple[int, int, int]:
         x, y, u, v = 1, 0, 0, 1
         while b:
