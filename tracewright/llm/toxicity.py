@@ -19,8 +19,8 @@ calibrates. At most `max_labels` labelled documents are used (a hash sample of t
 of labels sent to workers is bounded; the counts cover these documents' whole texts.
 
 Defined cases: a null or empty text has no passage and the lowest surprise; null doc_ids are scored, never learnt
-from; several labels of one id: the largest; without labels of both classes every score is the share of toxic
-labels seen (0 without any); equal rows are scored alike; other columns are ignored.
+from; several labels of one id: the largest; where the calibrating fold lacks a class every score is the share of
+toxic labels seen (0 without any); where clean documents have passages of one statistic or none, the law has scale 1; equal rows are scored alike; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -248,10 +248,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> Mod
     chosen = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi")  # bounded by max_labels
     t = checkpointed(statistics(chosen, table).join(F.broadcast(ids), "doc_id"))
     clean = t.where("toxic = 0").agg(F.avg("t").alias("m"), F.stddev_samp("t").alias("s")).first()
-    if not clean["s"]:
-        return model
-    scale = clean["s"] * math.sqrt(6) / math.pi
-    model.location, model.scale = clean["m"] - 0.5772156649015329 * scale, scale
+    if clean["s"]:
+        scale = clean["s"] * math.sqrt(6) / math.pi
+        model.location, model.scale = clean["m"] - 0.5772156649015329 * scale, scale
+    elif clean["m"] is not None:
+        model.location = clean["m"]
     z = (F.col("t") - model.location) / model.scale
     x = F.when(F.col("t").isNull(), 0.0).when(z > 30, z).otherwise(-F.log(-F.expm1(-F.exp(-F.greatest(F.lit(-50.0), z)))))
     bins = F.when(x < 0, 0).otherwise(F.least(F.lit(len(BINS) - 2), F.floor(x * 2) + 1)).cast("int")
