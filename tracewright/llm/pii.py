@@ -107,7 +107,7 @@ FURTHER = {
     "ssn": Further(re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])"), 0.4, None, words("ssn", "social", "security")),
     "routing": Further(re.compile(r"(?<![0-9.-])[0-9]{9}(?![0-9.-])"), -0.2, routing, words("routing", "aba", "bank")),
     "national_phone": Further(re.compile(r"(?<![0-9+.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])"), 0.4, None, words("phone", "tel", "telephone", "call", "mobile", "fax", "cell")),
-    "birth_date": Further(re.compile(r"(?<![0-9])(?:19|20)[0-9]{2}-[01][0-9]-[0-3][0-9](?![0-9])"), 0.1, None, words("born", "birth", "birthday", "dob", "geboren", "naissance", "nacido", "nacida")),
+    "birth_date": Further(re.compile(r"(?<![0-9])(?:19|20)[0-9]{2}-[01][0-9]-[0-3][0-9](?![0-9])"), 0.25, None, words("born", "birth", "birthday", "dob", "geboren", "naissance", "nacido", "nacida")),
 }
 
 
