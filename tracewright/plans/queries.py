@@ -589,9 +589,15 @@ def period_representatives(spark, d):
     return signals.representatives(rows)
 
 
+def _register() -> None:
+    from tracewright.plans import more  # noqa: F401  registers its queries
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _register()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _register()
     return dict(SQL)
