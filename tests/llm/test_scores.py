@@ -178,6 +178,8 @@ def test_toxicity_edge_rows(spark):
     assert set(got[0].row.asDict()) == set(odd.columns)
     none = toxicity.fit(docs, labels.limit(0))
     assert {r.score for r in toxicity.scored(docs, none).collect()} == {0.0}
+    bad = toxicity.fit(docs, labels.where("toxic = 1"))
+    assert {r.predicted for r in toxicity.scored(docs, bad).collect()} == {0}
 
 
 # fingerprints and urls ----------------------------------------------------------------------------------------------

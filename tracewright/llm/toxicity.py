@@ -19,8 +19,8 @@ calibrates. At most `max_labels` labelled documents are used (a hash sample of t
 of labels sent to workers is bounded; the counts cover these documents' whole texts.
 
 Defined cases: a null or empty text has no passage and the lowest surprise; null doc_ids are scored, never learnt
-from; several labels of one id: the largest; where the calibrating fold lacks a class every score is the share of
-toxic labels seen (0 without any); where clean documents have passages of one statistic or none, the law has scale 1; equal rows are scored alike; other columns are ignored.
+from; several labels of one id: the largest; where the calibrating fold lacks a class all folds that
+may be learnt from calibrate; without labels of both classes nothing can be told apart and every score is 0; where clean documents have passages of one statistic or none, the law has scale 1; equal rows are scored alike; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -241,9 +241,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> Mod
     known["toxic"] = known["toxic"].clip(0, 1)
     table = count_words(docs, known[known["fold"] < 3])
     rest = known[known["fold"] == 3]
+    if rest["toxic"].nunique() < 2:
+        rest = known
+    if rest["toxic"].nunique() < 2:
+        return Model(table, 0.0)
     model = Model(table, base)
-    if not len(known) or known["toxic"].nunique() < 2 or rest["toxic"].nunique() < 2:
-        return model
     ids = spark.createDataFrame(rest[["doc_id", "toxic"]].astype({"doc_id": "int64", "toxic": "int32"}), "doc_id long, toxic int")
     chosen = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi")  # bounded by max_labels
     t = checkpointed(statistics(chosen, table).join(F.broadcast(ids), "doc_id"))
