@@ -91,7 +91,7 @@ def test_trace_sinks(spark, tmp_path):
     assert sorted((r.type, r.label) for r in traces.labels_used(records, labels).collect()) == [(1234, "User"), (4321, "Unknown type 4321")]
     objects = spark.createDataFrame([(1, 1, 1, "n1", 1), (1, 1, 2, "n1", 2)], "ptask int, task int, thread int, node string, cpu int")
     assert [r.value for r in traces.row_names(objects).where("level = 'THREAD'").orderBy("ord").collect()] == ["THREAD 1.1.1", "THREAD 1.1.2"]
-    assert traces.trace_header(50, [4], [[(1, 1), (1, 1)]], "01/01/20 at 00:00") == "#Paraver (01/01/20 at 00:00):50_ns:1(4):1:2(1:1,1:1)"
+    assert traces.trace_header("Trace", 50, [4], [[(1, 1), (1, 1)]], "01/01/20 at 00:00") == "#Trace (01/01/20 at 00:00):50_ns:1(4):1:2(1:1,1:1)"
 
 
 def test_text_sources(spark, tmp_path):

@@ -77,10 +77,10 @@ def record_lines(records: DataFrame) -> DataFrame:
     return records.select("time", "rtype", line.alias("value"))
 
 
-def trace_header(duration: int, nodes: list[int], tasks: list[list[tuple[int, int]]], date: str) -> str:
-    """The first line: date, length in ns, processors of each node, and the (threads, node) of each application's tasks."""
+def trace_header(magic: str, duration: int, nodes: list[int], tasks: list[list[tuple[int, int]]], date: str) -> str:
+    """The first line: the format's magic word, date, length in ns, processors of each node, and the (threads, node) of each application's tasks."""
     apps = ":".join(f"{len(a)}({','.join(f'{t}:{n}' for t, n in a)})" for a in tasks)
-    return f"#Paraver ({date}):{duration}_ns:{len(nodes)}({','.join(map(str, nodes))}):{len(tasks)}:{apps}"
+    return f"#{magic} ({date}):{duration}_ns:{len(nodes)}({','.join(map(str, nodes))}):{len(tasks)}:{apps}"
 
 
 def write_trace(records: DataFrame, path: str, gzip: bool = False) -> None:
