@@ -349,3 +349,14 @@ def relaxed_capacity(channels: DataFrame) -> DataFrame:
 def rate_gcd(channels: DataFrame) -> DataFrame:
     """The gcd over all rates of each channel."""
     return channels.withColumn("g", gcd_all(F.concat("production", "consumption")))
+
+
+def critical_cycles(actors: DataFrame, channels: DataFrame) -> DataFrame:
+    """(graph_id, pos, src, src_firing, dst, dst_firing, weight, tokens): the steps of each graph's critical cycle, in order."""
+
+    def run(g, a, c):
+        _, cycle = sdf.max_cycle_ratio(sdf.weighted(*sdf.expand(a, c)))
+        for i, ((u, j), (v, k), w, t) in enumerate(cycle or []):
+            yield (g, i, u, j, v, k, int(w), int(t))
+
+    return per_graph(actors, channels, "graph_id string, pos long, src string, src_firing long, dst string, dst_firing long, weight long, tokens long", run)

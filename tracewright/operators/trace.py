@@ -457,3 +457,26 @@ def distinct_first(df: DataFrame, keys: Sequence[str], owner: str, seq: str) ->
     """Distinct keys with the owner that came first."""
     return df.groupBy(*keys).agg(F.min_by(owner, seq).alias(owner))
 
+
+
+def address_ids(addresses: DataFrame, columns: Sequence[str] = ("file", "line", "address")) -> DataFrame:
+    """Addresses numbered by file, line and address from 2; ids 0 and 1 are those of unresolved and not found ones."""
+    return global_rank(addresses.select(*columns).distinct(), list(columns), "id").withColumn("id", F.col("id") + 1)
+
+
+def bounded_intervals(events: DataFrame, keys: Sequence[str], time: str, seq: str, state: str, first: str, end: int) -> DataFrame:
+    """Like next_event_intervals, with an initial state from time 0 and the last state closed at the end."""
+    w = over(keys, [time, seq])
+    start = events.groupBy(*keys).agg(F.min(time).alias("t1")).select(*keys, F.lit(0).cast("long").alias("t0"), "t1", F.lit(first).alias("state"))
+    rest = events.select(*keys, F.col(time).alias("t0"), F.coalesce(F.lead(time).over(w), F.lit(end)).alias("t1"), F.col(state).alias("state"))
+    return start.unionByName(rest).where("t0 < t1")
+
+
+def skip(events: DataFrame, types: Sequence, column: str = "type") -> DataFrame:
+    """events of types whose handler swallows them go."""
+    return events.where(~F.col(column).isin(list(types)))
+
+
+def encode(events: DataFrame, labels: DataFrame, on: str = "type", bounded: bool = True) -> DataFrame:
+    """Types translated by a dictionary (on, grouped); null where it has none. A fixed dictionary is broadcast."""
+    return events.join(F.broadcast(labels) if bounded else labels, on, "left")

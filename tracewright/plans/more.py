@@ -320,3 +320,30 @@ def cycle_sums(spark, d):
     return spark.createDataFrame([(float(w / t),)], "ratio double")
 
 
+
+
+@query("SELECT file, line, address, row_number() OVER (ORDER BY file, line, address) + 1 AS id FROM (SELECT DISTINCT p_brand AS file, p_size AS line, p_partkey AS address FROM part)")
+def address_ids(spark, d):
+    return T.address_ids(table(spark, d, "part").select(F.col("p_brand").alias("file"), F.col("p_size").alias("line"), F.col("p_partkey").alias("address")))
+
+
+@query("{EV}, i AS (SELECT task, time AS t0, coalesce(lead(time) OVER (PARTITION BY task ORDER BY time, seq), 2000000000000000) AS t1, type AS state FROM e UNION ALL SELECT task, 0, min(time), 'Stopped' FROM e GROUP BY task) SELECT * FROM i WHERE t0 < t1")
+def bounded_states(spark, d):
+    return T.bounded_intervals(events(spark, d), ["task"], "time", "seq", "type", "Stopped", 2_000_000_000_000_000)
+
+
+@query("SELECT event_id AS seq FROM events WHERE event_type NOT IN ('error', 'signup')")
+def skipped_types(spark, d):
+    return T.skip(events(spark, d), ["error", "signup"]).select("seq")
+
+
+@query(fixtures.golden_sql("graph_id, period", [("csdf", 18), ("mrsdf", 70), ("hsdf", 2), ("cycle3", 6)]))
+def critical_cycle(spark, d):
+    c = graph.critical_cycles(*fixtures.graphs(spark)).groupBy("graph_id").agg(F.sum("weight").alias("w"), F.sum("tokens").alias("t"))
+    return c.select("graph_id", F.expr("w div t").alias("period"))
+
+
+@query("SELECT c_custkey, c_nationkey, row_number() OVER (ORDER BY c_nationkey, c_custkey) AS place FROM customer")
+def input_order(spark, d):
+    """Inputs by object, then order."""
+    return T.global_rank(table(spark, d, "customer").select("c_custkey", "c_nationkey"), ["c_nationkey", "c_custkey"], "place")
