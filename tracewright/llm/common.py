@@ -85,7 +85,7 @@ class WordCachedBPE:
     Texts with two white-space characters in a row, or a special token, are encoded as a whole.
     """
 
-    KEEP = 400_000  # words that a worker remembers; then it starts anew
+    KEEP = 300_000  # words of a generation that a worker remembers; it has the latest two generations
     WHOLE = re.compile(r"\s\s|<\||[^\S \n]|^\s|\s$")
 
     def __init__(self, path: str):
@@ -94,35 +94,66 @@ class WordCachedBPE:
 
         self.model = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        vocabulary = self.model.get_vocab()
+        self.starts = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens with a space first: only a word's first token
+        self.starts[[i for t, i in vocabulary.items() if t[0] == "\u0120"]] = True
+        self.line = vocabulary["\u010a"]
+        self.marks = {c: self.whole(c) for c in ",."}
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def learn(self, words: list[str], between: str) -> None:
+        """Encodes new words, all after a space or all after a line break, some hundred in a row."""
+        runs = [words[i : i + 500] for i in range(0, len(words), 500)]
+        for run, e in zip(runs, self.model.encode_batch_fast([between + between.join(r) for r in runs], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            at = np.flatnonzero(self.starts[ids] if between == " " else ids == self.line)
+            data, ends = ids.tobytes(), [*(4 * at[1:]).tolist(), 4 * len(ids)]
+            if len(at) != len(run):
+                raise ValueError("this tokenizer merges across words")
+            if between == " ":
+                self.known.update((w, data[i:j]) for w, i, j in zip(run, (4 * at).tolist(), ends, strict=True))
+            else:
+                self.known.update(("\n" + w, data[i:j]) for w, i, j in zip(run, (4 * at).tolist(), ends, strict=True))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids, as little-endian unsigned 32-bit integers."""
         words: list[list[str] | None] = []
         new: set[str] = set()
-        known = self.known
-        if len(known) > self.KEEP:
-            known.clear()
+        if len(self.known) > self.KEEP:
+            self.older, self.known = self.known, {}
+        known, older = self.known, self.older
         for text in texts:
-            if self.WHOLE.search(text):
+            if self.WHOLE.search(text) or not text:
                 words.append(None)
                 continue
             w = text.replace("\n", " \n").split(" ")
             w[0] = "\0" + w[0]  # without a space before it
             words.append(w)
-            new.update(x for x in w if x not in known)
-        fresh = list(new)
-        for at in range(0, len(fresh), 20_000):
-            part = fresh[at : at + 20_000]
-            pieces = [x[1:] if x[:1] == "\0" else x if x[:1] == "\n" else " " + x for x in part]
-            for x, e in zip(part, self.model.encode_batch_fast(pieces, add_special_tokens=False), strict=True):
-                known[x] = np.array(e.ids, "<u4").tobytes()
-        out = [self.whole(t) if w is None else b"".join(map(known.__getitem__, w)) for t, w in zip(texts, words, strict=True)]
-        if len(known) > 3 * self.KEEP:  # one huge batch
-            known.clear()
-        return out
+            new |= set(w).difference(known)
+        spaced, lined, made = set(), set(), []
+        for x in new:
+            if (ids := older.get(x)) is not None:
+                known[x] = ids
+                continue
+            first = x[0]
+            core = x[:-1] if x[-1] in ",." and x[first in "\0\n" : -1].isalpha() else x  # a mark after letters stands alone
+            if first == "\0":
+                core = "\n" + core[1:]
+            if core != x:
+                made.append((x, core))
+            if core not in known:
+                (lined.add(core[1:]) if core[0] == "\n" else spaced.add(core))
+        self.learn(list(spaced), " ")
+        self.learn(list(lined), "\n")
+        for x, core in made:
+            ids = known[core]
+            if x[0] == "\0":
+                ids = ids[4:]
+            known[x] = ids + self.marks[x[-1]] if len(x) > len(core) else ids
+        return [b"" if not t else self.whole(t) if w is None else b"".join(map(known.__getitem__, w)) for t, w in zip(texts, words, strict=True)]
 
 
 def word_bpe(path: str) -> WordCachedBPE:
