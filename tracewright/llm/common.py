@@ -40,6 +40,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def whole_texts(df: DataFrame) -> DataFrame:
+    """df, whose texts go to Python in batches of some 8 MB: the usual 10,000 rows of long texts would take hundreds of MB.
+
+    Sets the session's spark.sql.execution.arrow.maxBytesPerBatch, which holds for later Arrow batches as well."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    return df
+
+
 def id_crc(column: str = "doc_id") -> Column:
     """crc32 of the id as text; a null id counts as the empty text, whose crc32 is 0."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))
@@ -50,7 +58,7 @@ def whole_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 4_000_000) -> Iterator[tuple[int, int]]:
+def slices(batch: pa.RecordBatch, column: str, most: int = 2_000_000) -> Iterator[tuple[int, int]]:
     """Row ranges of the batch whose texts hold about `most` bytes at most (one row at least)."""
     sizes = np.asarray(pc.binary_length(batch.column(column)).fill_null(0))
     start, held = 0, 0

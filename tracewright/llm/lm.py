@@ -34,12 +34,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import checkpointed, id_crc, slices
+from tracewright.llm.common import checkpointed, id_crc, slices, whole_texts
 from tracewright.llm.simhash import mix
 
 END = np.uint64(0xE4D0F7E7_0000_0001)
 START = np.uint64(0x57A27000_0000_0001)
-CHUNK = 2_000_000  # tokens that a task counts at a time
+CHUNK = 1_000_000  # tokens that a task counts at a time
 SEGMENT_BYTES = 12_000_000  # text bytes for each segment, about
 PROBES = 5
 BITS = 8  # of the filter for each entry
@@ -169,7 +169,7 @@ def counted(docs: DataFrame, segments: int, growth: float) -> DataFrame:
             data = np.packbits(filled, bitorder="little").tobytes()
         return pd.DataFrame({"kind": [key[0]], "segment": [key[1]], "n": [len(keys)], "total": [total], "size": [size], "data": [data]})
 
-    sent = docs.select(F.col("text").cast("binary").alias("t")).mapInArrow(send, "kind int, segment long, keys binary, counts binary")
+    sent = whole_texts(docs.select(F.col("text").cast("binary").alias("t"))).mapInArrow(send, "kind int, segment long, keys binary, counts binary")
     return sent.groupBy("kind", "segment").applyInPandas(build, "kind int, segment long, n long, total long, size long, data binary")
 
 
@@ -271,7 +271,7 @@ def score(docs: DataFrame, growth: float = 1.5, mu: float = 50.0, limit_mb: int
 
         kind = rows.schema["doc_id"].dataType.simpleString()
         texts = rows.select("doc_id", "held_out", "row", F.col("text").cast("binary").alias("t"))
-        return texts.mapInArrow(run, f"doc_id {kind}, held_out boolean, row long, n_tokens long, n_known long, base_score double, score double"), [own, blooms]
+        return whole_texts(texts).mapInArrow(run, f"doc_id {kind}, held_out boolean, row long, n_tokens long, n_known long, base_score double, score double"), [own, blooms]
 
     if whole:
         scored, _ = part(word_groups[0], context_groups[0], True)

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewright.llm.common import whole_texts
+
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "ssn", "routing", "national_phone", "birth_date")
 NEAR = 48  # code points on either side in which context words count
@@ -142,7 +144,7 @@ def find_pii(docs: DataFrame, threshold: float = 0.6) -> DataFrame:
 
     rows = docs.select("doc_id", "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, spans array<struct<kind:string,start:long,end:long,score:double,match:string>>")
+    return whole_texts(rows).mapInArrow(run, f"doc_id {kind}, spans array<struct<kind:string,start:long,end:long,score:double,match:string>>")
 
 
 def digest(found: DataFrame) -> DataFrame:

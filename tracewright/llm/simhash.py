@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import checkpointed, components
+from tracewright.llm.common import checkpointed, components, whole_texts
 
 CHUNK = 4096  # fingerprints whose variants one task holds at a time: 68 MB
 CODES = 4_000_000  # codes in a partition of the first round
@@ -67,7 +67,7 @@ def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
 
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("t"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, fp long")
+    return whole_texts(rows).mapInArrow(run, f"doc_id {kind}, fp long")
 
 
 def masks(radius: int, bits: int = 64) -> np.ndarray:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import slices, tokenizer_path, whole_text, word_bpe
+from tracewright.llm.common import slices, tokenizer_path, whole_text, whole_texts, word_bpe
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -50,7 +50,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id:
 
     ranges = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartitionByRange(ranges, "doc_id").sortWithinPartitions("doc_id", "text")
-    writer = ordered.mapInArrow(encode, f"doc_id {kind}, shard int, place long, n_tokens long, ids array<int>").write
+    writer = whole_texts(ordered).mapInArrow(encode, f"doc_id {kind}, shard int, place long, n_tokens long, ids array<int>").write
     for key, value in {"orc.compress": "ZSTD", "orc.stripe.size": stripe_mb << 20, "orc.create.index": "true", "orc.row.index.stride": stride, "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": fpp}.items():
         writer = writer.option(key, value)
     writer.orc(path)

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import checkpointed, id_crc
+from tracewright.llm.common import checkpointed, id_crc, whole_texts
 
 WORDS = re.compile(rb"[a-z\x80-\xff]+")
 SLOTS = 1 << 20
@@ -102,7 +102,7 @@ def count_words(docs: DataFrame, labels: pd.DataFrame) -> np.ndarray:
         return pd.DataFrame({"range": [key[0]], "counts": [total.tobytes()]})
 
     # each worker task sends at most SLOTS rows of sums, and the driver gets RANGES rows, whatever the input
-    sums = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("t")).mapInArrow(run, "range long, slots binary, counts binary").groupBy("range").applyInPandas(add, "range long, counts binary")
+    sums = whole_texts(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("t"))).mapInArrow(run, "range long, slots binary, counts binary").groupBy("range").applyInPandas(add, "range long, counts binary")
     table = np.zeros((SLOTS, 2), np.int64)
     wide = SLOTS // RANGES
     for row in sums.collect() if len(ids) else []:
@@ -230,7 +230,7 @@ def statistics(docs: DataFrame, table: np.ndarray, passages: bool = False, locat
 
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("x"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, t double" + ", passages array<struct<start:long,end:long,score:double,expected:double>>" * passages)
+    return whole_texts(rows).mapInArrow(run, f"doc_id {kind}, t double" + ", passages array<struct<start:long,end:long,score:double,expected:double>>" * passages)
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> Model:
@@ -284,4 +284,4 @@ def scored(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("binary").alias("x"))
-    return rows.mapInArrow(run, StructType([StructField("row", rows.schema["row"].dataType), StructField("score", DoubleType()), StructField("predicted", IntegerType())]))
+    return whole_texts(rows).mapInArrow(run, StructType([StructField("row", rows.schema["row"].dataType), StructField("score", DoubleType()), StructField("predicted", IntegerType())]))
