@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from tracewright.llm.common import checkpointed, components, whole_texts
 
-CHUNK = 4096  # fingerprints whose variants one task holds at a time: 68 MB
+CHUNK = 2048  # fingerprints whose variants one task holds at a time: 34 MB
 CODES = 4_000_000  # codes in a partition of the first round
 PAIRS = 1_000_000  # (variant, fingerprint) in a partition of the second round
 
@@ -79,11 +79,12 @@ def masks(radius: int, bits: int = 64) -> np.ndarray:
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection on 64-bit words that spreads neighbours evenly (the splitmix64 finaliser)."""
-    x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x ^= x >> np.uint64(27)
-    x *= np.uint64(0x94D049BB133111EB)
-    x ^= x >> np.uint64(31)
+    x = x.copy()
+    shifted = np.empty_like(x)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+        np.right_shift(x, np.uint64(shift), out=shifted)
+        x ^= shifted
+        x *= np.uint64(factor)
     return x
 
 
@@ -113,8 +114,8 @@ def unpack(data: bytes) -> np.ndarray:
 def ball_links(fps: DataFrame, radius: int = 4) -> DataFrame:
     """(a, b): links among the distinct longs of fps (fp) that differ in at most `radius` bits, as stars around the
     smallest (unsigned) owner of each shared variant. Their components are those of all links."""
-    half = (radius + 1) // 2
-    per = len(masks(half))
+    flips = masks((radius + 1) // 2)
+    per = len(flips)
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -141,7 +142,7 @@ def ball_links(fps: DataFrame, radius: int = 4) -> DataFrame:
 
     def variants(data: bytes) -> tuple[np.ndarray, np.ndarray]:
         own = np.frombuffer(data, "<u8")
-        return own, mix((own[:, None] ^ masks(half)[None, :]).ravel())
+        return own, mix((own[:, None] ^ flips[None, :]).ravel())
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
