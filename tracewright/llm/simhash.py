@@ -135,7 +135,8 @@ def ball_links(fps: DataFrame, radius: int = 4) -> DataFrame:
             yield row(np.concatenate(held))
 
     made = checkpointed(fps.select("fp").mapInArrow(chunks, "chunk long, n long, fps binary"))
-    n = made.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    n, number = made.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    tasks = max(1, min(number, 10_000))  # a chunk of 16 KB makes 34 MB of variants, so its bytes say little of its work
     parts = max(1, -(-n * per // CODES))
     width = min(64, max(1, n * per * 128).bit_length())  # bits of a code: 1 in 128 meets another by chance at most
     cut = np.uint64(64 - width)
@@ -171,7 +172,7 @@ def ball_links(fps: DataFrame, radius: int = 4) -> DataFrame:
                     out.append((chunk, len(own), pack(own), int(base)))
         return pd.DataFrame(out, columns=["chunk", "n", "met", "base"])
 
-    met = checkpointed(made.select("chunk", "fps").mapInArrow(send, "part long, chunk long, codes binary").groupBy("part").applyInPandas(twice, "chunk long, n long, met binary, base decimal(20,0)"))
+    met = checkpointed(made.select("chunk", "fps").repartition(tasks).mapInArrow(send, "part long, chunk long, codes binary").groupBy("part").applyInPandas(twice, "chunk long, n long, met binary, base decimal(20,0)"))
     pairs = met.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     spread = max(1, -(-int(pairs) // PAIRS))
 
@@ -204,8 +205,8 @@ def ball_links(fps: DataFrame, radius: int = 4) -> DataFrame:
         found = np.unique(np.stack([least[near], owners[near]], axis=1), axis=0)
         return pd.DataFrame({"a": found[:, 0].view(np.int64), "b": found[:, 1].view(np.int64)})
 
-    sent = met.groupBy("chunk").agg(F.collect_list(F.struct("met", "base")).alias("sent"))
-    hits = made.join(sent, "chunk").select("fps", "sent").mapInArrow(whole, "part long, variants binary, owners binary")
+    sent = met.repartition(tasks, "chunk").groupBy("chunk").agg(F.collect_list(F.struct("met", "base")).alias("sent"))
+    hits = made.repartition(tasks, "chunk").join(sent, "chunk").select("fps", "sent").mapInArrow(whole, "part long, variants binary, owners binary")
     return hits.groupBy("part").applyInPandas(links, "a long, b long").distinct()
 
 
