@@ -219,7 +219,8 @@ def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4) -> DataFra
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     known = linked.join(least, "root").select("fp", "component_id")
     of = nodes.join(known, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return own.join(of, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    # read from a table, both sides of the join are shuffled for it alone, so that Spark can split a fingerprint that many documents share
+    return own.join(checkpointed(of), "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame, radius: int = 4, width: int = 4) -> DataFrame:
