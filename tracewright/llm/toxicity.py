@@ -114,7 +114,7 @@ def count_words(docs: DataFrame, labels: pd.DataFrame) -> np.ndarray:
 class Scorer:
     """Log-odds of tokens from the table of counts."""
 
-    KEEP = 500_000
+    KEEP = 200_000
 
     def __init__(self, table: np.ndarray, strength: float = 20.0, drift: float = 1.0):
         self.table, self.strength, self.drift, self.known = table, strength, drift, {}
@@ -124,8 +124,7 @@ class Scorer:
 
     def __call__(self, word: bytes) -> float:
         p = self.base
-        for s in slots(word):
-            clean, toxic = self.table[s]
+        for clean, toxic in self.table[slots(word)].tolist():
             p = (toxic + self.strength * p) / (clean + toxic + self.strength)
         return math.log(p / (1 - p)) - self.offset - self.drift
 
@@ -134,10 +133,9 @@ class Scorer:
         known = self.known
         if len(known) > self.KEEP:
             known.clear()
-        for w in words:
-            if w not in known:
-                known[w] = self(w)
-        return np.array([known[w] for w in words]), words
+        for w in set(words).difference(known):
+            known[w] = self(w)
+        return np.fromiter(map(known.__getitem__, words), float, len(words)), words
 
 
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
