@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import tempfile
@@ -99,8 +100,8 @@ class WordCachedBPE:
     Texts with two white-space characters in a row, or a special token, are encoded as a whole.
     """
 
-    KEEP = 300_000  # words of a generation that a worker remembers; it has the latest two generations
-    WHOLE = re.compile(r"\s\s|<\||[^\S \n]|^\s|\s$")
+    KEEP = 600_000  # words of a generation that a worker remembers; it has the latest two generations
+    OTHER = re.compile(r"[^\S \n]")  # white space but a space or a line break
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -134,19 +135,34 @@ class WordCachedBPE:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids, as little-endian unsigned 32-bit integers."""
-        words: list[list[str] | None] = []
-        new: set[str] = set()
+        collects = gc.isenabled()
+        gc.disable()  # nothing here is cyclic, and each collection would walk all words that are open
+        try:
+            return self._encode(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > self.KEEP:
             self.older, self.known = self.known, {}
         known, older = self.known, self.older
-        for text in texts:
-            if self.WHOLE.search(text) or not text:
-                words.append(None)
+        out: list = [b""] * len(texts)
+        open_: list[tuple[int, list[str], list[bytes | None], list[int]]] = []  # texts with words that aren't known: those words' places
+        for k, text in enumerate(texts):
+            if not text:
+                continue
+            if any(x in text for x in ("  ", " \n", "\n ", "\n\n", "<|")) or text[0] in " \n" or text[-1] in " \n" or self.OTHER.search(text):
+                out[k] = self.whole(text)
                 continue
             w = text.replace("\n", " \n").split(" ")
             w[0] = "\0" + w[0]  # without a space before it
-            words.append(w)
-            new |= set(w).difference(known)
+            ids = list(map(known.get, w))
+            if missing := [i for i, y in enumerate(ids) if y is None]:
+                open_.append((k, w, ids, missing))
+            else:
+                out[k] = b"".join(ids)
+        new = {w[i] for _, w, _, missing in open_ for i in missing}
         spaced, lined, made = set(), set(), []
         for x in new:
             if (ids := older.get(x)) is not None:
@@ -167,7 +183,11 @@ class WordCachedBPE:
             if x[0] == "\0":
                 ids = ids[4:]
             known[x] = ids + self.marks[x[-1]] if len(x) > len(core) else ids
-        return [b"" if not t else self.whole(t) if w is None else b"".join(map(known.__getitem__, w)) for t, w in zip(texts, words, strict=True)]
+        for k, w, ids, missing in open_:
+            for i in missing:
+                ids[i] = known[w[i]]
+            out[k] = b"".join(ids)
+        return out
 
 
 def word_bpe(path: str) -> WordCachedBPE:
