@@ -347,7 +347,7 @@ def comm_dedup(spark, d):
     return T.communicators(lists, "members", "l_orderkey")
 
 
-@query("WITH n AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS BIGINT) // gcd(l_partkey, l_suppkey) AS norm_tokens, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY CAST(l_quantity AS BIGINT) // gcd(l_partkey, l_suppkey), l_partkey, l_suppkey) AS k FROM lineitem) SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, norm_tokens FROM n WHERE k = 1")
+@query("WITH n AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS BIGINT) // nullif(gcd(l_partkey, l_suppkey), 0) AS norm_tokens, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY CAST(l_quantity AS BIGINT) // nullif(gcd(l_partkey, l_suppkey), 0) NULLS FIRST, l_partkey, l_suppkey) AS k FROM lineitem) SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, norm_tokens FROM n WHERE k = 1")
 def binding_channel(spark, d):
     li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("long").alias("tokens"), F.col("l_partkey").alias("production"), F.col("l_suppkey").alias("consumption"))
     return T.binding_channel(li, ["l_orderkey", "l_linenumber"], ["l_partkey", "l_suppkey"]).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "norm_tokens")
