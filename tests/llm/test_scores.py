@@ -237,3 +237,23 @@ def test_trees_learn_from_the_rules(spark):
     more = [(500, "http://spam7-99.example.com/it/7?a=7&b=7"), (501, "https://nice.example.org/pt/a")]
     got = {r.page_id: r.verdict for r in urls.judge(spark.createDataFrame(rows + more, "page_id long, url string"), max_rows=100).collect()}
     assert got[500] == "block" and got[501] == "allow"
+
+
+def test_suffixes_are_counted_over_all_labels(spark, monkeypatch):
+    rng = random.Random(4)
+    kinds = [rng.random() < 0.5 for _ in range(600)]  # whether a domain's urls are blocked: nothing else tells
+    rows = [(2 * i + j, f"http://{i:03d}.example.{'com' if bad else 'net'}/{'de' if bad else 'en'}{j}") for i, bad in enumerate(kinds) for j in range(2)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    rules = tuple((f"{i:03d}.example.{'com' if bad else 'net'}", f"/{'de' if bad else 'en'}", "block" if bad else "allow") for i, bad in enumerate(kinds[:4]))
+    counts = urls.suffix_counts(urls.with_features(pages, rules))
+    bad = sum(kinds[:4])
+    assert {(r.s0, sum(r.n0), sum(r.blocked0)) for r in counts[0].collect()} == {x for x in (("com", 2 * bad, 2 * bad), ("net", 2 * (4 - bad), 0)) if x[1]}
+
+    # paths x0 to x599 each with labels of one kind: fitted on few rows, verdicts of unlabelled pages follow their path segment
+    rows = [(3 * i + j, f"http://{'ok' if j == 2 else 'no' if bad else 'go'}.h.test/x{i:03d}/a") for i, bad in enumerate(kinds) for j in range(3)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    rules = (("no.h.test", "/", "block"), ("go.h.test", "/", "allow"))
+    for most in (urls.MOST_BROADCAST, 0):
+        monkeypatch.setattr(urls, "MOST_BROADCAST", most)
+        got = {r.page_id: r.verdict for r in urls.judge(pages, rules, max_rows=200).where("rule is null").collect()}
+        assert got == {3 * i + 2: "block" if bad else "allow" for i, bad in enumerate(kinds)}

@@ -2,8 +2,10 @@
 
 The rules' verdicts label the urls that they fit; the trees learn from these (a hash sample of at most `max_rows`
 of them) and judge all others. Features: lengths, depth, digit ratio, character entropy, parameters, marks, and suffix
-statistics: how often urls with this last label, these last two labels or this first path segment were blocked,
-kept in tables of fixed size addressed by hash.
+statistics: how often urls with this last label, these last two labels or this first path segment were blocked.
+These are counted over all labelled urls by the suffix itself; only the trees' fitting is bounded by `max_rows`. A url
+that the trees are fitted on has them from the other FOLDS - 1 of FOLDS hash parts of the labelled urls, so that its own
+label isn't among them, as with urls without a label; those that are judged have them from all.
 
 Defined cases: a null url or one without `://` has an empty host and path, fits no rule and is judged by the trees;
 with labels of one verdict only, that is the verdict of the rest, and without any labels it is allow; equal rows and null
@@ -15,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracewright.llm.common import checkpointed
+
 #: Host, path, verdict.
 RULES = (
     ("net", "/", "block"),
@@ -22,7 +26,8 @@ RULES = (
     ("example.com", "/de/", "block"),
     ("org", "/fr/", "allow"),
 )
-PLACES = 256  # of each table of suffix statistics
+MOST_BROADCAST = 200_000  # suffixes of a kind; more are joined by shuffle
+FOLDS = 5
 PARTS = r"(?s)\A.*?://([^/?#]*)([^?#]*)"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -58,7 +63,7 @@ def entropy(x: Column) -> Column:
 
 
 def with_features(pages: DataFrame, rules=RULES) -> DataFrame:
-    """(page_id, host, path, rule, known, x array<double>, places array<int>)."""
+    """(page_id, host, path, rule, known, x array<double>, s0, s1, s2)."""
     host, path = host_path(F.col("url"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     url = F.coalesce(F.col("url"), F.lit(""))
@@ -71,9 +76,30 @@ def with_features(pages: DataFrame, rules=RULES) -> DataFrame:
         count_of(url, "="), count_of(url, "&"), count_of(url, "#"), count_of(url, "%"), url.startswith("https").cast("double"),
     )
     suffixes = (F.element_at(labels, -1), F.concat_ws(".", F.slice(labels, -F.least(F.size(labels), F.lit(2)), F.lit(2))), F.substring_index(F.substring_index("path", "/", 2), "/", -1))
-    places = F.array(*[F.pmod(F.xxhash64(F.lit(i), s), F.lit(PLACES)).cast("int") for i, s in enumerate(suffixes)])
     own = pages.select("page_id", "url").withColumns({"host": host, "path": path})
-    return own.withColumns({"rule": rule, "known": verdict, "x": x, "places": places}).drop("url")
+    return own.withColumns({"rule": rule, "known": verdict, "x": x} | {f"s{i}": s for i, s in enumerate(suffixes)}).drop("url")
+
+
+def fold() -> Column:
+    return F.pmod(F.xxhash64("page_id", "path", "host"), F.lit(FOLDS)).cast("int")
+
+
+def suffix_counts(own: DataFrame) -> list[DataFrame]:
+    """For each kind of suffix (s<i>, n<i>, blocked<i>): its labelled urls in each fold and those of them that were blocked."""
+    block = (F.col("known") == "block").cast("long")
+    folds = [fold() == f for f in range(FOLDS)]
+    n, blocked = F.array(*[F.count_if(f) for f in folds]), F.array(*[F.sum(F.when(f, block).otherwise(0)) for f in folds])
+    return [checkpointed(own.where("known is not null").groupBy(f"s{i}").agg(n.alias(f"n{i}"), blocked.alias(f"blocked{i}"))) for i in range(3)]
+
+
+def with_counts(own: DataFrame, counts: list[DataFrame]) -> DataFrame:
+    """own with n<i> and blocked<i> of its suffixes; nulls where none was labelled."""
+    for i, c in enumerate(counts):
+        if c.count() <= MOST_BROADCAST:
+            own = own.join(F.broadcast(c), f"s{i}", "left")
+        else:  # read from tables, both sides are shuffled for this join alone, so that Spark can split a frequent suffix
+            own = checkpointed(own).join(c, f"s{i}", "left")
+    return own
 
 
 def judge(pages: DataFrame, rules=RULES, max_rows: int = 50_000, trees: int = 10, depth: int = 4) -> DataFrame:
@@ -89,14 +115,20 @@ def judge(pages: DataFrame, rules=RULES, max_rows: int = 50_000, trees: int = 10
     chosen = own.where("known is not null")
     if n > max_rows:
         chosen = chosen.where(F.pmod(F.xxhash64("host", "path", "page_id"), F.lit(1 << 30)) < int((1 << 30) * max_rows / n))
-    chosen = chosen.select("x", "places", (F.col("known") == "block").cast("double").alias("label")).coalesce(4)  # bounded by max_rows
     share = counts.get("block", 0) / n
-    rates = [[share] * PLACES for _ in range(3)]
-    seen = chosen.select("label", F.posexplode("places").alias("i", "place")).groupBy("i", "place").agg(F.avg("label").alias("p"), F.count("*").alias("n"))
-    for r in seen.collect():  # 3 * PLACES rows at most
-        rates[r["i"]][r["place"]] = (r["p"] * r["n"] + share) / (r["n"] + 1)
-    tables = F.lit([x for t in rates for x in t])
-    vector = array_to_vector(F.concat("x", *[F.array(F.get(tables, F.get("places", F.lit(i)) + i * PLACES)) for i in range(3)]))
-    model = GBTClassifier(featuresCol="features", labelCol="label", maxIter=trees, maxDepth=depth, maxBins=32, seed=7).fit(chosen.select("label", vector.alias("features")))
-    told = model.transform(own.withColumn("features", vector))
+    suffixes = suffix_counts(own)
+
+    def vector(but: Column | None = None) -> Column:
+        """The features, with the suffixes' rates over the labelled urls of all folds but one."""
+
+        def total(name: str) -> Column:
+            every = F.aggregate(F.col(name), F.lit(0).cast("long"), lambda a, b: a + b)
+            return F.coalesce(every if but is None else every - F.get(F.col(name), but), F.lit(0))
+
+        return array_to_vector(F.concat("x", F.array(*[(total(f"blocked{i}") + share) / (total(f"n{i}") + 1) for i in range(3)])))
+
+    label = (F.col("known") == "block").cast("double")
+    chosen = checkpointed(with_counts(chosen, suffixes).select(label.alias("label"), vector(fold()).alias("features")).coalesce(4))  # bounded by max_rows
+    model = GBTClassifier(featuresCol="features", labelCol="label", maxIter=trees, maxDepth=depth, maxBins=32, seed=7).fit(chosen)
+    told = model.transform(with_counts(own, suffixes).withColumn("features", vector()))
     return told.select("page_id", "host", "path", "rule", F.coalesce("known", F.when(F.col("prediction") > 0.5, "block").otherwise("allow")).alias("verdict"))
