@@ -10,13 +10,15 @@ Spans are in code points, end exclusive. Within a kind they are the leftmost tha
 fail their check are dropped and not tried again from within.
 
 Defined cases: a null or empty text has no spans; null or repeated doc_ids and equal rows each give a row; an
-empty table gives an empty result; other columns are ignored.
+empty table gives an empty result; other columns are ignored; very long texts and long runs of digits, marks or
+letters take time in proportion to their length (times the logarithm of the number of spans).
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
@@ -31,7 +33,7 @@ KINDS = (*BASE, "iban", "ssn", "routing", "national_phone", "birth_date")
 NEAR = 48  # code points on either side in which context words count
 
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")  # a run of digits that fails from its start fails from within; linear time
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
@@ -117,7 +119,14 @@ def spans(text: str, threshold: float = 0.6) -> list[Span]:
     """All spans by start, then kind as listed, end."""
     found = base_spans(text)
     if DIGIT.search(text):
-        taken = sorted((s.start, s.end) for s in found)
+        starts: list[int] = []  # of the taken spans, overlapping ones joined
+        ends: list[int] = []
+        for a, b in sorted((s.start, s.end) for s in found):
+            if ends and a < ends[-1]:
+                ends[-1] = max(ends[-1], b)
+            else:
+                starts.append(a)
+                ends.append(b)
         for kind, rule in FURTHER.items():
             for m in rule.pattern.finditer(text):
                 score, plain = rule.score, re.sub(r"[\x20.-]", "", m[0])
@@ -127,9 +136,11 @@ def spans(text: str, threshold: float = 0.6) -> list[Span]:
                     score += 0.5
                 if rule.context.search(text, max(0, m.start() - NEAR), min(len(text), m.end() + NEAR)):
                     score += 0.4
-                if score >= threshold and not any(a < m.end() and m.start() < b for a, b in taken):
+                at = bisect_right(ends, m.start())  # the first taken span that ends after the match's start
+                if score >= threshold and at == bisect_left(starts, m.end()):
                     found.append(Span(kind, *m.span(), score))
-                    taken.append(m.span())
+                    starts.insert(at, m.start())
+                    ends.insert(at, m.end())
     return sorted(found, key=lambda s: (s.start, KINDS.index(s.kind), s.end))
 
 
