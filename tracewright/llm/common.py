@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import os
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="tracewright-")
         spark.conf.set("spark.checkpoint.dir", path)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
@@ -31,8 +35,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder, deleted when the driver ends."""
+    folder = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.mkdirs(where)  # only what is there can be marked
+    store.deleteOnExit(where)
+    return f"{folder}/data"
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -47,6 +56,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df, computed once, as a Parquet table in the shared folder: smaller than a checkpoint, and its size is known to the planner."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def whole_texts(df: DataFrame) -> DataFrame:
     """df, whose texts go to Python in batches of some 8 MB: the usual 10,000 rows of long texts would take hundreds of MB.
 
@@ -78,7 +94,19 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 2_000_000) -> Iterato
         yield start, len(sizes)
 
 
-_TOKENIZERS: dict[str, object] = {}
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, after which a worker gives back the memory that it no longer uses: workers wait for other tasks, and what they keep adds up."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # where the C library has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
+_TOKENIZERS: dict[tuple[str, int], object] = {}
 
 
 def tokenizer_path(name: str) -> str:
@@ -100,14 +128,14 @@ class WordCachedBPE:
     Texts with two white-space characters in a row, or a special token, are encoded as a whole.
     """
 
-    KEEP = 600_000  # words of a generation that a worker remembers; it has the latest two generations
     OTHER = re.compile(r"[^\S \n]")  # white space but a space or a line break
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, keep: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
+        self.keep = keep  # words of a generation that a worker remembers, some 200 bytes each; it has the latest two generations
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         vocabulary = self.model.get_vocab()
@@ -144,7 +172,7 @@ class WordCachedBPE:
                 gc.enable()
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > self.KEEP:
+        if len(self.known) > self.keep:
             self.older, self.known = self.known, {}
         known, older = self.known, self.older
         out: list = [b""] * len(texts)
@@ -190,10 +218,10 @@ class WordCachedBPE:
         return out
 
 
-def word_bpe(path: str) -> WordCachedBPE:
-    if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = WordCachedBPE(path)
-    return _TOKENIZERS[path]
+def word_bpe(path: str, keep: int = 600_000) -> WordCachedBPE:
+    if (path, keep) not in _TOKENIZERS:
+        _TOKENIZERS[path, keep] = WordCachedBPE(path, keep)
+    return _TOKENIZERS[path, keep]
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -203,14 +231,15 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     node with min(), never gathering a group, and is checkpointed in the shared folder.
     """
 
+    # the smallest neighbours are read from a table, so that both sides of a join are shuffled for it alone and Spark can split a hub's edges
     def large(e: DataFrame) -> DataFrame:
         both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        low = checkpointed(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
         return both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
     def small(e: DataFrame) -> DataFrame:
         down = e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        low = down.groupBy("a").agg(F.min("b").alias("m"))
+        low = checkpointed(down.groupBy("a").agg(F.min("b").alias("m")))
         return down.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
 
     def mark(e: DataFrame) -> tuple:

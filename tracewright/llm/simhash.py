@@ -2,11 +2,13 @@
 
 Every distinct fingerprint makes all its variants within half the radius (1 + 64 + 2016 = 2081 for radius 4);
 two fingerprints within the radius share a variant, and owners of one variant are within the radius of each
-other. Rows of (variant, fingerprint) would be some 16 KB for each fingerprint, so the variants travel packed,
+other. Rows of (variant, fingerprint) would be some 33 KB for each fingerprint, so the variants travel packed,
 in two rounds:
 
-1. each chunk of fingerprints sends its variants' mixed and shortened codes, sorted and delta-coded, to the
-   partition of their range; there the codes that occur twice are found (short codes may also meet by chance);
+1. each chunk of fingerprints sends its variants' mixed and shortened codes, sorted and Rice-coded (the low bits of
+   a difference as they are, the others in unary), to the partition of their range; there the codes that occur
+   twice are found (short codes may also meet by chance). A code has log2(fingerprints) bits more than a difference
+   needs within a chunk, so it takes log2(number of chunks) + 8 bits about, and grows by a bit for twice the table;
 2. only variants with such a code travel whole, with their fingerprint; equal variants give links to the
    smallest owner, which are verified by their differing bits.
 
@@ -17,7 +19,8 @@ Defined cases: a null text is empty; a text without words has fingerprint 0 and
 fewer than `width` words: the whole sequence is the only shingle; rows with one doc_id are one document's rows
 and share its component if their fingerprints do; null doc_ids are kept and are no component's smallest id
 unless the component has no other (then component_id is null); an empty table gives an empty result;
-columns other than doc_id and text are ignored.
+columns other than doc_id and text are ignored; a very long text's shingles are hashed and counted in blocks,
+so it takes some hundred bytes for each word.
 """
 
 from __future__ import annotations
@@ -30,10 +33,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import checkpointed, components, whole_texts
+from tracewright.llm.common import checkpointed, components, tidy, whole_texts
 
-CHUNK = 2048  # fingerprints whose variants one task holds at a time: 34 MB
-CODES = 4_000_000  # codes in a partition of the first round
+CHUNK = 8192  # fingerprints whose codes one task holds at a time: 136 MB
+BLOCK = 512  # fingerprints whose variants are made at a time
+CODES = 6_000_000  # codes in a partition of the first round
 PAIRS = 1_000_000  # (variant, fingerprint) in a partition of the second round
 
 
@@ -52,22 +56,23 @@ def simhash(text: bytes, width: int = 4, seed: int = 42) -> int:
         starts = np.concatenate(([0], ends[:-1] + 1))
         digest = xxhash.xxh64_intdigest
         hashes = [digest(line[a:b], seed) for a, b in zip(starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True)]
-    bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    ones = bits.sum(axis=0, dtype=np.int64) * 2 > len(hashes)
-    return int(np.packbits(ones, bitorder="little").view("<u8")[0])
+    found, ones = np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), np.zeros(64, np.int64)
+    for i in range(0, len(found), 1 << 16):
+        ones += np.unpackbits(found[i : i + (1 << 16)], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
-    """(doc_id, fp): the fingerprint of each row as a signed long."""
+    """(doc_id, hash, fp): the text's hash and the fingerprint of each row, as signed longs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([simhash(t, width) if t else 0 for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            fps = np.array([simhash(t, width) if t else 0 for t in b.column(2).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps, pa.int64())], ["doc_id", "hash", "fp"])
 
-    rows = docs.select("doc_id", F.col("text").cast("binary").alias("t"))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("hash"), F.col("text").cast("binary").alias("t"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return whole_texts(rows).mapInArrow(run, f"doc_id {kind}, fp long")
+    return whole_texts(rows).mapInArrow(tidy(run), f"doc_id {kind}, hash long, fp long")
 
 
 def masks(radius: int, bits: int = 64) -> np.ndarray:
@@ -89,26 +94,31 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def pack(codes: np.ndarray) -> bytes:
-    """Sorted unsigned codes, delta-coded in as few bytes each as most deltas need; larger ones follow whole."""
+    """Sorted unsigned codes as Rice-coded differences: k low bits each (whole bytes, then the odd bits), the rest in unary."""
     deltas = np.diff(codes, prepend=np.uint64(0))
-    width = next(w for w in range(1, 9) if w == 8 or 8 * float(codes[-1]) / len(codes) < 256.0**w)
-    if width == 8:
-        return bytes([8]) + len(codes).to_bytes(8, "little") + deltas.astype("<u8").tobytes()
-    most = np.uint64(256**width - 1)
-    large = deltas[deltas >= most]
-    short = np.minimum(deltas, most).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
-    return bytes([width]) + len(codes).to_bytes(8, "little") + short.tobytes() + large.astype("<u8").tobytes()
+    k = max(0, int(float(codes[-1]) * 0.69 / len(codes)).bit_length() - 1)
+    head = bytes([k]) + len(codes).to_bytes(8, "little")
+    low = deltas & np.uint64((1 << k) - 1)
+    whole = np.ascontiguousarray(low.astype("<u8", copy=False)).view(np.uint8).reshape(-1, 8)[:, : k // 8].tobytes()
+    odd = np.packbits(((low >> np.uint64(k // 8 * 8)).astype(np.uint8)[:, None] >> np.arange(k % 8, dtype=np.uint8)) & 1).tobytes()
+    marks = np.cumsum((deltas >> np.uint64(k)).astype(np.int64) + 1) - 1
+    unary = np.zeros(int(marks[-1]) + 1, bool)
+    unary[marks] = True
+    return head + whole + odd + np.packbits(unary).tobytes()
 
 
 def unpack(data: bytes) -> np.ndarray:
-    width, n = data[0], int.from_bytes(data[1:9], "little")
-    if width == 8:
-        return np.cumsum(np.frombuffer(data, "<u8", n, 9), dtype=np.uint64)
+    k, n = data[0], int.from_bytes(data[1:9], "little")
+    at, odd = 9 + n * (k // 8), k % 8
     wide = np.zeros((n, 8), np.uint8)
-    wide[:, :width] = np.frombuffer(data, np.uint8, n * width, 9).reshape(n, width)
-    deltas = wide.view("<u8").ravel()
-    deltas[deltas == 256**width - 1] = np.frombuffer(data, "<u8", -1, 9 + n * width)
-    return np.cumsum(deltas, dtype=np.uint64)
+    wide[:, : k // 8] = np.frombuffer(data, np.uint8, n * (k // 8), 9).reshape(n, k // 8)
+    to = at + -(-n * odd // 8)
+    if odd:
+        bits = np.unpackbits(np.frombuffer(data, np.uint8, to - at, at), count=n * odd).reshape(n, odd)
+        wide[:, k // 8] = (bits << np.arange(odd, dtype=np.uint8)).sum(axis=1, dtype=np.uint8)
+    marks = np.flatnonzero(np.unpackbits(np.frombuffer(data, np.uint8, -1, to)))[:n]
+    high = np.diff(marks, prepend=-1).astype(np.uint64) - np.uint64(1)
+    return np.cumsum(wide.view("<u8").ravel() + (high << np.uint64(k)), dtype=np.uint64)
 
 
 def ball_links(fps: DataFrame, radius: int = 4) -> DataFrame:
@@ -136,60 +146,71 @@ def ball_links(fps: DataFrame, radius: int = 4) -> DataFrame:
 
     made = checkpointed(fps.select("fp").mapInArrow(chunks, "chunk long, n long, fps binary"))
     n, number = made.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    tasks = max(1, min(number, 10_000))  # a chunk of 16 KB makes 34 MB of variants, so its bytes say little of its work
+    tasks = max(1, min(number, 10_000))  # a chunk of 64 KB makes 136 MB of variants, so its bytes say little of its work
     parts = max(1, -(-n * per // CODES))
-    width = min(64, max(1, n * per * 128).bit_length())  # bits of a code: 1 in 128 meets another by chance at most
+    width = min(64, max(1, n * per * 64).bit_length())  # bits of a code: 1 in 64 meets another by chance at most
     cut = np.uint64(64 - width)
 
-    def variants(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-        own = np.frombuffer(data, "<u8")
-        return own, mix((own[:, None] ^ flips[None, :]).ravel())
+    def variants(own: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """The mixed variants of some fingerprints at a time, after the place of the first of these."""
+        for i in range(0, len(own), BLOCK):
+            yield i, mix((own[i : i + BLOCK, None] ^ flips[None, :]).ravel())
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = [(p << width) // parts for p in range(parts + 1)]
         for b in batches:
             for chunk, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                _, codes = variants(data)
-                codes >>= cut
+                own = np.frombuffer(data, "<u8")
+                codes = np.empty(len(own) * per, np.uint64)
+                for i, found in variants(own):
+                    np.right_shift(found, cut, out=codes[i * per : i * per + len(found)])
                 codes.sort()
-                first = [(p << width) // parts for p in range(parts + 1)]
                 at = np.searchsorted(codes, np.array(first[1:-1], np.uint64)).tolist()
                 for p, (i, j) in enumerate(zip([0, *at], [*at, len(codes)], strict=True)):
                     if j > i:
                         yield pa.RecordBatch.from_arrays([pa.array([p], pa.int64()), pa.array([chunk], pa.int64()), pa.array([pack(codes[i:j] - np.uint64(first[p]))], pa.binary())], ["part", "chunk", "codes"])
 
     def twice(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        base = np.uint64((int(key[0]) << width) // parts)
-        sent = [unpack(x) for x in rows["codes"]]
-        all_codes = np.concatenate(sent)
+        base = (int(key[0]) << width) // parts
+        all_codes = np.concatenate([unpack(x) for x in rows["codes"]])
         all_codes.sort()
         met = np.unique(all_codes[1:][all_codes[1:] == all_codes[:-1]])
+        del all_codes
         out = []
-        for chunk, codes in zip(rows["chunk"], sent, strict=True):
-            if len(met):
-                at = np.minimum(np.searchsorted(codes, met), len(codes) - 1)
-                own = met[codes[at] == met]
-                if len(own):
-                    out.append((chunk, len(own), pack(own), int(base)))
+        for chunk, sent in zip(rows["chunk"], rows["codes"] if len(met) else [], strict=bool(len(met))):
+            codes = unpack(sent)
+            at = np.minimum(np.searchsorted(codes, met), len(codes) - 1)
+            own = met[codes[at] == met]
+            if len(own):
+                out.append((chunk, len(own), pack(own), base))
         return pd.DataFrame(out, columns=["chunk", "n", "met", "base"])
 
-    met = checkpointed(made.select("chunk", "fps").repartition(tasks).mapInArrow(send, "part long, chunk long, codes binary").groupBy("part").applyInPandas(twice, "chunk long, n long, met binary, base decimal(20,0)"))
+    # explicit numbers of partitions: rows are few and heavy, so neither the session's number nor their bytes say how many tasks they need
+    coded = made.select("chunk", "fps").repartition(tasks).mapInArrow(tidy(send), "part long, chunk long, codes binary").repartition(min(parts, 100_000), "part")
+    met = checkpointed(coded.groupBy("part").applyInPandas(twice, "chunk long, n long, met binary, base decimal(20,0)"))
     pairs = met.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     spread = max(1, -(-int(pairs) // PAIRS))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = np.array([(p << 64) // spread for p in range(1, spread)], np.uint64)
         for b in batches:
             for data, sent in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 wanted = np.concatenate([unpack(x["met"]) + np.uint64(int(x["base"])) for x in sent])
                 wanted.sort()
-                own, codes = variants(data)
-                short = codes >> cut
-                at = np.minimum(np.searchsorted(wanted, short), len(wanted) - 1)
-                hit = np.flatnonzero(wanted[at] == short)
-                keys, owners = codes[hit], own[hit // per]
+                seen = np.zeros(1 << 22, bool)  # by the codes' last bits: most variants need no search
+                seen[wanted & np.uint64(len(seen) - 1)] = True
+                own, keys, owners = np.frombuffer(data, "<u8"), [], []
+                for i, codes in variants(own):
+                    short = codes >> cut
+                    hit = np.flatnonzero(seen[short & np.uint64(len(seen) - 1)])
+                    short = short[hit]
+                    hit = hit[wanted[np.minimum(np.searchsorted(wanted, short), len(wanted) - 1)] == short]
+                    keys.append(codes[hit])
+                    owners.append(own[i + hit // per])
+                keys, owners = np.concatenate(keys), np.concatenate(owners)
                 order = np.argsort(keys)
                 keys, owners = keys[order], owners[order]
-                first = [(p << 64) // spread for p in range(1, spread)]
-                at = np.searchsorted(keys, np.array(first, np.uint64)).tolist()
+                at = np.searchsorted(keys, first).tolist()
                 for p, (i, j) in enumerate(zip([0, *at], [*at, len(keys)], strict=True)):
                     if j > i:
                         yield pa.RecordBatch.from_arrays([pa.array([p], pa.int64()), pa.array([keys[i:j].tobytes()], pa.binary()), pa.array([owners[i:j].tobytes()], pa.binary())], ["part", "variants", "owners"])
@@ -205,25 +226,31 @@ def ball_links(fps: DataFrame, radius: int = 4) -> DataFrame:
         found = np.unique(np.stack([least[near], owners[near]], axis=1), axis=0)
         return pd.DataFrame({"a": found[:, 0].view(np.int64), "b": found[:, 1].view(np.int64)})
 
-    sent = met.repartition(tasks, "chunk").groupBy("chunk").agg(F.collect_list(F.struct("met", "base")).alias("sent"))
-    hits = made.repartition(tasks, "chunk").join(sent, "chunk").select("fps", "sent").mapInArrow(whole, "part long, variants binary, owners binary")
-    return hits.groupBy("part").applyInPandas(links, "a long, b long").distinct()
+    spread_tasks = 4 * tasks  # dealt by hash, several of as many chunks as tasks would meet in one
+    sent = met.repartition(spread_tasks, "chunk").groupBy("chunk").agg(F.collect_list(F.struct("met", "base")).alias("sent"))
+    hits = made.repartition(spread_tasks, "chunk").join(sent, "chunk").select("fps", "sent").mapInArrow(tidy(whole), "part long, variants binary, owners binary")
+    return hits.repartition(min(spread, 100_000), "part").groupBy("part").applyInPandas(links, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4) -> DataFrame:
-    """(doc_id, fp, fingerprint, component_id) for every row of docs."""
+    """(doc_id, hash, fp, fingerprint, component_id) for every row of docs; hash: of its text."""
     own = checkpointed(fingerprints(docs, width))
     nodes = checkpointed(own.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(ball_links(nodes, radius)).select(F.col("node").alias("fp"), "root")
     linked = nodes.join(roots, "fp")
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    known = linked.join(least, "root").select("fp", "component_id")
+    known = linked.join(checkpointed(least), "root").select("fp", "component_id")
     of = nodes.join(known, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
     # read from a table, both sides of the join are shuffled for it alone, so that Spark can split a fingerprint that many documents share
-    return own.join(checkpointed(of), "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return own.join(checkpointed(of), "fp").select("doc_id", "hash", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame, radius: int = 4, width: int = 4) -> DataFrame:
-    """docs without the documents of a group that aren't its smallest doc_id; a group of null ids only stays whole."""
-    drop = near_duplicates(docs, radius, width).where("doc_id is not null and doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(drop, "doc_id", "left_anti").select(docs.columns)
+    """docs without the rows of a group that don't have its smallest doc_id; a group of null ids only stays whole."""
+    return without(docs, near_duplicates(docs, radius, width).where("doc_id is not null and doc_id <> component_id"))
+
+
+def without(docs: DataFrame, drop: DataFrame) -> DataFrame:
+    """docs without the rows whose doc_id and text's hash are in drop: of several texts of one doc_id, those not meant stay."""
+    gone = drop.select(F.col("doc_id").alias("_gone"), F.col("hash").alias("_hash")).distinct()
+    return docs.join(gone, F.xxhash64(docs["text"]).eqNullSafe(F.col("_hash")) & docs["doc_id"].eqNullSafe(F.col("_gone")), "left_anti")

@@ -9,7 +9,12 @@ label isn't among them, as with urls without a label; those that are judged have
 
 Defined cases: a null url or one without `://` has an empty host and path, fits no rule and is judged by the trees;
 with labels of one verdict only, that is the verdict of the rest, and without any labels it is allow; equal rows and null
-page_ids each give a row; an empty table gives an empty result; other columns are ignored.
+page_ids each give a row; an empty table gives an empty result; other columns are ignored; very long urls are read in
+time in proportion to their length.
+
+The table is read once: hosts, paths and features are written to the shared folder, and counts, the sample and the
+verdicts are made from there. The rules are the only labels, so the trees carry the rules' verdicts over to urls that look alike
+(their domain or first path segment, or their lexical shape); what no rule speaks of they can't know.
 """
 
 from __future__ import annotations
@@ -17,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import checkpointed
+from tracewright.llm.common import checkpointed, stored
 
 #: Host, path, verdict.
 RULES = (
@@ -98,7 +103,7 @@ def with_counts(own: DataFrame, counts: list[DataFrame]) -> DataFrame:
         if c.count() <= MOST_BROADCAST:
             own = own.join(F.broadcast(c), f"s{i}", "left")
         else:  # read from tables, both sides are shuffled for this join alone, so that Spark can split a frequent suffix
-            own = checkpointed(own).join(c, f"s{i}", "left")
+            own = (stored(own, "counted") if i else own).join(c, f"s{i}", "left")
     return own
 
 
@@ -107,7 +112,7 @@ def judge(pages: DataFrame, rules=RULES, max_rows: int = 50_000, trees: int = 10
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import array_to_vector
 
-    own = with_features(pages, rules)
+    own = stored(with_features(pages, rules), "urls")
     counts = {r["known"]: r["n"] for r in own.where("known is not null").groupBy("known").agg(F.count("*").alias("n")).collect()}  # two rows at most
     n = sum(counts.values())
     if len(counts) < 2:
@@ -128,7 +133,7 @@ def judge(pages: DataFrame, rules=RULES, max_rows: int = 50_000, trees: int = 10
         return array_to_vector(F.concat("x", F.array(*[(total(f"blocked{i}") + share) / (total(f"n{i}") + 1) for i in range(3)])))
 
     label = (F.col("known") == "block").cast("double")
-    chosen = checkpointed(with_counts(chosen, suffixes).select(label.alias("label"), vector(fold()).alias("features")).coalesce(4))  # bounded by max_rows
+    chosen = checkpointed(with_counts(chosen, suffixes).select(label.alias("label"), vector(fold()).alias("features")).repartition(8))  # bounded by max_rows
     model = GBTClassifier(featuresCol="features", labelCol="label", maxIter=trees, maxDepth=depth, maxBins=32, seed=7).fit(chosen)
     told = model.transform(with_counts(own, suffixes).withColumn("features", vector()))
     return told.select("page_id", "host", "path", "rule", F.coalesce("known", F.when(F.col("prediction") > 0.5, "block").otherwise("allow")).alias("verdict"))
