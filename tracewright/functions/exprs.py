@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Sequence
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -154,72 +157,119 @@ def scope_code(name: Column) -> Column:
     return F.when(at > 0, at - 1).cast("int")
 
 
-def _numbers(kind: str):
-    def egcd(a: int, b: int) -> tuple[int, int, int]:
-        x, y, u, v = 1, 0, 0, 1
-        while b:
-            q, (a, b) = a // b, (b, a % b)
-            x, u, y, v = u, x - q * u, v, y - q * v
-        return a, x, y
+def xgcd(a: Column, b: Column) -> Column:
+    """[g, x, y] with a x + b y = g >= 0, for longs, over at most 92 steps of Euclid's."""
+    names = ("a", "b", "x", "u", "y", "v")
+    one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
+    first = F.struct(*[x.alias(n) for n, x in zip(names, (a.cast("long"), b.cast("long"), one, zero, zero, one), strict=True)])
 
-    def factors(n: int) -> list[int]:
-        out, p = [], 2
-        while p * p <= n:
-            while n % p == 0:
-                out.append(p)
-                n //= p
-            p += 1 + (p > 2)
-        return out + [n] * (n > 1)
+    def step(s: Column, _: Column) -> Column:
+        q = F.call_function("div", s["a"], F.when(s["b"] == 0, one).otherwise(s["b"]))
+        moved = (s["b"], s["a"] - q * s["b"], s["u"], s["x"] - q * s["u"], s["v"], s["y"] - q * s["v"])
+        return F.when(s["b"] == 0, s).otherwise(F.struct(*[x.alias(n) for n, x in zip(names, moved, strict=True)]))
 
-    if kind == "xgcd":
+    def done(s: Column) -> Column:
+        sign = F.when(s["a"] < 0, F.lit(-1).cast("long")).otherwise(one)
+        return F.array(sign * s["a"], sign * s["x"], sign * s["y"])
 
-        @pandas_udf("array<long>")
-        def f(a: pd.Series, b: pd.Series) -> pd.Series:
-            return pd.Series([list(egcd(int(x), int(y))) for x, y in zip(a, b, strict=True)])
-    elif kind == "modinv":
+    return F.aggregate(F.sequence(F.lit(1), F.lit(92)), first, step, done)
 
-        @pandas_udf("long")
-        def f(a: pd.Series, m: pd.Series) -> pd.Series:
-            out = []
-            for x, n in zip(a, m, strict=True):
-                g, u, _ = egcd(int(x) % int(n), int(n))
-                out.append(u % int(n) if g == 1 else None)
-            return pd.Series(out, dtype="Int64")
-    elif kind == "factors":
 
-        @pandas_udf("array<long>")
-        def f(n: pd.Series) -> pd.Series:
-            return pd.Series([factors(int(x)) if x > 0 else [] for x in n])
-    else:
+def modinv(a: Column, m: Column) -> Column:
+    """The inverse of a modulo m, null if they share a factor."""
+    found = xgcd(F.pmod(a.cast("long"), m.cast("long")), m)
+    return F.when(F.get(found, F.lit(0)) == 1, F.pmod(F.get(found, F.lit(1)), m.cast("long")))
+
+
+#: Enough witnesses for every number below 2^64.
+WITNESSES = (2, 3, 5, 7, 11, 13, 17, 19, 23, 29, 31, 37)
+
+
+def _is_prime(n: int) -> bool:
+    """Miller and Rabin's test, exact for 64 bits."""
+    if n < 2:
+        return False
+    for p in WITNESSES:
+        if n % p == 0:
+            return n == p
+    d, s = n - 1, 0
+    while d % 2 == 0:
+        d, s = d // 2, s + 1
+    for a in WITNESSES:
+        x = pow(a, d, n)
+        if x in (1, n - 1):
+            continue
+        for _ in range(s - 1):
+            x = x * x % n
+            if x == n - 1:
+                break
+        else:
+            return False
+    return True
+
+
+def _factors(n: int) -> list[int]:
+    """Prime factors, in order: small ones by division, large ones by Pollard's rho."""
+    out, todo = [], []
+    for p in range(2, 1000):
+        while n % p == 0:
+            out.append(p)
+            n //= p
+    if n > 1:
+        todo.append(n)
+    while todo:
+        n = todo.pop()
+        if _is_prime(n):
+            out.append(n)
+            continue
+        shift = 1
+        while True:
+            x = y = 2
+            g = 1
+            while g == 1:
+                x = (x * x + shift) % n
+                y = (y * y + shift) % n
+                y = (y * y + shift) % n
+                g = math.gcd(abs(x - y), n)
+            if g < n:
+                break
+            shift += 1
+        todo += [g, n // g]
+    return sorted(out)
 
-        @pandas_udf("boolean")
-        def f(n: pd.Series) -> pd.Series:
-            return pd.Series([x > 1 and len(factors(int(x))) == 1 for x in n])
 
-    return f
+def prime_factors(n: Column) -> Column:
+    """The prime factors of a positive long, in order; none for others."""
 
+    @pandas_udf("array<long>")
+    def f(n: pd.Series) -> pd.Series:
+        return pd.Series([None if pd.isna(x) else _factors(int(x)) if x > 0 else [] for x in n])
 
-def xgcd(a: Column, b: Column) -> Column:
-    """[g, x, y] with a x + b y = g."""
-    return _numbers("xgcd")(a, b)
+    return f(n)
 
 
-def modinv(a: Column, m: Column) -> Column:
-    """The inverse of a modulo m, null if they share a factor."""
-    return _numbers("modinv")(a, m)
-
+def is_prime(n: Column) -> Column:
+    @pandas_udf("boolean")
+    def f(n: pd.Series) -> pd.Series:
+        return pd.Series([None if pd.isna(x) else _is_prime(int(x)) for x in n], dtype="boolean")
 
-def prime_factors(n: Column) -> Column:
-    return _numbers("factors")(n)
+    return f(n)
 
 
-def is_prime(n: Column) -> Column:
-    return _numbers("prime")(n)
+def chain(predecessors: Sequence[Callable[[Column], Column]], k: Column) -> Column:
+    """Predecessor functions one after the other, the last one first: the firing of the first channel's producer that the last
+    channel's consumer's k-th firing waits for."""
+    for f in reversed(list(predecessors)):
+        k = f(k)
+    return k
 
 
-def prime_code(digits: Column, radix: int = 10) -> Column:
-    """The product of the i-th prime to the power of the i-th digit of a vector, as a decimal."""
+def prime_code(digits: Column, radix: int = 10, digits_type: str = "array<long>") -> Column:
+    """The product of the i-th prime to the power of the i-th digit of a vector, as a decimal. More than 46 digits are an error, as is a
+    product of more than 38 decimal digits."""
     primes = [p for p in range(2, 200) if all(p % q for q in range(2, p))]
+    many = F.raise_error(F.lit(f"a vector of more than {len(primes)} digits"))
+    digits = F.when(F.size(digits) > len(primes), many.cast(digits_type)).otherwise(digits)
     pairs = F.arrays_zip(digits.alias("d"), F.slice(F.lit(primes), F.lit(1), F.size(digits)).alias("p"))
     powers = F.transform(pairs, lambda x: F.aggregate(F.array_repeat(x["p"].cast("decimal(38,0)"), (x["d"] % radix).cast("int")), F.lit(1).cast("decimal(38,0)"), lambda a, b: (a * b).cast("decimal(38,0)")))
     return F.aggregate(powers, F.lit(1).cast("decimal(38,0)"), lambda a, b: (a * b).cast("decimal(38,0)"))

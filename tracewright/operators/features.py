@@ -13,6 +13,9 @@ from tracewright.session import checkpointed
 FEATURES = ("max_loop_depth", "calls", "shifted_writes", "irregular_loops", "globals", "ifs", "static_limits", "simd_loops", "schedules", "invariants", "hoisted", "non_1d_arrays", "aux_index_vars", "for_loops", "non_unit_steps", "roll_ups", "compounds", "ternaries", "useless_statements", "postambles", "preambles", "struct_vars", "empty_ifs")
 
 
+MOST_RULES = 10_000
+
+
 def named(vectors: DataFrame, column: str = "feat") -> DataFrame:
     """Vectors with a column for each feature."""
     return vectors.select("*", *[F.get(column, F.lit(i)).alias(n) for i, n in enumerate(FEATURES)])
@@ -32,7 +35,9 @@ def transitions(steps: DataFrame, sequence: str, step: str, state: str, rule: st
 
 def transition_table(moves: DataFrame, states: DataFrame, rules: DataFrame) -> DataFrame:
     """M5: (state, action, next_state) for every state and rule, the state itself where no move is known. states x rules is the
-    table's own size; the rules are a fixed catalogue."""
+    table's own size; the rules are a fixed catalogue of MOST_RULES at most."""
+    if rules.limit(MOST_RULES + 1).count() > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules")
     known = moves.groupBy(F.col("prev_state").alias("state"), F.col("rule").alias("action")).agg(F.max("state").alias("next_state"))
     return states.select("state").crossJoin(F.broadcast(rules.select("action"))).join(known, ["state", "action"], "left").withColumn("next_state", F.coalesce("next_state", "state"))
 

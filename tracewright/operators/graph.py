@@ -24,13 +24,16 @@ def per_graph(actors: DataFrame, channels: DataFrame, schema: str, run: Callable
     names = [x.strip().split()[0] for x in schema.split(",")]
 
     def group(key: tuple, a: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        own = {r.actor: tuple(map(int, r.wcet)) for r in a.sort_values("actor").itertuples()}
-        ways = [(r.src, r.dst, tuple(map(int, r.production)), tuple(map(int, r.consumption)), int(r.tokens)) for r in c.sort_values(["src", "dst"]).itertuples()]
-        return pd.DataFrame(list(run(key[0], own, ways)), columns=names)
+        return pd.DataFrame(list(run(key[0], *_graph(a, c))), columns=names)
 
     return actors.groupBy("graph_id").cogroup(channels.groupBy("graph_id")).applyInPandas(group, schema)
 
 
+def _graph(a: pd.DataFrame, c: pd.DataFrame) -> tuple[sdf.Actors, list[sdf.Channel]]:
+    own = {r.actor: tuple(map(int, r.wcet)) for r in a.sort_values("actor").itertuples()}
+    return own, [(r.src, r.dst, tuple(map(int, r.production)), tuple(map(int, r.consumption)), int(r.tokens)) for r in c.sort_values(["src", "dst"]).itertuples()]
+
+
 def repetition(actors: DataFrame, channels: DataFrame) -> DataFrame:
     """(graph_id, actor, consistent, q, tpi); q and tpi are null for inconsistent graphs. Numbers too large for a decimal fail loudly."""
 
@@ -95,7 +98,7 @@ def liveness(actors: DataFrame, channels: DataFrame) -> DataFrame:
 
 
 def single_rate_bounds(actors: DataFrame, channels: DataFrame) -> DataFrame:
-    """(graph_id, lower, upper) bounds of the period from graphs of one node for each actor; no firings are expanded."""
+    """(graph_id, lower, upper) bounds of the period from graphs of one node for each actor; no firings are expanded."""
 
     def run(g, a, c):
         _, _, tpi = sdf.repetition(a, c)
@@ -120,22 +123,102 @@ def multi_rate(actors: DataFrame, channels: DataFrame) -> DataFrame:
 
 
 def buffer_sizes(actors: DataFrame, channels: DataFrame, free: Column, num: int, den: int = 1) -> DataFrame:
-    """(graph_id, src, dst, tokens): least tokens of the free channels for a period of num / den at most."""
-    marked = channels.withColumn("tokens", F.when(free, F.col("tokens")).otherwise(F.col("tokens"))).withColumn("free", free)
-    flags = marked.where("free").select("graph_id", "src", "dst")
+    """(graph_id, src, dst, tokens): least tokens of the free channels for a period of num / den at most; null tokens where none reach it."""
+
+    def run(g, a, c, marks):
+        places = [i for i, m in enumerate(marks) if m]
+        found = sdf.size_buffers(a, c, places, Fraction(num, den)) if places else {}
+        for i in places:
+            yield (g, c[i][0], c[i][1], None if found is None else found[i])
+
+    def group(key: tuple, a: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        own, ways = _graph(a, c)
+        rows = list(run(key[0], own, ways, c.sort_values(["src", "dst"])["free"].tolist()))
+        return pd.DataFrame(rows, columns=["graph_id", "src", "dst", "tokens"]).astype({"tokens": "Int64"})
+
+    marked = channels.withColumn("free", F.coalesce(free, F.lit(False)))
+    return actors.groupBy("graph_id").cogroup(marked.groupBy("graph_id")).applyInPandas(group, "graph_id string, src string, dst string, tokens long")
+
+
+def incremental_bounds(actors: DataFrame, channels: DataFrame, quality: float = 1.01) -> DataFrame:
+    """(graph_id, lower, upper, rounds): bounds of the period whose quotient is under quality, or that are equal."""
+
+    def run(g, a, c):
+        low, high, rounds = sdf.incremental_bounds(a, c, Fraction(quality).limit_denominator(10**6))
+        yield (g, None if low is None else float(low), None if high is None else float(high), rounds)
+
+    return per_graph(actors, channels, "graph_id string, lower double, upper double, rounds long", run)
+
+
+def parallelism(actors: DataFrame, channels: DataFrame) -> DataFrame:
+    """(graph_id, actor, at_once, firings) of actors on cycles that allow several firings at once."""
+
+    def run(g, a, c):
+        yield from ((g, x, n, left) for x, (n, left) in sdf.cycle_parallelism(a, c).items())
+
+    return per_graph(actors, channels, "graph_id string, actor string, at_once long, firings long", run)
+
+
+def changed(actors: DataFrame, channels: DataFrame, change: Callable[[sdf.Actors, list[sdf.Channel]], list[sdf.Channel]]) -> DataFrame:
+    """Channels of each graph after a change such as sdf.fire, vectorise, unfold or distort."""
 
     def run(g, a, c):
-        wanted = set(given.value.get(g, ()))
-        places = [i for i, x in enumerate(c) if (x[0], x[1]) in wanted]
-        found = sdf.size_buffers(a, c, places, Fraction(num, den))
-        for i, t in (found or {}).items():
-            yield (g, c[i][0], c[i][1], t)
+        yield from ((g, u, v, list(p), list(q), t) for u, v, p, q, t in change(a, c))
 
-    ways: dict[str, list] = {}
-    for r in flags.toLocalIterator():  # names of the channels to be sized
-        ways.setdefault(r["graph_id"], []).append((r["src"], r["dst"]))
-    given = channels.sparkSession.sparkContext.broadcast(ways)
-    return per_graph(actors, channels, "graph_id string, src string, dst string, tokens long", run)
+    return per_graph(actors, channels, "graph_id string, src string, dst string, production array<bigint>, consumption array<bigint>, tokens long".replace(", production", ",production"), run)
+
+
+def scans(edges: DataFrame, root, method: str) -> DataFrame:
+    """(graph_id, node, dist, scans, negative_cycle) of small graphs (graph_id, src, dst, weight) by one of sdf.scanned_paths' methods; a
+    graph with a reachable negative cycle has one row without node."""
+
+    def group(key: tuple, e: pd.DataFrame) -> pd.DataFrame:
+        own = [(r.src, r.dst, int(r.weight)) for r in e.sort_values(["src", "dst", "weight"]).itertuples()]
+        dist, n, bad = sdf.scanned_paths(own, root, method)
+        rows = [(key[0], x, d, n, False) for x, d in dist.items()] if not bad else [(key[0], None, None, n, True)]
+        return pd.DataFrame(rows, columns=["graph_id", "node", "dist", "scans", "negative_cycle"]).astype({"dist": "Int64"})
+
+    node = edges.schema["src"].dataType.simpleString()
+    graph = edges.schema["graph_id"].dataType.simpleString()
+    return edges.groupBy("graph_id").applyInPandas(group, f"graph_id {graph}, node {node}, dist long, scans long, negative_cycle boolean")
+
+
+def minimum_parameters(edges: DataFrame) -> DataFrame:
+    """(graph_id, var, value) of edges (graph_id, src, dst, weight, coef, var): values of least sum without a positive cycle; null values
+    where there are none."""
+
+    def group(key: tuple, e: pd.DataFrame) -> pd.DataFrame:
+        own = [(r.src, r.dst, int(r.weight), int(r.coef), r.var if isinstance(r.var, str) else None) for r in e.sort_values(["src", "dst"]).itertuples()]
+        names = sorted({x[4] for x in own if x[4]})
+        found = sdf.minimum_parameters(own, names)
+        return pd.DataFrame([(key[0], n, None if found is None else float(found[n])) for n in names], columns=["graph_id", "var", "value"])
+
+    graph = edges.schema["graph_id"].dataType.simpleString()
+    return edges.groupBy("graph_id").applyInPandas(group, f"graph_id {graph}, var string, value double")
+
+
+def cancel_opposite(flows: DataFrame) -> DataFrame:
+    """Flows (graph_id, src, dst, flow) without two-cycles: of opposite flows the difference stays."""
+    low, high = F.least("src", "dst"), F.greatest("src", "dst")
+    signed = F.when(F.col("src") == low, F.col("flow")).otherwise(-F.col("flow"))
+    net = flows.where("src <> dst").groupBy("graph_id", low.alias("a"), high.alias("b")).agg(F.sum(signed).alias("n")).where("n <> 0")
+    return net.select("graph_id", F.when(F.col("n") > 0, F.col("a")).otherwise(F.col("b")).alias("src"), F.when(F.col("n") > 0, F.col("b")).otherwise(F.col("a")).alias("dst"), F.abs("n").alias("flow"))
+
+
+def residual(edges: DataFrame) -> DataFrame:
+    """(graph_id, src, dst, capacity, cost) left by flows on edges (graph_id, src, dst, capacity, cost, flow): what still fits, and
+    the flow's way back at negative cost."""
+    on = edges.where("capacity > flow").select("graph_id", "src", "dst", (F.col("capacity") - F.col("flow")).alias("capacity"), "cost")
+    return on.unionByName(edges.where("flow > 0").select("graph_id", F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("flow").alias("capacity"), (-F.col("cost")).alias("cost")))
+
+
+def flow_graph(edges: DataFrame, demands: DataFrame) -> DataFrame:
+    """(graph_id, src, dst, capacity, cost): edges with a source (null src) to nodes that have something and a sink (null dst) from nodes
+    that want something; demands (graph_id, node, amount), negative for wants."""
+    own = edges.select("graph_id", "src", "dst", "capacity", "cost")
+    none, zero = F.lit(None).cast(edges.schema["src"].dataType), F.lit(0).cast("long")
+    ends = demands.where("amount <> 0").select("graph_id", F.when(F.col("amount") > 0, none).otherwise(F.col("node")).alias("src"), F.when(F.col("amount") > 0, F.col("node")).otherwise(none).alias("dst"), F.abs("amount").alias("capacity"), zero.alias("cost"))
+    return own.unionByName(ends)
 
 
 def max_cycle_ratios(edges: DataFrame, mean: bool = False) -> DataFrame:
@@ -180,6 +263,22 @@ def remove_sinks(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFra
     return kept, edges.join(kept.select("graph_id", F.col("node").alias("dst")), ["graph_id", "dst"], "left_semi")
 
 
+def components(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
+    """(node, root): for each node of undirected edges (a, b) the smallest node that it is connected with, by spreading the smallest label and
+    jumping along labels, in rounds of joins and aggregates that are checkpointed; labels are read from tables, so that a hub's edges can be split."""
+    both = checkpointed(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    label = checkpointed(both.select(F.col("a").alias("node")).distinct().withColumn("root", F.col("node")))
+    for _ in range(most_rounds):
+        seen = both.join(label.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("low"))
+        low = checkpointed(label.join(seen, "node", "left").select("node", F.least("root", F.coalesce("low", "root")).alias("new"), "root"))
+        jumped = low.join(low.select(F.col("node").alias("new"), F.col("new").alias("far")), "new", "left").select("node", F.least("new", F.coalesce("far", "new")).alias("new"), "root")
+        now = checkpointed(jumped)
+        if now.where("new <> root").isEmpty():
+            return now.select("node", "root")
+        label = now.select("node", F.col("new").alias("root"))
+    raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+
+
 def strong_components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     """(node, component), the component's smallest node, of edges (src, dst), by forward-backward colouring in rounds.
 
@@ -220,25 +319,42 @@ def inside_components(edges: DataFrame) -> DataFrame:
 
 
 def distances(edges: DataFrame, root=None, longest: bool = False, every: int = 4) -> tuple[DataFrame, bool]:
-    """((node, dist), whether a negative (positive, if longest) cycle is reachable) of edges (src, dst, weight).
-
-    Label correction in rounds of a join and an aggregate, from root or from all nodes at 0; only labels that changed are relaxed. A round
-    count beyond the number of nodes means a cycle. Checkpointed every few rounds."""
-    pick, better = (F.max, ">") if longest else (F.min, "<")
-    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
-    n = nodes.count()
+    """((node, dist), whether a negative (positive, if longest) cycle is reachable) of edges (src, dst, weight).
+
+    Label correction in rounds: labels that changed are relaxed by one join, and merged with the others by one union and aggregate. Checkpointed
+    every few rounds. A node remembers where its label came from; a cycle among these links is a negative cycle, which is looked for after 8, 16,
+    32 ... rounds by pointer jumping, so it shows long before as many rounds as there are nodes."""
+    sign = -1 if longest else 1
+    own = checkpointed(edges.select("src", "dst", (F.col("weight") * sign).cast("long").alias("w")))
+    nodes = own.select(F.col("src").alias("node")).union(own.select("dst")).distinct()
     start = nodes.where(F.col("node") == F.lit(root)) if root is not None else nodes
-    dist = checkpointed(start.select("node", F.lit(0).cast("long").alias("dist"), F.lit(True).alias("fresh")))
-    for i in range(1, n + 2):
-        step = edges.join(dist.where("fresh").withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(pick(F.col("dist") + F.col("weight")).alias("new"))
-        both = dist.drop("fresh").join(step, "node", "full")
-        fresh = F.expr(f"new is not null and (dist is null or new {better} dist)")
-        dist = both.select("node", F.when(fresh, F.col("new")).otherwise(F.col("dist")).alias("dist"), fresh.alias("fresh"))
-        if i % every == 0 or i > n:
+    none = F.lit(None).cast(edges.schema["src"].dataType)
+    dist = checkpointed(start.select("node", F.struct(F.lit(0).cast("long").alias("d"), none.alias("up")).alias("best"), F.lit(True).alias("fresh")))
+    done, look = 0, 8
+    while True:
+        step = own.join(dist.where("fresh").select(F.col("node").alias("src"), F.col("best.d").alias("d")), "src").groupBy(F.col("dst").alias("node")).agg(F.min(F.struct((F.col("d") + F.col("w")).alias("d"), F.col("src").alias("up"))).alias("new"))
+        both = dist.select("node", "best", F.lit(None).cast(step.schema["new"].dataType).alias("new")).union(step.select("node", F.lit(None).cast(dist.schema["best"].dataType), "new"))
+        merged = both.groupBy("node").agg(F.max("best").alias("best"), F.max("new").alias("new"))  # one of each at most
+        fresh = F.expr("new is not null and (best is null or new.d < best.d)")
+        dist, done = merged.select("node", F.when(fresh, F.col("new")).otherwise(F.col("best")).alias("best"), fresh.alias("fresh")), done + 1
+        if done % every == 0:
             dist = checkpointed(dist)
-            if dist.where("fresh").isEmpty():
-                return dist.drop("fresh"), False
-    return dist.drop("fresh"), True
+            over = dist.where("fresh").isEmpty()
+            cycle = not over and done >= look and linked_in_a_cycle(dist.select("node", F.col("best.up").alias("up")).where("up is not null"))
+            if over or cycle:
+                return dist.select("node", (F.col("best.d") * sign).alias("dist")), cycle
+            if done >= look:
+                look *= 2
+
+
+def linked_in_a_cycle(links: DataFrame) -> bool:
+    """Whether links (node, up), one for each node at most, hold a cycle: jumping twice as far each round, other links come to an end."""
+    now = checkpointed(links)
+    for _ in range(max(1, now.count()).bit_length() + 1):
+        if now.isEmpty():
+            return False
+        now = checkpointed(now.join(now.select(F.col("node").alias("up"), F.col("up").alias("_far")), "up").select("node", F.col("_far").alias("up")))
+    return not now.isEmpty()
 
 
 def relaxable(edges: DataFrame, dist: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.operators.trace import asof, range_join
+from tracewright.session import checkpointed
 
 
 def innermost(lines: DataFrame, scopes: DataFrame, width: int = 64) -> DataFrame:
@@ -57,38 +58,45 @@ def name_weights(scopes: DataFrame, named: DataFrame) -> DataFrame:
     return scopes.join(named.where("name <> '*'").select("name", "weight"), "name", "left")
 
 
-def roll_up(scopes: DataFrame, most_depth: int = 64) -> DataFrame:
+def ancestors(scopes: DataFrame) -> DataFrame:
+    """(file, above, scope_id, term, c): every scope with itself and all scopes above it, and what the repeats on the way down multiply
+    to: a product of names (term, empty for none) and of numbers (c).
+
+    By doubling the length of the ways, so a tree of depth d takes log2(d) rounds of two joins; its rows are those of the closure, the sum
+    of all depths. A scope whose parent isn't listed is a top one; a cycle is an error."""
+    number = F.col("repeat").rlike("^[0-9]+$")
+    times = F.col("kind").isin("ITN", "MAP", "ZIPWITH", "FOLDL") & F.col("repeat").isNotNull()
+    by = scopes.select("file", F.col("scope_id").alias("above"), F.when(times & ~number, F.col("repeat")).otherwise("").alias("term"), F.when(times & number, F.col("repeat").try_cast("long")).otherwise(F.lit(1).cast("long")).alias("c"))
+    step = checkpointed(scopes.where("parent_id is not null").select("file", F.col("parent_id").alias("above"), "scope_id").join(by, ["file", "above"]).select("file", "above", "scope_id", "term", "c"))
+    found = scopes.select("file", F.col("scope_id").alias("above"), "scope_id", F.lit("").alias("term"), F.lit(1).cast("long").alias("c"))
+
+    def then(upper: DataFrame, lower: DataFrame) -> DataFrame:
+        low = lower.select("file", F.col("above").alias("_at"), F.col("scope_id").alias("_to"), F.col("term").alias("_term"), F.col("c").alias("_c"))
+        both = upper.withColumnRenamed("scope_id", "_at").join(low, ["file", "_at"])
+        return both.select("file", "above", F.col("_to").alias("scope_id"), F.concat_ws("*", F.nullif("term", F.lit("")), F.nullif("_term", F.lit(""))).alias("term"), (F.col("c") * F.col("_c")).alias("c"))
+
+    most, length = scopes.count(), 1
+    while not step.isEmpty():
+        if length > most:
+            raise ValueError("the scopes' parents form a cycle")
+        found = checkpointed(found.union(then(step, found)))
+        step, length = checkpointed(then(step, step)), 2 * length
+    return found
+
+
+def roll_up(scopes: DataFrame) -> DataFrame:
     """A3: scopes (file, scope_id, parent_id, kind, own, repeat) with total: a polynomial as MAP<monomial, coefficient>.
 
     own is the scope's weight; ITN, MAP, ZIPWITH and FOLDL repeat their children: own + repeat * sum, where repeat is a name such as
-    n (or a number); MEMALLOC and MEMFREE add the term os_call; other kinds add their children up. Level by level from the leaves."""
-    number = F.col("repeat").rlike("^[0-9]+$")
-    first = scopes.withColumn("level", F.lit(0))
-    level = scopes.where("parent_id is null").select("file", "scope_id", F.lit(0).alias("level"))
-    levels = level
-    for depth in range(1, most_depth):
-        level = scopes.select("file", "scope_id", F.col("parent_id")).join(level.select("file", F.col("scope_id").alias("parent_id")), ["file", "parent_id"]).select("file", "scope_id", F.lit(depth).alias("level"))
-        if level.isEmpty():
-            break
-        levels = levels.union(level)
-    deepest = levels.agg(F.max("level")).first()[0]
-    rows = first.drop("level").join(levels, ["file", "scope_id"])
-    done = None
-    for depth in range(deepest if deepest is not None else -1, -1, -1):
-        here = rows.where(F.col("level") == depth)
-        own = here.select("file", "scope_id", "parent_id", F.lit("1").alias("term"), F.col("own").cast("long").alias("c")).union(here.where("kind in ('MEMALLOC', 'MEMFREE')").select("file", "scope_id", "parent_id", F.lit("os_call"), F.lit(1).cast("long")))
-        if done is not None:
-            below = done.where(F.col("level") == depth + 1).select("file", F.col("parent_id").alias("scope_id"), "term", "c")
-            lifted = here.select("file", "scope_id", "parent_id", "kind", "repeat").join(below, ["file", "scope_id"])
-            times = F.col("kind").isin("ITN", "MAP", "ZIPWITH", "FOLDL") & F.col("repeat").isNotNull()
-            term = F.when(times & ~number, F.when(F.col("term") == "1", F.col("repeat")).otherwise(F.concat("repeat", F.lit("*"), "term"))).otherwise(F.col("term"))
-            c = F.when(times & number, F.col("c") * F.when(number, F.col("repeat")).otherwise("1").cast("long")).otherwise(F.col("c"))
-            own = own.union(lifted.select("file", "scope_id", "parent_id", term, c))
-        summed = own.groupBy("file", "scope_id", "parent_id", "term").agg(F.sum("c").alias("c")).where("c <> 0").withColumn("level", F.lit(depth))
-        done = summed if done is None else done.union(summed)
-    if done is None:
-        return scopes.select("file", "scope_id", F.create_map().cast("map<string,bigint>").alias("total"))
-    return done.groupBy("file", "scope_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("term", "c")))).alias("total"))
+    n (or a number); MEMALLOC and MEMFREE add the term os_call; other kinds add their children up. So a scope's total is the sum over
+    all scopes in it of their own terms times the repeats on the way, whatever the depth."""
+    memory = F.when(F.col("kind").isin("MEMALLOC", "MEMFREE"), F.array(F.struct(F.lit("os_call").alias("t"), F.lit(1).cast("long").alias("n")))).otherwise(F.array().cast("array<struct<t:string,n:bigint>>"))
+    own = scopes.select("file", "scope_id", F.explode(F.concat(F.array(F.struct(F.lit("").alias("t"), F.col("own").cast("long").alias("n"))), memory)).alias("x")).select("file", "scope_id", "x.*")
+    each = ancestors(scopes).join(own, ["file", "scope_id"])
+    term = F.concat_ws("*", F.nullif("term", F.lit("")), F.nullif("t", F.lit("")))
+    summed = each.groupBy("file", F.col("above").alias("scope_id"), F.when(term == "", "1").otherwise(term).alias("term")).agg(F.sum(F.col("c") * F.col("n")).alias("c")).where("c <> 0")
+    totals = summed.groupBy("file", "scope_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("term", "c")))).alias("total"))
+    return scopes.select("file", "scope_id").join(totals, ["file", "scope_id"], "left").withColumn("total", F.coalesce("total", F.create_map().cast("map<string,bigint>")))
 
 
 def sibling_edges(uses: DataFrame, keys: list[str]) -> DataFrame:
@@ -101,21 +109,25 @@ def sibling_edges(uses: DataFrame, keys: list[str]) -> DataFrame:
 
 def parameter_links(params: DataFrame, pragmas: DataFrame) -> DataFrame:
     """Positional parameters (fun, var_name, var_pos) and pragma names (fun, par_name, par_pos) of the same name."""
-    return params.join(pragmas, (params["fun"] == pragmas["fun"]) & (params["var_name"] == pragmas["par_name"])).select(params["fun"], "var_name", "var_pos", "par_pos")
-
-
-def propagate_memory(params: DataFrame, tree: DataFrame, most_depth: int = 64) -> DataFrame:
-    """Params (file, scope_id, var, elements) where a missing count comes from the parent's parameter of the same name, and so on up."""
-    rows = params
-    links = tree.select("file", F.col("parent").alias("p"), F.col("child").alias("scope_id"))
-    for _ in range(most_depth):
-        above = rows.select("file", F.col("scope_id").alias("p"), "var", F.col("elements").alias("e")).where("e is not null")
-        todo = rows.where("elements is null").join(links, ["file", "scope_id"]).join(above, ["file", "p", "var"])
-        if todo.isEmpty():
-            return rows
-        got = todo.select("file", "scope_id", "var", "e")
-        rows = rows.join(got, ["file", "scope_id", "var"], "left").withColumn("elements", F.coalesce("elements", "e")).drop("e")
-    return rows
+    named = pragmas.select("fun", F.col("par_name").alias("var_name"), "par_pos")
+    return params.join(named, ["fun", "var_name"]).select("fun", "var_name", "var_pos", "par_pos")
+
+
+def propagate_memory(params: DataFrame, tree: DataFrame) -> DataFrame:
+    """Params (file, scope_id, var, elements) where a missing count comes from the parent's parameter of the same name, and so on up.
+
+    By pointer jumping: each round doubles how far up a parameter looks, so a tree of depth d takes log2(d) rounds. A cycle is an error."""
+    links = tree.select("file", F.col("parent").alias("up"), F.col("child").alias("scope_id"))
+    here = params.select("file", F.col("scope_id").alias("up"), "var")
+    first = params.join(links.join(here, ["file", "up"]).select("file", "scope_id", "var", "up"), ["file", "scope_id", "var"], "left")
+    rows, length, most = checkpointed(first), 1, params.count()
+    while not rows.where("elements is null and up is not null").isEmpty():
+        if length > 2 * most:
+            raise ValueError("the scopes' parents form a cycle")
+        above = rows.select("file", F.col("scope_id").alias("up"), "var", F.col("elements").alias("_e"), F.col("up").alias("_up"))
+        now = rows.join(above, ["file", "up", "var"], "left").withColumn("up", F.when(F.col("elements").isNull() & F.col("_e").isNull(), F.col("_up")))
+        rows, length = checkpointed(now.withColumn("elements", F.coalesce("elements", "_e")).select("file", "scope_id", "var", "elements", "up")), 2 * length
+    return rows.join(params.drop("elements"), ["file", "scope_id", "var"]).select(params.columns) if len(params.columns) > 4 else rows.select(params.columns)
 
 
 def visible(scopes: DataFrame) -> DataFrame:

@@ -3,13 +3,15 @@ every operator takes column names, so any table with an order in each task can b
 
 from __future__ import annotations
 
+from collections import OrderedDict, deque
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewright.session import checkpointed
+from tracewright.functions.exprs import floor_div
+from tracewright.session import broadcast_within, checkpointed
 
 RUNNING = (Window.unboundedPreceding, Window.currentRow)
 
@@ -32,6 +34,19 @@ def global_rank(df: DataFrame, order: Sequence[str | Column], name: str = "rank"
     return ranked.join(F.broadcast(base), "_range").withColumn(name, (F.col("_base") + F.col("_own")).cast("long")).drop("_range", "_base", "_own")
 
 
+def running_total(df: DataFrame, order: Sequence[str], value: str, name: str, keys: Sequence[str] = ()) -> DataFrame:
+    """df with the sum of `value` up to and with each row of its key in this order, without sending a key's rows to one task: rows are
+    range-partitioned, summed within their range, and the sums of the key's earlier ranges added. Rows with equal order are told apart at will."""
+    keys = list(keys)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = checkpointed(df.repartitionByRange(parts, *keys, *order).withColumn("_range", F.spark_partition_id()))
+    sums = ranged.groupBy("_range", *keys).agg(F.sum(value).alias("_s"))  # a row for each range and each key in it
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    base = sums.select("_range", *keys, F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_base"))
+    own = ranged.withColumn("_own", F.sum(value).over(Window.partitionBy("_range", *keys).orderBy(*order).rowsBetween(*RUNNING)))
+    return own.join(base, ["_range", *keys]).withColumn(name, F.col("_base") + F.col("_own")).drop("_range", "_base", "_own")
+
+
 def merge_order(events: DataFrame, time: str = "time", lane: str = "lane", file: str = "file_idx", seq: str = "seq") -> DataFrame:
     """O1: k-way merge of event files by synchronised time; the second lane loses ties, then the lower file wins."""
     return global_rank(events, [time, lane, file, seq])
@@ -255,28 +270,55 @@ def unmatched_sends(sends: DataFrame, receives: DataFrame, key: Sequence[str], o
 ANY_TAG = -1
 
 
+class OpenEnds:
+    """One side's queue of ends: the oldest of a tag, or of all, in constant time."""
+
+    def __init__(self):
+        self.by_tag: dict = {}
+        self.all: OrderedDict = OrderedDict()  # number: (seq, tag), oldest first
+        self.number = 0
+
+    def add(self, seq: int, tag) -> None:
+        self.by_tag.setdefault(tag, deque()).append(self.number)
+        self.all[self.number] = (seq, tag)
+        self.number += 1
+
+    def take(self, tags: Sequence | None) -> int | None:
+        """The seq of the oldest end with one of the tags (None: with any), which leaves; None if there is none."""
+        if tags is None:
+            number = next(iter(self.all), None)
+        else:
+            number = min((self.by_tag[t][0] for t in tags if self.by_tag.get(t)), default=None)
+        if number is None:
+            return None
+        seq, tag = self.all.pop(number)
+        self.by_tag[tag].popleft()  # the oldest of all is its tag's oldest
+        return seq
+
+
 def match_wildcard(ends: DataFrame, key: Sequence[str]) -> DataFrame:
     """J1 with ANY_TAG: (key, send_seq, recv_seq) from send and receive ends (key, time, seq, kind, tag).
 
     Key is sender, receiver and communicator. Each end looks in the other side's queue for the first entry with its tag, a
-    receive of any tag taking the oldest; else it queues. Ends of a key are replayed in order; only its open ends are held."""
+    receive of any tag taking the oldest; else it queues. Ends of a key are replayed in order, each in constant time; only its open ends are held."""
     key = list(key)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ends.select(*key).schema) + ", send_seq long, recv_seq long"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, sends, receives = None, [], []
+        at, sends, receives = None, OpenEnds(), OpenEnds()
         for pdf in batches:
             rows = []
             for *own, seq, kind, tag in pdf[[*key, "seq", "kind", "tag"]].itertuples(index=False, name=None):
                 if tuple(own) != at:
-                    at, sends, receives = tuple(own), [], []
-                mine, other = (sends, receives) if kind == "send" else (receives, sends)
-                hit = next((i for i, (_, t) in enumerate(other) if t == tag or ANY_TAG == (t if kind == "send" else tag)), None)
+                    at, sends, receives = tuple(own), OpenEnds(), OpenEnds()
+                if kind == "send":
+                    hit = receives.take((tag, ANY_TAG))
+                else:
+                    hit = sends.take(None if tag == ANY_TAG else (tag,))
                 if hit is None:
-                    mine.append((int(seq), tag))
+                    (sends if kind == "send" else receives).add(int(seq), tag)
                 else:
-                    found = other.pop(hit)[0]
-                    rows.append((*own, int(seq), found) if kind == "send" else (*own, found, int(seq)))
+                    rows.append((*own, int(seq), hit) if kind == "send" else (*own, hit, int(seq)))
             yield pd.DataFrame(rows, columns=[*key, "send_seq", "recv_seq"])
 
     return threads(ends.select(*key, "time", "seq", "kind", "tag"), key, ["time", "seq"]).mapInPandas(run, schema)
@@ -353,12 +395,21 @@ def lifetimes(events: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def range_join(points: DataFrame, intervals: DataFrame, point: str, lo: str, hi: str, width: int, keys: Sequence[str] = ()) -> DataFrame:
-    """Points with all intervals lo <= point <= hi, by buckets of `width` that an interval is entered in; choose it near
-    the usual length. Columns other than keys must differ."""
+    """Points with all intervals lo <= point <= hi (whole numbers). Columns other than keys must differ.
+
+    An interval belongs to the class of the first length width, 2 width, 4 width ... that it fits, and is entered in the two cells of
+    that length at most that it touches; a point looks into its cell of every class that occurs (64 at most). So a long interval costs no more
+    rows than a short one. Choose width near the usual length."""
     keys = list(keys)
-    cell = F.explode(F.sequence(F.floor(F.col(lo) / width), F.floor(F.col(hi) / width)))
-    left = points.withColumn("_cell", F.floor(F.col(point) / width))
-    return left.join(intervals.withColumn("_cell", cell), [*keys, "_cell"]).where((F.col(point) >= F.col(lo)) & (F.col(point) <= F.col(hi))).drop("_cell")
+    length = F.greatest(F.col(hi) - F.col(lo), F.lit(0)) / width
+    level = F.when(length <= 1, 0).otherwise(F.ceil(F.log2(length))).cast("int")
+    size = F.expr(f"shiftleft({width}L, _level)")
+    held = intervals.withColumn("_level", level).where(F.col(lo) <= F.col(hi))
+    levels = sorted(r["_level"] for r in held.select("_level").distinct().collect())  # 64 at most
+    entered = held.withColumn("_cell", F.explode(F.sequence(floor_div(F.col(lo).cast("long"), size), floor_div(F.col(hi).cast("long"), size))))
+    probe = points.withColumn("_level", F.explode(F.array(*map(F.lit, levels)) if levels else F.array().cast("array<int>")))
+    left = probe.withColumn("_cell", floor_div(F.col(point).cast("long"), size))
+    return left.join(entered, [*keys, "_level", "_cell"]).where((F.col(point) >= F.col(lo)) & (F.col(point) <= F.col(hi))).drop("_cell", "_level")
 
 
 def live_region(accesses: DataFrame, regions: DataFrame, keys: Sequence[str], width: int) -> DataFrame:
@@ -388,10 +439,10 @@ def share_threshold(bursts_: DataFrame, percent: float, keys: Sequence[str] = ()
     """The duration from which on bursts make up `percent` of the time: of ascending durations the first whose running sum is
     above total * (100 - percent) / 100; null for percent <= 0 or no bursts.
 
-    Durations are summed by value first, so the window runs over distinct durations."""
+    Durations are summed by value first, and the running sums are taken over ranges of durations."""
     keys = list(keys)
     by = bursts_.groupBy(*keys, "dur").agg(F.sum("dur").alias("_s"))
-    run = by.withColumn("_run", F.sum("_s").over(Window.partitionBy(*keys).orderBy("dur").rowsBetween(*RUNNING)))
+    run = running_total(by, ["dur"], "_s", "_run", keys)
     whole = by.groupBy(*keys).agg(F.sum("_s").alias("_all"))
     both = run.join(whole, keys) if keys else run.crossJoin(F.broadcast(whole))  # one row
     passes = (F.col("_run") * 100 > F.col("_all") * (100 - percent)) & F.lit(percent > 0)
@@ -447,7 +498,7 @@ def communicators(lists: DataFrame, members: str, first: str) -> DataFrame:
 
 def binding_channel(channels: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Of parallel channels the most binding: fewest tokens over gcd(production, consumption), the earlier at ties."""
-    from tracewright.functions.exprs import floor_div, gcd
+    from tracewright.functions.exprs import gcd
 
     norm = channels.withColumn("norm_tokens", floor_div(F.col("tokens"), gcd(F.col("production"), F.col("consumption"))))
     return norm.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy("norm_tokens", *order))).where("_k = 1").drop("_k")
@@ -477,6 +528,17 @@ def skip(events: DataFrame, types: Sequence, column: str = "type") -> DataFrame:
     return events.where(~F.col(column).isin(list(types)))
 
 
-def encode(events: DataFrame, labels: DataFrame, on: str = "type", bounded: bool = True) -> DataFrame:
-    """Types translated by a dictionary (on, grouped); null where it has none. A fixed dictionary is broadcast."""
-    return events.join(F.broadcast(labels) if bounded else labels, on, "left")
+def encode(events: DataFrame, labels: DataFrame, on: str = "type", most_broadcast: int = 100_000) -> DataFrame:
+    """Types translated by a dictionary (on, grouped); null where it has none. A dictionary of up to most_broadcast rows is
+    broadcast, a larger one joined by shuffle."""
+    return events.join(broadcast_within(labels, most_broadcast), on, "left")
+
+
+def label_dictionaries(events: DataFrame, families: dict[str, Column], label: str, type_: str = "type", value: str = "value") -> DataFrame:
+    """(family, type, value, label): for each family of events (a condition) its types and values as they occur, each with the first
+    label by order; a value without a label is named by itself."""
+    family = F.lit(None).cast("string")
+    for name, which in reversed(list(families.items())):
+        family = F.when(which, name).otherwise(family)
+    used = events.withColumn("family", family).where("family is not null")
+    return used.groupBy("family", F.col(type_).alias("type"), F.col(value).alias("value")).agg(F.coalesce(F.min(label), F.first(F.col(value).cast("string"))).alias("label"))

@@ -27,7 +27,7 @@ def excluded_states(spark, d):
 @query("WITH m AS (SELECT * FROM (VALUES ('click', 50000001), ('view', 50000002)) t(type, grouped)) SELECT event_id AS seq, m.grouped FROM events LEFT JOIN m ON m.type = event_type")
 def type_translation(spark, d):
     m = spark.createDataFrame([("click", 50000001), ("view", 50000002)], "type string, grouped int")  # a fixed dictionary
-    return events(spark, d).join(F.broadcast(m), "type", "left").select("seq", "grouped")
+    return T.encode(events(spark, d), m).select("seq", "grouped")
 
 
 @query("SELECT event_type AS type, count(*) AS n FROM events GROUP BY 1")
@@ -56,9 +56,9 @@ def reduced_over_workers(spark, d):
     return events(spark, d).groupBy((F.col("task") % 10).alias("node")).agg(F.max("cents").alias("most"), F.sum("cents").alias("whole"), F.bool_or(is_("error")).alias("failed"))
 
 
-@query("{EV}, r AS (SELECT time // 86400000000 AS day, type, cents FROM e), c AS (SELECT day, count(*) AS n FROM r GROUP BY 1) SELECT r.day, r.type AS counter, CAST(sum(r.cents) AS BIGINT) AS n FROM r JOIN c USING (day) GROUP BY r.day, r.type, c.n HAVING count(*) = c.n")
+@query("{EV}, r AS (SELECT time // 86400000000 AS day, unnest([type, 'cycles']) AS counter, unnest([cents, seq]) AS v FROM e), c AS (SELECT time // 86400000000 AS day, count(*) AS n FROM e GROUP BY 1) SELECT r.day, r.counter, CAST(sum(r.v) AS BIGINT) AS n FROM r JOIN c USING (day) GROUP BY r.day, r.counter, c.n HAVING count(*) = c.n")
 def counter_sums_common(spark, d):
-    r = events(spark, d).select(F.expr("time div 86400000000").alias("day"), F.create_map("type", "cents").alias("counters"))
+    r = events(spark, d).select(F.expr("time div 86400000000").alias("day"), F.create_map("type", "cents", F.lit("cycles"), "seq").alias("counters"))
     return T.counter_sums(r, ["day"], common=True)
 
 
@@ -225,9 +225,9 @@ def maxplus_first_order(spark, d):
     return graph.first_order(spark.createDataFrame([(2, "x", "x", 5), (1, "y", "x", 1)], "delay int, r string, c string, v long"))
 
 
-@query("WITH RECURSIVE l AS (SELECT DISTINCT n_regionkey AS src, n_nationkey AS dst FROM nation WHERE n_nationkey <> n_regionkey), r AS (SELECT src, dst FROM l UNION SELECT r.src, l.dst FROM r JOIN l ON r.dst = l.src) SELECT src, dst FROM l WHERE EXISTS (SELECT 1 FROM r WHERE r.src = l.dst AND r.dst = l.src)")
+@query("WITH RECURSIVE l AS (SELECT DISTINCT c_nationkey AS src, c_custkey % 40 AS dst FROM customer WHERE c_custkey % 3 <> 0 AND c_nationkey % 4 <> 1), r AS (SELECT src, dst FROM l UNION SELECT r.src, l.dst FROM r JOIN l ON r.dst = l.src) SELECT src, dst FROM l WHERE EXISTS (SELECT 1 FROM r WHERE r.src = l.dst AND r.dst = l.src)")
 def cycle_edges(spark, d):
-    n = table(spark, d, "nation").where("n_nationkey <> n_regionkey").select(F.col("n_regionkey").alias("src"), F.col("n_nationkey").alias("dst")).distinct()
+    n = table(spark, d, "customer").where("c_custkey % 3 <> 0 and c_nationkey % 4 <> 1").select(F.col("c_nationkey").cast("long").alias("src"), (F.col("c_custkey") % 40).alias("dst")).distinct()
     return graph.inside_components(n)
 
 

@@ -154,7 +154,8 @@ def stacked_pushes(spark, d):
     return e.withColumn("pushes", F.sum(F.when(F.col("value") > 0, 1).otherwise(0)).over(w)).select("seq", "pushes")
 
 
-@query()
+# the depth after an event is the running sum less its own minimum so far, as pops of an empty stack do nothing; on top is the latest push to that depth
+@query("{EV}, f AS (SELECT task, type, time, seq, cents % 3 AS v, sum(CASE WHEN cents % 3 > 0 THEN 1 ELSE -1 END) OVER (PARTITION BY task, type ORDER BY time, seq ROWS UNBOUNDED PRECEDING) AS s FROM e), g AS (SELECT *, s - least(0, min(s) OVER (PARTITION BY task, type ORDER BY time, seq ROWS UNBOUNDED PRECEDING)) AS depth FROM f) SELECT task, type, seq, CASE WHEN depth = 0 THEN 0 ELSE last_value(CASE WHEN v > 0 THEN v END IGNORE NULLS) OVER (PARTITION BY task, type, depth ORDER BY time, seq ROWS UNBOUNDED PRECEDING) END AS top FROM g")
 def stacked_types(spark, d):
     e = events(spark, d).withColumn("value", F.col("cents") % 3)
     return T.stacked_types(e, ["task"]).select("task", "type", "seq", "top")
@@ -324,8 +325,7 @@ def running_chop(spark, d):
 
 @query(BURSTS + ", s AS (SELECT ts AS time, 1 AS d FROM b UNION ALL SELECT ts + dur, -1 FROM b), g AS (SELECT time, sum(d) AS d FROM s GROUP BY time) SELECT time, CAST(sum(d) OVER (ORDER BY time ROWS UNBOUNDED PRECEDING) AS BIGINT) AS value FROM g")
 def signal_sum(spark, d):
-    b = _bursts(spark, d).withColumn("value", F.lit(1).cast("long")).withColumn("all", F.lit(0))
-    return signals.sum_signals(b, ["all"]).select("time", "value")
+    return signals.sum_signals(_bursts(spark, d).withColumn("value", F.lit(1).cast("long"))).select("time", "value")
 
 
 @query("{EV} SELECT seq, CASE WHEN d THEN 1.0 ELSE 1.5 END AS frequency FROM (SELECT seq, type = 'click' AS d FROM e)")
@@ -590,7 +590,7 @@ def period_representatives(spark, d):
 
 
 def _register() -> None:
-    from tracewright.plans import more  # noqa: F401  registers its queries
+    from tracewright.plans import more, tables  # noqa: F401  register their queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -11,13 +11,24 @@ _RATE = "string"  # an integer, a list or a run-length text; read as text and pa
 SCHEMA = f"type string, actors array<struct<name:string,wcet:{_RATE}>>, channels array<struct<from:string,to:string,production:{_RATE},consumption:{_RATE},tokens:long,capacity:long,var:string>>"
 
 
+def _graph_id(rows: DataFrame) -> Column:
+    """The graph of a row of files: the folder graph_id=... that write_texts makes, else the file's name."""
+    return F.col("graph_id").cast("string") if "graph_id" in rows.columns else F.element_at(F.split(F.input_file_name(), "/"), -1)
+
+
+def write_texts(texts: DataFrame, path: str) -> None:
+    """A file for each (graph_id, value), in a folder of its own."""
+    texts.write.partitionBy("graph_id").option("lineSep", "\n").text(path)
+
+
 def _rates(x: Column) -> Column:
     return F.when(x.isNull(), F.array(F.lit(1).cast("long"))).otherwise(parse_rates(x))
 
 
 def read_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(actors, channels) of graph files; the graph_id is the file's name. Missing rates and times are 1, missing tokens 0."""
-    files = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("graph_id"), F.from_json("value", SCHEMA, {"mode": "FAILFAST"}).alias("g"))
+    rows = spark.read.text(path, wholetext=True)
+    files = rows.select(_graph_id(rows).alias("graph_id"), F.from_json("value", SCHEMA, {"mode": "FAILFAST"}).alias("g"))
     actors = files.select("graph_id", F.explode("g.actors").alias("a")).select("graph_id", F.col("a.name").alias("actor"), _rates(F.col("a.wcet")).alias("wcet"))
     c = files.select("graph_id", F.explode("g.channels").alias("c"))
     name = lambda k: F.when(F.col(f"c.{k}").isNull(), F.raise_error(F.lit(f"channel without {k}"))).otherwise(F.col(f"c.{k}"))
@@ -55,7 +66,8 @@ def read_xml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
         "sdfProperties struct<actorProperties:array<struct<_actor:string,processor:array<struct<_default:string,executionTime:struct<_time:string>>>>>>,"
         "csdfProperties struct<actorProperties:array<struct<_actor:string,processor:array<struct<_default:string,executionTime:struct<_time:string>>>>>>"
     )
-    rows = spark.read.format("xml").option("rowTag", "applicationGraph").schema(schema).load(path).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("graph_id"), F.coalesce("sdf", "csdf").alias("g"), F.coalesce("sdfProperties", "csdfProperties").alias("p"))
+    found = spark.read.format("xml").option("rowTag", "applicationGraph").schema(schema).load(path)
+    rows = found.select(_graph_id(found).alias("graph_id"), F.coalesce("sdf", "csdf").alias("g"), F.coalesce("sdfProperties", "csdfProperties").alias("p"))
     times = rows.select("graph_id", F.explode("p.actorProperties").alias("a")).select("graph_id", F.col("a._actor").alias("actor"), F.coalesce(F.get(F.filter("a.processor", lambda x: x["_default"] == "true"), F.lit(0)), F.get("a.processor", F.lit(0)))["executionTime"]["_time"].alias("t"))
     own = rows.select("graph_id", F.explode("g.actor").alias("a"))
     actors = own.select("graph_id", F.col("a._name").alias("actor")).join(times, ["graph_id", "actor"], "left").select("graph_id", "actor", _rates(F.col("t")).alias("wcet"))
@@ -95,6 +107,20 @@ def to_dimacs(edges: DataFrame, nodes: int, number: int) -> DataFrame:
     return head.union(edges.select(F.lit(1), F.concat_ws(" ", F.lit("a"), F.col("src").cast("string"), F.col("dst").cast("string"), F.col("weight").cast("string"))))
 
 
+#: How a node of each type is drawn, unless the caller says otherwise.
+STYLES = {"actor": "ellipse", "scope": "rectangle", "memory": "diamond"}
+
+
+def to_gml(nodes: DataFrame, edges: DataFrame, styles: dict[str, str] | None = None) -> DataFrame:
+    """(part, value): lines of a GML graph: nodes (id, label, type) with the shape of their type, then edges (src, dst)."""
+    shape = F.lit("rectangle")
+    for kind, name in (styles or STYLES).items():
+        shape = F.when(F.col("type") == kind, name).otherwise(shape)
+    n = F.concat(F.lit("node [ id "), F.col("id").cast("string"), F.lit(' label "'), F.regexp_replace("label", '"', "'"), F.lit('" graphics [ type "'), shape, F.lit('" ] ]'))
+    e = F.concat(F.lit("edge [ source "), F.col("src").cast("string"), F.lit(" target "), F.col("dst").cast("string"), F.lit(" ]"))
+    return nodes.select(F.lit(0).alias("part"), n.alias("value")).union(edges.select(F.lit(1), e))
+
+
 def to_dot(edges: DataFrame) -> DataFrame:
     """(value): edge lines of a DOT graph."""
     return edges.select(F.concat(F.lit('"'), F.col("src").cast("string"), F.lit('" -> "'), F.col("dst").cast("string"), F.lit('";')).alias("value"))

@@ -12,13 +12,20 @@ from pyspark.sql import functions as F
 from tracewright.functions.exprs import four_hex
 
 
-def _name():
-    return F.element_at(F.split(F.input_file_name(), "/"), -1)
+def whole_files(spark: SparkSession, path: str) -> DataFrame:
+    """(file, value) of text files; the file is the folder file=... that write_files makes, else the file's name."""
+    rows = spark.read.text(path, wholetext=True)
+    return rows.select((F.col("file").cast("string") if "file" in rows.columns else F.element_at(F.split(F.input_file_name(), "/"), -1)).alias("file"), "value")
+
+
+def write_files(texts: DataFrame, path: str) -> None:
+    """A text file for each (file, value), in a folder of its own."""
+    texts.write.partitionBy("file").text(path)
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, ln, line) of text files, numbered from 1."""
-    return spark.read.text(path, wholetext=True).select(_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("ln", "line")).withColumn("ln", F.col("ln") + 1)
+    return whole_files(spark, path).select("file", F.posexplode(F.split("value", "\n")).alias("ln", "line")).withColumn("ln", F.col("ln") + 1)
 
 
 def listing(lines: DataFrame) -> DataFrame:
@@ -46,7 +53,7 @@ def read_scopes(spark: SparkSession, path: str) -> DataFrame:
                             number += 1
             yield pd.DataFrame(rows, columns=["file", "scope_id", "lstart", "lend"])
 
-    return spark.read.text(path, wholetext=True).select(_name().alias("file"), "value").mapInPandas(run, "file string, scope_id int, lstart int, lend int")
+    return whole_files(spark, path).mapInPandas(run, "file string, scope_id int, lstart int, lend int")
 
 
 def scope_json(scopes: list[dict]) -> list[dict]:
@@ -61,6 +68,17 @@ def scope_json(scopes: list[dict]) -> list[dict]:
     return tree(None)
 
 
+def scope_trees(scopes: DataFrame) -> DataFrame:
+    """(file, value): each file's tree as one JSON text, children in line order."""
+    import json
+
+    def group(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        own = [{"scope_id": int(r.scope_id), "parent_id": None if pd.isna(r.parent_id) else int(r.parent_id), "name": r.name_, "weight": int(r.weight), "lstart": int(r.lstart), "lend": int(r.lend)} for r in rows.rename(columns={"name": "name_"}).sort_values(["lstart", "scope_id"]).itertuples()]
+        return pd.DataFrame({"file": [key[0]], "value": [json.dumps(scope_json(own), separators=(",", ":"))]})
+
+    return scopes.groupBy("file").applyInPandas(group, "file string, value string")
+
+
 ANNOTATIONS = (
     "pragmas array<struct<code:string,endCol:int,endLine:int,len:int,pragma:string,pragmaLine:int,start:int,startCol:int,startLine:int,"
     "funInfo:struct<funName:string,paramPos:array<struct<varName:string,varPos:int>>,pragmaPos:array<struct<parName:string,parPosPragma:int>>>>>,"

@@ -20,6 +20,25 @@ def read_binary(spark: SparkSession, path: str, piece: int = 65_536) -> DataFram
     The parameter union is read both ways: as one number, and as a message's target, size, tag, communicator and aux (from byte 16).
     Files are read whole by Spark's binaryFile and decoded piece by piece."""
 
+    return decode_binary(spark.read.format("binaryFile").load(path).select("path", "content"), piece)
+
+
+def encode_binary(events: DataFrame) -> DataFrame:
+    """S7's counterpart: (path, content), a file's records of events (file, seq, time, type, value, param), in order of seq."""
+
+    def group(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("seq")
+        out = np.zeros(len(rows), RECORD)
+        for name, column in (("p0", "param"), ("value", "value"), ("time", "time"), ("type", "type")):
+            out[name] = rows[column].to_numpy()
+        return pd.DataFrame({"path": [key[0]], "content": [out.tobytes()]})
+
+    return events.groupBy("file").applyInPandas(group, "path string, content binary")
+
+
+def decode_binary(files: DataFrame, piece: int = 65_536) -> DataFrame:
+    """Events (EVENTS) of files (path, content)."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from decimal import Decimal
 
@@ -34,7 +53,7 @@ def read_binary(spark: SparkSession, path: str, piece: int = 65_536) -> DataFram
                     aux = np.ndarray(len(r), "<i8", raw, 16, (RECORD.itemsize,))
                     yield pd.DataFrame({"file": path.rsplit("/", 1)[-1], "seq": np.arange(at, at + len(r)), "time": r["time"].astype(np.int64), "type": r["type"], "value": [Decimal(int(x)) for x in r["value"]], "param": [Decimal(int(x)) for x in r["p0"]], "target": ints[:, 0], "size": ints[:, 1], "tag": ints[:, 2], "comm": ints[:, 3], "aux": aux, "hwc": list(r["hwc"]), "hwc_set": r["hwc_set"]})
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, EVENTS)
+    return files.select("path", "content").mapInPandas(run, EVENTS)
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -106,8 +125,19 @@ def row_names(objects: DataFrame) -> DataFrame:
 
 
 def simulator_lines(events: DataFrame) -> DataFrame:
-    """(file_idx, seq, value): computation bursts and point events of each task for a simulator, in file order."""
-    return events.select("file_idx", "seq", F.when(F.col("kind") == "burst", F.format_string("1:%d:%d:%.9f", "task", "thread", F.col("dur") / 1e9)).otherwise(F.format_string("20:%d:%d:%d:%d", "task", "thread", "type", "value")).alias("value"))
+    """(file_idx, seq, value): computation bursts, sends, receives, collective calls and point events of each task for a simulator."""
+    text = F.when(F.col("kind") == "burst", F.format_string("1:%d:%d:%.9f", "task", "thread", F.col("dur") / 1e9))
+    text = text.when(F.col("kind") == "send", F.format_string("2:%d:%d:%d:%d:%d:%d", "task", "thread", "partner", "size", "tag", "comm"))
+    text = text.when(F.col("kind") == "recv", F.format_string("3:%d:%d:%d:%d:%d:%d", "task", "thread", "partner", "size", "tag", "comm"))
+    text = text.when(F.col("kind") == "global", F.format_string("10:%d:%d:%d:%d:%d", "task", "thread", "type", "comm", "size"))
+    return events.select("file_idx", "seq", text.otherwise(F.format_string("20:%d:%d:%d:%d", "task", "thread", "type", "value")).alias("value"))
+
+
+def simulator_order(lines: DataFrame) -> DataFrame:
+    """O3: simulator lines with their place: file by file, in each file's own order; no merge by time."""
+    from tracewright.operators.trace import global_rank
+
+    return global_rank(lines, ["file_idx", "seq"], "place")
 
 
 def dump(events: DataFrame, with_time: bool = True) -> DataFrame:

@@ -10,13 +10,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewright.functions.exprs import floor_div
+from tracewright.operators.graph import components
+from tracewright.operators.trace import running_total
+from tracewright.session import checkpointed
+
 
 def sum_signals(bursts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """(keys, time, value): the sum of step signals (ts, dur, value): each adds its value at ts and takes it away at ts + dur."""
     keys = list(keys)
     steps = bursts.select(*keys, F.explode(F.array(F.struct(F.col("ts").alias("time"), F.col("value").alias("d")), F.struct((F.col("ts") + F.col("dur")).alias("time"), (-F.col("value")).alias("d")))).alias("s")).select(*keys, "s.*")
     summed = steps.groupBy(*keys, "time").agg(F.sum("d").alias("d"))
-    return summed.withColumn("value", F.sum("d").over(Window.partitionBy(*keys).orderBy("time").rowsBetween(Window.unboundedPreceding, 0))).drop("d")
+    return running_total(summed, ["time"], "d", "value", keys).drop("d")
 
 
 def compress(signal: DataFrame, keys: Sequence[str], most: int = 10_000) -> DataFrame:
@@ -91,16 +96,21 @@ class Representatives:
 REPRESENTED = "phase long, representative long, seen long, traced boolean"
 
 
-def representatives(phases: DataFrame, min_likeness: float = 85, min_seen: int = 0, max_traced: int = 0) -> DataFrame:
-    """T5, T6 on a stream or a batch of phases (phase long, vector array<double>): one row for each phase. The list of representatives is
-    global by definition, so it is the state of one key; there is a row for each period of an application, not for each event."""
-    keyed = phases.select(F.lit(0).alias("all"), "phase", "vector")
+def representatives(phases: DataFrame, min_likeness: float = 85, min_seen: int = 0, max_traced: int = 0, app: str | None = None) -> DataFrame:
+    """T5, T6 on a stream or a batch of phases (phase long, vector array<double>): one row for each phase. The list of representatives of
+    an application is one by definition, so it is the state of the key `app` (one for all rows without it); there is a row for each
+    period of an application, not for each event."""
+    keyed = phases.select((F.lit(0) if app is None else F.col(app)).alias("all"), "phase", "vector")
+    shape = REPRESENTED if app is None else f"{app} {phases.schema[app].dataType.simpleString()}, {REPRESENTED}"
 
-    def step(rep: Representatives, rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(int(p), *rep.see(list(v))) for p, v in rows.sort_values("phase")[["phase", "vector"]].itertuples(index=False)], columns=["phase", "representative", "seen", "traced"])
+    def step(rep: Representatives, rows: pd.DataFrame, key: tuple = (0,)) -> pd.DataFrame:
+        found = pd.DataFrame([(int(p), *rep.see(list(v))) for p, v in rows.sort_values("phase")[["phase", "vector"]].itertuples(index=False)], columns=["phase", "representative", "seen", "traced"])
+        if app is not None:
+            found.insert(0, app, key[0])
+        return found
 
     if not phases.isStreaming:
-        return keyed.groupBy("all").applyInPandas(lambda rows: step(Representatives(min_likeness, min_seen, max_traced), rows), REPRESENTED)
+        return keyed.groupBy("all").applyInPandas(lambda key, rows: step(Representatives(min_likeness, min_seen, max_traced), rows, key), shape)
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         rep = Representatives(min_likeness, min_seen, max_traced)
@@ -108,14 +118,16 @@ def representatives(phases: DataFrame, min_likeness: float = 85, min_seen: int =
             vectors, seen, traced = state.get
             rep.stored = [[list(v), s, t] for v, s, t in zip(vectors, seen, traced, strict=True)]
             rep.traced = sum(traced)
-        yield step(rep, pd.concat(list(batches)))
+        yield step(rep, pd.concat(list(batches)), key)
         state.update(([list(map(float, v)) for v, _, _ in rep.stored], [s for _, s, _ in rep.stored], [t for _, _, t in rep.stored]))
 
-    return keyed.groupBy("all").applyInPandasWithState(update, REPRESENTED, "vectors array<array<double>>, seen array<long>, traced array<boolean>", "append", "NoTimeout")
+    return keyed.groupBy("all").applyInPandasWithState(update, shape, "vectors array<array<double>>, seen array<long>, traced array<boolean>", "append", "NoTimeout")
 
 
 def stream_energy(samples: DataFrame, key: str, rails: Sequence[str]) -> DataFrame:
-    """A running energy integral of a stream of samples (key, t_ms, rails): state is the last time and the joules so far of each key."""
+    """A running energy integral of a stream of samples (key, t_ms, rails): state is the last time and the joules so far of each key.
+
+    A sample that is no later than the last one counted, of an earlier batch or a second one of its time, is left out."""
     rails = list(rails)
     kind = samples.schema[key].dataType.simpleString()
     out = f"{key} {kind}, t_ms long, energy_j double"
@@ -124,6 +136,8 @@ def stream_energy(samples: DataFrame, key: str, rails: Sequence[str]) -> DataFra
         last, joules = state.get if state.exists else (None, 0.0)
         rows = pd.concat(list(batches)).sort_values("t_ms")
         for t, *w in rows[["t_ms", *rails]].itertuples(index=False):
+            if last is not None and t <= last:
+                continue
             joules += 0.0 if last is None else sum(w) * (t - last) / 1000.0
             last = t
         state.update((int(last), float(joules)))
@@ -156,10 +170,75 @@ def next_frequency(frequency: Column, found: Column) -> Column:
     return F.when(found, frequency).otherwise(frequency * 1.5)
 
 
-def cluster_bursts(bursts: DataFrame, features: Sequence[str], k: int, seed: int = 1) -> DataFrame:
-    """Clusters by k-means, a documented stand-in for a density clustering library that isn't public."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import VectorAssembler
+def phase_schedule(hits: DataFrame, key: str, first: int, until: int, frequency: float, most: int = 64) -> DataFrame:
+    """(key, k, t0, t1, found): the intervals that a trigger has analysed, for each key: the first begins at `first`, each lasts as long as
+    the frequency then is; one without a hit (key, time) makes the next half as long again. Ends at `until` or after `most` analyses."""
+    kind = hits.schema[key].dataType.simpleString()
 
-    rows = VectorAssembler(inputCols=list(features), outputCol="_f").transform(bursts)
-    return KMeans(k=k, seed=seed, featuresCol="_f", predictionCol="cluster").fit(rows).transform(rows).drop("_f")
+    def group(k: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        times = np.sort(rows["time"].to_numpy())
+        out, t, f = [], float(first), float(frequency)
+        while t < until and len(out) < most:
+            found = bool(np.searchsorted(times, t + f, "right") > np.searchsorted(times, t, "right"))
+            out.append((k[0], len(out), t, t + f, found))
+            t, f = t + f, f if found else 1.5 * f
+        return pd.DataFrame(out, columns=[key, "k", "t0", "t1", "found"])
+
+    return hits.select(key, "time").groupBy(key).applyInPandas(group, f"{key} {kind}, k long, t0 double, t1 double, found boolean")
+
+
+def start_trigger(stream: DataFrame, analyse, frequency: float, checkpoint: str):
+    """T1 on a stream: calls analyse(batch, number) on what has come since the last call, every `frequency` seconds; analyse returns whether it found
+    something, and after a batch without a find the trigger skips batches until half as long again has passed."""
+    state = {"frequency": frequency, "since": None}
+
+    def run(batch: DataFrame, number: int) -> None:
+        import time
+
+        now = time.monotonic()
+        if state["since"] is not None and now - state["since"] < state["frequency"] - frequency / 2:
+            return
+        found = analyse(batch, number)
+        state["frequency"], state["since"] = (state["frequency"] if found else 1.5 * state["frequency"]), now
+
+    return stream.writeStream.foreachBatch(run).trigger(processingTime=f"{frequency} seconds").option("checkpointLocation", checkpoint).start()
+
+
+def cluster_bursts(bursts: DataFrame, key: str, features: Sequence[str], radius: float, least: int) -> DataFrame:
+    """Bursts with `cluster`, the smallest key of their cluster; null for noise. Density clustering: a burst with `least` bursts or more
+    (itself included) within the radius is a core; cores within the radius of each other are one cluster, and other bursts within the radius of a core
+    belong to the cluster of the core with the smallest key.
+
+    Bursts are joined with those of neighbouring cells of a grid of the radius's width. Within a cell of one radius over the root of the number
+    of features all are near each other, so a cell's bursts are counted, not paired, when they are enough to be cores."""
+    features = list(features)
+    side = radius / math.sqrt(len(features))
+    reach = math.ceil(math.sqrt(len(features)))
+    cells = [F.floor(F.col(f) / side).cast("long").alias(f"_c{i}") for i, f in enumerate(features)]
+    rows = checkpointed(bursts.select(F.col(key).alias("_k"), *[F.col(f).cast("double").alias(f"_x{i}") for i, f in enumerate(features)], *cells))
+    names = [f"_c{i}" for i in range(len(features))]
+    full = rows.groupBy(*names).agg(F.count("*").alias("_n"), F.min("_k").alias("_first"))
+
+    def near(left: DataFrame, right: DataFrame) -> DataFrame:
+        """Pairs (_k, _o) within the radius, of a row of left and one of right."""
+        probe = left
+        for i, n in enumerate(names):
+            probe = probe.withColumn(f"_p{i}", F.explode(F.array(*[F.col(n) + F.lit(j) for j in range(-reach, reach + 1)])))
+        other = right.select(F.col("_k").alias("_o"), *[F.col(f"_x{i}").alias(f"_y{i}") for i in range(len(features))], *[F.col(n).alias(f"_p{i}") for i, n in enumerate(names)])
+        d = sum(((F.col(f"_x{i}") - F.col(f"_y{i}")) ** 2 for i in range(len(features))), F.lit(0.0))
+        return probe.join(other, [f"_p{i}" for i in range(len(features))]).where(d <= radius * radius).select("_k", "_o")
+
+    sized = rows.join(full, names)
+    dense, thin = sized.where(F.col("_n") >= least), sized.where(F.col("_n") < least)
+    counted = near(thin, rows).groupBy("_k").agg(F.count("*").alias("_m")).where(F.col("_m") >= least).select("_k")
+    core = checkpointed(dense.select("_k").union(counted))
+    cores = checkpointed(rows.join(core, "_k"))
+    # the cores of a cell are one cluster; cells meet where two of their cores are near
+    own = Window.partitionBy(*names)
+    marked = checkpointed(cores.withColumn("_cell", F.min("_k").over(own)))
+    cell_of = marked.select("_k", "_cell")
+    met = near(marked, marked).join(cell_of, "_k").join(cell_of.select(F.col("_k").alias("_o"), F.col("_cell").alias("_other")), "_o").where("_cell <> _other").select(F.col("_cell").alias("a"), F.col("_other").alias("b")).distinct()
+    roots = components(met)
+    cluster = checkpointed(marked.join(roots.select(F.col("node").alias("_cell"), "root"), "_cell", "left").select("_k", F.coalesce("root", "_cell").alias("cluster")))
+    border = near(rows.join(core, "_k", "left_anti"), cores).join(cluster.select(F.col("_k").alias("_o"), "cluster"), "_o").groupBy("_k").agg(F.min_by("cluster", "_o").alias("cluster"))
+    return bursts.join(cluster.union(border).withColumnRenamed("_k", key), key, "left")
