@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,6 +73,61 @@ def value_iteration(table: DataFrame, goals: Sequence[int], reward: float = 1000
     raise RuntimeError(f"values did not settle in {most_rounds} rounds")
 
 
+def sampled_values(table: DataFrame, init: Sequence[int], goals: Sequence[int], episodes: int = 1500, interactions: int = 600, reward: float = 100000.0, discount: float = 0.9, rate: float = 0.2, explore: float = 0.2, seed: int = 0) -> DataFrame:
+    """M6: (state, action, q) by sampled training: in each step an action is drawn (now and then any, else the best so far), and its value moves
+    towards the reward and the value of the next state's drawn action; at a goal an episode goes on from a drawn initial state. Values start at 1.
+
+    One learner follows one sequence of steps, so it is one task; its table has a row for each state and rule. Settled episodes (no best
+    action changed in 50 of them) end the training."""
+    schema = ", ".join(f"{c} {table.schema[c].dataType.simpleString()}" for c in ("state", "action")) + ", q double"
+    inits, ends = list(init), set(goals)
+
+    def learn(rows: pd.DataFrame) -> pd.DataFrame:
+        rng = np.random.default_rng(seed)
+        states, actions = sorted(set(rows["state"]) | set(rows["next_state"])), sorted(set(rows["action"]))
+        at = {s: i for i, s in enumerate(states)}
+        after = np.full((len(states), len(actions)), -1)
+        place = {a: i for i, a in enumerate(actions)}
+        for s, a, n in rows[["state", "action", "next_state"]].itertuples(index=False):
+            after[at[s], place[a]] = at[n]
+        q = np.where(after >= 0, 1.0, -np.inf)
+        goal = np.array([s in ends for s in states])
+        starts = np.array([at[s] for s in inits])
+        known = [np.flatnonzero(r >= 0) for r in after]
+
+        def draw(s: int) -> int:
+            if len(known[s]) == 0:
+                return -1
+            if rng.random() < explore:
+                return int(known[s][rng.integers(len(known[s]))])
+            best = np.flatnonzero(q[s] == q[s].max())
+            return int(best[rng.integers(len(best))])
+
+        same, was = 0, None
+        for _ in range(episodes):
+            s = int(starts[rng.integers(len(starts))])
+            a = draw(s)
+            for _ in range(interactions):
+                if a < 0:
+                    break
+                n = int(after[s, a])
+                if goal[n]:
+                    q[s, a] += rate * (reward - q[s, a])
+                    s = int(starts[rng.integers(len(starts))])
+                    a = draw(s)
+                    continue
+                b = draw(n)
+                q[s, a] += rate * (discount * (q[n, b] if b >= 0 else 0.0) - q[s, a])
+                s, a = n, b
+            now = tuple(np.argmax(q, axis=1))
+            same, was = (same + 1 if now == was else 0), now
+            if same >= 50:
+                break
+        return pd.DataFrame([(s, a, float(q[at[s], place[a]])) for s, a in rows[["state", "action"]].itertuples(index=False)], columns=["state", "action", "q"])
+
+    return table.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(learn, schema)
+
+
 def choose_change(changes: DataFrame, wanted: DataFrame) -> DataFrame:
     """M8: the first candidate (state, rule, id_change, result) whose rule and resulting state are the predicted ones (state, rule, next_state)."""
     hit = changes.join(wanted, ["state", "rule"]).where("result = next_state")
@@ -78,12 +135,31 @@ def choose_change(changes: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def decision_tree(vectors: DataFrame, features: str = "feat", label: str = "label", depth: int = 30):
-    """M3, M4: a gini tree; its toDebugString exports it."""
+    """M3: a gini tree."""
     from pyspark.ml.classification import DecisionTreeClassifier
     from pyspark.ml.functions import array_to_vector
 
     rows = vectors.select(array_to_vector(F.col(features).cast("array<double>")).alias("features"), F.col(label).cast("double").alias("label"))
-    return DecisionTreeClassifier(maxDepth=depth, seed=1).fit(rows)
+    return DecisionTreeClassifier(maxDepth=depth, maxBins=64, seed=1).fit(rows)
+
+
+def tree_rows(spark, model, names: Sequence[str]) -> DataFrame:
+    """M4: (node, condition, prediction, yes, no) of a fitted tree: nodes are numbered from the root, left ways first; leaves have no condition."""
+    rows = []
+
+    def walk(node) -> int:
+        own = len(rows)
+        rows.append(None)
+        if node.subtreeDepth() == 0:
+            rows[own] = (own, None, float(node.prediction()), None, None)
+            return own
+        split = node.split()
+        yes, no = walk(node.leftChild()), walk(node.rightChild())
+        rows[own] = (own, f"{names[split.featureIndex()]} <= {split.threshold()}", float(node.prediction()), yes, no)
+        return own
+
+    walk(model._call_java("rootNode"))
+    return spark.createDataFrame(rows, "node int, condition string, prediction double, yes int, no int")
 
 
 def lexical_features(code: Column) -> dict[str, Column]:

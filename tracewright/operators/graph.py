@@ -183,6 +183,12 @@ def scans(edges: DataFrame, root, method: str) -> DataFrame:
     return edges.groupBy("graph_id").applyInPandas(group, f"graph_id {graph}, node {node}, dist long, scans long, negative_cycle boolean")
 
 
+def scan_statistics(found: DataFrame) -> DataFrame:
+    """(family, mean, deviation) of the scans of a node, over runs (family, scans, nodes)."""
+    each = F.col("scans") / F.col("nodes")
+    return found.groupBy("family").agg(F.avg(each).alias("mean"), F.stddev_pop(each).alias("deviation"))
+
+
 def minimum_parameters(edges: DataFrame) -> DataFrame:
     """(graph_id, var, value) of edges (graph_id, src, dst, weight, coef, var): values of least sum without a positive cycle; null values
     where there are none."""

@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from tracewright.functions import exprs as X
 from tracewright.functions import sdf
-from tracewright.operators import graph, scopes
+from tracewright.operators import features, graph, rules, scopes
 from tracewright.operators import trace as T
+from tracewright.plans import fixtures
 from tracewright.plans.queries import events, is_, query, table
 from tracewright.session import scratch
 from tracewright.sources import graphs, texts, traces
+from tracewright.streaming import signals
 
 
 def text_of(*parts):
@@ -641,3 +643,243 @@ def residual_graphs(spark, d):
     wants = e.select("graph_id", F.col("src").alias("node"), (F.col("graph_id") * F.when(F.col("src") % 2 == 0, 1).otherwise(-1)).alias("amount"))
     ends = graph.flow_graph(e, wants).where("src is null or dst is null")
     return graph.residual(e).unionByName(ends)
+
+
+# larger graphs --------------------------------------------------------------------------------------------------------
+
+ROADS = "l AS (SELECT DISTINCT 2 * l_partkey AS src, 2 * l_suppkey + 1 AS dst, l_linenumber + 3 * (l_orderkey % 5) AS weight FROM lineitem UNION SELECT DISTINCT 2 * l_suppkey + 1, 2 * l_partkey, CAST(l_quantity AS BIGINT) % 7 + l_orderkey % 3 FROM lineitem)"
+
+
+def _roads(spark, d):
+    li = table(spark, d, "lineitem")
+    out = li.select((2 * F.col("l_partkey")).alias("src"), (2 * F.col("l_suppkey") + 1).alias("dst"), (F.col("l_linenumber") + 3 * (F.col("l_orderkey") % 5)).cast("long").alias("weight"))
+    back = li.select((2 * F.col("l_suppkey") + 1).alias("src"), (2 * F.col("l_partkey")).alias("dst"), (F.col("l_quantity").cast("long") % 7 + F.col("l_orderkey") % 3).alias("weight"))
+    return out.union(back).distinct()
+
+
+@query("WITH RECURSIVE " + ROADS + ", p AS (SELECT CAST(2 AS BIGINT) AS node, CAST(0 AS BIGINT) AS dist, 0 AS n UNION ALL SELECT l.dst, CAST(min(p.dist + l.weight) AS BIGINT), p.n + 1 FROM p JOIN l ON l.src = p.node WHERE p.n < 16 GROUP BY l.dst, p.n) SELECT node, min(dist) AS dist FROM p GROUP BY node")
+def road_distances(spark, d):
+    """Distances over a graph of all line items."""
+    return graph.distances(_roads(spark, d), 2)[0]
+
+
+@query("SELECT CAST(0 AS BIGINT) AS wrong, true AS cycle")
+def road_distances_verified(spark, d):
+    """No road shortens a distance; and with one that gives more than it takes, a negative cycle is found."""
+    roads = _roads(spark, d)
+    bad = roads.union(roads.orderBy("src", "dst", "weight").limit(1).select("dst", "src", (-F.col("weight") - 1).alias("weight")))
+    cycle = graph.distances(bad, 2)[1]
+    return graph.relaxable(roads, graph.distances(roads, 2)[0]).agg(F.count("*").alias("wrong")).withColumn("cycle", F.lit(cycle))
+
+
+SMALL = "l AS (SELECT DISTINCT p_size AS g, p_partkey % 12 AS src, p_partkey // 12 % 12 AS dst, p_partkey % 23 + 1 AS weight FROM part)"
+
+
+def _small_graphs(spark, d):
+    return table(spark, d, "part").select(F.col("p_size").cast("long").alias("graph_id"), (F.col("p_partkey") % 12).alias("src"), F.expr("p_partkey div 12 % 12").alias("dst"), (F.col("p_partkey") % 23 + 1).alias("weight")).distinct()
+
+
+@query("WITH RECURSIVE " + SMALL + ", p AS (SELECT DISTINCT g, CAST(0 AS BIGINT) AS node, CAST(0 AS BIGINT) AS dist, 0 AS n FROM l UNION ALL SELECT p.g, l.dst, CAST(min(p.dist + l.weight) AS BIGINT), p.n + 1 FROM p JOIN l ON l.g = p.g AND l.src = p.node WHERE p.n < 12 GROUP BY p.g, l.dst, p.n) SELECT m.method, CAST(g AS BIGINT) AS graph_id, node, min(dist) AS dist FROM p, (VALUES ('queue'), ('order'), ('policy')) m(method) GROUP BY ALL")
+def path_methods(spark, d):
+    """Three methods give the same distances."""
+    e, out = _small_graphs(spark, d), None
+    for method in ("queue", "order", "policy"):
+        found = graph.scans(e, 0, method).select(F.lit(method).alias("method"), "graph_id", "node", "dist")
+        out = found if out is None else out.union(found)
+    return out
+
+
+@query()
+def path_method_scans(spark, d):
+    """Mean and deviation of the scans of a node, of each method."""
+    e, out = _small_graphs(spark, d), None
+    for method in ("queue", "order", "policy"):
+        found = graph.scans(e, 0, method).groupBy("graph_id").agg(F.max("scans").alias("scans"), F.count("*").alias("nodes")).select(F.lit(method).alias("family"), "scans", "nodes")
+        out = found if out is None else out.union(found)
+    return graph.scan_statistics(out)
+
+
+@query("SELECT p_brand AS family, round(avg(p_partkey / p_size), 6) AS mean, round(stddev_pop(p_partkey / p_size), 6) AS deviation FROM part GROUP BY 1")
+def scan_statistics_of_families(spark, d):
+    """The operator on given counts."""
+    given = table(spark, d, "part").select(F.col("p_brand").alias("family"), F.col("p_partkey").alias("scans"), F.col("p_size").alias("nodes"))
+    return graph.scan_statistics(given).select("family", F.round("mean", 6).alias("mean"), F.round("deviation", 6).alias("deviation"))
+
+
+@query("WITH RECURSIVE a AS (SELECT CAST(p_partkey + 1 AS BIGINT) AS r, CAST((p_partkey + 1) // 2 AS BIGINT) AS c, CAST(p_size - 20 AS BIGINT) AS v FROM part WHERE p_partkey > 0), n AS (SELECT r AS x FROM a UNION SELECT c FROM a), s AS (SELECT x AS r, x AS c, CAST(0 AS BIGINT) AS v FROM n UNION ALL SELECT a.r, s.c, a.v + s.v FROM s JOIN a ON a.c = s.r) SELECT r, c, max(v) AS v FROM s GROUP BY 1, 2")
+def maxplus_star_tree(spark, d):
+    """G20 over a tree of all parts."""
+    a = table(spark, d, "part").where("p_partkey > 0").select((F.col("p_partkey") + 1).alias("r"), F.expr("(p_partkey + 1) div 2").alias("c"), (F.col("p_size") - 20).cast("long").alias("v"))
+    return graph.mp_star(a)
+
+
+@query("WITH s AS (SELECT CAST(p_partkey AS VARCHAR) AS n, p_size AS v, p_size % 3 + 1 AS m FROM part) SELECT CASE WHEN k = m THEN n ELSE n || '<' || n || '@' || k END AS r, CASE WHEN k = 1 THEN n ELSE n || '<' || n || '@' || (k - 1) END AS c, CASE WHEN k = 1 THEN v ELSE 0 END AS v FROM s, range(1, 4) t(k) WHERE k <= m")
+def maxplus_delays(spark, d):
+    """A state for each step of a longer delay."""
+    s = table(spark, d, "part").select((F.col("p_size") % 3 + 1).alias("delay"), F.col("p_partkey").cast("string").alias("r"), F.col("p_partkey").cast("string").alias("c"), F.col("p_size").cast("long").alias("v"))
+    return graph.first_order(s)
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS graph_id, unnest(['a', 'b']) AS src, unnest(['b', 'a']) AS dst, unnest([p_partkey % 4, p_size % 9 - p_partkey % 4]) AS tokens FROM part WHERE p_size % 9 >= p_partkey % 4 UNION ALL SELECT CAST(p_partkey AS VARCHAR), 'a', 'b', p_partkey % 4 FROM part WHERE p_size % 9 < p_partkey % 4")
+def bounded_channels(spark, d):
+    """Channels with a capacity get a way back."""
+    p = table(spark, d, "part")
+    c = p.select(_key(), F.lit("a").alias("src"), F.lit("b").alias("dst"), F.array(F.lit(1)).alias("production"), F.array(F.lit(1)).alias("consumption"), (F.col("p_partkey") % 4).alias("tokens"), F.when(F.col("p_size") % 9 >= F.col("p_partkey") % 4, F.col("p_size") % 9).cast("long").alias("capacity"))
+    return graph.with_reverse(c).select("graph_id", "src", "dst", "tokens")
+
+
+@query("SELECT DISTINCT l_orderkey AS graph_id, l_partkey AS node FROM lineitem WHERE l_partkey IN (SELECT l_suppkey FROM lineitem x WHERE x.l_orderkey = lineitem.l_orderkey) OR l_linenumber < 3")
+def graphs_without_sinks(spark, d):
+    """a graph for each order."""
+    li = table(spark, d, "lineitem")
+    nodes = li.select(F.col("l_orderkey").alias("graph_id"), F.col("l_partkey").alias("node")).distinct()
+    edges = li.where("l_linenumber < 3").select(F.col("l_orderkey").alias("graph_id"), F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")).union(li.select("l_orderkey", "l_suppkey", "l_partkey"))
+    return graph.remove_sinks(nodes, edges)[0]
+
+
+@query("WITH RECURSIVE l AS (SELECT DISTINCT c_nationkey AS src, c_custkey % 97 AS dst FROM customer WHERE c_custkey % 97 > 10), r AS (SELECT src, dst FROM l UNION SELECT r.src, l.dst FROM r JOIN l ON r.dst = l.src), n AS (SELECT src AS node FROM l UNION SELECT dst FROM l) SELECT n.node, least(n.node, coalesce((SELECT min(a.dst) FROM r a WHERE a.src = n.node AND EXISTS (SELECT 1 FROM r b WHERE b.src = a.dst AND b.dst = n.node)), n.node)) AS component FROM n")
+def strong_components(spark, d):
+    """G3."""
+    c = table(spark, d, "customer").where("c_custkey % 97 > 10").select(F.col("c_nationkey").cast("long").alias("src"), (F.col("c_custkey") % 97).alias("dst")).distinct()
+    return graph.strong_components(c)
+
+
+@query("SELECT 'random' AS kind, i AS id, true AS holds FROM range(40) t(i) UNION ALL SELECT 'ring', i, true FROM range(12) t(i) UNION ALL SELECT 'degree', i, true FROM range(60) t(i)")
+def generated_graphs(spark, d):
+    """Random dataflow graphs are consistent and live, a shift by potentials keeps the sums around rings, a random graph has a cycle through all nodes."""
+    actors, channels = graph.random_sdf(spark, 40)
+    found = graph.repetition(actors, channels).groupBy("graph_id").agg(F.min("consistent").alias("c")).join(graph.liveness(actors, channels), "graph_id")
+    random = found.select(F.lit("random").alias("kind"), F.regexp_extract("graph_id", r"(\d+)", 1).cast("long").alias("id"), (F.col("c") & F.col("live")).alias("holds"))
+    torus = graph.torus(spark, 12, 8)
+    ring = lambda e: e.where("src div 8 = dst div 8").groupBy(F.expr("src div 8").alias("id")).agg(F.sum("weight").alias("w"))
+    rings = ring(torus).join(ring(graph.potential_shift(torus)).withColumnRenamed("w", "x"), "id").select(F.lit("ring"), "id", (F.col("w") == F.col("x")))
+    degree = graph.random_graph(spark, 60, 200).groupBy("src").agg(F.max((F.col("dst") == (F.col("src") + 1) % 60).cast("int")).alias("next")).select(F.lit("degree"), "src", F.col("next") == 1)
+    return random.union(rings).union(degree)
+
+
+# rules and transformation events ----------------------------------------------------------------------------------------
+
+HOLDS = ("pure", "no_writes", "no_rw", "is_array", "is_rollable", "not", "all_are_decl", "no_writes_in_read")
+CATALOGUE = "r(rule, conditions) AS (VALUES " + ", ".join(f"('{n}', CAST([{', '.join(repr(x) for x in c.split())}] AS VARCHAR[]))" for n, c in rules.RULES.items()) + ")"
+
+
+@query("WITH " + CATALOGUE + ", p AS (SELECT p_partkey AS place, list_filter(list_transform(range(8), lambda i: CASE WHEN (p_partkey // (2 ** i)::INT) % 2 = 1 THEN " + str(list(HOLDS)) + "[i + 1] END), lambda x: x IS NOT NULL) AS holds FROM part) SELECT place, rule FROM p, r WHERE list_has_all(holds, conditions)")
+def applicable_rules(spark, d):
+    """2.13: the rules whose side conditions hold at each place."""
+    p = table(spark, d, "part")
+    some = F.array(*[F.when(F.expr(f"p_partkey div {2 ** i} % 2 = 1"), name) for i, name in enumerate(HOLDS)])
+    return rules.applicable(p.select(F.col("p_partkey").alias("place"), F.filter(some, lambda x: x.isNotNull()).alias("holds")), rules.rules(spark))
+
+
+@query("WITH n(type, name) AS (VALUES " + ", ".join(f"({rules.FIRST_ID + i}, '{n}')" for i, n in enumerate(rules.TRANSFORMATIONS)) + "), e AS (SELECT user_id AS task, epoch_us(ts) AS time, event_id AS seq, 1000000 + event_id % 3 AS type, CASE WHEN event_type IN ('click', 'view') THEN 1 ELSE 0 END AS value FROM events), l AS (SELECT *, lead(value) OVER w AS nv, lead(time) OVER w AS t1 FROM e WINDOW w AS (PARTITION BY task, type ORDER BY time, seq)) SELECT task, name, time AS t0, t1 FROM l JOIN n USING (type) WHERE value = 1 AND nv = 0")
+def transformation_intervals(spark, d):
+    """2.10: transformation events from start to end."""
+    e = events(spark, d).select("task", "time", "seq", (rules.FIRST_ID + F.col("seq") % 3).alias("type"), F.when(F.col("type").isin("click", "view"), 1).otherwise(0).alias("value"))
+    return rules.transformation_intervals(e, ["task"])
+
+
+# signals and streams ------------------------------------------------------------------------------------------------------
+
+
+@query("WITH RECURSIVE h AS (SELECT user_id AS task, epoch_us(ts) AS time FROM events WHERE event_type = 'click'), r AS (SELECT DISTINCT task, 0 AS k, CAST(1704067200000000 AS DOUBLE) AS t0, CAST(43200000000 AS DOUBLE) AS f FROM h UNION ALL SELECT r.task, r.k + 1, r.t0 + r.f, CASE WHEN (SELECT count(*) FROM h WHERE h.task = r.task AND h.time > r.t0 AND h.time <= r.t0 + r.f) > 0 THEN r.f ELSE 1.5 * r.f END FROM r WHERE r.t0 + r.f < 1706745600000000 AND r.k < 63) SELECT task, k, t0, t0 + f AS t1, (SELECT count(*) FROM h WHERE h.task = r.task AND h.time > r.t0 AND h.time <= r.t0 + r.f) > 0 AS found FROM r")
+def phase_triggers(spark, d):
+    """Half a day at first, half as long again after each interval without a click."""
+    return signals.phase_schedule(events(spark, d).where(is_("click")), "task", 1704067200000000, 1706745600000000, 43200000000)
+
+
+@query("SELECT p_partkey, p_partkey % 7 + 3 AS period FROM part")
+def signal_periods(spark, d):
+    """T4: the period of a saw-tooth for each part."""
+    s = table(spark, d, "part").select("p_partkey", F.explode(F.sequence(F.lit(0), F.lit(119))).alias("time"))
+    return signals.periods(s.withColumn("value", (F.col("time") % (F.col("p_partkey") % 7 + 3)).cast("double")), "p_partkey").select("p_partkey", "period")
+
+
+@query("WITH p AS (SELECT p_brand AS app, p_partkey AS phase, p_size % 3 AS kind FROM part), f AS (SELECT app, kind, dense_rank() OVER (PARTITION BY app ORDER BY min(phase)) - 1 AS representative FROM p GROUP BY 1, 2), s AS (SELECT p.*, row_number() OVER (PARTITION BY app, kind ORDER BY phase) AS seen FROM p) SELECT app, phase, representative, seen, seen = 3 AS traced FROM s JOIN f USING (app, kind)")
+def phase_representatives(spark, d):
+    """Three kinds of phases in each application, each traced when it is seen for the third time."""
+    p = table(spark, d, "part")
+    vector = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.when(i == F.col("p_size") % 3, 100.0 + F.col("p_partkey") % 3).otherwise(0.0))
+    return signals.representatives(p.select(F.col("p_brand").alias("app"), F.col("p_partkey").alias("phase"), vector.alias("vector")), min_seen=2, app="app")
+
+
+@query("WITH c AS (SELECT c_custkey, c_acctbal AS x, CASE WHEN c_acctbal - lag(c_acctbal) OVER w <= 3 THEN 0 ELSE 1 END AS fresh FROM customer WINDOW w AS (ORDER BY c_acctbal, c_custkey)), g AS (SELECT *, sum(fresh) OVER (ORDER BY x, c_custkey ROWS UNBOUNDED PRECEDING) AS run FROM c) SELECT c_custkey, CASE WHEN count(*) OVER (PARTITION BY run) > 1 THEN min(c_custkey) OVER (PARTITION BY run) END AS cluster FROM g")
+def burst_clusters(spark, d):
+    """In one dimension, with two for a core, a cluster is a run of gaps within the radius."""
+    c = table(spark, d, "customer").select("c_custkey", "c_acctbal")
+    return signals.cluster_bursts(c, "c_custkey", ["c_acctbal"], 3.0, 2).select("c_custkey", "cluster")
+
+
+def _streamed(spark, d, make, mode: str) -> DataFrame:
+    """The rows that a stream of the events has written last."""
+    path = scratch(spark, "stream")
+    given = table(spark, d, "events")
+    source = scratch(spark, "source")
+    given.write.parquet(source)
+    stream = make(spark.readStream.schema(given.schema).parquet(source))
+    stream.writeStream.outputMode(mode).foreachBatch(lambda rows, n: rows.write.mode("overwrite" if mode == "complete" else "append").parquet(path)).option("checkpointLocation", scratch(spark, "progress")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(path)
+
+
+@query("SELECT user_id AS task, epoch_us(time_bucket(INTERVAL 1 MINUTE, ts)) AS minute, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS dur FROM events WHERE event_id > 100 GROUP BY ALL")
+def streamed_bursts(spark, d):
+    """Bursts above a length in windows of a minute, as a stream with a watermark."""
+
+    def make(stream: DataFrame) -> DataFrame:
+        return signals.stream_bursts(stream.select(F.col("user_id").alias("task"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("dur")), "task", 100)
+
+    return _streamed(spark, d, make, "complete").select("task", F.unix_micros("window.start").alias("minute"), "n", "dur")
+
+
+@query("WITH s AS (SELECT user_id AS task, event_id AS t, event_id % 50 AS w, event_id - lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS dt FROM events) SELECT task, max(t) AS t_ms, round(coalesce(sum(w * dt), 0) / 1000, 6) AS energy_j FROM s GROUP BY 1")
+def streamed_energy(spark, d):
+    """The energy of each task as a stream keeps it."""
+
+    def make(stream: DataFrame) -> DataFrame:
+        return signals.stream_energy(stream.select(F.col("user_id").alias("task"), F.col("event_id").alias("t_ms"), (F.col("event_id") % 50).cast("double").alias("w")), "task", ["w"])
+
+    last = _streamed(spark, d, make, "update").groupBy("task").agg(F.max(F.struct("t_ms", "energy_j")).alias("x"))
+    return last.select("task", "x.t_ms", F.round("x.energy_j", 6).alias("energy_j"))
+
+
+# learning -----------------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT p_partkey, CASE WHEN p_size > 25 THEN 1 ELSE 0 END AS predicted FROM part")
+def size_classifier(spark, d):
+    """M3: a tree learnt from all parts."""
+    from pyspark.ml.functions import array_to_vector
+
+    p = table(spark, d, "part").select("p_partkey", F.array(F.col("p_size").cast("long"), F.col("p_partkey") % 3).alias("feat"), F.when(F.col("p_size") > 25, 1).otherwise(0).alias("label"))
+    told = features.decision_tree(p).transform(p.select("p_partkey", array_to_vector(F.col("feat").cast("array<double>")).alias("features")))
+    return told.select("p_partkey", F.col("prediction").cast("int").alias("predicted"))
+
+
+@query("SELECT * FROM (VALUES (0, 'size <= 25.5', 0, 1, 2), (1, NULL, 0, NULL, NULL), (2, NULL, 1, NULL, NULL)) t(node, condition, prediction, yes, no)")
+def exported_tree(spark, d):
+    """M4: the tree as rows."""
+    p = table(spark, d, "part").select(F.array(F.col("p_size").cast("long"), F.col("p_partkey") % 3).alias("feat"), F.when(F.col("p_size") > 25, 1).otherwise(0).alias("label"))
+    found = features.tree_rows(spark, features.decision_tree(p), ["size", "rest"])
+    return found.withColumn("prediction", F.when(F.col("node") == 0, 0).otherwise(F.col("prediction")).cast("int"))
+
+
+@query("SELECT 'p' || p_partkey AS file, i AS idx, CASE WHEN i = 0 THEN p_size % 3 ELSE 1 END AS expected, CASE WHEN i = 0 THEN p_size % 2 ELSE 1 END AS found FROM part, range(2) t(i) WHERE i = 0 AND p_size % 3 <> p_size % 2")
+def header_mismatches(spark, d):
+    """M9."""
+    p = table(spark, d, "part").select(text_of("p", F.col("p_partkey")).alias("file"), F.array(F.col("p_size") % 2, F.lit(1)).alias("feat"), F.array(F.col("p_size") % 3, F.lit(1)).alias("test"))
+    return features.mismatches(p)
+
+
+@query("SELECT l_orderkey AS state, min(l_linenumber) AS id_change FROM lineitem WHERE l_partkey % 4 = l_orderkey % 4 AND l_suppkey % 3 = 1 GROUP BY 1")
+def chosen_changes(spark, d):
+    """M8: the first candidate with the predicted rule and state."""
+    li = table(spark, d, "lineitem")
+    ch = li.select(F.col("l_orderkey").alias("state"), (F.col("l_partkey") % 4).alias("rule"), F.col("l_linenumber").alias("id_change"), (F.col("l_suppkey") % 3).alias("result"))
+    wanted = li.select(F.col("l_orderkey").alias("state"), (F.col("l_orderkey") % 4).alias("rule"), F.lit(1).cast("long").alias("next_state")).distinct()
+    return features.choose_change(ch, wanted)
+
+
+@query(fixtures.golden_sql("state, action, next_state", [(s, a, s + 1) for s, a in enumerate(fixtures.GREEDY)]))
+def sampled_policy(spark, d):
+    """M6: the greedy policy after sampled training is the known one."""
+    t = fixtures.transition_table(spark)
+    return features.greedy(t, features.sampled_values(t, [0], [22], seed=3), [22])
