@@ -50,16 +50,27 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, computed once, in the shared folder; lost executors don't take it along. Cleaned when unreferenced, if the session says so."""
+PART_BYTES = 6 << 20  # of input for each file of an intermediate table
+
+
+def parts_for(df: DataFrame) -> int:
+    """How many files a table about as large as df should have, by the planner's estimate of its bytes: a table written as one file for each
+    shuffle partition would be thousands of small files where its input is small. Only lowers the number of partitions, never raises it."""
+    return max(1, min(1_000_000, -(-int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // PART_BYTES)))
+
+
+def checkpointed(df: DataFrame, parts: int | None = None) -> DataFrame:
+    """df, computed once, in the shared folder, in `parts` files at most; lost executors don't take it along. Cleaned when unreferenced, if
+    the session says so."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return (df.coalesce(parts) if parts else df).checkpoint(eager=True)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df, computed once, as a Parquet table in the shared folder: smaller than a checkpoint, and its size is known to the planner."""
+def stored(df: DataFrame, name: str, parts: int | None = None) -> DataFrame:
+    """df, computed once, as a Parquet table in the shared folder, in `parts` files at most: smaller than a checkpoint, and its size is
+    known to the planner."""
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.coalesce(parts) if parts else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -224,31 +235,31 @@ def word_bpe(path: str, keep: int = 600_000) -> WordCachedBPE:
     return _TOKENIZERS[path, keep]
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, parts: int | None = None, most_rounds: int = 60) -> DataFrame:
     """(node, root): for each node of the edges (a, b) the smallest node that it is connected with.
 
     Alternates large-star and small-star steps until the edges stay the same; every step only groups by a
-    node with min(), never gathering a group, and is checkpointed in the shared folder.
+    node with min(), never gathering a group, and is checkpointed in the shared folder, in `parts` files at most.
     """
 
     # the smallest neighbours are read from a table, so that both sides of a join are shuffled for it alone and Spark can split a hub's edges
     def large(e: DataFrame) -> DataFrame:
         both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = checkpointed(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
+        low = checkpointed(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), parts)
         return both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
     def small(e: DataFrame) -> DataFrame:
         down = e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        low = checkpointed(down.groupBy("a").agg(F.min("b").alias("m")))
+        low = checkpointed(down.groupBy("a").agg(F.min("b").alias("m")), parts)
         return down.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
 
     def mark(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first())
 
-    now = checkpointed(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    now = checkpointed(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), parts)
     seen = mark(now)
     for _ in range(most_rounds if seen[0] else 0):
-        now = checkpointed(small(large(now)).where("a <> b").distinct())
+        now = checkpointed(small(large(now)).where("a <> b").distinct(), parts)
         was, seen = seen, mark(now)
         if was == seen:
             break
