@@ -10,7 +10,7 @@ label isn't among them, as with urls without a label; those that are judged have
 Defined cases: a null url or one without `://` has an empty host and path, fits no rule and is judged by the trees;
 with labels of one verdict only, that is the verdict of the rest, and without any labels it is allow; equal rows and null
 page_ids each give a row; an empty table gives an empty result; other columns are ignored; very long urls are read in
-time in proportion to their length.
+time in proportion to their length times the number of different characters.
 
 The table is read once: hosts, paths and features are written to the shared folder, and counts, the sample and the
 verdicts are made from there. The rules are the only labels, so the trees carry the rules' verdicts over to urls that look alike
@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import checkpointed, stored
+from tracewright.llm.common import checkpointed, parts_for, stored
 
 #: Host, path, verdict.
 RULES = (
@@ -94,7 +94,7 @@ def suffix_counts(own: DataFrame) -> list[DataFrame]:
     block = (F.col("known") == "block").cast("long")
     folds = [fold() == f for f in range(FOLDS)]
     n, blocked = F.array(*[F.count_if(f) for f in folds]), F.array(*[F.sum(F.when(f, block).otherwise(0)) for f in folds])
-    return [checkpointed(own.where("known is not null").groupBy(f"s{i}").agg(n.alias(f"n{i}"), blocked.alias(f"blocked{i}"))) for i in range(3)]
+    return [checkpointed(own.where("known is not null").groupBy(f"s{i}").agg(n.alias(f"n{i}"), blocked.alias(f"blocked{i}")), parts_for(own)) for i in range(3)]
 
 
 def with_counts(own: DataFrame, counts: list[DataFrame]) -> DataFrame:
@@ -107,33 +107,40 @@ def with_counts(own: DataFrame, counts: list[DataFrame]) -> DataFrame:
     return own
 
 
-def judge(pages: DataFrame, rules=RULES, max_rows: int = 50_000, trees: int = 10, depth: int = 4) -> DataFrame:
-    """(page_id, host, path, rule, verdict) for every row."""
-    from pyspark.ml.classification import GBTClassifier
+def sample_of(own: DataFrame, n: int, max_rows: int) -> DataFrame:
+    """The labelled rows, of which there are n, or a hash sample of max_rows about."""
+    chosen = own.where("known is not null")
+    return chosen.where(F.pmod(F.xxhash64("host", "path", "page_id"), F.lit(1 << 30)) < int((1 << 30) * max_rows / n)) if n > max_rows else chosen
+
+
+def vector(share: float, but: Column | None = None) -> Column:
+    """The features, with the suffixes' rates over the labelled urls of all folds but one; share: of blocked ones among all."""
     from pyspark.ml.functions import array_to_vector
 
-    own = stored(with_features(pages, rules), "urls")
-    counts = {r["known"]: r["n"] for r in own.where("known is not null").groupBy("known").agg(F.count("*").alias("n")).collect()}  # two rows at most
-    n = sum(counts.values())
-    if len(counts) < 2:
-        return own.select("page_id", "host", "path", "rule", F.coalesce("known", F.lit(next(iter(counts), "allow"))).alias("verdict"))
-    chosen = own.where("known is not null")
-    if n > max_rows:
-        chosen = chosen.where(F.pmod(F.xxhash64("host", "path", "page_id"), F.lit(1 << 30)) < int((1 << 30) * max_rows / n))
-    share = counts.get("block", 0) / n
-    suffixes = suffix_counts(own)
+    def total(name: str) -> Column:
+        every = F.aggregate(F.col(name), F.lit(0).cast("long"), lambda a, b: a + b)
+        return F.coalesce(every if but is None else every - F.get(F.col(name), but), F.lit(0))
 
-    def vector(but: Column | None = None) -> Column:
-        """The features, with the suffixes' rates over the labelled urls of all folds but one."""
+    return array_to_vector(F.concat("x", F.array(*[(total(f"blocked{i}") + share) / (total(f"n{i}") + 1) for i in range(3)])))
 
-        def total(name: str) -> Column:
-            every = F.aggregate(F.col(name), F.lit(0).cast("long"), lambda a, b: a + b)
-            return F.coalesce(every if but is None else every - F.get(F.col(name), but), F.lit(0))
 
-        return array_to_vector(F.concat("x", F.array(*[(total(f"blocked{i}") + share) / (total(f"n{i}") + 1) for i in range(3)])))
+def fit(own: DataFrame, suffixes: list[DataFrame], share: float, n: int, max_rows: int, trees: int, depth: int):
+    """The fitted trees, on at most max_rows rows."""
+    from pyspark.ml.classification import GBTClassifier
 
     label = (F.col("known") == "block").cast("double")
-    chosen = checkpointed(with_counts(chosen, suffixes).select(label.alias("label"), vector(fold()).alias("features")).repartition(8))  # bounded by max_rows
-    model = GBTClassifier(featuresCol="features", labelCol="label", maxIter=trees, maxDepth=depth, maxBins=32, seed=7).fit(chosen)
-    told = model.transform(with_counts(own, suffixes).withColumn("features", vector()))
+    chosen = checkpointed(with_counts(sample_of(own, n, max_rows), suffixes).select(label.alias("label"), vector(share, fold()).alias("features")).repartition(8))
+    return GBTClassifier(featuresCol="features", labelCol="label", maxIter=trees, maxDepth=depth, maxBins=32, seed=7).fit(chosen)
+
+
+def judge(pages: DataFrame, rules=RULES, max_rows: int = 50_000, trees: int = 10, depth: int = 4) -> DataFrame:
+    """(page_id, host, path, rule, verdict) for every row."""
+    own = stored(with_features(pages, rules), "urls", parts_for(pages.select("url")))
+    counts = {r["known"]: r["n"] for r in own.where("known is not null").groupBy("known").agg(F.count("*").alias("n")).collect()}  # two rows at most
+    n = sum(counts.values())
+    if len(counts) < 2:
+        return own.select("page_id", "host", "path", "rule", F.coalesce("known", F.lit(next(iter(counts), "allow"))).alias("verdict"))
+    share, suffixes = counts.get("block", 0) / n, suffix_counts(own)
+    model = fit(own, suffixes, share, n, max_rows, trees, depth)
+    told = model.transform(with_counts(own, suffixes).withColumn("features", vector(share)))
     return told.select("page_id", "host", "path", "rule", F.coalesce("known", F.when(F.col("prediction") > 0.5, "block").otherwise("allow")).alias("verdict"))
