@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import SPACE, checkpointed
+from tracewright.llm.common import SPACE, checkpointed, parts_for
 
 
 def words(text: str) -> Column:
@@ -63,9 +63,9 @@ def sketches(shingles: DataFrame, share: float = 0.8) -> DataFrame:
 
 def contained(docs: DataFrame, items: DataFrame, share: float = 0.8, width: int = 5, most_broadcast: int = 2_000_000) -> DataFrame:
     """(doc_id, item_id, containment): every pair in which the document has at least this share of the item's shingles."""
-    shingles = checkpointed(item_shingles(items, width))
+    shingles = checkpointed(item_shingles(items, width), parts_for(items))
     numbers = {r["width"]: r["n"] for r in shingles.groupBy("width").agg(F.count("*").alias("n")).collect()}  # a row for each width
-    index = checkpointed(sketches(shingles, share))
+    index = checkpointed(sketches(shingles, share), parts_for(items))
 
     def small(df: DataFrame) -> DataFrame:
         """Broadcast where the benchmark is small enough; all such tables have as many rows as it has shingles, at most."""
@@ -81,7 +81,7 @@ def contained(docs: DataFrame, items: DataFrame, share: float = 0.8, width: int
 
     texts = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
     own = texts.select("doc_id", words("text").alias("words"))
-    found = checkpointed(search(own, index.select("item_id", "width", "h"), ["h"]).select("doc_id", "item_id").distinct())
+    found = checkpointed(search(own, index.select("item_id", "width", "h"), ["h"]).select("doc_id", "item_id").distinct(), -(-parts_for(texts) // 4))
     again = texts.join(found.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", words("text").alias("words"))
     have = search(again, shingles.select("width", "h", "s").distinct(), ["h", "s"], "left_semi").distinct()
     n = Window.partitionBy("item_id")

@@ -22,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import checkpointed, slices, tokenizer_path, whole_text, whole_texts, word_bpe
+from tracewright.llm.common import checkpointed, parts_for, slices, tidy, tokenizer_path, whole_text, whole_texts, word_bpe
 from tracewright.llm.token_files import TOKENIZER
 
 
-def pieces(docs: DataFrame, capacity: int = 1024, end_id: int = 2, tokenizer: str = TOKENIZER, with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, capacity: int = 1024, end_id: int = 2, tokenizer: str = TOKENIZER, with_ids: bool = False, keep_words: int = 600_000) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, part, own_rank[, ids]): documents cut into pieces; only a first piece of
     a longer document may be shorter than capacity."""
     model = tokenizer_path(tokenizer)
@@ -36,7 +36,7 @@ def pieces(docs: DataFrame, capacity: int = 1024, end_id: int = 2, tokenizer: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        task, bpe, ranks = TaskContext.get().partitionId(), word_bpe(model), Counter()
+        task, bpe, ranks = TaskContext.get().partitionId(), word_bpe(model, keep_words), Counter()
         end = np.array([end_id], "<u4").tobytes()
         for b in batches:
             for i, j in slices(b, "text"):
@@ -57,7 +57,7 @@ def pieces(docs: DataFrame, capacity: int = 1024, end_id: int = 2, tokenizer: st
                     columns.append(pa.array([np.frombuffer(x[6], "<i4") for x in out], pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", *names, *["ids"] * with_ids])
 
-    return whole_texts(rows).mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, part int, own_rank long" + ", ids array<int>" * with_ids)
+    return whole_texts(rows).mapInArrow(tidy(run), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, part int, own_rank long" + ", ids array<int>" * with_ids)
 
 
 def best_fit(counts: dict[int, int], capacity: int = 1024) -> list[tuple[int, int, int, int, int, int]]:
@@ -95,10 +95,12 @@ def best_fit(counts: dict[int, int], capacity: int = 1024) -> list[tuple[int, in
     return runs
 
 
-def pack(docs: DataFrame, capacity: int = 1024, end_id: int = 2, tokenizer: str = TOKENIZER, with_ids: bool = False) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset[, ids]) for every piece of every document."""
+def pack(docs: DataFrame, capacity: int = 1024, end_id: int = 2, tokenizer: str = TOKENIZER, with_ids: bool = False, keep_words: int = 600_000) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset[, ids]) for every piece of every document.
+
+    keep_words: how many words' ids a worker remembers, twice; 600,000 take some 250 MB of it."""
     spark = docs.sparkSession
-    cut = checkpointed(pieces(docs, capacity, end_id, tokenizer, with_ids))
+    cut = checkpointed(pieces(docs.coalesce(parts_for(docs)), capacity, end_id, tokenizer, with_ids, keep_words))
     counts = cut.groupBy("length", "part").agg(F.count("*").alias("n"))
     histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity rows at most
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)

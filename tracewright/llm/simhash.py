@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import checkpointed, components, tidy, whole_texts
+from tracewright.llm.common import checkpointed, components, parts_for, tidy, whole_texts
 
 CHUNK = 8192  # fingerprints whose codes one task holds at a time: 136 MB
 BLOCK = 512  # fingerprints whose variants are made at a time
@@ -121,9 +121,9 @@ def unpack(data: bytes) -> np.ndarray:
     return np.cumsum(wide.view("<u8").ravel() + (high << np.uint64(k)), dtype=np.uint64)
 
 
-def ball_links(fps: DataFrame, radius: int = 4) -> DataFrame:
+def ball_links(fps: DataFrame, radius: int = 4, files: int | None = None) -> DataFrame:
     """(a, b): links among the distinct longs of fps (fp) that differ in at most `radius` bits, as stars around the
-    smallest (unsigned) owner of each shared variant. Their components are those of all links."""
+    smallest (unsigned) owner of each shared variant. Their components are those of all links. files: of intermediate tables at most."""
     flips = masks((radius + 1) // 2)
     per = len(flips)
 
@@ -144,7 +144,7 @@ def ball_links(fps: DataFrame, radius: int = 4) -> DataFrame:
         if sum(map(len, held)):
             yield row(np.concatenate(held))
 
-    made = checkpointed(fps.select("fp").mapInArrow(chunks, "chunk long, n long, fps binary"))
+    made = checkpointed((fps.coalesce(files) if files else fps).select("fp").mapInArrow(chunks, "chunk long, n long, fps binary"))
     n, number = made.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     tasks = max(1, min(number, 10_000))  # a chunk of 64 KB makes 136 MB of variants, so its bytes say little of its work
     parts = max(1, -(-n * per // CODES))
@@ -187,7 +187,7 @@ def ball_links(fps: DataFrame, radius: int = 4) -> DataFrame:
 
     # explicit numbers of partitions: rows are few and heavy, so neither the session's number nor their bytes say how many tasks they need
     coded = made.select("chunk", "fps").repartition(tasks).mapInArrow(tidy(send), "part long, chunk long, codes binary").repartition(min(parts, 100_000), "part")
-    met = checkpointed(coded.groupBy("part").applyInPandas(twice, "chunk long, n long, met binary, base decimal(20,0)"))
+    met = checkpointed(coded.groupBy("part").applyInPandas(twice, "chunk long, n long, met binary, base decimal(20,0)"), parts)
     pairs = met.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     spread = max(1, -(-int(pairs) // PAIRS))
 
@@ -234,15 +234,17 @@ def ball_links(fps: DataFrame, radius: int = 4) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4) -> DataFrame:
     """(doc_id, hash, fp, fingerprint, component_id) for every row of docs; hash: of its text."""
-    own = checkpointed(fingerprints(docs, width))
-    nodes = checkpointed(own.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(ball_links(nodes, radius)).select(F.col("node").alias("fp"), "root")
+    files = parts_for(docs)
+    few = -(-files // 4)  # tables of a few numbers for each row
+    own = checkpointed(fingerprints(docs, width), files)
+    nodes = checkpointed(own.groupBy("fp").agg(F.min("doc_id").alias("least")), few)
+    roots = components(ball_links(nodes, radius, few), few).select(F.col("node").alias("fp"), "root")
     linked = nodes.join(roots, "fp")
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    known = linked.join(checkpointed(least), "root").select("fp", "component_id")
+    known = linked.join(checkpointed(least, few), "root").select("fp", "component_id")
     of = nodes.join(known, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
     # read from a table, both sides of the join are shuffled for it alone, so that Spark can split a fingerprint that many documents share
-    return own.join(checkpointed(of), "fp").select("doc_id", "hash", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return own.join(checkpointed(of, few), "fp").select("doc_id", "hash", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame, radius: int = 4, width: int = 4) -> DataFrame:

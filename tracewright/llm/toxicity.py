@@ -20,7 +20,8 @@ of labels sent to workers is bounded; the counts cover these documents' whole te
 
 Defined cases: a null or empty text has no passage and the lowest surprise; null doc_ids are scored, never learnt
 from; several labels of one id: the largest; where the calibrating fold lacks a class all folds that
-may be learnt from calibrate; without labels of both classes nothing can be told apart and every score is 0; where clean documents have passages of one statistic or none, the law has scale 1; equal rows are scored alike; other columns are ignored.
+may be learnt from calibrate; without labels of both classes nothing can be told apart and every score is 0; where clean documents have passages of one statistic or none, the law has scale 1; equal rows are scored alike;
+a very long text is one token list and scanned in linear time; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import checkpointed, id_crc, whole_texts
+from tracewright.llm.common import checkpointed, id_crc, parts_for, tidy, whole_texts
 
 WORDS = re.compile(rb"[a-z\x80-\xff]+")
 SLOTS = 1 << 20
@@ -82,9 +83,9 @@ def count_words(docs: DataFrame, labels: pd.DataFrame) -> np.ndarray:
                     seen[c].clear()
 
         for b in batches:
-            own = np.asarray(b.column(0).fill_null(-1))
+            own, given_id = np.asarray(b.column(0).fill_null(0)), np.asarray(b.column(0).is_valid())
             at = np.minimum(np.searchsorted(ids, own), len(ids) - 1)
-            for i in np.flatnonzero(ids[at] == own).tolist():
+            for i in np.flatnonzero((ids[at] == own) & given_id).tolist():
                 seen[toxic[at[i]]].update(WORDS.findall((b.column(1)[i].as_py() or b"").lower()))
                 settle(200_000)
         settle(0)
@@ -102,7 +103,7 @@ def count_words(docs: DataFrame, labels: pd.DataFrame) -> np.ndarray:
         return pd.DataFrame({"range": [key[0]], "counts": [total.tobytes()]})
 
     # each worker task sends at most SLOTS rows of sums, and the driver gets RANGES rows, whatever the input
-    sums = whole_texts(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("t"))).mapInArrow(run, "range long, slots binary, counts binary").groupBy("range").applyInPandas(add, "range long, counts binary")
+    sums = whole_texts(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("t"))).mapInArrow(tidy(run), "range long, slots binary, counts binary").groupBy("range").applyInPandas(add, "range long, counts binary")
     table = np.zeros((SLOTS, 2), np.int64)
     wide = SLOTS // RANGES
     for row in sums.collect() if len(ids) else []:
@@ -228,7 +229,7 @@ def statistics(docs: DataFrame, table: np.ndarray, passages: bool = False, locat
 
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("x"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return whole_texts(rows).mapInArrow(run, f"doc_id {kind}, t double" + ", passages array<struct<start:long,end:long,score:double,expected:double>>" * passages)
+    return whole_texts(rows).mapInArrow(tidy(run), f"doc_id {kind}, t double" + ", passages array<struct<start:long,end:long,score:double,expected:double>>" * passages)
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> Model:
@@ -246,9 +247,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> Mod
     model = Model(table, base)
     ids = spark.createDataFrame(rest[["doc_id", "toxic"]].astype({"doc_id": "int64", "toxic": "int32"}), "doc_id long, toxic int")
     chosen = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi")  # bounded by max_labels
-    t = checkpointed(statistics(chosen, table).join(F.broadcast(ids), "doc_id"))
+    t = checkpointed(statistics(chosen, table).join(F.broadcast(ids), "doc_id"), parts_for(docs))
     clean = t.where("toxic = 0").agg(F.avg("t").alias("m"), F.stddev_samp("t").alias("s")).first()
-    if clean["s"]:
+    if clean["s"] and clean["s"] > 1e-9:  # else equal but for rounding
         scale = clean["s"] * math.sqrt(6) / math.pi
         model.location, model.scale = clean["m"] - 0.5772156649015329 * scale, scale
     elif clean["m"] is not None:
@@ -282,4 +283,4 @@ def scored(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("binary").alias("x"))
-    return whole_texts(rows).mapInArrow(run, StructType([StructField("row", rows.schema["row"].dataType), StructField("score", DoubleType()), StructField("predicted", IntegerType())]))
+    return whole_texts(rows).mapInArrow(tidy(run), StructType([StructField("row", rows.schema["row"].dataType), StructField("score", DoubleType()), StructField("predicted", IntegerType())]))
