@@ -38,7 +38,45 @@ def test_lm_against_exact_counts(spark):
     assert sum(map(len, got.values())) == len(rows)
 
 
-def test_lm_in_passes_equals_one_pass(spark):
+def test_lm_score_against_exact_pair_counts(spark, monkeypatch):
+    """Counts up to 3 are exact levels, and with 64 bits an entry wrong hits are one in a hundred thousand probes."""
+    monkeypatch.setattr(lm, "BITS", 64)
+    rng = random.Random(8)
+    pool = [f"w{i}" for i in range(3000)]
+    rows = [(i, " ".join(rng.choice(pool) for _ in range(60))) for i in range(80)] + [(90, None), (91, ""), (92, "w1 w2 w3"), (92, "w1 w2 w3")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    one, two, starts = collections.Counter(), collections.Counter(), 0
+    for i, t in rows:
+        if zlib.crc32(str(i).encode()) % 10:
+            w = [*words(t), "end"]
+            one.update(w)
+            two.update(zip(["start", *w], w))
+            starts += 1
+    assert max(n for (a, _), n in two.items() if a != "start") <= 3
+    total, floor = sum(one.values()), sum(one.values()) + 0.1 * (len(one) + 1)
+
+    def brute(t):
+        w, out = [*words(t), "end"], 0.0
+        for h, x in zip(["start", *w], w):
+            seen, base = (starts if h == "start" else one[h]), (one[x] + 0.1) / floor
+            n = two[h, x]
+            if h == "start":
+                n = float(lm.meant(lm.levels(np.array([max(n, 1)]), 1.5), 1.5)[0]) if n else 0
+            out += math.log10((min(n, seen) + 50 * base) / (seen + 50))
+        return out
+
+    for limit in (512, 0):
+        for r in lm.score(docs, segments=4, limit_mb=limit).collect():
+            wanted = {brute(t) for i, t in rows if i == r.doc_id}
+            assert any(r.score == pytest.approx(x, rel=1e-6) for x in wanted) and r.train_tokens == total
+
+
+def test_long_texts_are_scored(spark):
+    docs = spark.createDataFrame([(1, "word " * 400_000), (2, "x" * 1_000_000)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.n_tokens) for r in lm.score(docs).collect()) == [(1, 400_001), (2, 2)]
+
+
+def test_lm_dealt_by_segment_equals_one_pass(spark):
     rng = random.Random(3)
     docs = spark.createDataFrame([(i, cases.prose(rng, 400) + f" word{i * 7}" * 3 + " " + " ".join(f"u{rng.randrange(10**9)}" for _ in range(900))) for i in range(60)], "doc_id long, text string")
     one = {r.doc_id: r for r in lm.score(docs, segments=6).collect()}
@@ -95,6 +133,33 @@ def test_base_spans_against_plain_regexes():
         assert own == brute_spans(x), x
 
 
+def test_long_texts_take_linear_time():
+    import time
+
+    began = time.perf_counter()
+    pii.spans("7" * 1_000_000)
+    pii.spans("1." * 300_000)
+    pii.spans("a@" * 300_000)
+    many = " ".join(f"u{i}@h.example born 1990-01-{10 + i % 20}" for i in range(20_000))
+    found = pii.spans(many)
+    assert time.perf_counter() - began < 20 and sum(s.kind == "email" for s in found) == sum(s.kind == "birth_date" for s in found) == 20_000
+
+
+def test_further_spans_never_overlap_taken_ones():
+    rng = random.Random(2)
+    parts = ["4111 1111 1111 1111", "+44 20 7946 0958", "call 555-123-4567", "GB82 WEST 1234 5698 7654 32", "ssn 123-45-6789", "born 1990-01-31", "10.0.0.1", " ", "1", "x@y.zz"]
+    for _ in range(400):
+        found = pii.spans(rng.choice(["", " "]).join(rng.choice(parts) for _ in range(rng.randrange(8))))
+        for i, a in enumerate(found):
+            for b in found[:i]:
+                assert {a.kind, b.kind} <= set(pii.BASE) or a.end <= b.start or b.end <= a.start
+
+
+def test_pii_on_awkward_rows(spark):
+    odd = cases.awkward(spark)
+    assert pii.digest(pii.find_pii(odd)).count() == odd.count()
+
+
 def test_checksums_and_context():
     found = {s.kind: s for s in pii.spans("Pay to GB82 WEST 1234 5698 7654 32, born 1990-01-31, SSN 123-45-6789, card 4111 1111 1111 1111, a@b.co, 10.0.0.256")}
     assert {"iban", "birth_date", "ssn", "card", "email"} == set(found)
@@ -162,6 +227,14 @@ def test_toxicity_on_held_out_documents(spark):
     assert found.passages
 
 
+def test_documents_without_an_id_are_never_learnt_from(spark):
+    import pandas as pd
+
+    docs = spark.createDataFrame([(None, "gruk gruk"), (0, "calm words")], "doc_id long, text string")
+    table = toxicity.count_words(docs, pd.DataFrame({"doc_id": [-1, 0], "toxic": [1, 0]}))
+    assert table[:, 1].sum() == 0 and table[:, 0].sum() > 0
+
+
 def test_labels_of_the_held_out_fold_are_never_used(spark):
     docs, labels = toxic_table(spark, 200)
     flipped = labels.withColumn("toxic", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, 1 - F.col("toxic")).otherwise(F.col("toxic")))
@@ -169,6 +242,72 @@ def test_labels_of_the_held_out_fold_are_never_used(spark):
     assert (a.table == b.table).all() and a.location == b.location and (a.steps == b.steps).all()
 
 
+def plain_scores(docs, labels):
+    """{doc_id: score}: the operator's rule over exact counts, in plain Python; docs {id: text}, labels {id: 0 or 1}."""
+    fold = {i: zlib.crc32(str(i).encode()) % 4 for i in docs}
+    token = lambda t: re.findall(rb"[a-z\x80-\xff]+", (t or "").encode().lower())
+    parts = lambda w: [(n, w[:n]) for n in (4, 5, 6) if len(w) > n] + [(0, w)]
+    counts = collections.defaultdict(lambda: [0, 0])
+    for i, t in docs.items():
+        if i in labels and fold[i] < 2:
+            for w in token(t):
+                for k in parts(w):
+                    counts[k][labels[i]] += 1
+    whole = [1 + sum(c[j] for c in counts.values()) for j in range(2)]
+    base = whole[1] / sum(whole)
+
+    def odds(w):
+        p = base
+        for k in parts(w):
+            clean, toxic = counts.get(k, (0, 0))
+            p = (toxic + 20 * p) / (clean + toxic + 20)
+        return math.log(p / (1 - p)) - math.log(base / (1 - base)) - 1
+
+    def statistic(t):
+        w = token(t)
+        x = [odds(v) for v in w]
+        found = [sum(x[a:b]) for a, b in brute_segments(x)]
+        return math.log(sum(map(math.exp, found))) - math.log(len(w)) if found else None
+
+    stat = {i: statistic(t) for i, t in docs.items()}
+    known = [i for i in docs if i in labels and fold[i] != 2]
+    rest = [i for i in known if fold[i] == 3]
+    clean = [stat[i] for i in rest if not labels[i] and stat[i] is not None]
+    location, scale = (float(np.mean(clean)) if clean else 0.0), 1.0
+    if len(clean) > 1 and np.std(clean, ddof=1) > 1e-9:
+        scale = float(np.std(clean, ddof=1)) * math.sqrt(6) / math.pi
+        location -= 0.5772156649015329 * scale
+
+    def surprise(t):
+        if t is None:
+            return 0.0
+        z = (t - location) / scale
+        return z if z > 30 else -math.log(-math.expm1(-math.exp(-max(-50.0, z))))
+
+    place = lambda x: min(121, math.floor(x * 2) + 1)
+    prior = sum(labels[i] for i in known) / len(known)
+    steps = [[prior, 1.0] for _ in range(122)]
+    for i in rest:
+        steps[place(surprise(stat[i]))][0] += labels[i]
+        steps[place(surprise(stat[i]))][1] += 1
+    # the least of the largest means of runs around a bin: rising shares without pooling
+    total = np.concatenate(([[0.0, 0.0]], np.cumsum(steps, axis=0)))
+    share = [min(max((total[b][0] - total[a][0]) / (total[b][1] - total[a][1]) for a in range(k + 1)) for b in range(k + 1, 123)) for k in range(122)]
+    return {i: share[place(surprise(t))] + 1e-6 * min(surprise(t), 1000) / 1000 for i, t in stat.items()}
+
+
+def test_toxicity_scores_against_plain_python(spark):
+    docs, labels = toxic_table(spark, 240)
+    mixed = docs.collect()
+    rng = random.Random(5)
+    mixed = {r.doc_id: r.text + (" fnord" if rng.random() < 0.1 else "") for r in mixed} | {900: None, 901: "", 902: "12 34"}
+    known = {r.doc_id: r.toxic for r in labels.collect()}
+    df = spark.createDataFrame(list(mixed.items()), "doc_id long, text string")
+    want = plain_scores(mixed, known)
+    for r in toxicity.scored(df, toxicity.fit(df, labels)).collect():
+        assert r.score == pytest.approx(want[r.row.doc_id], abs=1e-9) and r.predicted == int(r.score >= 0.3)
+
+
 def test_toxicity_edge_rows(spark):
     docs, labels = toxic_table(spark, 100)
     model = toxicity.fit(docs, labels)
@@ -203,6 +342,33 @@ def test_merkle_against_brute_force(spark):
             assert (prints[i] == prints[j]) == (text[i] == text[j])
 
 
+def brute_leaves(text):
+    marks, out = ".!?;:,|\n", set()
+    for a, b, most in ((0, 32, 6), (32, 256, 24), (256, None, 96)):
+        pattern = f"(?s)[^{re.escape(marks)}]{{1,{most}}}[{re.escape(marks)}]{{0,16}}|[{re.escape(marks)}]{{1,16}}"
+        out |= {(hashlib.md5(x.encode()).hexdigest()[:8], len(x)) for x in re.findall(pattern, text[a:b])}
+    return out
+
+
+def brute_likeness(a, b):
+    if a == b:
+        return 1.0
+    x, y = brute_leaves(a), brute_leaves(b)
+    most = max(sum(n for _, n in s) for s in (x, y))
+    return sum(n for _, n in x & y) / most if most else 0.0
+
+
+def test_likeness_against_brute_force(spark):
+    rng = random.Random(3)
+    text = {i: ". ".join(cases.prose(rng, rng.randrange(1, 12)) for _ in range(rng.randrange(6))) for i in range(30)}
+    text |= {40: text[3], 41: text[3] + " more", 42: "", 43: None, 44: "\n" * 50, 45: "é日🙂" * 40, 46: "z" * 200_000}
+    ids = sorted(text)
+    for r in merkle.compare_edited(spark.createDataFrame(list(text.items()), "doc_id long, text string"), 4).collect():
+        a, b = text[r.doc_id] or "", text[ids[(ids.index(r.doc_id) + 1) % len(ids)]] or ""
+        edited = a[: len(a) - len(a) // 2] + b[: len(a) // 2]
+        assert r.near_edited == pytest.approx(brute_likeness(a, edited)) and r.near_next == pytest.approx(brute_likeness(a, b))
+
+
 def test_merkle_locates_edits(spark):
     a = "Head.\n\nOne line here.\nTwo line here.\n\nTail part."
     df = spark.createDataFrame([(a, a.replace("Two", "Three"))], "a string, b string")
@@ -239,6 +405,56 @@ def test_trees_learn_from_the_rules(spark):
     assert got[500] == "block" and got[501] == "allow"
 
 
+def plain_features(url):
+    m = re.match(r"(?s)\A.*?://([^/?#]*)([^?#]*)", url or "")
+    host, path = (m[1].translate(str.maketrans(urls.UPPER, urls.LOWER)), m[2]) if m else ("", "")
+    u, n = url or "", max(1, len(url or ""))
+    ent = lambda x: -sum(c / len(x) * math.log2(c / len(x)) for c in collections.Counter(x).values()) if x else 0.0
+    count = lambda x, s: sum(c in s for c in x)
+    x = [len(u), len(host), len(path), path.count("/"), host.count("."), count(u, "0123456789") / n, count(host, "0123456789"), host.count("-"), ent(u), ent(host), u.count("="), u.count("&"), u.count("#"), u.count("%"), float(u.startswith("https"))]
+    parts = host.split(".")
+    return host, path, x, (parts[-1], ".".join(parts[-2:]), "/".join(path.split("/")[:2]).split("/")[-1])
+
+
+def plain_tree(node, x):
+    while node.subtreeDepth():
+        s = node.split()
+        node = node.leftChild() if x[s.featureIndex()] <= s.threshold() else node.rightChild()
+    return node.prediction()
+
+
+def test_verdicts_against_plain_trees(spark):
+    rng = random.Random(6)
+    given = []
+    for i in range(400):
+        host = rng.choice(["a", "spam-9", "shop1"]) + "." + rng.choice(["example.net", "example.com", "b.org", "c.net", "d.io"])
+        given.append(f"{rng.choice(['http', 'https'])}://{host}/{rng.choice(['de', 'en', 'fr', 'it'])}/{rng.randrange(10**6)}" + rng.choice(["", "?a=1&b=2", "#x%20"]))
+    given += [None, "", "no scheme", "http://x.io/é?" + "a=1&" * 20_000]
+    pages = spark.createDataFrame(list(enumerate(given)), "page_id long, url string")
+    own = urls.with_features(pages).collect()
+    assert all((r.host, r.path) == plain_features(given[r.page_id])[:2] and list(r.x) == pytest.approx(plain_features(given[r.page_id])[2]) for r in own)
+    known = {r.page_id: r.known for r in own if r.known}
+    share = sum(v == "block" for v in known.values()) / len(known)
+    stored = urls.checkpointed(urls.with_features(pages))
+    model = urls.fit(stored, urls.suffix_counts(stored), share, len(known), 50_000, 10, 4)
+    tally = [collections.defaultdict(list) for _ in range(3)]
+    for i, v in known.items():
+        for k, s in enumerate(plain_features(given[i])[3]):
+            tally[k][s].append(v == "block")
+    weights = list(model.treeWeights)
+    roots = [t._call_java("rootNode") for t in model.trees]
+    for r in urls.judge(pages).collect():
+        _, _, x, suffixes = plain_features(given[r.page_id])
+        x = x + [(sum(tally[k][s]) + share) / (len(tally[k][s]) + 1) for k, s in enumerate(suffixes)]
+        vote = sum(w * plain_tree(t, x) for w, t in zip(weights, roots))
+        assert r.verdict == known.get(r.page_id, "block" if vote > 0 else "allow")
+
+
+def test_clashing_columns_and_equal_rows(spark):
+    pages = spark.createDataFrame([(1, "http://a.net/x", "h", "p", 2), (1, "http://a.net/x", "h", "p", 2), (None, None, None, None, None)], "page_id long, url string, host string, rule string, x int")
+    assert sorted((r.page_id or 0, r.host, r.verdict) for r in urls.judge(pages).collect()) == [(0, "", "block"), (1, "a.net", "block"), (1, "a.net", "block")]
+
+
 def test_suffixes_are_counted_over_all_labels(spark, monkeypatch):
     rng = random.Random(4)
     kinds = [rng.random() < 0.5 for _ in range(600)]  # whether a domain's urls are blocked: nothing else tells
