@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tracewright.functions import exprs as X
 from tracewright.functions import sdf
+from tracewright.operators import code as ccode
 from tracewright.operators import features, graph, rules, scopes
 from tracewright.operators import trace as T
 from tracewright.plans import fixtures
@@ -883,3 +884,17 @@ def sampled_policy(spark, d):
     """M6: the greedy policy after sampled training is the known one."""
     t = fixtures.transition_table(spark)
     return features.greedy(t, features.sampled_values(t, [0], [22], seed=3), [22])
+
+
+@query("SELECT p_partkey AS file, p_size % 3 - 1 AS max_loop_depth, p_partkey % 4 + 1 AS calls, p_size % 3 AS for_loops, p_partkey % 2 AS ifs, p_partkey % 2 AS empty_ifs, CASE WHEN p_size % 3 > 0 AND p_size % 5 <> 1 THEN 1 ELSE 0 END AS non_unit_steps, p_size % 4 AS ternaries, CASE WHEN p_size % 3 > 0 AND p_partkey % 3 = 1 THEN 1 ELSE 0 END AS shifted_writes, CASE WHEN p_size % 3 > 0 THEN p_partkey % 2 ELSE 0 END AS irregular_loops FROM part")
+def code_features(spark, d):
+    """Code with as many loops, calls and branches as its part says."""
+    p = table(spark, d, "part")
+    many = lambda text, n: F.array_join(F.array_repeat(F.lit(text), n.cast("int")), " ")
+    loops, size = F.col("p_size") % 3, F.col("p_size") % 5
+    inner = F.concat(F.lit("v[i"), F.when(F.col("p_partkey") % 3 == 1, " + 1").otherwise(""), F.lit("] = 2;"), F.when(F.col("p_partkey") % 2 == 1, " break;").otherwise(""))
+    step = F.when(size == 1, "i++").otherwise(F.concat(F.lit("i += "), (size + 2).cast("string")))
+    body = F.when(loops == 0, "").when(loops == 1, F.concat(F.lit("for (i = 0; i < 9; "), step, F.lit(") { "), inner, F.lit(" }"))).otherwise(F.concat(F.lit("for (j = 0; j < 9; j++) for (i = 0; i < 9; "), step, F.lit(") { "), inner, F.lit(" }")))
+    code = F.concat(F.lit("int f(int a, int b) { int i, j, v[9]; /* if (x) */ "), many("g(a);", F.col("p_partkey") % 4 + 1), F.lit(" "), many("if (a) { }", F.col("p_partkey") % 2), F.lit(" "), many("b = a ? 1 : 2;", F.col("p_size") % 4), F.lit(" "), body, F.lit(" return b; }"))
+    found = features.named(ccode.code_features(p.select(F.col("p_partkey").alias("file"), code.alias("value"))))
+    return found.select("file", "max_loop_depth", "calls", "for_loops", "ifs", "empty_ifs", "non_unit_steps", "ternaries", "shifted_writes", "irregular_loops")
