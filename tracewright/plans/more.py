@@ -225,9 +225,9 @@ def maxplus_first_order(spark, d):
     return graph.first_order(spark.createDataFrame([(2, "x", "x", 5), (1, "y", "x", 1)], "delay int, r string, c string, v long"))
 
 
-@query("WITH RECURSIVE l AS (SELECT DISTINCT c_nationkey AS src, c_custkey % 40 AS dst FROM customer WHERE c_custkey % 3 <> 0 AND c_nationkey % 4 <> 1), r AS (SELECT src, dst FROM l UNION SELECT r.src, l.dst FROM r JOIN l ON r.dst = l.src) SELECT src, dst FROM l WHERE EXISTS (SELECT 1 FROM r WHERE r.src = l.dst AND r.dst = l.src)")
+@query("WITH RECURSIVE l AS (SELECT DISTINCT c_custkey % 40 AS src, (c_custkey * 3 + c_nationkey) % 55 AS dst FROM customer), r AS (SELECT src, dst FROM l UNION SELECT r.src, l.dst FROM r JOIN l ON r.dst = l.src) SELECT src, dst FROM l WHERE EXISTS (SELECT 1 FROM r WHERE r.src = l.dst AND r.dst = l.src)")
 def cycle_edges(spark, d):
-    n = table(spark, d, "customer").where("c_custkey % 3 <> 0 and c_nationkey % 4 <> 1").select(F.col("c_nationkey").cast("long").alias("src"), (F.col("c_custkey") % 40).alias("dst")).distinct()
+    n = table(spark, d, "customer").select((F.col("c_custkey") % 40).alias("src"), ((F.col("c_custkey") * 3 + F.col("c_nationkey")) % 55).alias("dst")).distinct()
     return graph.inside_components(n)
 
 

@@ -594,10 +594,25 @@ def _register() -> None:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {n: f for n, f in every().items() if n not in _golden()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {n: s for n, s in every_sql().items() if n not in _golden()}
+
+
+def _golden() -> set[str]:
+    from tracewright.plans.tables import GOLDEN
+
+    return GOLDEN
+
+
+def every() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """Also the queries over small fixtures, which only the unit tests run."""
     _register()
     return dict(QUERIES)
 
 
-def oracle_sql() -> dict[str, str]:
+def every_sql() -> dict[str, str]:
     _register()
     return dict(SQL)

@@ -397,10 +397,10 @@ def texts_and_keys(spark, d):
     return e.select("seq", F.get(parts, F.lit(2)).alias("third"), X.vector_key(F.array("task", "seq", F.lit(7))).alias("key"))
 
 
-@query("WITH p AS (SELECT n FROM range(2, 3000) t(n) WHERE NOT EXISTS (SELECT 1 FROM range(2, 55) s(m) WHERE m * m <= n AND n % m = 0)) SELECT x.p_partkey + 1 AS n, gcd(x.p_partkey + 1, x.p_size) AS g, gcd(x.p_partkey + 1, x.p_size) AS combined, x.p_partkey + 1 AS product, (SELECT count(*) FROM p WHERE (x.p_partkey + 1) % p.n = 0) AS primes FROM part x WHERE x.p_partkey < 2900")
+@query("WITH p AS (SELECT n FROM range(2, (SELECT max(p_partkey) + 2 FROM part)) t(n) WHERE NOT EXISTS (SELECT 1 FROM range(2, 500) s(m) WHERE m * m <= n AND n % m = 0)) SELECT x.p_partkey + 1 AS n, gcd(x.p_partkey + 1, x.p_size) AS g, gcd(x.p_partkey + 1, x.p_size) AS combined, x.p_partkey + 1 AS product, (SELECT count(*) FROM p WHERE (x.p_partkey + 1) % p.n = 0) AS primes FROM part x")
 def number_theory(spark, d):
     """A and b combine to their gcd; factors multiply to the number; distinct primes."""
-    p = table(spark, d, "part").where("p_partkey < 2900").select((F.col("p_partkey") + 1).alias("n"), F.col("p_size").cast("long").alias("m"))
+    p = table(spark, d, "part").select((F.col("p_partkey") + 1).alias("n"), F.col("p_size").cast("long").alias("m"))
     p = p.withColumn("e", X.xgcd(F.col("n"), F.col("m"))).withColumn("f", X.prime_factors(F.col("n")))
     return p.select("n", F.get("e", F.lit(0)).alias("g"), (F.col("n") * F.get("e", F.lit(1)) + F.col("m") * F.get("e", F.lit(2))).alias("combined"), F.aggregate("f", F.lit(1).cast("long"), lambda a, b: a * b).alias("product"), F.size(F.array_distinct("f")).cast("long").alias("primes"))
 
@@ -738,10 +738,10 @@ def graphs_without_sinks(spark, d):
     return graph.remove_sinks(nodes, edges)[0]
 
 
-@query("WITH RECURSIVE l AS (SELECT DISTINCT c_nationkey AS src, c_custkey % 97 AS dst FROM customer WHERE c_custkey % 97 > 10), r AS (SELECT src, dst FROM l UNION SELECT r.src, l.dst FROM r JOIN l ON r.dst = l.src), n AS (SELECT src AS node FROM l UNION SELECT dst FROM l) SELECT n.node, least(n.node, coalesce((SELECT min(a.dst) FROM r a WHERE a.src = n.node AND EXISTS (SELECT 1 FROM r b WHERE b.src = a.dst AND b.dst = n.node)), n.node)) AS component FROM n")
+@query("WITH RECURSIVE l AS (SELECT DISTINCT c_custkey % 60 AS src, (c_custkey * 7 + c_nationkey) % 90 AS dst FROM customer), r AS (SELECT src, dst FROM l UNION SELECT r.src, l.dst FROM r JOIN l ON r.dst = l.src), n AS (SELECT src AS node FROM l UNION SELECT dst FROM l) SELECT n.node, least(n.node, coalesce((SELECT min(a.dst) FROM r a WHERE a.src = n.node AND EXISTS (SELECT 1 FROM r b WHERE b.src = a.dst AND b.dst = n.node)), n.node)) AS component FROM n")
 def strong_components(spark, d):
     """G3."""
-    c = table(spark, d, "customer").where("c_custkey % 97 > 10").select(F.col("c_nationkey").cast("long").alias("src"), (F.col("c_custkey") % 97).alias("dst")).distinct()
+    c = table(spark, d, "customer").select((F.col("c_custkey") % 60).alias("src"), ((F.col("c_custkey") * 7 + F.col("c_nationkey")) % 90).alias("dst")).distinct()
     return graph.strong_components(c)
 
 
@@ -898,3 +898,53 @@ def code_features(spark, d):
     code = F.concat(F.lit("int f(int a, int b) { int i, j, v[9]; /* if (x) */ "), many("g(a);", F.col("p_partkey") % 4 + 1), F.lit(" "), many("if (a) { }", F.col("p_partkey") % 2), F.lit(" "), many("b = a ? 1 : 2;", F.col("p_size") % 4), F.lit(" "), body, F.lit(" return b; }"))
     found = features.named(ccode.code_features(p.select(F.col("p_partkey").alias("file"), code.alias("value"))))
     return found.select("file", "max_loop_depth", "calls", "for_loops", "ifs", "empty_ifs", "non_unit_steps", "ternaries", "shifted_writes", "irregular_loops")
+
+
+@query("SELECT p_partkey, array_to_string(list_concat(list_transform(range(p_size % 4), lambda i: p_partkey % 9), [p_size]), ',') AS parsed FROM part")
+def run_length_rates(spark, d):
+    """Rates written as `[n * v, m]`."""
+    rates = text_of("[", F.col("p_size") % 4, " * ", F.col("p_partkey") % 9, ", ", F.col("p_size"), "]")
+    return table(spark, d, "part").select("p_partkey", F.array_join(X.parse_rates(rates).cast("array<string>"), ",").alias("parsed"))
+
+
+@query("SELECT p_partkey, CAST(p_size % 7 AS INT) AS code FROM part")
+def scope_codes(spark, d):
+    """Codes to names and back."""
+    return table(spark, d, "part").select("p_partkey", X.scope_code(X.scope_kind((F.col("p_size") % 7).cast("int"))).alias("code"))
+
+
+@query("{EV}, m AS (SELECT task AS state, cents % 5 AS action, max(seq) AS next_state, count(*) AS q FROM e GROUP BY ALL), b AS (SELECT state, max(q) AS q FROM m GROUP BY 1), a AS (SELECT state, min(action) AS action FROM m JOIN b USING (state, q) GROUP BY 1) SELECT a.state, a.action, m.next_state FROM a JOIN m USING (state, action) WHERE a.state NOT IN (1, 2)")
+def greedy_moves(spark, d):
+    """The best rule of each state and where it leads; goals have none."""
+    m = events(spark, d).groupBy(F.col("task").alias("state"), (F.col("cents") % 5).alias("action")).agg(F.max("seq").alias("next_state"), F.count("*").alias("q"))
+    return features.greedy(m.drop("q"), m.drop("next_state"), [1, 2])
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS graph_id, 1 AS scales FROM part")
+def channel_scales(spark, d):
+    """G1: scale times rate times firings is the same for all channels of a graph."""
+    a, c = _pairs(spark, d)
+    q = graph.repetition(a, c).select("graph_id", F.col("actor").alias("src"), F.col("q").cast("long").alias("q"))
+    each = graph.channel_scale(a, c).join(c, ["graph_id", "src", "dst"]).join(q, ["graph_id", "src"])
+    return each.groupBy("graph_id").agg(F.countDistinct(F.col("s") * F.get("production", F.lit(0)) * F.col("q")).alias("scales"))
+
+
+@query(UNITS + " SELECT graph_id, true AS holds FROM y")
+def graph_schedules(spark, d):
+    """Starts from 0 that wait for what they depend on, within the period."""
+    a, c = _units(spark, d)
+    s = graph.schedule(a, c).withColumn("t", F.col("start_num") / F.col("start_den"))
+    ends = s.join(a, ["graph_id", "actor"]).select("graph_id", F.col("actor").alias("src"), (F.col("t") + F.get("wcet", F.lit(0))).alias("end"))
+    starts = s.select("graph_id", F.col("actor").alias("dst"), F.col("t").alias("start"))
+    period = graph.throughput(a, c).select("graph_id", (F.col("num") / F.col("den")).alias("period"))
+    each = c.join(ends, ["graph_id", "src"]).join(starts, ["graph_id", "dst"]).join(period, "graph_id")
+    return each.groupBy("graph_id").agg((F.bool_and(F.col("start") >= F.col("end") - F.col("period") * F.col("tokens") - 1e-9) & (F.min("start") == 0)).alias("holds"))
+
+
+#: Published or hand-worked values of small fixtures, and queries that a larger one above takes the place of: for the unit tests.
+GOLDEN = set(
+    "change_coverage parameter_links memory_propagation scope_roll_up sdf_repetition sdf_hsdf_size sdf_throughput sdf_channel_scale sdf_liveness sdf_schedule multi_rate_size "
+    "single_rate_upper_bounds max_cycle_ratio max_cycle_mean buffer_sizes critical_cycle reverse_channels marking_simulation maxplus_first_order minimum_parameters greedy_policy "
+    "feature_vector_check chosen_change decision_tree period_representatives lexical_features cycle_sums parsed_rates scope_kinds sampled_policy sssp sssp_verified "
+    "sssp_negative_cycle without_sinks maxplus_star state_stack scc_components stacked_pushes primes modular_inverses".split()
+)
