@@ -80,11 +80,39 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", (id_crc("row.doc_id") % 4 == 2).alias("held_out"), "score", "predicted")
 
 
+def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op6_merkle that SQL can express."""
+    from tracewright.llm.merkle import compare_edited
+
+    return compare_edited(table(spark, sf_dir, "documents")).select("doc_id", "n_chars", "edited_sha256")
+
+
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op9_url_filter that SQL can express."""
+    from tracewright.llm.urls import with_features
+
+    return with_features(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "known")
+
+
+SQL = {
+    "edited_texts": """
+WITH n AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(lead(coalesce(text, '')) OVER (ORDER BY doc_id), first_value(coalesce(text, '')) OVER (ORDER BY doc_id)) AS f FROM documents)
+SELECT doc_id, length(t) AS n_chars, sha256(left(t, length(t) - length(t) // 2) || left(f, length(t) // 2)) AS edited_sha256 FROM n""",
+    "url_rules": """
+WITH p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
+r AS (SELECT *, CASE WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
+  WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
+  WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
+  WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule FROM p)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS known FROM r""",
+}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op2_decontamination, op3_log_frequency_lm, op4_simhash, op5_best_fit_packing, op6_merkle, op7_pii, op8_line_templates, op9_url_filter, op10_toxicity)}
+    return {f.__name__: f for f in (op1_token_files, op2_decontamination, op3_log_frequency_lm, op4_simhash, op5_best_fit_packing, op6_merkle, op7_pii, op8_line_templates, op9_url_filter, op10_toxicity, edited_texts, url_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
     from tracewright.llm import decontaminate, line_templates
 
-    return {"op2_decontamination": decontaminate.ORACLE, "op8_line_templates": line_templates.ORACLE}
+    return SQL | {"op2_decontamination": decontaminate.ORACLE, "op8_line_templates": line_templates.ORACLE}
