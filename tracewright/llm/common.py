@@ -21,6 +21,9 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]+"
 
 
+_MARKED: set[str] = set()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -29,8 +32,13 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="tracewright-")
         spark.conf.set("spark.checkpoint.dir", path)
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(path)
+    context = spark.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(path)
+    if context.applicationId not in _MARKED:  # the application's own folder in it goes when the driver ends
+        _MARKED.add(context.applicationId)
+        own = spark._jvm.org.apache.hadoop.fs.Path(context._jsc.sc().getCheckpointDir().get())
+        own.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(own)
     return path.rstrip("/")
 
 
@@ -51,12 +59,13 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 PART_BYTES = 6 << 20  # of input for each file of an intermediate table
+LEAST_PARTS = 8  # so that small inputs are still worked on by several tasks
 
 
 def parts_for(df: DataFrame) -> int:
     """How many files a table about as large as df should have, by the planner's estimate of its bytes: a table written as one file for each
     shuffle partition would be thousands of small files where its input is small. Only lowers the number of partitions, never raises it."""
-    return max(1, min(1_000_000, -(-int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // PART_BYTES)))
+    return max(LEAST_PARTS, min(1_000_000, -(-int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // PART_BYTES)))
 
 
 def checkpointed(df: DataFrame, parts: int | None = None) -> DataFrame:

@@ -81,7 +81,7 @@ def contained(docs: DataFrame, items: DataFrame, share: float = 0.8, width: int
 
     texts = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
     own = texts.select("doc_id", words("text").alias("words"))
-    found = checkpointed(search(own, index.select("item_id", "width", "h"), ["h"]).select("doc_id", "item_id").distinct(), -(-parts_for(texts) // 4))
+    found = checkpointed(search(own, index.select("item_id", "width", "h"), ["h"]).select("doc_id", "item_id").distinct(), parts_for(texts))
     again = texts.join(found.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", words("text").alias("words"))
     have = search(again, shingles.select("width", "h", "s").distinct(), ["h", "s"], "left_semi").distinct()
     n = Window.partitionBy("item_id")

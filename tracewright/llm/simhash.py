@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import checkpointed, components, parts_for, tidy, whole_texts
+from tracewright.llm.common import LEAST_PARTS, checkpointed, components, parts_for, tidy, whole_texts
 
 CHUNK = 8192  # fingerprints whose codes one task holds at a time: 136 MB
 BLOCK = 512  # fingerprints whose variants are made at a time
@@ -235,7 +235,7 @@ def ball_links(fps: DataFrame, radius: int = 4, files: int | None = None) -> Dat
 def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4) -> DataFrame:
     """(doc_id, hash, fp, fingerprint, component_id) for every row of docs; hash: of its text."""
     files = parts_for(docs)
-    few = -(-files // 4)  # tables of a few numbers for each row
+    few = max(LEAST_PARTS, files // 4)  # tables of a few numbers for each row
     own = checkpointed(fingerprints(docs, width), files)
     nodes = checkpointed(own.groupBy("fp").agg(F.min("doc_id").alias("least")), few)
     roots = components(ball_links(nodes, radius, few), few).select(F.col("node").alias("fp"), "root")
