@@ -218,6 +218,23 @@ def test_distort_and_parallelism():
     assert sdf.pushed_parallelism(a, c[:2], "b") == 3
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["put", "remove", "pop"]), st.integers(0, 5), st.integers(0, 9)), max_size=40))
+def test_keyed_heap_against_a_plain_list(steps):
+    heap, plain = sdf.KeyedHeap(), {}
+    for n, (what, key, priority) in enumerate(steps):
+        if what == "put":
+            heap.put(key, priority)
+            plain[key] = (priority, n)
+        elif what == "remove" and key in plain:
+            heap.remove(key)
+            del plain[key]
+        elif what == "pop" and plain:
+            best = min(plain, key=plain.get)
+            assert heap.first() == heap.pop() == (best, plain.pop(best)[0])
+        assert len(heap) == len(plain) and all((k in heap) == (k in plain) for k in range(6))
+
+
 # numbers, signals, code ---------------------------------------------------------------------------------------------
 
 

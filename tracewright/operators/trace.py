@@ -483,6 +483,37 @@ def after_first_global(events: DataFrame, keys: Sequence[str], is_global: Column
     return events.join(first, list(keys)).where("seq >= _g").drop("_g")
 
 
+def drop_states(intervals: DataFrame, excluded: Sequence, column: str = "state") -> DataFrame:
+    """intervals without those of excluded states; an unknown state stays."""
+    return intervals.where(~F.coalesce(F.col(column).isin(list(excluded)), F.lit(False)))
+
+
+def long_bursts(bursts_: DataFrame, least: int, dur: str = "dur") -> DataFrame:
+    """Bursts longer than least."""
+    return bursts_.where(F.col(dur) > least)
+
+
+def event_counts(events: DataFrame, keys: Sequence[str], name: str = "n") -> DataFrame:
+    """How many events each combination of the keys has; added up where they are before they are shuffled."""
+    return events.groupBy(*keys).agg(F.count("*").alias(name))
+
+
+def sizes(records: DataFrame, keys: Sequence[str], payload: str, name: str = "bytes") -> DataFrame:
+    """Bytes of the payloads of each key; a null one has none."""
+    return records.groupBy(*keys).agg(F.coalesce(F.sum(F.octet_length(payload)), F.lit(0)).alias(name))
+
+
+def running_max(events: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, name: str) -> DataFrame:
+    """The largest value (such as the number of a virtual thread) of each thread so far."""
+    return events.withColumn(name, F.max(value).over(over(keys, order).rowsBetween(*RUNNING)))
+
+
+def reduced(events: DataFrame, keys: Sequence[str], most: dict[str, Column] = {}, sums: dict[str, Column] = {}, any_: dict[str, Column] = {}) -> DataFrame:  # noqa: B006
+    """Maxima, sums and disjunctions of what workers have, partly on each and then over all."""
+    out = [F.max(c).alias(n) for n, c in most.items()] + [F.sum(c).alias(n) for n, c in sums.items()] + [F.bool_or(c).alias(n) for n, c in any_.items()]
+    return events.groupBy(*keys).agg(*out)
+
+
 # dictionaries -----------------------------------------------------------------------------------------------------
 
 

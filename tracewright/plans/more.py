@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from fractions import Fraction
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tracewright.functions import exprs as X
@@ -21,7 +20,7 @@ from tracewright.streaming import signals
 
 @query(INTERVALS + " SELECT task, t0, t1, state FROM v WHERE state NOT IN ('error')")
 def excluded_states(spark, d):
-    return T.next_event_intervals(events(spark, d), ["task"], "time", "seq", "type").where("state <> 'error'")
+    return T.drop_states(T.next_event_intervals(events(spark, d), ["task"], "time", "seq", "type"), ["error"])
 
 
 @query("WITH m AS (SELECT * FROM (VALUES ('click', 50000001), ('view', 50000002)) t(type, grouped)) SELECT event_id AS seq, m.grouped FROM events LEFT JOIN m ON m.type = event_type")
@@ -32,28 +31,22 @@ def type_translation(spark, d):
 
 @query("SELECT event_type AS type, count(*) AS n FROM events GROUP BY 1")
 def event_counts(spark, d):
-    return events(spark, d).groupBy("type").agg(F.count("*").alias("n"))
+    return T.event_counts(events(spark, d), ["type"])
 
 
 @query("SELECT user_id % 16 AS worker, CAST(sum(octet_length(CAST(props AS BLOB))) AS BIGINT) AS bytes FROM events GROUP BY 1")
 def size_per_worker(spark, d):
-    return table(spark, d, "events").groupBy((F.col("user_id") % 16).alias("worker")).agg(F.sum(F.octet_length("props")).alias("bytes"))
+    return T.sizes(table(spark, d, "events").withColumn("worker", F.col("user_id") % 16), ["worker"], "props")
 
 
 @query("{EV} SELECT seq, max(cents % 13) OVER (PARTITION BY task ORDER BY seq ROWS UNBOUNDED PRECEDING) AS virtual_thread FROM e")
 def max_virtual_thread(spark, d):
-    w = Window.partitionBy("task").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    return events(spark, d).select("seq", F.max(F.col("cents") % 13).over(w).alias("virtual_thread"))
-
-
-@query("SELECT l_returnflag, round(avg(l_quantity), 6) AS mean, round(stddev_pop(l_quantity), 6) AS std FROM lineitem GROUP BY 1")
-def scan_statistics(spark, d):
-    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.round(F.avg("l_quantity"), 6).alias("mean"), F.round(F.stddev_pop("l_quantity"), 6).alias("std"))
+    return T.running_max(events(spark, d), ["task"], ["seq"], F.col("cents") % 13, "virtual_thread").select("seq", "virtual_thread")
 
 
 @query("{EV} SELECT task % 10 AS node, max(cents) AS most, CAST(sum(cents) AS BIGINT) AS whole, bool_or(type = 'error') AS failed FROM e GROUP BY 1")
 def reduced_over_workers(spark, d):
-    return events(spark, d).groupBy((F.col("task") % 10).alias("node")).agg(F.max("cents").alias("most"), F.sum("cents").alias("whole"), F.bool_or(is_("error")).alias("failed"))
+    return T.reduced(events(spark, d).withColumn("node", F.col("task") % 10), ["node"], {"most": F.col("cents")}, {"whole": F.col("cents")}, {"failed": is_("error")})
 
 
 @query("{EV}, r AS (SELECT time // 86400000000 AS day, unnest([type, 'cycles']) AS counter, unnest([cents, seq]) AS v FROM e), c AS (SELECT time // 86400000000 AS day, count(*) AS n FROM e GROUP BY 1) SELECT r.day, r.counter, CAST(sum(r.v) AS BIGINT) AS n FROM r JOIN c USING (day) GROUP BY r.day, r.counter, c.n HAVING count(*) = c.n")
@@ -64,7 +57,7 @@ def counter_sums_common(spark, d):
 
 @query(BURSTS + " SELECT task, ts, dur FROM b WHERE dur > 3600000000")
 def burst_mode(spark, d):
-    return _bursts(spark, d).where("dur > 3600000000")
+    return T.long_bursts(_bursts(spark, d), 3_600_000_000)
 
 
 @query(SIDES + " SELECT task, count(*) FILTER (r.seq IS NOT NULL) AS matched, count(*) FILTER (r.seq IS NULL) AS unmatched FROM s LEFT JOIN r USING (task, k) GROUP BY task")

@@ -10,9 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewright.functions.exprs import floor_div
 from tracewright.operators.graph import components
-from tracewright.operators.trace import running_total
+from tracewright.operators.trace import long_bursts, running_total
 from tracewright.session import checkpointed
 
 
@@ -148,7 +147,7 @@ def stream_energy(samples: DataFrame, key: str, rails: Sequence[str]) -> DataFra
 
 def stream_bursts(events: DataFrame, key: str, least: int) -> DataFrame:
     """T11, W14 on a stream of burst ends (key, ts, dur): bursts longer than least, in one-minute windows with late data up to ten minutes."""
-    return events.where(F.col("dur") > least).withWatermark("ts", "10 minutes").groupBy(F.window("ts", "1 minute"), key).agg(F.count("*").alias("n"), F.sum("dur").alias("dur"))
+    return long_bursts(events, least).withWatermark("ts", "10 minutes").groupBy(F.window("ts", "1 minute"), key).agg(F.count("*").alias("n"), F.sum("dur").alias("dur"))
 
 
 def detail_policy(bursts: DataFrame, zones: DataFrame, min_dur: int) -> DataFrame:
