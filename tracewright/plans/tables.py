@@ -941,6 +941,29 @@ def graph_schedules(spark, d):
     return each.groupBy("graph_id").agg((F.bool_and(F.col("start") >= F.col("end") - F.col("period") * F.col("tokens") - 1e-9) & (F.min("start") == 0)).alias("holds"))
 
 
+@query("WITH RECURSIVE m AS (SELECT CAST(n_nationkey AS INT) AS s, CAST((n_nationkey * 3 + a * a) % 25 AS INT) AS t FROM nation, range(3) r(a)), d AS (SELECT 24 AS s, 0 AS k UNION SELECT m.s, d.k + 1 FROM m JOIN d ON m.t = d.s WHERE d.k < 25), f AS (SELECT s, min(k) AS k FROM d GROUP BY 1) SELECT w.way, f.s AS state, CASE WHEN w.way = 'iterated' THEN f.k END AS steps, true AS arrives FROM f, (VALUES ('iterated'), ('sampled')) w(way) WHERE f.k > 0")
+def learnt_policies(spark, d):
+    """M6: the policy of value iteration takes the shortest way to the goal, that of sampled training gets there, from every state that can."""
+    n = table(spark, d, "nation").select(F.col("n_nationkey").cast("int").alias("state"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("action"))
+    moves = n.withColumn("next_state", ((F.col("state") * 3 + F.col("action") * F.col("action")) % 25).cast("int"))
+    ways = {"iterated": features.value_iteration(moves, [24]), "sampled": features.sampled_values(moves, list(range(24)), [24], episodes=300, seed=5)}
+    out = None
+    for way, q in ways.items():
+        to = {r["state"]: r["next_state"] for r in features.greedy(moves, q, [24]).collect()}  # one row for each state
+
+        def walked(s: int, to: dict = to) -> int | None:
+            for k in range(1, 26):
+                s = to.get(s, -1)
+                if s == 24:
+                    return k
+            return None
+
+        rows = [(way, s, walked(s) if way == "iterated" else None, walked(s) is not None) for s in to]
+        found = spark.createDataFrame(rows, "way string, state int, steps int, arrives boolean").where("arrives")
+        out = found if out is None else out.union(found)
+    return out
+
+
 #: Published or hand-worked values of small fixtures, and queries that a larger one above takes the place of: for the unit tests.
 GOLDEN = set(
     "change_coverage parameter_links memory_propagation scope_roll_up sdf_repetition sdf_hsdf_size sdf_throughput sdf_channel_scale sdf_liveness sdf_schedule multi_rate_size "
