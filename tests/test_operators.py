@@ -282,6 +282,17 @@ def test_phase_schedule_waits_longer_without_a_find(spark):
     assert got == [(0, 10, True), (10, 20, False), (20, 35, False), (35, 57.5, False), (57.5, 91.25, False)]
 
 
+def test_late_samples_take_no_energy_away(spark, tmp_path):
+    for n, rows in enumerate(([("a", 0, 2.0), ("a", 1000, 4.0)], [("a", 500, 9.0), ("a", 1000, 7.0), ("a", 2000, 6.0)])):
+        spark.createDataFrame(rows, "k string, t_ms long, w double").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in{n}")
+    got = []
+    stream = spark.readStream.schema("k string, t_ms long, w double").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in*")
+    query = signals.stream_energy(stream, "k", ["w"]).writeStream.outputMode("update").foreachBatch(lambda rows, n: got.extend((r.t_ms, r.energy_j) for r in rows.collect())).option("checkpointLocation", f"{tmp_path}/ck").start()
+    query.processAllAvailable()
+    query.stop()
+    assert got == [(1000, 4.0), (2000, 10.0)]
+
+
 def test_features_of_code():
     text = """
 int total; struct point { int x; int y; };
