@@ -15,7 +15,8 @@ each range's first document is also put at the end of the range before.
 
 Defined cases: a null text is empty; an empty text is one empty paragraph, of likeness 1 to empty texts and 0 to
 others; null doc_ids come first; rows with one doc_id are ordered by text; the only document of a table is its own
-next; an empty table gives an empty result; other columns are ignored.
+next; an empty table gives an empty result; other columns are ignored;
+a very long text is one row, whose fingerprint is about a third as long (0.32 of it for texts over 5,000 characters).
 """
 
 from __future__ import annotations

@@ -8,7 +8,7 @@ a third of all documents share is spread over all tasks.
 
 Defined cases: a null text is empty, and an empty text is one piece with only the end id; equal doc_ids or rows
 are separate documents, with equal digests; null doc_ids are kept; an empty table gives an empty result; other
-columns are ignored.
+columns are ignored; a very long text is encoded by itself and cut into as many pieces as it needs.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ the few totals of the files give the place in the whole. Readers take stripes in
 skips files and stripes by their statistics and row groups by Bloom filter.
 
 Defined cases: a null text is empty and gives only the end id; a null doc_id comes first; equal doc_ids are
-ordered by text, equal rows each give a row; an empty table gives files without rows; other columns are ignored.
+ordered by text, equal rows each give a row; an empty table gives files without rows; other columns are ignored; a very
+long text is encoded by itself, a row of its ids (four bytes each) in one task.
 """
 
 from __future__ import annotations
