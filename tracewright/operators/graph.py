@@ -19,19 +19,28 @@ from tracewright.functions.exprs import ceil_div, floor_div, gcd, gcd_all, prede
 from tracewright.session import checkpointed
 
 
-def per_graph(actors: DataFrame, channels: DataFrame, schema: str, run: Callable[[str, sdf.Actors, list[sdf.Channel]], Iterator[tuple]]) -> DataFrame:
-    """Rows of run(graph_id, actors, channels) for each graph."""
-    names = [x.strip().split()[0] for x in schema.split(",")]
-
-    def group(key: tuple, a: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(list(run(key[0], *_graph(a, c))), columns=names)
+def per_graph(actors: DataFrame, channels: DataFrame, schema: str, run: Callable[..., Iterator[tuple]], marked: bool = False) -> DataFrame:
+    """Rows of run(graph_id, actors, channels) for each graph; with marked, of run(graph_id, actors, channels, free) where channels have a column free.
 
-    return actors.groupBy("graph_id").cogroup(channels.groupBy("graph_id")).applyInPandas(group, schema)
+    A graph's actors and channels are gathered into one row, so a graph has to fit into a task; a task takes many graphs, one after the other."""
+    names = [x.strip().split()[0] for x in schema.split(",")]
+    longs = {x.strip().split()[0] for x in schema.split(",") if x.strip().endswith(" long")}
+    ends = ["src", "dst", "production", "consumption", "tokens", *["free"] * marked]
+    a = actors.groupBy("graph_id").agg(F.collect_list(F.struct("actor", "wcet")).alias("a"))
+    c = channels.groupBy("graph_id").agg(F.collect_list(F.struct(*ends)).alias("c"))
 
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows: list[tuple] = []
+            for g, own, ways in b[["graph_id", "a", "c"]].itertuples(index=False, name=None):
+                nodes = {x["actor"]: tuple(map(int, x["wcet"])) for x in sorted(own if own is not None else [], key=lambda x: x["actor"])}
+                ways = sorted(ways if ways is not None else [], key=lambda x: (x["src"], x["dst"]))
+                edges = [(x["src"], x["dst"], tuple(map(int, x["production"])), tuple(map(int, x["consumption"])), int(x["tokens"])) for x in ways]
+                rows += run(g, nodes, edges, [bool(x["free"]) for x in ways]) if marked else run(g, nodes, edges)
+            columns = zip(*rows, strict=True) if rows else [()] * len(names)
+            yield pd.DataFrame({n: pd.array(list(x), "Int64") if n in longs else list(x) for n, x in zip(names, columns, strict=True)})
 
-def _graph(a: pd.DataFrame, c: pd.DataFrame) -> tuple[sdf.Actors, list[sdf.Channel]]:
-    own = {r.actor: tuple(map(int, r.wcet)) for r in a.sort_values("actor").itertuples()}
-    return own, [(r.src, r.dst, tuple(map(int, r.production)), tuple(map(int, r.consumption)), int(r.tokens)) for r in c.sort_values(["src", "dst"]).itertuples()]
+    return a.join(c, "graph_id", "full").mapInPandas(each, schema)
 
 
 def repetition(actors: DataFrame, channels: DataFrame) -> DataFrame:
@@ -131,13 +140,7 @@ def buffer_sizes(actors: DataFrame, channels: DataFrame, free: Column, num: int,
         for i in places:
             yield (g, c[i][0], c[i][1], None if found is None else found[i])
 
-    def group(key: tuple, a: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        own, ways = _graph(a, c)
-        rows = list(run(key[0], own, ways, c.sort_values(["src", "dst"])["free"].tolist()))
-        return pd.DataFrame(rows, columns=["graph_id", "src", "dst", "tokens"]).astype({"tokens": "Int64"})
-
-    marked = channels.withColumn("free", F.coalesce(free, F.lit(False)))
-    return actors.groupBy("graph_id").cogroup(marked.groupBy("graph_id")).applyInPandas(group, "graph_id string, src string, dst string, tokens long")
+    return per_graph(actors, channels.withColumn("free", F.coalesce(free, F.lit(False))), "graph_id string, src string, dst string, tokens long", run, marked=True)
 
 
 def incremental_bounds(actors: DataFrame, channels: DataFrame, quality: float = 1.01) -> DataFrame:
