@@ -43,6 +43,21 @@ def per_graph(actors: DataFrame, channels: DataFrame, schema: str, run: Callable
     return a.join(c, "graph_id", "full").mapInPandas(each, schema)
 
 
+def per_edges(edges: DataFrame, fields: list[str], schema: str, run: Callable[[object, list[dict]], Iterator[tuple]]) -> DataFrame:
+    """Rows of run(graph_id, edges) for each graph of edges (graph_id, fields), in order of the fields; a graph has to fit into a task."""
+    names = ["graph_id", *(x.strip().split()[0] for x in schema.split(","))]
+    longs = {x.strip().split()[0] for x in schema.split(",") if x.strip().endswith(" long")}
+    rows = edges.groupBy("graph_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("e"))
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = [(g, *r) for g, e in b[["graph_id", "e"]].itertuples(index=False, name=None) for r in run(g, list(e))]
+            columns = zip(*out, strict=True) if out else [()] * len(names)
+            yield pd.DataFrame({n: pd.array(list(x), "Int64") if n in longs else list(x) for n, x in zip(names, columns, strict=True)})
+
+    return rows.mapInPandas(each, f"graph_id {edges.schema['graph_id'].dataType.simpleString()}, {schema}")
+
+
 def repetition(actors: DataFrame, channels: DataFrame) -> DataFrame:
     """(graph_id, actor, consistent, q, tpi); q and tpi are null for inconsistent graphs. Numbers too large for a decimal fail loudly."""
 
@@ -175,15 +190,11 @@ def scans(edges: DataFrame, root, method: str) -> DataFrame:
     """(graph_id, node, dist, scans, negative_cycle) of small graphs (graph_id, src, dst, weight) by one of sdf.scanned_paths' methods; a
     graph with a reachable negative cycle has one row without node."""
 
-    def group(key: tuple, e: pd.DataFrame) -> pd.DataFrame:
-        own = [(r.src, r.dst, int(r.weight)) for r in e.sort_values(["src", "dst", "weight"]).itertuples()]
-        dist, n, bad = sdf.scanned_paths(own, root, method)
-        rows = [(key[0], x, d, n, False) for x, d in dist.items()] if not bad else [(key[0], None, None, n, True)]
-        return pd.DataFrame(rows, columns=["graph_id", "node", "dist", "scans", "negative_cycle"]).astype({"dist": "Int64"})
+    def run(g, e):
+        dist, n, bad = sdf.scanned_paths([(x["src"], x["dst"], int(x["weight"])) for x in e], root, method)
+        yield from [(None, None, n, True)] if bad else [(x, d, n, False) for x, d in dist.items()]
 
-    node = edges.schema["src"].dataType.simpleString()
-    graph = edges.schema["graph_id"].dataType.simpleString()
-    return edges.groupBy("graph_id").applyInPandas(group, f"graph_id {graph}, node {node}, dist long, scans long, negative_cycle boolean")
+    return per_edges(edges, ["src", "dst", "weight"], f"node {edges.schema['src'].dataType.simpleString()}, dist long, scans long, negative_cycle boolean", run)
 
 
 def scan_statistics(found: DataFrame) -> DataFrame:
@@ -196,14 +207,12 @@ def minimum_parameters(edges: DataFrame) -> DataFrame:
     """(graph_id, var, value) of edges (graph_id, src, dst, weight, coef, var): values of least sum without a positive cycle; null values
     where there are none."""
 
-    def group(key: tuple, e: pd.DataFrame) -> pd.DataFrame:
-        own = [(r.src, r.dst, int(r.weight), int(r.coef), r.var if isinstance(r.var, str) else None) for r in e.sort_values(["src", "dst"]).itertuples()]
-        names = sorted({x[4] for x in own if x[4]})
-        found = sdf.minimum_parameters(own, names)
-        return pd.DataFrame([(key[0], n, None if found is None else float(found[n])) for n in names], columns=["graph_id", "var", "value"])
+    def run(g, e):
+        names = sorted({x["var"] for x in e if x["var"]})
+        found = sdf.minimum_parameters([(x["src"], x["dst"], int(x["weight"]), int(x["coef"]), x["var"]) for x in e], names)
+        yield from ((n, None if found is None else float(found[n])) for n in names)
 
-    graph = edges.schema["graph_id"].dataType.simpleString()
-    return edges.groupBy("graph_id").applyInPandas(group, f"graph_id {graph}, var string, value double")
+    return per_edges(edges, ["src", "dst", "weight", "coef", "var"], "var string, value double", run)
 
 
 def cancel_opposite(flows: DataFrame) -> DataFrame:
@@ -233,12 +242,11 @@ def flow_graph(edges: DataFrame, demands: DataFrame) -> DataFrame:
 def max_cycle_ratios(edges: DataFrame, mean: bool = False) -> DataFrame:
     """(graph_id, num, den, deadlock) of edges (graph_id, src, dst, weight, tokens)."""
 
-    def group(key: tuple, e: pd.DataFrame) -> pd.DataFrame:
-        own = [(r.src, r.dst, Fraction(int(r.weight)), Fraction(int(r.tokens))) for r in e.itertuples()]
-        ratio, cycle = (sdf.max_cycle_mean if mean else sdf.max_cycle_ratio)(own)
-        return pd.DataFrame([(key[0], *_ratio(ratio), ratio is None and cycle is not None)], columns=["graph_id", "num", "den", "deadlock"])
+    def run(g, e):
+        ratio, cycle = (sdf.max_cycle_mean if mean else sdf.max_cycle_ratio)([(x["src"], x["dst"], Fraction(int(x["weight"])), Fraction(int(x["tokens"]))) for x in e])
+        yield (*_ratio(ratio), ratio is None and cycle is not None)
 
-    return edges.groupBy("graph_id").applyInPandas(group, "graph_id string, num long, den long, deadlock boolean")
+    return per_edges(edges, ["src", "dst", "weight", "tokens"], "num long, den long, deadlock boolean", run)
 
 
 # plain DataFrame steps ----------------------------------------------------------------------------------------------
