@@ -280,20 +280,41 @@ def remove_sinks(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFra
     return kept, edges.join(kept.select("graph_id", F.col("node").alias("dst")), ["graph_id", "dst"], "left_semi")
 
 
-def components(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
-    """(node, root): for each node of undirected edges (a, b) the smallest node that it is connected with, by spreading the smallest label and
-    jumping along labels, in rounds of joins and aggregates that are checkpointed; labels are read from tables, so that a hub's edges can be split."""
-    both = checkpointed(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    label = checkpointed(both.select(F.col("a").alias("node")).distinct().withColumn("root", F.col("node")))
-    for _ in range(most_rounds):
-        seen = both.join(label.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("low"))
-        low = checkpointed(label.join(seen, "node", "left").select("node", F.least("root", F.coalesce("low", "root")).alias("new"), "root"))
-        jumped = low.join(low.select(F.col("node").alias("new"), F.col("new").alias("far")), "new", "left").select("node", F.least("new", F.coalesce("far", "new")).alias("new"), "root")
-        now = checkpointed(jumped)
-        if now.where("new <> root").isEmpty():
-            return now.select("node", "root")
-        label = now.select("node", F.col("new").alias("root"))
-    raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+def components(edges: DataFrame, parts: int | None = None, most_rounds: int = 100) -> DataFrame:
+    """(node, root): for each node of undirected edges (a, b) the smallest node that it is connected with.
+
+    Alternates large-star and small-star steps until the edges stay the same: a node's larger neighbours move to its smallest one, then its smaller
+    ones do. Every step groups by a node with min(), never gathering a group. A round about halves distances, so that a path of n nodes takes
+    log2(n) rounds or so in any order of ids; the proven bound is log2(n) squared. Tables have `parts` files at most; those of earlier rounds go."""
+
+    # the smallest neighbours are read from a table, so that both sides of a join are shuffled for it alone and Spark can split a hub's edges
+    def large(e: DataFrame) -> tuple[DataFrame, DataFrame]:
+        both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = checkpointed(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), parts)
+        return both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")), low
+
+    def small(e: DataFrame) -> tuple[DataFrame, DataFrame]:
+        down = e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        low = checkpointed(down.groupBy("a").agg(F.min("b").alias("m")), parts)
+        return down.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))), low
+
+    def mark(e: DataFrame) -> tuple:
+        return tuple(e.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first())
+
+    now = checkpointed(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), parts)
+    seen = mark(now)
+    for _ in range(most_rounds if seen[0] else 0):
+        wide, low = large(now)
+        moved = checkpointed(wide.where("a <> b").distinct(), parts, [now, low])
+        narrow, low = small(moved)
+        now = checkpointed(narrow.where("a <> b").distinct(), parts, [moved, low])
+        was, seen = seen, mark(now)
+        if was == seen:
+            break
+    else:
+        if seen[0]:
+            raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
 def strong_components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:

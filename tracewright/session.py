@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,10 +50,24 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{folder}/data"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df computed once, its lineage cut by files in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+_STORED: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+def checkpointed(df: DataFrame, parts: int | None = None, instead_of: Sequence[DataFrame] = ()) -> DataFrame:
+    """df computed once, as a Parquet table in the shared folder, in `parts` files at most, read again under a plan of its own.
+
+    Lost executors don't take it along, and its size in the planner is that of its files: DataFrame.checkpoint keeps the estimate of the plan
+    that made the rows, which self-joins multiply round after round. The tables of `instead_of`, frames of this function that nothing reads any
+    more, are deleted."""
+    path = scratch(df.sparkSession, "table")
+    (df.coalesce(parts) if parts else df).write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _STORED[out] = path
+    for old in instead_of:
+        if gone := _STORED.pop(old, None):
+            where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(gone)
+            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+    return out
 
 
 def broadcast_within(df: DataFrame, most: int) -> DataFrame:
