@@ -1,4 +1,4 @@
-"""What the training-data operators share: shared-folder checkpoints, Arrow batching, words, tokenizers, components."""
+"""What the training-data operators share: shared-folder checkpoints, Arrow batching, words, tokenizers."""
 
 from __future__ import annotations
 
@@ -7,8 +7,6 @@ import ctypes
 import gc
 import os
 import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,41 +15,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewright.session import scratch, shared_dir
+
 #: White space of the word rules: space and the control characters 9 to 13. bytes.split() uses the same set.
 SPACE = r"[\x20\x09-\x0D]+"
 
 
-_MARKED: set[str] = set()
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
-    path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="tracewright-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(path)
-    if context.applicationId not in _MARKED:  # the application's own folder in it goes when the driver ends
-        _MARKED.add(context.applicationId)
-        own = spark._jvm.org.apache.hadoop.fs.Path(context._jsc.sc().getCheckpointDir().get())
-        own.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(own)
-    return path.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, deleted when the driver ends."""
-    folder = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    store = where.getFileSystem(spark._jsc.hadoopConfiguration())
-    store.mkdirs(where)  # only what is there can be marked
-    store.deleteOnExit(where)
-    return f"{folder}/data"
-
-
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a path of scratch(), in whatever store the shared folder is."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -242,37 +211,3 @@ def word_bpe(path: str, keep: int = 600_000) -> WordCachedBPE:
     if (path, keep) not in _TOKENIZERS:
         _TOKENIZERS[path, keep] = WordCachedBPE(path, keep)
     return _TOKENIZERS[path, keep]
-
-
-def components(edges: DataFrame, parts: int | None = None, most_rounds: int = 60) -> DataFrame:
-    """(node, root): for each node of the edges (a, b) the smallest node that it is connected with.
-
-    Alternates large-star and small-star steps until the edges stay the same; every step only groups by a
-    node with min(), never gathering a group, and is checkpointed in the shared folder, in `parts` files at most.
-    """
-
-    # the smallest neighbours are read from a table, so that both sides of a join are shuffled for it alone and Spark can split a hub's edges
-    def large(e: DataFrame) -> DataFrame:
-        both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = checkpointed(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), parts)
-        return both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-
-    def small(e: DataFrame) -> DataFrame:
-        down = e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        low = checkpointed(down.groupBy("a").agg(F.min("b").alias("m")), parts)
-        return down.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
-
-    def mark(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first())
-
-    now = checkpointed(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), parts)
-    seen = mark(now)
-    for _ in range(most_rounds if seen[0] else 0):
-        now = checkpointed(small(large(now)).where("a <> b").distinct(), parts)
-        was, seen = seen, mark(now)
-        if was == seen:
-            break
-    else:
-        if seen[0]:
-            raise RuntimeError(f"components did not settle in {most_rounds} rounds")
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

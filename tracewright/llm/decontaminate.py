@@ -93,8 +93,9 @@ def contained(docs: DataFrame, items: DataFrame, share: float = 0.8, width: int
 def without_leaks(docs: DataFrame, items: DataFrame, share: float = 0.8, width: int = 5) -> DataFrame:
     """docs without those that contain a benchmark item. Texts are told apart by their hash, so that rows without a doc_id,
     or several texts of one doc_id, are judged by their own text."""
-    gone = contained(docs.select(F.xxhash64("text").alias("doc_id"), "text"), items, share, width).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.xxhash64(docs["text"]) == F.col("_gone"), "left_anti")
+    gone = contained(docs.select(F.xxhash64("text").alias("doc_id"), "text"), items, share, width).select(F.col("doc_id").alias("gone")).distinct()
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))  # so that no column's name can clash
+    return own.join(gone, F.xxhash64("row.text") == F.col("gone"), "left_anti").select("row.*")
 
 
 ORACLE = r"""

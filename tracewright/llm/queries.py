@@ -80,6 +80,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", (id_crc("row.doc_id") % 4 == 2).alias("held_out"), "score", "predicted")
 
 
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracewright.llm.token_counts import count_tokens
+
+    return count_tokens(table(spark, sf_dir, "documents"))
+
+
 def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The columns of op6_merkle that SQL can express."""
     from tracewright.llm.merkle import compare_edited
@@ -109,7 +115,7 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.net/en/', 'org/fr/
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op2_decontamination, op3_log_frequency_lm, op4_simhash, op5_best_fit_packing, op6_merkle, op7_pii, op8_line_templates, op9_url_filter, op10_toxicity, edited_texts, url_rules)}
+    return {f.__name__: f for f in (op1_token_files, op2_decontamination, op3_log_frequency_lm, op4_simhash, op5_best_fit_packing, op6_merkle, op7_pii, op8_line_templates, op9_url_filter, op10_toxicity, op13_token_counts, edited_texts, url_rules)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -33,7 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import LEAST_PARTS, checkpointed, components, parts_for, tidy, whole_texts
+from tracewright.llm.common import LEAST_PARTS, checkpointed, parts_for, tidy, whole_texts
+from tracewright.operators.graph import components
 
 CHUNK = 8192  # fingerprints whose codes one task holds at a time: 136 MB
 BLOCK = 512  # fingerprints whose variants are made at a time
@@ -254,5 +255,6 @@ def keep_first(docs: DataFrame, radius: int = 4, width: int = 4) -> DataFrame:
 
 def without(docs: DataFrame, drop: DataFrame) -> DataFrame:
     """docs without the rows whose doc_id and text's hash are in drop: of several texts of one doc_id, those not meant stay."""
-    gone = drop.select(F.col("doc_id").alias("_gone"), F.col("hash").alias("_hash")).distinct()
-    return docs.join(gone, F.xxhash64(docs["text"]).eqNullSafe(F.col("_hash")) & docs["doc_id"].eqNullSafe(F.col("_gone")), "left_anti")
+    gone = drop.select(F.col("doc_id").alias("gone"), F.col("hash").alias("gone_hash")).distinct()
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))  # so that no column's name can clash
+    return own.join(gone, F.xxhash64("row.text").eqNullSafe(F.col("gone_hash")) & F.col("row.doc_id").eqNullSafe(F.col("gone")), "left_anti").select("row.*")
