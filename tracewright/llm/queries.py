@@ -80,6 +80,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", (id_crc("row.doc_id") % 4 == 2).alias("held_out"), "score", "predicted")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracewright.llm.whitening import whitened
+
+    return whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracewright.llm.repair import repaired
+
+    return repaired(table(spark, sf_dir, "conversations"))
+
+
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracewright.llm.token_counts import count_tokens
 
@@ -115,7 +127,7 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.net/en/', 'org/fr/
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op2_decontamination, op3_log_frequency_lm, op4_simhash, op5_best_fit_packing, op6_merkle, op7_pii, op8_line_templates, op9_url_filter, op10_toxicity, op13_token_counts, edited_texts, url_rules)}
+    return {f.__name__: f for f in (op1_token_files, op2_decontamination, op3_log_frequency_lm, op4_simhash, op5_best_fit_packing, op6_merkle, op7_pii, op8_line_templates, op9_url_filter, op10_toxicity, op11_whitening, op12_conversation_repair, op13_token_counts, edited_texts, url_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
