@@ -3,7 +3,6 @@ every operator takes column names, so any table with an order in each task can b
 
 from __future__ import annotations
 
-from collections import OrderedDict, deque
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -11,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.functions.exprs import floor_div
+from tracewright.operators.matching import ANY_TAG, match_wildcard  # noqa: F401
+from tracewright.operators.stacks import stacked_types, state_intervals  # noqa: F401
 from tracewright.session import broadcast_within, checkpointed
 
 RUNNING = (Window.unboundedPreceding, Window.currentRow)
@@ -115,38 +116,7 @@ def join_states(intervals: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 #: States by number.
 STATES = ("Idle", "Running", "Not created", "Waiting a message", "Blocking Send", "Synchronization", "Test/Probe", "Scheduling and Fork/Join", "Wait/WaitAll", "Blocked", "Immediate Send", "Immediate Receive", "I/O", "Group Communication", "Tracing Disabled", "Others", "Send Receive", "Memory transfer", "Profiling", "On-line analysis", "Remote memory access", "Atomic memory operation", "Memory ordering operation", "Distributed locking", "Overhead", "One-sided op", "Startup latency", "Waiting links", "Data copy", "RTT")
-IDLE, RUNNING_STATE, NOT_TRACING, PROFILING = 0, 1, 14, 18
-
-
-class StateStack:
-    """A thread's stack of states. A pop takes the top only if it is the popped state; not-tracing goes at any
-    next push or pop."""
-
-    def __init__(self, first: int = 2):
-        self.stack = [first]
-
-    def top(self) -> int:
-        return self.stack[-1] if self.stack else IDLE
-
-    def clear_untraced(self) -> None:
-        if self.stack and self.stack[-1] == NOT_TRACING:
-            self.stack.pop()
-
-    def apply(self, action: str, state: int) -> None:
-        if action == "push":
-            self.clear_untraced()
-            self.stack.append(state)
-        elif action == "pop":
-            self.clear_untraced()
-            if self.stack and self.stack[-1] == state:
-                self.stack.pop()
-        elif action == "pop_until":
-            while self.stack and self.stack[-1] != state:
-                self.stack.pop()
-        elif action == "reset":  # a change of the tracing mode
-            self.stack = [state]
-        else:
-            raise ValueError(action)
+RUNNING_STATE, PROFILING = 1, 18
 
 
 def threads(events: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -154,46 +124,6 @@ def threads(events: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Dat
     return events.repartition(*keys).sortWithinPartitions(*keys, *order)
 
 
-def state_intervals(events: DataFrame, keys: Sequence[str], end_time: int | None = None, drop: Sequence[int] = (IDLE,), split: bool = False) -> DataFrame:
-    """(keys, t0, t1, state) of push, pop, pop_until and reset events (time, seq, action, state).
-
-    Replays each thread's events in order, holding its stack only, however long the thread is. Before the first event
-    a thread is in state 2 (not created); the last interval ends at end_time, if given."""
-    keys = list(keys)
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in events.select(*keys).schema) + ", t0 long, t1 long, state int"
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, stack, since, open_state = None, None, 0, 2
-
-        def close(now: int, rows: list) -> None:
-            nonlocal since, open_state
-            new = stack.top()
-            if new == open_state and not split:
-                return
-            if since < now and open_state not in drop:
-                rows.append((*key, since, now, open_state))
-            since, open_state = now, new
-
-        def finish(rows: list) -> None:
-            if key is not None and end_time is not None and since < end_time and open_state not in drop:
-                rows.append((*key, since, end_time, open_state))
-
-        for pdf in batches:
-            rows: list = []
-            for *own, time, action, state in pdf[[*keys, "time", "action", "state"]].itertuples(index=False, name=None):
-                if tuple(own) != key:
-                    finish(rows)
-                    key, stack, since, open_state = tuple(own), StateStack(), 0, 2
-                stack.apply(action, int(state))
-                close(int(time), rows)
-            yield pd.DataFrame(rows, columns=[*keys, "t0", "t1", "state"])
-        rows = []
-        finish(rows)
-        yield pd.DataFrame(rows, columns=[*keys, "t0", "t1", "state"])
-
-    return threads(events.select(*keys, "time", "seq", "action", "state"), keys, ["time", "seq"]).mapInPandas(run, schema)
-
-
 # pairs, counters, groups ------------------------------------------------------------------------------------------
 
 
@@ -218,28 +148,6 @@ def multi_events(events: DataFrame, keys: Sequence[str], order: Sequence[str], m
     return numbered.groupBy(*keys, "line").agg(F.array_sort(F.collect_list(F.struct("_k", "type", "value"))).alias("p")).select(*keys, "line", F.transform("p", lambda x: F.struct(x["type"].alias("type"), x["value"].alias("value"))).alias("pairs"))
 
 
-def stacked_types(events: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(keys, time, seq, type, value) with the value on top after each event: above 0 pushes, 0 pops, of a (thread, type) of its own."""
-    keys = [*keys, "type"]
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in events.select(*keys).schema) + ", time long, seq long, top long"
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, stack = None, []
-        for pdf in batches:
-            rows = []
-            for *own, time, seq, value in pdf[[*keys, "time", "seq", "value"]].itertuples(index=False, name=None):
-                if tuple(own) != key:
-                    key, stack = tuple(own), []
-                if value > 0:
-                    stack.append(int(value))
-                elif stack:
-                    stack.pop()
-                rows.append((*own, int(time), int(seq), stack[-1] if stack else 0))
-            yield pd.DataFrame(rows, columns=[*keys, "time", "seq", "top"])
-
-    return threads(events.select(*keys, "time", "seq", "value"), keys, ["time", "seq"]).mapInPandas(run, schema)
-
-
 def mode_segments(events: DataFrame, keys: Sequence[str], order: Sequence[str], mode: Column) -> DataFrame:
     """The number of mode changes so far, and the latest mode."""
     w = over(keys, order).rowsBetween(*RUNNING)
@@ -267,63 +175,6 @@ def unmatched_sends(sends: DataFrame, receives: DataFrame, key: Sequence[str], o
     return fifo_ordinals(sends, key, order).join(fifo_ordinals(receives, key, order).select(*key, "ordinal"), [*key, "ordinal"], "left_anti")
 
 
-ANY_TAG = -1
-
-
-class OpenEnds:
-    """One side's queue of ends: the oldest of a tag, or of all, in constant time."""
-
-    def __init__(self):
-        self.by_tag: dict = {}
-        self.all: OrderedDict = OrderedDict()  # number: (seq, tag), oldest first
-        self.number = 0
-
-    def add(self, seq: int, tag) -> None:
-        self.by_tag.setdefault(tag, deque()).append(self.number)
-        self.all[self.number] = (seq, tag)
-        self.number += 1
-
-    def take(self, tags: Sequence | None) -> int | None:
-        """The seq of the oldest end with one of the tags (None: with any), which leaves; None if there is none."""
-        if tags is None:
-            number = next(iter(self.all), None)
-        else:
-            number = min((self.by_tag[t][0] for t in tags if self.by_tag.get(t)), default=None)
-        if number is None:
-            return None
-        seq, tag = self.all.pop(number)
-        self.by_tag[tag].popleft()  # the oldest of all is its tag's oldest
-        return seq
-
-
-def match_wildcard(ends: DataFrame, key: Sequence[str]) -> DataFrame:
-    """J1 with ANY_TAG: (key, send_seq, recv_seq) from send and receive ends (key, time, seq, kind, tag).
-
-    Key is sender, receiver and communicator. Each end looks in the other side's queue for the first entry with its tag, a
-    receive of any tag taking the oldest; else it queues. Ends of a key are replayed in order, each in constant time; only its open ends are held."""
-    key = list(key)
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ends.select(*key).schema) + ", send_seq long, recv_seq long"
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, sends, receives = None, OpenEnds(), OpenEnds()
-        for pdf in batches:
-            rows = []
-            for *own, seq, kind, tag in pdf[[*key, "seq", "kind", "tag"]].itertuples(index=False, name=None):
-                if tuple(own) != at:
-                    at, sends, receives = tuple(own), OpenEnds(), OpenEnds()
-                if kind == "send":
-                    hit = receives.take((tag, ANY_TAG))
-                else:
-                    hit = sends.take(None if tag == ANY_TAG else (tag,))
-                if hit is None:
-                    (sends if kind == "send" else receives).add(int(seq), tag)
-                else:
-                    rows.append((*own, int(seq), hit) if kind == "send" else (*own, hit, int(seq)))
-            yield pd.DataFrame(rows, columns=[*key, "send_seq", "recv_seq"])
-
-    return threads(ends.select(*key, "time", "seq", "kind", "tag"), key, ["time", "seq"]).mapInPandas(run, schema)
-
-
 def asof(left: DataFrame, right: DataFrame, keys: Sequence[str], time: str, values: Sequence[str], direction: str = "backward", strict: bool = False) -> DataFrame:
     """The nearest right row at or before (backward) or at or after (forward) each left row, by key.
 

@@ -590,7 +590,7 @@ def period_representatives(spark, d):
 
 
 def _register() -> None:
-    from tracewright.plans import more, tables  # noqa: F401  register their queries
+    from tracewright.plans import large, more, tables  # noqa: F401  register their queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
