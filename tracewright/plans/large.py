@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewright.operators import graph, large_graphs
 from tracewright.operators import trace as T
-from tracewright.plans.queries import events, is_, query
+from tracewright.plans.queries import events, is_, query, table
 from tracewright.session import scratch
 from tracewright.sources.datasource import read_records, register, write_records
 
@@ -98,3 +99,57 @@ def message_one_key_tags(spark, d):
 def message_one_key_both(spark, d):
     """Receives by tag and of any tag mixed, of sends of one tag, so that SQL can tell the matches too."""
     return _one_key(spark, d, F.lit(7), F.when(F.col("seq") % 3 == 0, T.ANY_TAG).otherwise(7))
+
+
+# one graph ------------------------------------------------------------------------------------------------------------
+
+#: The lines of an order are a ring; the first line of order k is also reached from that of order k div 2: all of lineitem is one graph.
+RINGS = "o AS (SELECT l_orderkey AS k, l_orderkey * 8 + l_linenumber AS node, l_linenumber AS line, CAST(sum(l_quantity) AS BIGINT) AS weight FROM lineitem GROUP BY l_orderkey, l_linenumber), n AS (SELECT k, node AS src, coalesce(lead(node) OVER (PARTITION BY k ORDER BY node), min(node) OVER (PARTITION BY k)) AS dst, weight, 1 + line % 2 AS tokens FROM o), f AS (SELECT k, min(node) AS node FROM o GROUP BY k)"
+
+
+def _rings(spark, d) -> tuple[DataFrame, DataFrame]:
+    """(src, dst, weight, tokens) of the rings, and of the edges between orders."""
+    o = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("line")).agg(F.sum("l_quantity").cast("long").alias("weight"))
+    o = o.withColumn("node", F.col("k") * 8 + F.col("line"))
+    w = Window.partitionBy("k")
+    ring = o.select(F.col("node").alias("src"), F.coalesce(F.lead("node").over(w.orderBy("node")), F.min("node").over(w)).alias("dst"), "weight", (1 + F.col("line") % 2).cast("long").alias("tokens"))
+    first = o.groupBy("k").agg(F.min("node").alias("dst"))
+    above = first.select(F.col("k").alias("up"), F.col("dst").alias("src"))
+    return ring, first.where("k > 0").withColumn("up", F.expr("k div 2")).join(above, "up").select("src", "dst", F.lit(0).cast("long").alias("weight"), F.lit(1).cast("long").alias("tokens"))
+
+
+@query("WITH RECURSIVE " + RINGS + ", up AS (SELECT k, k AS a FROM f UNION ALL SELECT up.k, up.a // 2 FROM up JOIN f ON f.k = up.a // 2 WHERE up.a > 0), r AS (SELECT k, sum(weight) AS w, sum(tokens) AS t FROM n GROUP BY k), b AS (SELECT up.a AS k, arg_max(r.w // gcd(r.w, r.t), r.w / r.t) AS num, arg_max(r.t // gcd(r.w, r.t), r.w / r.t) AS den FROM up JOIN r ON r.k = up.k GROUP BY up.a) SELECT o.node, CAST(b.num AS BIGINT) AS num, CAST(b.den AS BIGINT) AS den FROM o JOIN b ON b.k = o.k")
+def cycle_ratios_one_graph(spark, d):
+    """The largest cycle ratio that each line of the graph can reach."""
+    ring, between = _rings(spark, d)
+    return large_graphs.max_cycle_ratio(ring.union(between)).select("node", "num", "den")
+
+
+@query("WITH " + RINGS + " SELECT o.node, f.node AS component FROM o JOIN f USING (k)")
+def strong_components_one_graph(spark, d):
+    """G3."""
+    ring, between = _rings(spark, d)
+    return graph.strong_components(ring.union(between).select("src", "dst"))
+
+
+@query("WITH " + RINGS + " SELECT src, dst FROM n")
+def cycle_edges_one_graph(spark, d):
+    """the edges that lie on cycles."""
+    ring, between = _rings(spark, d)
+    return graph.inside_components(ring.union(between).select("src", "dst"))
+
+
+@query("WITH a AS (SELECT DISTINCT 'p' || l_partkey AS actor, l_partkey % 12 + 1 AS q FROM lineitem UNION SELECT DISTINCT 's' || l_suppkey, l_suppkey % 10 + 1 FROM lineitem), w AS (SELECT list_reduce(list(q), lambda x, y: gcd(x, y)) AS g, min(actor) AS component FROM a) SELECT actor, component, true AS consistent, CAST(q // g AS BIGINT) AS q FROM a, w")
+def repetition_one_graph(spark, d):
+    """Parts and suppliers as actors, each line of an order a channel; the graph is connected in all given tables."""
+    p, s = F.col("l_partkey") % 12 + 1, F.col("l_suppkey") % 10 + 1
+    lines = table(spark, d, "lineitem").select(F.concat(F.lit("p"), "l_partkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst"), s.alias("production"), p.alias("consumption"))
+    return large_graphs.repetition_of_one(lines).withColumn("q", F.col("q").cast("long"))
+
+
+@query("WITH p AS (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS i FROM lineitem), e AS (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM p a JOIN p b ON a.l_orderkey = b.l_orderkey AND b.i = a.i + 1) SELECT 1 AS length, CAST(src AS VARCHAR) AS nodes FROM e WHERE src = dst UNION ALL SELECT 2, a.src || ',' || a.dst FROM e a JOIN e b ON a.dst = b.src AND b.dst = a.src WHERE a.src < a.dst UNION ALL SELECT 3, a.src || ',' || a.dst || ',' || b.dst FROM e a JOIN e b ON a.dst = b.src JOIN e c ON c.src = b.dst AND c.dst = a.src WHERE a.src < a.dst AND a.src < b.dst AND a.dst <> b.dst")
+def short_cycles_one_graph(spark, d):
+    """Cycles of three parts at most, of the graph of parts that follow each other in an order."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    e = table(spark, d, "lineitem").select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(w).alias("dst")).where("dst is not null")
+    return large_graphs.short_cycles(e, 3).select("length", F.array_join(F.col("nodes").cast("array<string>"), ",").alias("nodes"))
