@@ -103,7 +103,7 @@ def message_one_key_both(spark, d):
 
 # one graph ------------------------------------------------------------------------------------------------------------
 
-#: The lines of an order are a ring; the first line of order k is also reached from that of order k div 2: all of lineitem is one graph.
+#: The lines of an order are a ring; the first line of order k is also reached from that of order k div 16: all of lineitem is one graph.
 RINGS = "o AS (SELECT l_orderkey AS k, l_orderkey * 8 + l_linenumber AS node, l_linenumber AS line, CAST(sum(l_quantity) AS BIGINT) AS weight FROM lineitem GROUP BY l_orderkey, l_linenumber), n AS (SELECT k, node AS src, coalesce(lead(node) OVER (PARTITION BY k ORDER BY node), min(node) OVER (PARTITION BY k)) AS dst, weight, 1 + line % 2 AS tokens FROM o), f AS (SELECT k, min(node) AS node FROM o GROUP BY k)"
 
 
@@ -115,10 +115,10 @@ def _rings(spark, d) -> tuple[DataFrame, DataFrame]:
     ring = o.select(F.col("node").alias("src"), F.coalesce(F.lead("node").over(w.orderBy("node")), F.min("node").over(w)).alias("dst"), "weight", (1 + F.col("line") % 2).cast("long").alias("tokens"))
     first = o.groupBy("k").agg(F.min("node").alias("dst"))
     above = first.select(F.col("k").alias("up"), F.col("dst").alias("src"))
-    return ring, first.where("k > 0").withColumn("up", F.expr("k div 2")).join(above, "up").select("src", "dst", F.lit(0).cast("long").alias("weight"), F.lit(1).cast("long").alias("tokens"))
+    return ring, first.where("k > 0").withColumn("up", F.expr("k div 16")).join(above, "up").select("src", "dst", F.lit(0).cast("long").alias("weight"), F.lit(1).cast("long").alias("tokens"))
 
 
-@query("WITH RECURSIVE " + RINGS + ", up AS (SELECT k, k AS a FROM f UNION ALL SELECT up.k, up.a // 2 FROM up JOIN f ON f.k = up.a // 2 WHERE up.a > 0), r AS (SELECT k, sum(weight) AS w, sum(tokens) AS t FROM n GROUP BY k), b AS (SELECT up.a AS k, arg_max(r.w // gcd(r.w, r.t), r.w / r.t) AS num, arg_max(r.t // gcd(r.w, r.t), r.w / r.t) AS den FROM up JOIN r ON r.k = up.k GROUP BY up.a) SELECT o.node, CAST(b.num AS BIGINT) AS num, CAST(b.den AS BIGINT) AS den FROM o JOIN b ON b.k = o.k")
+@query("WITH RECURSIVE " + RINGS + ", up AS (SELECT k, k AS a FROM f UNION ALL SELECT up.k, up.a // 16 FROM up JOIN f ON f.k = up.a // 16 WHERE up.a > 0), r AS (SELECT k, sum(weight) AS w, sum(tokens) AS t FROM n GROUP BY k), b AS (SELECT up.a AS k, arg_max(r.w // gcd(r.w, r.t), r.w / r.t) AS num, arg_max(r.t // gcd(r.w, r.t), r.w / r.t) AS den FROM up JOIN r ON r.k = up.k GROUP BY up.a) SELECT o.node, CAST(b.num AS BIGINT) AS num, CAST(b.den AS BIGINT) AS den FROM o JOIN b ON b.k = o.k")
 def cycle_ratios_one_graph(spark, d):
     """The largest cycle ratio that each line of the graph can reach."""
     ring, between = _rings(spark, d)
@@ -153,3 +153,43 @@ def short_cycles_one_graph(spark, d):
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     e = table(spark, d, "lineitem").select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(w).alias("dst")).where("dst is not null")
     return large_graphs.short_cycles(e, 3).select("length", F.array_join(F.col("nodes").cast("array<string>"), ",").alias("nodes"))
+
+
+# streams with state -----------------------------------------------------------------------------------------------------
+
+
+def _in_turns(spark, d, make, order) -> DataFrame:
+    """What a stream of the events, four files in this order, has appended; it is stopped half way and started again from its checkpoint."""
+    given = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    source, path, progress = scratch(spark, "source"), scratch(spark, "stream"), scratch(spark, "progress")
+    edges = given.select(order.cast("double").alias("o")).stat.approxQuantile("o", [0.25, 0.5, 0.75], 0.0)
+    bounds = [(order > a) & (order <= b) for a, b in zip([float("-inf"), *edges], [*edges, float("inf")], strict=True)]
+    for half in (bounds[:2], bounds[2:]):
+        for b in half:
+            given.where(b).coalesce(1).write.mode("append").parquet(source)
+        stream = make(spark.readStream.schema(given.schema).option("maxFilesPerTrigger", "1").parquet(source))
+        stream.writeStream.format("parquet").option("checkpointLocation", progress).trigger(availableNow=True).start(path).awaitTermination()
+    return spark.read.parquet(path)
+
+
+def _flushed(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("user_id").alias("task"), F.col("event_id").alias("time"), F.col("event_id").alias("seq"), (F.col("event_type") == "error").alias("flush"))
+
+
+@query("WITH r AS (SELECT user_id AS task, event_id AS seq, event_type = 'error' AS flush, coalesce(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part FROM events), n AS (SELECT *, row_number() OVER (PARTITION BY task, part ORDER BY seq DESC) AS back FROM r WHERE NOT flush), k AS (SELECT *, row_number() OVER (PARTITION BY task, part ORDER BY back DESC) - 1 AS place FROM n WHERE back <= 5) SELECT k.task, f.seq AS flush_seq, k.place, k.seq FROM k JOIN r f ON f.task = k.task AND f.part = k.part AND f.flush")
+def streamed_ring(spark, d):
+    """The five newest events of each task at each of its errors, from a stream that is stopped and started again."""
+    from tracewright.streaming import state
+
+    return _in_turns(spark, d, lambda rows: state.stream_ring(_flushed(rows), "task", 5), F.col("event_id"))
+
+
+@query("WITH m AS (SELECT max(epoch_us(ts)) AS last FROM events), g AS (SELECT user_id AS task, epoch_us(ts) AS t, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) < 21600000000 THEN 0 ELSE 1 END AS fresh FROM events), s AS (SELECT *, sum(fresh) OVER (PARTITION BY task ORDER BY t ROWS UNBOUNDED PRECEDING) AS run FROM g) SELECT task, min(t) AS began, max(t) + 21600000000 AS ended, count(*) AS n FROM s GROUP BY task, run HAVING max(t) + 21600000000 <= (SELECT last - 86400001000 FROM m)")
+def streamed_sessions(spark, d):
+    """Each task's sessions with gaps of under six hours, from a stream with events up to 16 hours late; those that a day before its end were over."""
+    from tracewright.streaming import state
+
+    closed = table(spark, d, "events").agg(F.unix_micros(F.max("ts").cast("timestamp")) - 86_400_000_000).first()[0]
+    late = F.unix_micros(F.col("ts").cast("timestamp")) + F.col("event_id") % 5 * 14_400_000_000
+    stream = _in_turns(spark, d, lambda rows: state.sessions(rows.withColumnRenamed("user_id", "task"), ["task"], "6 hours", "1 day"), late)
+    return stream.where(F.col("ended") <= closed - 1000)
