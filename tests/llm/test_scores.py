@@ -232,14 +232,35 @@ def test_documents_without_an_id_are_never_learnt_from(spark):
 
     docs = spark.createDataFrame([(None, "gruk gruk"), (0, "calm words")], "doc_id long, text string")
     table = toxicity.count_words(docs, pd.DataFrame({"doc_id": [-1, 0], "toxic": [1, 0]}))
-    assert table[:, 1].sum() == 0 and table[:, 0].sum() > 0
+    assert table.totals[1] == 0 and table.totals[0] > 0
+
+
+def test_a_words_score_is_its_own_among_any_number_of_others():
+    own = [h for w in (b"vilest", b"gentle") for h in toxicity.features(w)]
+    told = {}
+    for others in (0, 100_000, 5_000_000):
+        more = np.random.default_rng(others).integers(0, 1 << 64, others, np.uint64)
+        keys = np.concatenate([np.array(own, np.uint64), more])
+        counts = np.concatenate([np.array([[1, 50], [1, 50], [2, 60], [2, 60], [70, 1], [70, 1], [60, 1], [60, 1]][: len(own)]), np.tile([[3, 1]], (others, 1))])
+        score = toxicity.Scorer(toxicity.Counts(*toxicity.added(keys, counts), np.array([9000, 1000])))
+        told[others] = (score(b"vilest"), score(b"gentle"), score(b"unseen"))
+    assert told[0] == told[100_000] == told[5_000_000] and told[0][0] > 1 > -1 > told[0][1]
+
+
+def test_rare_features_are_dropped_but_counted_in_the_totals(spark):
+    import pandas as pd
+
+    docs = spark.createDataFrame([(0, "calm calm words"), (1, "calm gruk")], "doc_id long, text string")
+    table = toxicity.count_words(docs, pd.DataFrame({"doc_id": [0, 1], "toxic": [0, 1]}))
+    assert table.of(np.array(toxicity.features(b"calm")[-1:] + toxicity.features(b"gruk")[-1:], np.uint64)).tolist() == [[2, 1], [0, 0]]
+    assert table.totals.tolist() == [len(toxicity.features(b"calm")) * 2 + len(toxicity.features(b"words")), len(toxicity.features(b"calm")) + len(toxicity.features(b"gruk"))]
 
 
 def test_labels_of_the_held_out_fold_are_never_used(spark):
     docs, labels = toxic_table(spark, 200)
     flipped = labels.withColumn("toxic", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, 1 - F.col("toxic")).otherwise(F.col("toxic")))
     a, b = toxicity.fit(docs, labels), toxicity.fit(docs, flipped)
-    assert (a.table == b.table).all() and a.location == b.location and (a.steps == b.steps).all()
+    assert (a.table.keys == b.table.keys).all() and (a.table.counts == b.table.counts).all() and a.location == b.location and (a.steps == b.steps).all()
 
 
 def plain_scores(docs, labels):
@@ -260,6 +281,7 @@ def plain_scores(docs, labels):
         p = base
         for k in parts(w):
             clean, toxic = counts.get(k, (0, 0))
+            clean, toxic = (clean, toxic) if clean + toxic >= 2 else (0, 0)  # too rare
             p = (toxic + 20 * p) / (clean + toxic + 20)
         return math.log(p / (1 - p)) - math.log(base / (1 - base)) - 1
 

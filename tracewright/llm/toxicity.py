@@ -1,8 +1,8 @@
 """Toxic passages by maximum-scoring segments over token log-odds, calibrated by extreme values.
 
 Model: tokens are runs of letters, A-Z lower-cased. Over all tokens of the labelled training documents, counts by
-label are kept for words and for their leading 4, 5 and 6 bytes, in a table of fixed size addressed by hash. A
-token's log-odds has a chain of Dirichlet priors: the word's counts are smoothed by those of its longest prefix,
+label are kept for words and for their leading 4, 5 and 6 bytes: exactly, by 64-bit hash, for each that occurs `least` times or
+more (others count as unseen), so that a word's counts are its own in a corpus of any number of words. A token's log-odds has a chain of Dirichlet priors: the word's counts are smoothed by those of its longest prefix,
 that by the next shorter one's, down to the overall odds; so an unseen form leans on its stem and a rare word on
 little. A token's score is its log-odds less `drift`, so that a passage has to gain on every token, and faint
 leanings of a language or topic don't add up.
@@ -15,8 +15,8 @@ by moments over the calibration documents; the surprise -log P(T >= t) is turned
 isotonic regression over bins of it, both classes counted over the calibration documents.
 
 Labels are used only where crc32(doc_id as text) mod 4 is not 2: remainders 0 and 1 give the counts, remainder 3
-calibrates. At most `max_labels` labelled documents are used (a hash sample of the ids above that), so the table
-of labels sent to workers is bounded; the counts cover these documents' whole texts.
+calibrates. At most `max_labels` labelled documents are used (a hash sample of the ids above that), so the tables
+of labels and of counts sent to workers are bounded; the counts cover these documents' whole texts.
 
 Defined cases: a null or empty text has no passage and the lowest surprise; null doc_ids are scored, never learnt
 from; several labels of one id: the largest; where the calibrating fold lacks a class all folds that
@@ -40,19 +40,39 @@ from pyspark.sql import functions as F
 from tracewright.llm.common import checkpointed, id_crc, parts_for, tidy, whole_texts
 
 WORDS = re.compile(rb"[a-z\x80-\xff]+")
-SLOTS = 1 << 20
 PREFIXES = (4, 5, 6)
 MAX_LABELS = 2_000_000
-RANGES = 16
+RANGES = 64
+LEAST = 2  # occurrences
 BINS = np.concatenate(([-np.inf], np.linspace(0, 60, 121), [np.inf]))
 
 
-def slots(word: bytes) -> list[int]:
-    """The table's places of the word's features: shortest prefix first, the word itself last."""
+def features(word: bytes) -> list[int]:
+    """Hashes of the word's features: shortest prefix first, the word itself last."""
     import xxhash
 
-    parts = [bytes([n]) + word[:n] for n in PREFIXES if len(word) > n] + [b"\0" + word]
-    return [xxhash.xxh64_intdigest(p) % SLOTS for p in parts]
+    return [xxhash.xxh64_intdigest(p) for p in (*[bytes([n]) + word[:n] for n in PREFIXES if len(word) > n], b"\0" + word)]
+
+
+class Counts:
+    """Exact counts (clean, toxic) by feature, sorted by hash; totals: over all features, also those that are too rare to be kept."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, totals: np.ndarray):
+        self.keys, self.counts, self.totals = keys, counts, totals
+
+    def of(self, wanted: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.zeros((len(wanted), 2), np.int64)
+        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        return np.where((self.keys[at] == wanted)[:, None], self.counts[at], 0)
+
+
+def added(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct sorted keys and the sums of their counts."""
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat(counts, first, axis=0) if len(keys) else counts
 
 
 def labelled(labels: DataFrame, max_labels: int = MAX_LABELS) -> pd.DataFrame:
@@ -65,51 +85,51 @@ def labelled(labels: DataFrame, max_labels: int = MAX_LABELS) -> pd.DataFrame:
     return rows.toPandas().sort_values("doc_id", ignore_index=True)
 
 
-def count_words(docs: DataFrame, labels: pd.DataFrame) -> np.ndarray:
-    """Counts (SLOTS, 2) of the features in clean and toxic documents of these labels."""
+def count_words(docs: DataFrame, labels: pd.DataFrame, least: int = LEAST) -> Counts:
+    """Counts of the features in clean and toxic documents of these labels."""
     ids, toxic = labels["doc_id"].to_numpy(np.int64), labels["toxic"].to_numpy(np.int8)
     given = docs.sparkSession.sparkContext.broadcast((ids, toxic))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, toxic = given.value
-        table, seen = np.zeros((SLOTS, 2), np.int64), (Counter(), Counter())
+        seen = (Counter(), Counter())
 
-        def settle(most: int) -> None:
+        def settled() -> Iterator[pa.RecordBatch]:
+            hashes, numbers = [], []
             for c in range(2):
-                if len(seen[c]) > most:
-                    for word, n in seen[c].items():
-                        for s in slots(word):
-                            table[s, c] += n
-                    seen[c].clear()
+                own = [features(w) for w in seen[c]]
+                hashes.append(np.fromiter((h for f in own for h in f), np.uint64))
+                numbers.append(np.zeros((len(hashes[c]), 2), np.int64))
+                numbers[c][:, c] = np.repeat(np.fromiter(seen[c].values(), np.int64, len(own)), np.fromiter(map(len, own), np.int64, len(own)))
+                seen[c].clear()
+            keys, counts = added(np.concatenate(hashes), np.concatenate(numbers))
+            ranges = (keys >> np.uint64(58)).astype(int)
+            edges = np.searchsorted(ranges, np.arange(RANGES + 1))
+            for r, (i, j) in enumerate(zip(edges, edges[1:])):
+                if j > i:
+                    yield pa.RecordBatch.from_arrays([pa.array([r]), pa.array([keys[i:j].astype("<u8").tobytes()]), pa.array([counts[i:j].astype("<i8").tobytes()])], ["range", "keys", "counts"])
 
         for b in batches:
             own, given_id = np.asarray(b.column(0).fill_null(0)), np.asarray(b.column(0).is_valid())
             at = np.minimum(np.searchsorted(ids, own), len(ids) - 1)
             for i in np.flatnonzero((ids[at] == own) & given_id).tolist():
                 seen[toxic[at[i]]].update(WORDS.findall((b.column(1)[i].as_py() or b"").lower()))
-                settle(200_000)
-        settle(0)
-        wide = SLOTS // RANGES
-        for r in range(RANGES):
-            part = table[r * wide : (r + 1) * wide]
-            used = np.flatnonzero(part.any(axis=1))
-            if len(used):
-                yield pa.RecordBatch.from_arrays([pa.array([r]), pa.array([used.astype("<i4").tobytes()]), pa.array([part[used].astype("<i8").tobytes()])], ["range", "slots", "counts"])
+                if len(seen[0]) + len(seen[1]) > 200_000:
+                    yield from settled()
+        yield from settled()
 
     def add(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros((SLOTS // RANGES, 2), np.int64)
-        for s, c in zip(rows["slots"], rows["counts"], strict=True):
-            total[np.frombuffer(s, "<i4")] += np.frombuffer(c, "<i8").reshape(-1, 2)
-        return pd.DataFrame({"range": [key[0]], "counts": [total.tobytes()]})
-
-    # each worker task sends at most SLOTS rows of sums, and the driver gets RANGES rows, whatever the input
-    sums = whole_texts(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("t"))).mapInArrow(tidy(run), "range long, slots binary, counts binary").groupBy("range").applyInPandas(add, "range long, counts binary")
-    table = np.zeros((SLOTS, 2), np.int64)
-    wide = SLOTS // RANGES
-    for row in sums.collect() if len(ids) else []:
-        table[row["range"] * wide : (row["range"] + 1) * wide] = np.frombuffer(bytes(row["counts"]), "<i8").reshape(-1, 2)
+        keys, counts = added(np.concatenate([np.frombuffer(x, "<u8") for x in rows["keys"]]), np.concatenate([np.frombuffer(x, "<i8").reshape(-1, 2) for x in rows["counts"]]))
+        total, often = counts.sum(axis=0), counts.sum(axis=1) >= least
+        return pd.DataFrame({"range": [key[0]], "keys": [keys[often].tobytes()], "counts": [counts[often].tobytes()], "clean": [int(total[0])], "toxic": [int(total[1])]})
+
+    # the driver gets RANGES rows: the features of at most max_labels documents
+    sums = whole_texts(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("t"))).mapInArrow(tidy(run), "range long, keys binary, counts binary").groupBy("range").applyInPandas(add, "range long, keys binary, counts binary, clean long, toxic long")
+    found = sorted(sums.collect(), key=lambda r: r["range"]) if len(ids) else []
     given.unpersist()
-    return table
+    keys = np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(bytes(r["keys"]), "<u8") for r in found]])
+    counts = np.concatenate([np.zeros((0, 2), np.int64), *[np.frombuffer(bytes(r["counts"]), "<i8").reshape(-1, 2) for r in found]])
+    return Counts(keys, counts, np.array([sum(r["clean"] for r in found), sum(r["toxic"] for r in found)], np.int64))
 
 
 class Scorer:
@@ -117,25 +137,34 @@ class Scorer:
 
     KEEP = 200_000
 
-    def __init__(self, table: np.ndarray, strength: float = 20.0, drift: float = 1.0):
+    def __init__(self, table: Counts, strength: float = 20.0, drift: float = 1.0):
         self.table, self.strength, self.drift, self.known = table, strength, drift, {}
-        words = table.sum(axis=0).astype(float) + 1
+        words = table.totals.astype(float) + 1
         self.base = words[1] / words.sum()
         self.offset = math.log(self.base / (1 - self.base))
 
     def __call__(self, word: bytes) -> float:
-        p = self.base
-        for clean, toxic in self.table[slots(word)].tolist():
-            p = (toxic + self.strength * p) / (clean + toxic + self.strength)
-        return math.log(p / (1 - p)) - self.offset - self.drift
+        return self.of([word])[0]
+
+    def of(self, words: list[bytes]) -> list[float]:
+        """The words' scores: counts of all their features are looked up in one go."""
+        own = [features(w) for w in words]
+        counts, out, at = self.table.of(np.array([h for f in own for h in f], np.uint64)).tolist(), [], 0
+        for f in own:
+            p = self.base
+            for clean, toxic in counts[at : at + len(f)]:
+                p = (toxic + self.strength * p) / (clean + toxic + self.strength)
+            at += len(f)
+            out.append(math.log(p / (1 - p)) - self.offset - self.drift)
+        return out
 
     def scores(self, text: bytes) -> tuple[np.ndarray, list[bytes]]:
         words = WORDS.findall(text.lower())
         known = self.known
         if len(known) > self.KEEP:
             known.clear()
-        for w in set(words).difference(known):
-            known[w] = self(w)
+        new = list(set(words).difference(known))
+        known.update(zip(new, self.of(new), strict=True))
         return np.fromiter(map(known.__getitem__, words), float, len(words)), words
 
 
@@ -193,9 +222,9 @@ def isotonic(bad: np.ndarray, all_: np.ndarray, prior: float) -> np.ndarray:
 
 
 class Model:
-    """What fit() learns; workers get it by broadcast (some 16 MB, whatever the input)."""
+    """What fit() learns; workers get it by broadcast: 24 bytes for each feature of the labelled documents, of which there are max_labels at most."""
 
-    def __init__(self, table: np.ndarray, base: float, location: float = 0.0, scale: float = 1.0, steps: np.ndarray | None = None):
+    def __init__(self, table: Counts, base: float, location: float = 0.0, scale: float = 1.0, steps: np.ndarray | None = None):
         self.table, self.base, self.location, self.scale, self.steps = table, base, location, scale, steps
 
     def probability(self, t: np.ndarray) -> np.ndarray:
@@ -207,7 +236,7 @@ class Model:
         return np.clip(self.steps[k] + 1e-6 * np.minimum(x, 1000) / 1000, 0.0, 1.0)
 
 
-def statistics(docs: DataFrame, table: np.ndarray, passages: bool = False, location: float = 0.0, significance: float = 0.05) -> DataFrame:
+def statistics(docs: DataFrame, table: Counts, passages: bool = False, location: float = 0.0, significance: float = 0.05) -> DataFrame:
     """(doc_id, t[, passages]): the statistic of each row; passages: (start, end, score, expected) by token of the significant ones."""
     given = docs.sparkSession.sparkContext.broadcast(table)
 
