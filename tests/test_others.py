@@ -105,9 +105,11 @@ def test_text_sources(spark, tmp_path):
     head = spark.createDataFrame([("x.c", "// TEST_VECTOR: [1, 2,3]\n// TEST_LABEL: 7\n// RULE_APPLD: inlining\n")], "file string, value string")
     r = texts.feature_headers(head).first()
     assert (r.test, r.label, r.rule, r.func) == ([1, 2, 3], 7, "inlining", None)
-    text = texts.training_text(["a", "b"], {"10": 0, "11": 1}, [0], [1], [[0, 1], [1, 1]])
-    t = texts.training_table(spark, text)
-    assert t["transitions"].count() == 4 and t["rules"].count() == 2 and t["final"].first().state == 1
+    text = "Rule Names\n['a', 'b']\n\nAbst.-State mappings\n{'10': 0, '11': 1}\n\nInit. States\n[0]\n\nFinal States\n[1]\n\nTransition Table\n[0, 1]\n[1, 1]\n"
+    t = texts.training_table(spark.createDataFrame([("f", text)], "file string, value string"))
+    assert sorted(map(tuple, t["transitions"].drop("file").collect())) == [(0, 0, 0), (0, 1, 1), (1, 0, 1), (1, 1, 1)]
+    assert sorted(map(tuple, t["rules"].collect())) == [("f", 0, "a"), ("f", 1, "b")] and t["final"].first().state == 1 and sorted(r.key for r in t["states"].collect()) == ["10", "11"]
+    assert texts.training_text(t).first().value == text
     tree = texts.scope_json([{"scope_id": 0, "parent_id": None, "name": "ddot", "weight": 17, "lstart": 10, "lend": 23}, {"scope_id": 1, "parent_id": 0, "name": "MSUM", "weight": 8, "lstart": 18, "lend": 20}])
     assert tree[0]["scopes"][0]["name"] == "MSUM"
     (tmp_path / "e.csv").write_text("0," + ",".join(["1"] * 12) + "\n")
@@ -143,4 +145,5 @@ def test_periods_and_policy(spark):
     b = spark.createDataFrame([(1, 5, 10), (1, 15, 10), (1, 16, 1), (1, 40, 10)], "task int, ts long, dur long")
     z = spark.createDataFrame([(1, 10, 30, "profile")], "task int, t0 long, t1 long, policy string")
     assert {r.ts: r.policy for r in signals.detail_policy(b, z, 5).collect()} == {5: "none", 15: "profile", 16: "none", 40: "none"}
-    assert signals.injection_schedule(spark, 10, 5, 3, 2).count() == 6
+    plans = spark.createDataFrame([(1, 10, 5, 3, 2), (2, 1, 1, 0, 4)], "plan int, start long, step long, rounds int, loops int")
+    assert sorted(map(tuple, signals.injection_schedule(plans, ["plan"]).collect())) == [(1, loop, r, 10 + 5 * r) for loop in range(2) for r in range(3)]

@@ -430,17 +430,22 @@ def mp_power(a: DataFrame, n: int) -> DataFrame:
     return out
 
 
-def mp_star(a: DataFrame, most_rounds: int = 40) -> DataFrame:
-    """Identity + a + a^2 + ..., by squaring identity + a until it stays; a positive cycle is an error."""
+def mp_star(a: DataFrame, most_rounds: int = 40, most_entries: int = 10**10) -> DataFrame:
+    """Identity + a + a^2 + ..., by squaring identity + a until it stays; a positive cycle is an error.
+
+    The star has an entry for every two states that are connected, so it is counted each round, and more than most_entries are refused."""
     names = a.select(F.col("r").alias("x")).union(a.select("c")).distinct()
     unit = names.select(F.col("x").alias("r"), F.col("x").alias("c"), F.lit(0).cast("long").alias("v"))
     now = checkpointed(mp_sum(unit, a))
-    for _ in range(most_rounds):
+    for i in range(most_rounds):
         if not now.where("r = c and v > 0").isEmpty():
             raise ValueError("the graph has a positive cycle")
         new = checkpointed(mp_product(now, now))
-        if new.exceptAll(now).isEmpty() and new.count() == now.count():
-            return now
+        entries = new.count()
+        if entries > most_entries:
+            raise OverflowError(f"the star has {entries} entries after {2 ** (i + 1)} steps, more than {most_entries}")
+        if entries == now.count() and new.join(now.withColumnRenamed("v", "_v"), ["r", "c"], "left").where("_v is null or v <> _v").isEmpty():
+            return new
         now = new
     raise ValueError("the graph has a positive cycle")
 

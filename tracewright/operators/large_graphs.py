@@ -149,11 +149,15 @@ def ratio_key(w: Column, t: Column) -> Column:
 def cycles_of(policy: DataFrame) -> tuple[DataFrame, DataFrame]:
     """For links (node, next, w, t), one for each node: (node, root, w, t), how far each is from the root of the cycle that it ends in, and the cycles
     (root, w, t). Roots are their cycles' smallest nodes. Steps are doubled until all have come to cycles, and then until all have seen them whole."""
+
+    def doubled(at: DataFrame) -> DataFrame:
+        ahead = at.select(F.col("node").alias("next"), F.col("next").alias("_next"), F.col("least").alias("_least"))
+        return at.join(ahead, "next").select("node", F.col("_next").alias("next"), F.least("least", "_least").alias("least"))
+
     at = checkpointed(policy.select("node", "next", F.col("node").alias("least")))
     held, seen = None, None
     while True:
-        ahead = at.select(F.col("node").alias("next"), F.col("next").alias("_next"), F.col("least").alias("_least"))
-        at = checkpointed(at.join(ahead, "next").select("node", F.col("_next").alias("next"), F.least("least", "_least").alias("least")), None, [at])
+        at = checkpointed(doubled(doubled(at)), None, [at])
         ends = at.select("next").distinct()
         on = at.join(ends.withColumnRenamed("next", "node"), "node", "left_semi")
         now = on.agg(F.count("*"), F.sum(F.xxhash64("node", "least").cast("decimal(38,0)"))).first()
@@ -165,11 +169,14 @@ def cycles_of(policy: DataFrame) -> tuple[DataFrame, DataFrame]:
     stop = F.col("node") == F.col("root")
     zero = F.lit(0).cast("decimal(38,0)")
     far = policy.join(roots, "node", "left").select("node", F.when(stop, F.col("node")).otherwise(F.col("next")).alias("next"), F.when(stop, zero).otherwise(F.col("w")).alias("w"), F.when(stop, zero).otherwise(F.col("t")).alias("t"), F.coalesce(stop, F.lit(False)).alias("over"))
+
+    def farther(far: DataFrame) -> DataFrame:
+        ahead = far.select(F.col("node").alias("next"), F.col("next").alias("_next"), F.col("w").alias("_w"), F.col("t").alias("_t"), F.col("over").alias("_over"))
+        return far.join(ahead, "next").select("node", F.col("_next").alias("next"), (F.col("w") + F.col("_w")).cast("decimal(38,0)").alias("w"), (F.col("t") + F.col("_t")).cast("decimal(38,0)").alias("t"), F.col("_over").alias("over"))
+
     far = checkpointed(far)
     while True:
-        ahead = far.select(F.col("node").alias("next"), F.col("next").alias("_next"), F.col("w").alias("_w"), F.col("t").alias("_t"), F.col("over").alias("_over"))
-        joined = far.join(ahead, "next")
-        far = checkpointed(joined.select("node", F.col("_next").alias("next"), (F.col("w") + F.col("_w")).cast("decimal(38,0)").alias("w"), (F.col("t") + F.col("_t")).cast("decimal(38,0)").alias("t"), F.col("_over").alias("over")), None, [far])
+        far = checkpointed(farther(farther(far)), None, [far])
         if far.where("not over").isEmpty():
             return far.select("node", F.col("next").alias("root"), "w", "t"), cycles
 

@@ -94,9 +94,11 @@ def detail_policy(spark, d):
     return signals.detail_policy(_bursts(spark, d), z, 3_600_000_000)
 
 
-@query("SELECT l AS loop, r AS round, 10 + r * 5 AS load FROM range(3) a(l), range(4) b(r)")
+@query("SELECT c_custkey AS plan, l AS loop, r AS round, c_nationkey + r * (c_custkey % 5 + 1) AS load FROM customer, range(2) a(l), range(4) b(r) WHERE r < c_custkey % 3 + 2")
 def injection_schedule(spark, d):
-    return signals.injection_schedule(spark, 10, 5, 4, 3)
+    """A schedule for each customer, by its own start, step and rounds."""
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("plan"), F.col("c_nationkey").cast("long").alias("start"), (F.col("c_custkey") % 5 + 1).alias("step"), (F.col("c_custkey") % 3 + 2).alias("rounds"), F.lit(2).alias("loops"))
+    return signals.injection_schedule(c, ["plan"])
 
 
 @query("{EV}, n AS (SELECT task, time, cents, row_number() OVER (PARTITION BY task ORDER BY time) AS k, count(*) OVER (PARTITION BY task) AS n FROM e) SELECT task, min(time) AS time, round(avg(cents), 6) AS value FROM n GROUP BY task, (k - 1) // CAST(ceil(n / 20.0) AS BIGINT)")
@@ -224,9 +226,10 @@ def cycle_edges(spark, d):
     return graph.inside_components(n)
 
 
-@query("SELECT i * 6 + j AS src, CASE k WHEN 0 THEN i * 6 + (j + 1) % 6 ELSE (i + 1) % 5 * 6 + j END AS dst FROM range(5) a(i), range(6) b(j), range(2) c(k)")
+@query("WITH n AS (SELECT count(*) AS n FROM nation), m AS (SELECT count(*) AS m FROM supplier), i AS (SELECT row_number() OVER () - 1 AS i FROM nation), j AS (SELECT row_number() OVER () - 1 AS j FROM supplier) SELECT i * m + j AS src, CASE k WHEN 0 THEN i * m + (j + 1) % m ELSE (i + 1) % n * m + j END AS dst FROM n, m, i, j, range(2) c(k)")
 def torus_edges(spark, d):
-    return graph.torus(spark, 5, 6).select("src", "dst")
+    """A ring of as many rings as there are nations, with a node for each supplier."""
+    return graph.torus(spark, table(spark, d, "nation").count(), table(spark, d, "supplier").count()).select("src", "dst")
 
 
 @query("SELECT l_orderkey, gcd(min(l_partkey), max(l_suppkey)) AS g FROM lineitem GROUP BY 1")

@@ -253,13 +253,18 @@ def header_texts(spark, d):
     return found.withColumn("test", F.array_join(F.col("test").cast("array<string>"), ","))
 
 
-@query("SELECT n_nationkey AS state, a AS action, CAST((n_nationkey * 7 + a) % 25 AS INT) AS next_state FROM nation, range(6) t(a)")
+@query("WITH s AS (SELECT 'f' || c_nationkey AS file, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS state, c_custkey, count(*) OVER (PARTITION BY c_nationkey) AS n FROM customer) SELECT file, CAST(state AS INT) AS state, CAST(a AS INT) AS action, CAST((c_custkey * 7 + a) % n AS INT) AS next_state FROM s, range(6) t(a)")
 def training_tables(spark, d):
-    """A training table written as text and read again."""
-    n = table(spark, d, "nation").count()
-    moves = [[(s * 7 + a) % 25 for a in range(6)] for s in range(n)]
-    text = texts.training_text([f"rule{a}" for a in range(6)], {f"k{s}": s for s in range(n)}, [0, 1], [n - 1], moves)
-    return texts.training_table(spark, text)["transitions"]
+    """A training text for each nation, of a state for each of its customers, written and read again."""
+    w = Window.partitionBy("file").orderBy("c_custkey")
+    own = table(spark, d, "customer").select(text_of("f", F.col("c_nationkey")).alias("file"), "c_custkey")
+    s = own.withColumn("state", F.row_number().over(w) - 1).withColumn("n", F.count("*").over(Window.partitionBy("file")))
+    moves = s.select("file", "state", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("action"), "c_custkey", "n").select("file", "state", "action", ((F.col("c_custkey") * 7 + F.col("action")) % F.col("n")).cast("int").alias("next_state"))
+    rules = s.select("file").distinct().select("file", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("action")).withColumn("name", text_of("rule", F.col("action")))
+    texts_ = texts.training_text({"rules": rules, "states": s.select("file", "state", text_of("k", F.col("c_custkey")).alias("key")), "init": s.where("state < 2").select("file", "state"), "final": s.where("state = n - 1").select("file", "state"), "transitions": moves})
+    path = scratch(spark, "training")
+    texts.write_files(texts_, path)
+    return texts.training_table(texts.whole_files(spark, path))["transitions"]
 
 
 @query("SELECT event_id AS t_ms, round(value, 2) AS v_mem, user_id / 4 AS w_mem, CAST(user_id AS DOUBLE) AS w_gpu FROM events")
@@ -745,16 +750,18 @@ def strong_components(spark, d):
     return graph.strong_components(c)
 
 
-@query("SELECT 'random' AS kind, i AS id, true AS holds FROM range(40) t(i) UNION ALL SELECT 'ring', i, true FROM range(12) t(i) UNION ALL SELECT 'degree', i, true FROM range(60) t(i)")
+@query("WITH n AS (SELECT count(*) AS n FROM supplier), i AS (SELECT row_number() OVER () - 1 AS i FROM supplier) SELECT 'random' AS kind, i AS id, true AS holds FROM i UNION ALL SELECT 'ring', i, true FROM i UNION ALL SELECT 'degree', i, true FROM i")
 def generated_graphs(spark, d):
-    """Random dataflow graphs are consistent and live, a shift by potentials keeps the sums around rings, a random graph has a cycle through all nodes."""
-    actors, channels = graph.random_sdf(spark, 40)
+    """Of as many graphs, rings and nodes as there are suppliers: random dataflow graphs are consistent and live, a shift by potentials keeps the
+    sums around rings, a random graph has a cycle through all nodes."""
+    n = table(spark, d, "supplier").count()
+    actors, channels = graph.random_sdf(spark, n)
     found = graph.repetition(actors, channels).groupBy("graph_id").agg(F.min("consistent").alias("c")).join(graph.liveness(actors, channels), "graph_id")
     random = found.select(F.lit("random").alias("kind"), F.regexp_extract("graph_id", r"(\d+)", 1).cast("long").alias("id"), (F.col("c") & F.col("live")).alias("holds"))
-    torus = graph.torus(spark, 12, 8)
+    torus = graph.torus(spark, n, 8)
     ring = lambda e: e.where("src div 8 = dst div 8").groupBy(F.expr("src div 8").alias("id")).agg(F.sum("weight").alias("w"))
     rings = ring(torus).join(ring(graph.potential_shift(torus)).withColumnRenamed("w", "x"), "id").select(F.lit("ring"), "id", (F.col("w") == F.col("x")))
-    degree = graph.random_graph(spark, 60, 200).groupBy("src").agg(F.max((F.col("dst") == (F.col("src") + 1) % 60).cast("int")).alias("next")).select(F.lit("degree"), "src", F.col("next") == 1)
+    degree = graph.random_graph(spark, n, 4 * n).groupBy("src").agg(F.max((F.col("dst") == (F.col("src") + 1) % n).cast("int")).alias("next")).select(F.lit("degree"), "src", F.col("next") == 1)
     return random.union(rings).union(degree)
 
 

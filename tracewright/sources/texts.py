@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import ast
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewright.functions.exprs import four_hex
@@ -113,32 +112,48 @@ def feature_headers(texts: DataFrame) -> DataFrame:
     return texts.select("file", F.when(get("TEST_VECTOR", r"\[([^\]]*)\]") != "", vector).alias("test"), get("TEST_LABEL", r"(-?\d+)").try_cast("int").alias("label"), F.nullif(F.trim(get("RULE_APPLD", r"([^\n]*)")), F.lit("")).alias("rule"), F.nullif(F.trim(get("FUNC_ANALYZ", r"([^\n]*)")), F.lit("")).alias("func"))
 
 
-def training_table(spark: SparkSession, text: str) -> dict[str, DataFrame]:
-    """Rules, states, init, final and transitions of a sectioned training text (one small file)."""
-    sections: dict[str, list[str]] = {}
-    name = None
-    for line in text.split("\n"):
-        plain = line.strip()
-        if plain and plain[0] not in "[{":
-            name = plain
-        elif plain:
-            sections.setdefault(name, []).append(plain)
-    values = {k: [ast.literal_eval(x) for x in v] for k, v in sections.items()}
-    rules, mapping = values["Rule Names"][0], values["Abst.-State mappings"][0]
-    table = [(i, j, n) for i, row in enumerate(values["Transition Table"]) for j, n in enumerate(row)]
+HEADERS = ("Rule Names", "Abst.-State mappings", "Init. States", "Final States", "Transition Table")  # fixed values of the format
+
+
+def training_table(texts: DataFrame) -> dict[str, DataFrame]:
+    """Rules, states, init, final and transitions of sectioned training texts (file, value), one or many, each with its file.
+
+    A line that is no list or map names the section of those after it; lists and maps are parsed in columns."""
+    split = texts.select("file", F.posexplode(F.split("value", "\n")).alias("pos", "line")).withColumn("line", F.trim("line")).where("line <> ''")
+    own = Window.partitionBy("file").orderBy("pos")  # a file's lines
+    data = F.substring("line", 1, 1).isin("[", "{")
+    lines = split.withColumn("section", F.last(F.when(~data, F.col("line")), ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, 0))).where(data)
+
+    def parsed(section: str, kind: str) -> DataFrame:
+        return lines.where(F.col("section") == section).select("file", "pos", F.from_json("line", kind).alias("v"))
+
+    rules, states, init, final = (parsed(h, k) for h, k in zip(HEADERS, ("array<string>", "map<string,int>", "array<int>", "array<int>")))
+    state = (F.row_number().over(own) - 1).alias("state")
     return {
-        "rules": spark.createDataFrame(list(enumerate(rules)), "action int, name string"),
-        "states": spark.createDataFrame(sorted((s, k) for k, s in mapping.items()), "state int, key string"),
-        "init": spark.createDataFrame([(x,) for x in values["Init. States"][0]], "state int"),
-        "final": spark.createDataFrame([(x,) for x in values["Final States"][0]], "state int"),
-        "transitions": spark.createDataFrame(table, "state int, action int, next_state int"),
+        "rules": rules.select("file", F.posexplode("v").alias("action", "name")),
+        "states": states.select("file", F.explode("v").alias("key", "state")).select("file", "state", "key"),
+        "init": init.select("file", F.explode("v").alias("state")),
+        "final": final.select("file", F.explode("v").alias("state")),
+        "transitions": parsed(HEADERS[4], "array<int>").select("file", state, "v").select("file", "state", F.posexplode("v").alias("action", "next_state")),
     }
 
 
-def training_text(rules: list[str], mapping: dict[str, int], init: list[int], final: list[int], table: list[list[int]]) -> str:
-    """The text that training_table reads."""
-    rows = "\n".join(map(str, table))
-    return f"Rule Names\n{rules}\n\nAbst.-State mappings\n{mapping}\n\nInit. States\n{init}\n\nFinal States\n{final}\n\nTransition Table\n{rows}\n"
+def training_text(tables: dict[str, DataFrame]) -> DataFrame:
+    """(file, value): the texts of what training_table gives; a file's table is one text."""
+    listed = lambda x: F.concat(F.lit("["), F.array_join(x, ", "), F.lit("]"))
+    quoted = lambda c: F.concat(F.lit("'"), F.col(c), F.lit("'"))
+    ordered = lambda *c: F.array_sort(F.collect_list(F.struct(*c)))
+    rules = tables["rules"].groupBy("file").agg(listed(F.transform(ordered("action", quoted("name").alias("n")), lambda x: x["n"])).alias("text"))
+    pair = F.concat(quoted("key"), F.lit(": "), F.col("state").cast("string")).alias("p")
+    states = tables["states"].groupBy("file").agg(F.concat(F.lit("{"), F.array_join(F.transform(ordered("state", pair), lambda x: x["p"]), ", "), F.lit("}")).alias("text"))
+    init, final = (tables[n].groupBy("file").agg(listed(F.array_sort(F.collect_list("state")).cast("array<string>")).alias("text")) for n in ("init", "final"))
+    rows = tables["transitions"].groupBy("file", "state").agg(listed(F.transform(ordered("action", "next_state"), lambda x: x["next_state"].cast("string"))).alias("row"))
+    moves = rows.groupBy("file").agg(F.array_join(F.transform(ordered("state", "row"), lambda x: x["row"]), "\n").alias("text"))
+    found = None
+    for i, part in enumerate((rules, states, init, final, moves)):
+        part = part.select("file", F.lit(i).alias("i"), F.concat(F.lit(HEADERS[i] + "\n"), "text", F.lit("\n")).alias("text"))
+        found = part if found is None else found.union(part)
+    return found.groupBy("file").agg(F.array_join(F.transform(ordered("i", "text"), lambda x: x["text"]), "\n").alias("value"))
 
 
 ENERGY = "t_ms long, " + ", ".join(f"{q}_{r} double" for r in ("mem", "gpu", "a7", "a15") for q in ("v", "a", "w"))

@@ -24,11 +24,13 @@ def sum_signals(bursts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 
 def compress(signal: DataFrame, keys: Sequence[str], most: int = 10_000) -> DataFrame:
-    """At most `most` points of each key: means over equal runs of points."""
-    w = Window.partitionBy(*keys).orderBy("time")
-    n = F.count("*").over(Window.partitionBy(*keys))
-    run = ((F.row_number().over(w) - 1) / F.ceil(n / most)).cast("long")
-    return signal.withColumn("_run", run).groupBy(*keys, "_run").agg(F.min("time").alias("time"), F.avg("value").alias("value")).drop("_run")
+    """At most `most` points of each key: means over equal runs of points. Places are counted over ranges of the key, so that one key is many tasks."""
+    keys = list(keys)
+    placed = running_total(signal.withColumn("_one", F.lit(1).cast("long")), ["time"], "_one", "_place", keys)
+    sizes = signal.groupBy(*keys).agg(F.count("*").alias("_n"))
+    sized = placed.join(sizes, keys) if keys else placed.crossJoin(F.broadcast(sizes))  # one row
+    run = F.expr(f"(_place - 1) div ceil(_n / {most})")
+    return sized.withColumn("_run", run).groupBy(*keys, "_run").agg(F.min("time").alias("time"), F.avg("value").alias("value")).drop("_run")
 
 
 def dominant_period(values: np.ndarray) -> tuple[int, float]:
@@ -159,9 +161,11 @@ def detail_policy(bursts: DataFrame, zones: DataFrame, min_dur: int) -> DataFram
     return both.select("task", "ts", "dur", F.expr(f"case when _z is null or ts >= _z.t1 or dur < {min_dur} then 'none' else _z.policy end").alias("policy"))
 
 
-def injection_schedule(spark, start: int, step: int, rounds: int, loops: int) -> DataFrame:
-    """(loop, round, load): a load that grows by step in each round, and starts again in each loop."""
-    return spark.range(loops).select(F.col("id").alias("loop"), F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round")).withColumn("load", F.lit(start) + F.col("round") * step)
+def injection_schedule(plans: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, loop, round, load) of plans (keys, start, step, rounds, loops): a load that grows by step in each round, and starts again in each loop."""
+    looped = plans.where("rounds > 0 and loops > 0").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("loops").cast("long") - 1)).alias("loop"))
+    rounds = looped.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rounds").cast("long") - 1)).alias("round"))
+    return rounds.select(*keys, "loop", "round", (F.col("start") + F.col("round") * F.col("step")).alias("load"))
 
 
 def next_frequency(frequency: Column, found: Column) -> Column:
