@@ -51,6 +51,17 @@ def test_token_files_round_trip(spark, bpe, tmp_path):
     assert sorted(r.doc_id for r in few) == [2, 9] and {r.start for r in few} == {r[1] for r in got if r[0] in (2, 9)}
 
 
+def test_token_files_of_one_id_span_files(spark, bpe, tmp_path):
+    rng = random.Random(3)
+    texts = [cases.prose(rng, 20) for _ in range(400)]
+    write_tokens(spark.createDataFrame([(None if i % 2 else 7, t) for i, t in enumerate(texts)], "doc_id long, text string"), str(tmp_path / "t"), files=6)
+    assert sum(orc.ORCFile(f).nrows > 0 for f in (tmp_path / "t").glob("part-*.orc")) >= 5
+    got = read_tokens(spark, str(tmp_path / "t")).orderBy("start").collect()
+    assert sorted(tuple(r.ids) for r in got) == sorted((*ids_of(bpe, t), 0) for t in texts)
+    assert [r.start for r in got] == [sum(x.n_tokens for x in got[:i]) for i in range(len(got))]
+    assert [r.doc_id for r in got] == [None] * 200 + [7] * 200
+
+
 def test_token_files_have_stripes_and_bloom_filters(spark, tmp_path):
     rng = random.Random(1)
     docs = spark.createDataFrame([(i, cases.prose(rng, 200)) for i in range(300)], "doc_id long, text string")

@@ -6,7 +6,7 @@ the few totals of the files give the place in the whole. Readers take stripes in
 skips files and stripes by their statistics and row groups by Bloom filter.
 
 Defined cases: a null text is empty and gives only the end id; a null doc_id comes first; equal doc_ids are
-ordered by text, equal rows each give a row; an empty table gives files without rows; other columns are ignored; a very
+ordered by their texts' hashes, so that they can span files, equal rows each give a row; an empty table gives files without rows; other columns are ignored; a very
 long text is encoded by itself, a row of its ids (four bytes each) in one task.
 """
 
@@ -20,16 +20,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import slices, tokenizer_path, whole_text, whole_texts, word_bpe
+from tracewright.llm.common import LEAST_PARTS, slices, tokenizer_path, whole_text, whole_texts, word_bpe
 
 TOKENIZER = "byte_bpe_50k.json"
+FILE_BYTES, MOST_FILES = 16 << 20, 100_000  # beyond 1.6 TB files grow with the input
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id: int = 0, files: int | None = None, stripe_mb: int = 16, stride: int = 1000, fpp: float = 0.01) -> None:
     """Writes (doc_id, shard, place, n_tokens, ids) as ORC files, in ascending doc_id order over the files.
 
-    files: how many ranges; by default as many as the session's shuffle partitions."""
-    spark = docs.sparkSession
+    files: how many ranges; by default one for FILE_BYTES of the input, at least LEAST_PARTS and at most MOST_FILES, whatever the session's setting."""
     model = tokenizer_path(tokenizer)
     rows = docs.select("doc_id", whole_text().alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -49,8 +49,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shard] * len(n), pa.int32()), pa.array(offsets[:-1] + place, pa.int64()), pa.array(n, pa.int64()), lists], ["doc_id", "shard", "place", "n_tokens", "ids"])
                 place += int(n.sum())
 
-    ranges = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(ranges, "doc_id").sortWithinPartitions("doc_id", "text")
+    bytes_ = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    ranges = files or max(LEAST_PARTS, min(MOST_FILES, bytes_ // FILE_BYTES))
+    tied = rows.withColumn("tie", F.xxhash64("text"))
+    ordered = tied.repartitionByRange(ranges, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text")
     writer = whole_texts(ordered).mapInArrow(encode, f"doc_id {kind}, shard int, place long, n_tokens long, ids array<int>").write
     for key, value in {"orc.compress": "ZSTD", "orc.stripe.size": stripe_mb << 20, "orc.create.index": "true", "orc.row.index.stride": stride, "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": fpp}.items():
         writer = writer.option(key, value)
