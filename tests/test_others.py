@@ -1,8 +1,12 @@
 """Scopes, energy, features, sources and streams."""
 
 import json
+import math
+import random
 import struct
 
+import numpy as np
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -147,3 +151,22 @@ def test_periods_and_policy(spark):
     assert {r.ts: r.policy for r in signals.detail_policy(b, z, 5).collect()} == {5: "none", 15: "profile", 16: "none", 40: "none"}
     plans = spark.createDataFrame([(1, 10, 5, 3, 2), (2, 1, 1, 0, 4)], "plan int, start long, step long, rounds int, loops int")
     assert sorted(map(tuple, signals.injection_schedule(plans, ["plan"]).collect())) == [(1, loop, r, 10 + 5 * r) for loop in range(2) for r in range(3)]
+
+
+def test_periods_of_long_signals_equal_those_of_whole_ones(spark):
+    rng = random.Random(4)
+    waves = {"a": [math.sin(2 * math.pi * i / 37) + 0.2 * rng.random() for i in range(5000)], "b": [(i % 60 < 7) * 5.0 + rng.random() for i in range(3001)], "c": [rng.random() for _ in range(900)], "d": [1.0] * 50, "e": [1.0, 2.0]}
+    df = spark.createDataFrame([(k, i * 10, v) for k, w in waves.items() for i, v in enumerate(w)], "app string, time long, value double")
+    for block in (256, 1000):
+        got = {r.app: r for r in signals.long_periods(df.repartition(5), "app", 200, block).collect()}
+        for k, w in waves.items():
+            x = np.array(w) - np.mean(w)
+            n, lags = len(x), min(200, len(x) // 2) + 1
+            r = np.array([np.dot(x[: n - j], x[j:]) / (n - j) for j in range(lags)])
+            if k == "d":
+                continue  # rounding alone
+            p, good = signals.peak_of(r) if n >= 4 else (0, 0.0)
+            assert got[k].period == p and abs(got[k].goodness - good) < 1e-6 and got[k].iterations == (n // p if p else 0), k
+    assert got["a"].period == 37 and got["b"].period == 60
+    whole = {r.app: r for r in signals.periods(df.where("app <> 'd'"), "app").collect()}
+    assert whole["a"].period == 37 and whole["b"].period == 60

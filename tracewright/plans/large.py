@@ -193,3 +193,16 @@ def streamed_sessions(spark, d):
     late = F.unix_micros(F.col("ts").cast("timestamp")) + F.col("event_id") % 5 * 14_400_000_000
     stream = _in_turns(spark, d, lambda rows: state.sessions(rows.withColumnRenamed("user_id", "task"), ["task"], "6 hours", "1 day"), late)
     return stream.where(F.col("ended") <= closed - 1000)
+
+
+# one signal -----------------------------------------------------------------------------------------------------------
+
+
+@query("{EV}, x AS (SELECT row_number() OVER (ORDER BY time, seq) AS i, CASE WHEN seq % 24 < 5 THEN 100.0 ELSE 0.0 END + cents % 50 AS v FROM e), m AS (SELECT avg(v) AS m, count(*) AS n FROM x), y AS (SELECT i, v - m AS y FROM x, m), r AS (SELECT k, coalesce((SELECT sum(a.y * b.y) FROM y a JOIN y b ON b.i = a.i + k), 0) / (any_value(n) - k) AS r FROM range(61) t(k), m GROUP BY k), q AS (SELECT k, r / first_value(r) OVER (ORDER BY k) AS r, lag(r) OVER (ORDER BY k) / first_value(r) OVER (ORDER BY k) AS p, lead(r) OVER (ORDER BY k) / first_value(r) OVER (ORDER BY k) AS f FROM r), z AS (SELECT k, r FROM q WHERE k BETWEEN 2 AND 59 AND r >= p AND r > f), b AS (SELECT min(k) AS period FROM z WHERE r >= 0.9 * (SELECT max(r) FROM z)) SELECT 0 AS app, b.period, round(z.r, 6) AS goodness, m.n // b.period AS iterations FROM b JOIN z ON z.k = b.period, m")
+def long_period_one_signal(spark, d):
+    """T4: the period of all events as one signal, correlated in blocks."""
+    from tracewright.streaming import signals
+
+    e = events(spark, d)
+    s = e.select(F.lit(0).alias("app"), F.struct("time", "seq").alias("time"), (F.when(F.col("seq") % 24 < 5, 100.0).otherwise(0.0) + F.col("cents") % 50).alias("value"))
+    return signals.long_periods(s, "app", 60, 512).withColumn("goodness", F.round("goodness", 6))

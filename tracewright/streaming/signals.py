@@ -41,13 +41,7 @@ def dominant_period(values: np.ndarray) -> tuple[int, float]:
         return 0, 0.0
     f = np.fft.rfft(x, 2 * n)
     r = np.fft.irfft(f * np.conj(f))[: n // 2 + 1] / np.arange(n, n - n // 2 - 1, -1)
-    r /= r[0]
-    peaks = [k for k in range(2, len(r) - 1) if r[k] >= r[k - 1] and r[k] > r[k + 1]]
-    if not peaks:
-        return 0, 0.0
-    top = max(r[k] for k in peaks)
-    best = next(k for k in peaks if r[k] >= 0.9 * top)
-    return best, float(r[best])
+    return peak_of(r)
 
 
 def periods(signal: DataFrame, key: str) -> DataFrame:
@@ -63,6 +57,54 @@ def periods(signal: DataFrame, key: str) -> DataFrame:
     return signal.groupBy(key).applyInPandas(group, f"{key} {kind}, period long, goodness double, iterations long")
 
 
+def peak_of(r: np.ndarray) -> tuple[int, float]:
+    """The lag of the first strong peak of an autocorrelation (by lag, from 0), and its height against lag 0."""
+    if len(r) < 3 or r[0] == 0:
+        return 0, 0.0
+    r = r / r[0]
+    peaks = [k for k in range(2, len(r) - 1) if r[k] >= r[k - 1] and r[k] > r[k + 1]]
+    if not peaks:
+        return 0, 0.0
+    top = max(r[k] for k in peaks)
+    best = next(k for k in peaks if r[k] >= 0.9 * top)
+    return best, float(r[best])
+
+
+def long_periods(signal: DataFrame, key: str, most_lag: int = 5_000, block: int | None = None) -> DataFrame:
+    """T4: (key, period, goodness, iterations) of evenly sampled signals of any length, with periods up to most_lag points; no key's signal is gathered.
+
+    Points get their place in the key over ranges; blocks of points, with the most_lag points that follow each, are correlated by FFT and added up by lag,
+    so a task holds one block; a key's most_lag sums are all that meets in one task in the end."""
+    kind = signal.schema[key].dataType.simpleString()
+    size = block or max(4 * most_lag, 65_536)
+    placed = running_total(signal.select(key, "time", "value").withColumn("_one", F.lit(1).cast("long")), ["time"], "_one", "_place", [key])
+    stats = signal.groupBy(key).agg(F.avg("value").alias("_mean"), F.count("*").alias("_n"))
+    rows = placed.join(stats, key).select(key, (F.col("_place") - 1).alias("i"), (F.col("value") - F.col("_mean")).alias("x"), "_n")
+    own = F.expr(f"i div {size}")
+    # what follows a block is also in its group, as its tail
+    both = rows.select(key, own.alias("block"), "i", "x", "_n").union(rows.where(f"i >= {size} and i % {size} < {most_lag}").select(key, own - 1, "i", "x", "_n"))
+
+    def correlated(k: tuple, b: pd.DataFrame) -> pd.DataFrame:
+        start, b = int(k[1]) * size, b.sort_values("i")
+        x, n = b["x"].to_numpy(float), int(b["_n"].iloc[0])
+        head = x[: int(np.searchsorted(b["i"].to_numpy(), start + size))]
+        lags = min(most_lag, n // 2) + 1
+        width = 1 << int(len(x) + len(head)).bit_length()
+        r = np.fft.irfft(np.conj(np.fft.rfft(head, width)) * np.fft.rfft(x, width), width)[:lags]
+        r = np.pad(r, (0, max(0, lags - len(r))))
+        r[np.arange(lags) >= len(x)] = 0.0
+        return pd.DataFrame({key: [k[0]] * lags, "lag": np.arange(lags), "r": r, "n": n})
+
+    sums = both.groupBy(key, "block").applyInPandas(correlated, f"{key} {kind}, lag long, r double, n long").groupBy(key, "lag").agg(F.sum("r").alias("r"), F.first("n").alias("n"))
+
+    def found(k: tuple, b: pd.DataFrame) -> pd.DataFrame:
+        b, n = b.sort_values("lag"), int(b["n"].iloc[0])
+        p, good = peak_of(b["r"].to_numpy() / np.arange(n, n - len(b), -1)) if n >= 4 else (0, 0.0)
+        return pd.DataFrame([(k[0], p, good, n // p if p else 0)], columns=[key, "period", "goodness", "iterations"])
+
+    return sums.groupBy(key).applyInPandas(found, f"{key} {kind}, period long, goodness double, iterations long")
+
+
 def likeness(a: Sequence[float], b: Sequence[float]) -> float:
     """100 for equal vectors, less by their distance relative to the longer one."""
     d = math.dist(a, b)
