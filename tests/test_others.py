@@ -170,3 +170,24 @@ def test_periods_of_long_signals_equal_those_of_whole_ones(spark):
     assert got["a"].period == 37 and got["b"].period == 60
     whole = {r.app: r for r in signals.periods(df.where("app <> 'd'"), "app").collect()}
     assert whole["a"].period == 37 and whole["b"].period == 60
+
+
+@pytest.mark.parametrize("dims,spread", [(1, 40.0), (2, 6.0), (3, 3.0), (5, 2.0)])
+def test_representatives_in_rounds_equal_the_sequential_ones(spark, dims, spread):
+    rng = random.Random(dims)
+    centres = [[rng.uniform(-spread, spread) for _ in range(dims)] for _ in range(12)]
+    rows = [(a, p, [c + rng.gauss(0, 0.08) * (1 + abs(c)) for c in rng.choice(centres)]) for a in ("x", "y") for p in range(150)]
+    rows += [("x", 150, [0.0] * dims), ("x", 151, [0.0] * dims), ("y", 160, rows[3][2]), ("z", 1, [1e-9] * dims)]
+    df = spark.createDataFrame(rows, "job string, phase long, vector array<double>").repartition(4)
+    for limits in ({}, {"min_seen": 2, "max_traced": 3}, {"min_likeness": 60, "min_seen": 1}):
+        got = signals.representatives_in_rounds(df, app="job", **limits)
+        want = signals.representatives(df, app="job", **limits)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())), limits
+
+
+def test_representatives_in_rounds_of_one_application_and_of_none(spark):
+    rows = [(0, [10.0, 1.0]), (1, [10.2, 1.0]), (2, [1.0, 9.0]), (3, [10.0, 1.1]), (4, [1.0, 9.1])]
+    df = spark.createDataFrame(rows, "phase long, vector array<double>")
+    assert sorted(map(tuple, signals.representatives_in_rounds(df).collect())) == sorted(map(tuple, signals.representatives(df).collect()))
+    empty = signals.representatives_in_rounds(df.limit(0))
+    assert empty.count() == 0 and empty.columns == ["phase", "representative", "seen", "traced"]

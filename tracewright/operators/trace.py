@@ -71,7 +71,7 @@ def sync_points(events: DataFrame, task: str, time: str, init: Column, preferred
     return events.groupBy(task).agg(F.min(F.when(init, F.col(time))).alias("init"), F.coalesce(F.min(F.when(preferred, F.col(time))), F.min(F.when(fallback, F.col(time))), F.min(time)).alias("sync"))
 
 
-def latencies(tasks: DataFrame, mode: str = "task", app: Sequence[str] = ()) -> DataFrame:
+def latencies(tasks: DataFrame, mode: str = "task", app: Sequence[str] = (), most_apps: int = 1_000_000) -> DataFrame:
     """Tasks (init, sync, node) with the latency that aligns their clocks; mode task, node or none.
 
     Syncs move to the latest one (of a node: its latest), and the earliest aligned init becomes 0. Only maxima and minima
@@ -83,9 +83,9 @@ def latencies(tasks: DataFrame, mode: str = "task", app: Sequence[str] = ()) ->
         unit = tasks if mode == "task" else tasks.join(tasks.groupBy(*key, "node").agg(F.max("sync").alias("_unit")), [*key, "node"])
         unit = unit.withColumn("_unit", F.col("sync")) if mode == "task" else unit
         most = tasks.groupBy(*key).agg(F.max("sync").alias("_most"))
-        raw = (unit.join(F.broadcast(most), key) if key else unit.crossJoin(F.broadcast(most))).withColumn("_raw", F.col("_most") - F.col("_unit")).drop("_most", "_unit")  # one row for each app
+        raw = (unit.join(broadcast_within(most, most_apps), key) if key else unit.crossJoin(F.broadcast(most))).withColumn("_raw", F.col("_most") - F.col("_unit")).drop("_most", "_unit")  # one row without apps
     least = raw.groupBy(*key).agg(F.min(F.col("init") + F.col("_raw")).alias("_least"))
-    both = raw.join(F.broadcast(least), key) if key else raw.crossJoin(F.broadcast(least))
+    both = raw.join(broadcast_within(least, most_apps), key) if key else raw.crossJoin(F.broadcast(least))
     return both.withColumn("latency", F.col("_raw") - F.col("_least")).drop("_raw", "_least")
 
 

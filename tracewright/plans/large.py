@@ -206,3 +206,16 @@ def long_period_one_signal(spark, d):
     e = events(spark, d)
     s = e.select(F.lit(0).alias("app"), F.struct("time", "seq").alias("time"), (F.when(F.col("seq") % 24 < 5, 100.0).otherwise(0.0) + F.col("cents") % 50).alias("value"))
     return signals.long_periods(s, "app", 60, 512).withColumn("goodness", F.round("goodness", 6))
+
+
+# one application ------------------------------------------------------------------------------------------------------
+
+
+@query("WITH x AS (SELECT event_id AS phase, user_id % 7 AS k FROM events), r AS (SELECT k, row_number() OVER (ORDER BY min(phase)) - 1 AS representative FROM x GROUP BY k), s AS (SELECT phase, representative, row_number() OVER (PARTITION BY k ORDER BY phase) AS seen FROM x JOIN r USING (k)) SELECT phase, representative, seen, coalesce(seen = 3 AND phase IN (SELECT phase FROM s WHERE seen = 3 ORDER BY phase LIMIT 4), false) AS traced FROM s")
+def representatives_one_app(spark, d):
+    """All events as the phases of one application, of seven kinds that lie apart by a factor of two."""
+    from tracewright.streaming import signals
+
+    size = F.pow(F.lit(2.0), F.col("user_id") % 7) * 100 * (1 + F.col("event_id") % 3 / 100)
+    phases = table(spark, d, "events").select(F.col("event_id").alias("phase"), F.array(size, size / 2).alias("vector"))
+    return signals.representatives_in_rounds(phases, min_seen=2, max_traced=4)

@@ -956,17 +956,11 @@ def learnt_policies(spark, d):
     ways = {"iterated": features.value_iteration(moves, [24]), "sampled": features.sampled_values(moves, list(range(24)), [24], episodes=300, seed=5)}
     out = None
     for way, q in ways.items():
-        to = {r["state"]: r["next_state"] for r in features.greedy(moves, q, [24]).collect()}  # one row for each state
-
-        def walked(s: int, to: dict = to) -> int | None:
-            for k in range(1, 26):
-                s = to.get(s, -1)
-                if s == 24:
-                    return k
-            return None
-
-        rows = [(way, s, walked(s) if way == "iterated" else None, walked(s) is not None) for s in to]
-        found = spark.createDataFrame(rows, "way string, state int, steps int, arrives boolean").where("arrives")
+        # how far each state is from the goal along the policy
+        links = features.greedy(moves, q, [24]).select(F.col("next_state").alias("src"), F.col("state").alias("dst"), F.lit(1).alias("weight"))
+        dist, _ = graph.distances(links, 24)
+        steps = F.col("dist").cast("int") if way == "iterated" else F.lit(None).cast("int")
+        found = dist.where("node <> 24").select(F.lit(way).alias("way"), F.col("node").alias("state"), steps.alias("steps"), F.lit(True).alias("arrives"))
         out = found if out is None else out.union(found)
     return out
 

@@ -167,6 +167,69 @@ def representatives(phases: DataFrame, min_likeness: float = 85, min_seen: int =
     return keyed.groupBy("all").applyInPandasWithState(update, shape, "vectors array<array<double>>, seen array<long>, traced array<boolean>", "append", "NoTimeout")
 
 
+def representatives_in_rounds(phases: DataFrame, min_likeness: float = 85, min_seen: int = 0, max_traced: int = 0, app: str | None = None) -> DataFrame:
+    """representatives()'s rows of a batch, the same first-come result, for an application of any number of phases.
+
+    Two vectors are alike enough if they are no further apart than a share of the longer one, so phases are put into cells of a size in
+    proportion to their length (shells of lengths in a ratio of that share; in each, a coarse grid of the first three coordinates to look in, and
+    a fine one whose members are all alike). In a round the first undecided phase of each fine cell asks whether an earlier undecided one is like it:
+    if not, it is a representative, and later phases that are like it are decided. Every round decides the first undecided phase of all,
+    and in most data as many as there are places; a phase meets one of each fine cell near it, never all phases of its cell."""
+    share = 1 - min_likeness / 100
+    if not 0 < share < 1:
+        raise ValueError("min_likeness must be between 0 and 100")
+    ratio = 1 / (1 - share)
+    key = F.lit(0) if app is None else F.col(app)
+    rows = phases.select(key.alias("app"), F.col("phase").cast("long").alias("phase"), F.transform("vector", lambda x: x.cast("double")).alias("vector"))
+    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x))
+    shell = F.when(norm == 0, F.lit(None).cast("int")).otherwise(F.floor(F.log(norm) / math.log(ratio)).cast("int"))
+    rows = rows.select("*", norm.alias("norm"), shell.alias("shell"))
+    side = F.lit(share) * F.pow(F.lit(ratio), F.coalesce("shell", F.lit(0)))  # phases of the shell within it are alike
+    fine = F.xxhash64("app", "shell", F.transform("vector", lambda x: F.floor(x / (side / F.sqrt(F.size("vector").cast("double"))) * 1.0000001)))
+    rows = checkpointed(rows.withColumn("fine", fine))
+
+    def cells(of: DataFrame, near: bool) -> DataFrame:
+        """The rows with the coarse cells that they are in (near: and all cells around), of their own shell's grid and of the next longer one's."""
+        own = of.withColumn("grid", F.explode(F.when(F.col("shell").isNull(), F.array(F.lit(-(2**31)))).otherwise(F.array(F.col("shell"), F.col("shell") + 1))))
+        size = F.when(F.col("shell").isNull(), F.lit(1.0)).otherwise(F.lit(share * ratio * 1.000001) * F.pow(F.lit(ratio), F.col("grid")))
+        at = [F.coalesce(F.floor(F.get("vector", F.lit(i)) / size), F.lit(0)).cast("long") for i in range(3)]
+        own = own.select("*", *[a.alias(f"c{i}") for i, a in enumerate(at)])
+        if near:
+            step = F.array(*[F.lit(x) for x in (-1, 0, 1)])
+            for i in range(3):
+                own = own.withColumn("d", F.explode(step)).withColumn(f"c{i}", F.col(f"c{i}") + F.col("d")).drop("d")
+        return own.select("*", F.xxhash64("app", "grid", "c0", "c1", "c2").alias("cell")).drop("grid", "c0", "c1", "c2")
+
+    def met(left: DataFrame, ones: DataFrame, order: str) -> DataFrame:
+        """(app, phase, one): which of `ones`, one for each fine cell at most, each row is like; order: how their phases must lie."""
+        there = cells(ones, True).select("cell", F.col("app").alias("_app"), F.col("phase").alias("one"), F.col("vector").alias("_v"), F.col("norm").alias("_n"))
+        d = F.sqrt(F.aggregate(F.zip_with("vector", "_v", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+        m = F.greatest("norm", "_n")
+        alike = F.when(m == 0, F.lit(100.0)).otherwise(F.greatest(F.lit(0.0), 100.0 * (1 - d / m))) >= min_likeness
+        return cells(left, False).join(there, "cell").where((F.col("app").eqNullSafe(F.col("_app"))) & F.expr(f"phase {order} one") & (F.size("vector") == F.size("_v")) & alike).select("app", "phase", "one")
+
+    open_, leaders = rows, None
+    while not open_.isEmpty():
+        firsts = checkpointed(open_.groupBy("fine").agg(F.min_by(F.struct(*rows.columns), "phase").alias("x")).select("x.*"))
+        waiting = met(open_, firsts, "<").select("app", F.col("one").alias("phase")).distinct()
+        new = checkpointed(firsts.join(waiting, (firsts["phase"] == waiting["phase"]) & firsts["app"].eqNullSafe(waiting["app"]), "left_anti"))
+        leaders = new if leaders is None else checkpointed(leaders.union(new), None, [leaders])
+        done = met(open_, new, ">=").select(F.col("app").alias("_app"), F.col("phase").alias("_phase")).distinct()
+        open_ = checkpointed(open_.join(done, (F.col("phase") == F.col("_phase")) & F.col("app").eqNullSafe(F.col("_app")), "left_anti"), None, [open_] if open_ is not rows else [])
+    shape = phases.select(key.alias(app or "all")).schema[0]
+    if leaders is None:
+        return phases.sparkSession.createDataFrame([], ("" if app is None else f"{app} {shape.dataType.simpleString()}, ") + REPRESENTED)
+    own = met(rows, leaders, ">=").groupBy("app", "phase").agg(F.min("one").alias("one"))
+    numbers = leaders.select(F.col("app").alias("_app"), F.col("phase").alias("_one"), (F.row_number().over(Window.partitionBy("app").orderBy("phase")) - 1).cast("long").alias("representative"))
+    own = own.join(numbers, (F.col("one") == F.col("_one")) & F.col("app").eqNullSafe(F.col("_app"))).select("app", "phase", "representative", F.lit(1).cast("long").alias("_1"), F.xxhash64("app").alias("_a"))
+    seen = checkpointed(running_total(own, ["phase"], "_1", "seen", ["_a", "representative"]))
+    # a representative is traced the first time that it has been seen often enough, the first max_traced of these times
+    times = seen.where(F.col("seen") == min_seen + 1).select(F.col("_a").alias("_b"), F.col("phase").alias("_at"), F.row_number().over(Window.partitionBy("_a").orderBy("phase")).alias("_k"))
+    times = times.where(F.col("_k") <= max_traced) if max_traced else times
+    both = seen.join(times, (F.col("phase") == F.col("_at")) & (F.col("_a") == F.col("_b")), "left")
+    return both.select(*([] if app is None else [F.col("app").alias(app)]), "phase", "representative", "seen", F.col("_at").isNotNull().alias("traced"))
+
+
 def stream_energy(samples: DataFrame, key: str, rails: Sequence[str]) -> DataFrame:
     """A running energy integral of a stream of samples (key, t_ms, rails): state is the last time and the joules so far of each key.
 
