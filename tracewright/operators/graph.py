@@ -280,8 +280,8 @@ def remove_sinks(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFra
     return kept, edges.join(kept.select("graph_id", F.col("node").alias("dst")), ["graph_id", "dst"], "left_semi")
 
 
-def components(edges: DataFrame, parts: int | None = None, most_rounds: int = 100) -> DataFrame:
-    """(node, root): for each node of undirected edges (a, b) the smallest node that it is connected with.
+def components(edges: DataFrame, parts: int | None = None, most_rounds: int = 100, loops: bool = True) -> DataFrame:
+    """(node, root): for each node of undirected edges (a, b) the smallest node that it is connected with; loops: also nodes with edges to themselves only.
 
     Alternates large-star and small-star steps until the edges stay the same: a node's larger neighbours move to its smallest one, then its smaller
     ones do. Every step groups by a node with min(), never gathering a group. A round about halves distances, so that a path of n nodes takes
@@ -301,7 +301,8 @@ def components(edges: DataFrame, parts: int | None = None, most_rounds: int = 10
     def mark(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first())
 
-    now = checkpointed(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), parts)
+    first = checkpointed((edges if loops else edges.where("a <> b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), parts)
+    now = first.where("a <> b") if loops else first
     seen = mark(now)
     for _ in range(most_rounds if seen[0] else 0):
         wide, low = large(now)
@@ -314,7 +315,8 @@ def components(edges: DataFrame, parts: int | None = None, most_rounds: int = 10
     else:
         if seen[0]:
             raise RuntimeError(f"components did not settle in {most_rounds} rounds")
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    found = now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    return found.union(first.where("a = b").select(F.col("a").alias("node"), F.col("a").alias("root")).join(found, "node", "left_anti")) if loops else found
 
 
 def strong_components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
