@@ -239,7 +239,7 @@ def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4) -> DataFra
     few = max(LEAST_PARTS, files // 4)  # tables of a few numbers for each row
     own = checkpointed(fingerprints(docs, width), files)
     nodes = checkpointed(own.groupBy("fp").agg(F.min("doc_id").alias("least")), few)
-    roots = components(ball_links(nodes, radius, few), few).select(F.col("node").alias("fp"), "root")
+    roots = components(ball_links(nodes, radius, few), few, loops=False).select(F.col("node").alias("fp"), "root")
     linked = nodes.join(roots, "fp")
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     known = linked.join(checkpointed(least, few), "root").select("fp", "component_id")
