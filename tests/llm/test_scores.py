@@ -364,38 +364,66 @@ def test_merkle_against_brute_force(spark):
             assert (prints[i] == prints[j]) == (text[i] == text[j])
 
 
-def brute_leaves(text):
-    marks, out = ".!?;:,|\n", set()
-    for a, b, most in ((0, 32, 6), (32, 256, 24), (256, None, 96)):
-        pattern = f"(?s)[^{re.escape(marks)}]{{1,{most}}}[{re.escape(marks)}]{{0,16}}|[{re.escape(marks)}]{{1,16}}"
-        out |= {(hashlib.md5(x.encode()).hexdigest()[:8], len(x)) for x in re.findall(pattern, text[a:b])}
-    return out
+def brute_tree(text):
+    """The root's children: (digest, [(digest, [(digest, length)])]), all digests whole."""
+
+    def sha(x):
+        return hashlib.sha256(x.encode()).hexdigest()
+
+    marks, tree, at = r".!?;:,|\n", [], 0
+    for section in re.split(r"(?<=\n\n)(?=[^\n])", text):
+        nodes = []
+        for paragraph in re.split(r"(?<=\n)(?=[^\n])", section):
+            found, done = [], 0
+            for to, most in ((32, 6), (256, 24)):
+                end = max(to - at, done)
+                found += re.findall(f"(?s)[^{marks}]{{1,{most}}}[{marks}]{{0,16}}|[{marks}]{{1,16}}", paragraph[done:end])
+                done = end
+            found += re.findall(f"(?s).{{128,239}}?[{marks}]{{1,16}}|.{{1,239}}", paragraph[done:])
+            assert "".join(found) == paragraph
+            leaves = [(sha(x), len(x)) for x in found]
+            nodes.append((sha("".join(d for d, _ in leaves)), leaves))
+            at += len(paragraph)
+        tree.append((sha("".join(d for d, _ in nodes)), nodes))
+    return tree
 
 
 def brute_likeness(a, b):
     if a == b:
         return 1.0
-    x, y = brute_leaves(a), brute_leaves(b)
-    most = max(sum(n for _, n in s) for s in (x, y))
-    return sum(n for _, n in x & y) / most if most else 0.0
+
+    def length(node):
+        return sum(map(length, node[1])) if isinstance(node[1], list) else node[1]
+
+    x, y, common, sizes = brute_tree(a), brute_tree(b), 0, [0, 0]
+    for level in range(3):
+        x, y = ({n[0]: n for n in side} for side in (x, y))
+        common += sum(length(x[d]) for d in x.keys() & y.keys())
+        x, y = [n for d, n in x.items() if d not in y], [n for d, n in y.items() if d not in x]
+        if level < 2:
+            x, y = [c for n in x for c in n[1]], [c for n in y for c in n[1]]
+    most = common + max(sum(map(length, x)), sum(map(length, y)))
+    return common / most if most else 0.0
 
 
 def test_likeness_against_brute_force(spark):
     rng = random.Random(3)
-    text = {i: ". ".join(cases.prose(rng, rng.randrange(1, 12)) for _ in range(rng.randrange(6))) for i in range(30)}
+    text = {i: "".join(cases.prose(rng, rng.randrange(1, 40)) + rng.choice([". ", "\n", "\n\n"]) for _ in range(rng.randrange(9))) for i in range(30)}
     text |= {40: text[3], 41: text[3] + " more", 42: "", 43: None, 44: "\n" * 50, 45: "é日🙂" * 40, 46: "z" * 200_000}
     ids = sorted(text)
     for r in merkle.compare_edited(spark.createDataFrame(list(text.items()), "doc_id long, text string"), 4).collect():
         a, b = text[r.doc_id] or "", text[ids[(ids.index(r.doc_id) + 1) % len(ids)]] or ""
         edited = a[: len(a) - len(a) // 2] + b[: len(a) // 2]
         assert r.near_edited == pytest.approx(brute_likeness(a, edited)) and r.near_next == pytest.approx(brute_likeness(a, b))
+        assert len(r.fingerprint) <= 80 + 160 + 0.12 * len(a) + 16 * len(re.split(r"\n+", a))
 
 
 def test_merkle_locates_edits(spark):
     a = "Head.\n\nOne line here.\nTwo line here.\n\nTail part."
-    df = spark.createDataFrame([(a, a.replace("Two", "Three"))], "a string, b string")
-    r = df.select(merkle.edits(merkle.fingerprint(F.col("a")), merkle.fingerprint(F.col("b"))).alias("e")).first()
-    assert [tuple(x) for x in r.e] == [(1, 1)]
+    rows = [(a, a.replace("Two", "Three")), (a, a), (a, a + "\nmore\nmore"), (a, "Tail part."), ("", "x"), ("x", "")]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i long, a string, b string")
+    got = df.select("i", merkle.changes(merkle.fingerprint(F.col("a")), merkle.fingerprint(F.col("b"))).alias("e")).orderBy("i").collect()
+    assert [tuple(r.e) for r in got] == [(1, 1, 1), (0, None, None), (3, 2, 0), (0, None, None), (1, 0, 0), (1, 0, 0)]  # the fourth has only a section that the first has
 
 
 def test_single_and_repeated_rows(spark):
