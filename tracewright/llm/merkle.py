@@ -8,7 +8,8 @@ root that of its sections'.
 A fingerprint is `root:sections`: 32 hex digits, then 8 of each section with its paragraphs in (), 8 of each paragraph with its leaves in [], and 6 of
 each leaf (4 of its digest, 2 of its length). Equal texts have equal roots and so equal fingerprints. likeness() walks both trees from their roots:
 branches that both have are not entered, the others are compared by their children, leaves by digest and length; it is the common share, by length, of
-the larger of the two (each different branch counts once). changes() walks the same way and tells where a text differs.
+the larger of the two (each different branch counts once). What moves within the first 256 characters is cut otherwise there, and so is different.
+changes() walks the same way and tells where a text differs.
 
 The next document is found by one shuffle of the texts: ids are cut into ranges at approximate quantiles, and
 each range's first document is also put at the end of the range before.
