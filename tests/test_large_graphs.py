@@ -7,7 +7,7 @@ from math import gcd, lcm
 import pytest
 from pyspark.sql import functions as F
 
-from tracewright.operators import graph
+from tracewright.operators import graph, large_graphs
 from tracewright.operators.large_graphs import factors_of, max_cycle_ratio, repetition_of_one, short_cycles
 
 
@@ -137,3 +137,17 @@ def test_components_of_a_path_of_a_million_nodes(spark):
     assert found.agg(F.count("*"), F.count_distinct("root")).first()[:] == (n, 1)
     assert int(str(found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 200 << 20  # an estimate from the table's own bytes
     assert time.monotonic() - began < 900
+
+
+def test_later_rounds_value_changed_ways_only(spark, monkeypatch):
+    """Rings in a tree, as deep as it has levels: all nodes are valued once, and then those whose ways change."""
+    valued = []
+    monkeypatch.setattr(large_graphs, "cycles_of", lambda policy, run=large_graphs.cycles_of: (valued.append(policy.count()), run(policy))[1])
+    n, rng = 300, random.Random(5)
+    edges = [(3 * k + i, 3 * k + (i + 1) % 3, rng.randrange(1, 50), 1) for k in range(n) for i in range(3)] + [(3 * (k // 4), 3 * k, 0, 1) for k in range(1, n)]
+    got = {r.node: Fraction(r.num, r.den) for r in max_cycle_ratio(spark.createDataFrame(edges, "src long, dst long, weight long, tokens long")).collect()}
+    best = [Fraction(sum(w for _, _, w, _ in edges[3 * k : 3 * k + 3]), 3) for k in range(n)]
+    for k in range(n - 1, 0, -1):
+        best[k // 4] = max(best[k // 4], best[k])
+    assert got == {3 * k + i: best[k] for k in range(n) for i in range(3)}
+    assert valued[0] == 3 * n and len(valued) > 2 and sum(valued) < 2 * len(valued) * n  # of 3 n each round

@@ -187,38 +187,56 @@ def max_cycle_ratio(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
 
     Policy iteration, exact: each node has a link; the links' cycles and each node's way to its cycle are found by doubling; a node then takes the
     edge that leads to the best cycle, or, of equal ones, the one with the best way (den w - num t), until none is better. Then the values, of the ways
-    to the cycles, prove the result: no edge has den w - num t above its source's value less its target's. A cycle without tokens is an error: nothing on it could ever start."""
+    to the cycles, prove the result: no edge has den w - num t above its source's value less its target's. A cycle without tokens is an error: nothing on it could ever start.
+
+    After the first round only the nodes that came to the cycle of a changed node are valued again, and only edges at them are looked at: a way
+    that leaves them goes on with the value of the node that it comes to."""
     whole = "decimal(38,0)"
     own = edges.select("src", "dst", F.col("weight").cast(whole).alias("w"), F.col("tokens").cast(whole).alias("t"))
     # of parallel edges with the same tokens only the heaviest can count
     own = checkpointed(own.groupBy("src", "dst", "t").agg(F.max("w").alias("w")).select("src", "dst", "w", "t", F.lit(False).alias("stop")))
     sinks = own.select(F.col("dst").alias("node")).distinct().join(own.select(F.col("src").alias("node")).distinct(), "node", "left_anti")
-    zero = F.lit(0).cast(whole)
-    own = checkpointed(own.union(sinks.select("node", "node", zero, F.lit(1).cast(whole), F.lit(True))), None, [own])
+    zero, one = F.lit(0).cast(whole), F.lit(1).cast(whole)
+    own = checkpointed(own.union(sinks.select("node", "node", zero, one, F.lit(True))), None, [own])
     first = F.max(F.struct(F.when(F.col("t") == 0, F.col("w").cast("double")).otherwise(F.col("w").cast("double") / F.col("t")).alias("r"), "dst", "w", "t", "stop")).alias("x")
     policy = checkpointed(own.groupBy(F.col("src").alias("node")).agg(first).select("node", F.col("x.dst").alias("next"), "x.w", "x.t", "x.stop"))
+    part, value, touched = policy, None, own  # links to be valued, values (node, root, num, den, key, value), edges to be looked at
     for _ in range(most_rounds):
-        ways, cycles = cycles_of(policy)
+        if value is None:
+            ways, cycles = cycles_of(part.drop("stop"))
+            rims = None
+        else:  # nodes that ways come to and that keep their values
+            ends = part.select(F.col("next").alias("node")).distinct().join(part.select("node"), "node", "left_anti")
+            rims = checkpointed(value.join(ends, "node"))
+            ways, cycles = cycles_of(part.drop("stop").union(rims.select("node", "node", zero, one)))
+            known = rims.select(F.col("node").alias("root"))
+            cycles = checkpointed(cycles.join(known, "root", "left_anti"))
         if not cycles.where("t = 0").isEmpty():
             raise ValueError("a cycle has no tokens")
-        stops = policy.where("stop").select(F.col("node").alias("root"), F.lit(True).alias("stop"))
+        stops = part.where("stop").select(F.col("node").alias("root"), F.lit(True).alias("stop"))
         if not cycles.where(f"t > {10**9}").isEmpty():
             raise OverflowError("a cycle has too many tokens for its ratio to be told from others")
         g = gcd(F.col("w").cast("long"), F.col("t").cast("long"))
-        told = cycles.join(stops, "root", "left").select("root", *[F.call_function("div", F.col(c), g).cast(whole).alias(n) for c, n in (("w", "num"), ("t", "den"))], F.when(F.col("stop"), F.lit(NEVER).cast(whole)).otherwise(ratio_key(F.col("w"), F.col("t"))).alias("key"))
-        value = ways.join(checkpointed(told), "root").select("node", "num", "den", "key", (F.col("den") * F.col("w") - F.col("num") * F.col("t")).cast(whole).alias("value"))
-        value = checkpointed(value)
+        told = cycles.join(stops, "root", "left").select("root", F.col("root").alias("home"), *[F.call_function("div", F.col(c), g).cast(whole).alias(n) for c, n in (("w", "num"), ("t", "den"))], F.when(F.col("stop"), F.lit(NEVER).cast(whole)).otherwise(ratio_key(F.col("w"), F.col("t"))).alias("key"), zero.alias("base"))
+        if rims is not None:
+            told = told.union(rims.select("node", "root", "num", "den", "key", "value"))
+            ways = ways.join(known.withColumnRenamed("root", "node"), "node", "left_anti")
+        new = ways.join(checkpointed(told), "root").select("node", F.col("home").alias("root"), "num", "den", "key", (F.col("den") * F.col("w") - F.col("num") * F.col("t") + F.col("base")).cast(whole).alias("value"))
+        value = checkpointed(new if value is None else value.join(part.select("node"), "node", "left_anti").select(new.columns).union(new), None, [value] if value is not None else [])
         ahead = value.select(F.col("node").alias("dst"), F.col("key").alias("_key"), F.col("num").alias("_num"), F.col("den").alias("_den"), F.col("value").alias("_value"))
-        offer = own.join(ahead, "dst").select(F.col("src").alias("node"), "dst", "w", "t", "stop", "_key", (F.col("_den") * F.col("w") - F.col("_num") * F.col("t") + F.col("_value")).cast(whole).alias("_offer"))
+        offer = touched.join(ahead, "dst").select(F.col("src").alias("node"), "dst", "w", "t", "stop", "_key", (F.col("_den") * F.col("w") - F.col("_num") * F.col("t") + F.col("_value")).cast(whole).alias("_offer"))
         best = offer.groupBy("node").agg(F.max(F.struct("_key", "_offer", "dst", "w", "t", "stop")).alias("best"))
-        both = policy.join(value, "node").join(best, "node")
         better = (F.col("best._key") > F.col("key")) | ((F.col("best._key") == F.col("key")) & (F.col("best._offer") > F.col("value")) & (F.col("key") != NEVER))
-        new = both.select("node", *[F.when(better, F.col(f"best.{'dst' if c == 'next' else c}")).otherwise(F.col(c)).alias(c) for c in ("next", "w", "t", "stop")], better.alias("better"))
-        new = checkpointed(new)
-        if new.where("better").isEmpty():
+        changed = checkpointed(value.join(best, "node").where(better).select("node", "root", F.col("best.dst").alias("next"), "best.w", "best.t", "best.stop"))
+        if changed.isEmpty():
             reached = F.col("key") != NEVER
             return value.select("node", F.when(reached, F.col("num").cast("long")).alias("num"), F.when(reached, F.col("den").cast("long")).alias("den"), F.when(reached, F.col("value").cast("decimal(38,0)")).alias("value"))
-        policy = new.drop("better")
+        policy = checkpointed(policy.join(changed.select("node"), "node", "left_anti").union(changed.select(policy.columns)), None, [policy])
+        stale = checkpointed(value.join(changed.select("root").distinct(), "root", "left_semi").select("node"))
+        part = checkpointed(policy.join(stale, "node", "left_semi"))
+        # of a node that keeps its value, the other edges were no better before
+        out, into = (own.join(stale.withColumnRenamed("node", c), c, "left_semi").select(own.columns) for c in ("src", "dst"))
+        touched = checkpointed(out.union(into).distinct())
     raise RuntimeError(f"policies did not settle in {most_rounds} rounds")
 
 
