@@ -247,3 +247,18 @@ def test_awkward_lines(spark):
     assert got.count() == docs.count() and set(got.first().row.asDict()) == set(docs.columns)
     long = spark.createDataFrame([(1, "z" * 400_000 + " b"), (2, "q " * 100_000)], "doc_id long, text string")
     assert [list(r.dropped) for r in line_templates.dedup_lines(long).collect()] == [[], []]
+
+
+def test_broadcasts_are_bounded_by_bytes(spark):
+    """Rows with many leaders are wide: fewer of them are sent through the driver."""
+    rows, told = spark.range(200_000), lambda df: df._jdf.queryExecution().analyzed().toString().lower()
+    assert "strategy=broadcast" in told(near_copies.small(rows, 24))
+    assert "strategy=broadcast" not in told(near_copies.small(rows, 88 + 8 * 32))
+
+
+def test_tasks_drop_tokenizers_of_earlier_stages(monkeypatch):
+    from tracewright.llm import common
+
+    monkeypatch.setattr(common, "_TOKENIZERS", {("a", 1): object()})
+    assert list(common.tidy(lambda batches: iter(batches), tokenizes=True)([1])) == [1] and common._TOKENIZERS
+    assert list(common.tidy(lambda batches: iter(batches))([1])) == [1] and not common._TOKENIZERS

@@ -57,7 +57,7 @@ def pieces(docs: DataFrame, capacity: int = 1024, end_id: int = 2, tokenizer: st
                     columns.append(pa.array([np.frombuffer(x[6], "<i4") for x in out], pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", *names, *["ids"] * with_ids])
 
-    return whole_texts(rows).mapInArrow(tidy(run), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, part int, own_rank long" + ", ids array<int>" * with_ids)
+    return whole_texts(rows).mapInArrow(tidy(run, tokenizes=True), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, part int, own_rank long" + ", ids array<int>" * with_ids)
 
 
 def best_fit(counts: dict[int, int], capacity: int = 1024) -> list[tuple[int, int, int, int, int, int]]:
