@@ -241,6 +241,26 @@ def test_line_templates_against_brute_force(spark):
         assert got == want and want
 
 
+def test_every_pair_of_line_templates(spark):
+    """A template that its owner hides from an earlier one that it agrees with goes too, once all pairs are asked for."""
+    from itertools import combinations
+
+    rng = random.Random(5)
+    base = [cases.prose(rng, 16).split() for _ in range(3)]
+    rows = {}
+    for i in range(80):
+        w = list(rng.choice(base))
+        for _ in range(rng.randrange(0, 7)):
+            w[rng.randrange(1, 16)] = rng.choice(cases.WORDS)
+        rows[i] = " ".join(w)
+    t = {i: tuple(x.lower().split()) for i, x in rows.items()}
+    cut = lambda w: [w[2 * k : 2 * k + 2] for k in range(8)]
+    want = {b for a, b in combinations(t, 2) if len(t[a]) == len(t[b]) == 16 and t[a][0] == t[b][0] and sum(x == y for x, y in zip(cut(t[a]), cut(t[b]))) >= 5}
+    docs = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    by_owners, all_pairs = ({r.doc_id for r in line_templates.dropped_lines(docs, every_pair=e).collect()} for e in (False, True))
+    assert all_pairs == want and by_owners < want
+
+
 def test_awkward_lines(spark):
     docs = cases.awkward(spark)
     got = line_templates.dedup_lines(docs)
