@@ -65,6 +65,17 @@ def test_wildcard_matching_against_a_plain_search(spark):
     assert sorted((r.send_seq, r.recv_seq) for r in trace.match_wildcard(df, ["key"]).collect()) == plain_wildcard(ends)
 
 
+def test_pairs_of_one_name_are_many_tasks(spark):
+    params = spark.range(300).select(F.lit("f").alias("fun"), F.when(F.col("id") < 200, "v").otherwise(F.col("id").cast("string")).alias("var_name"), F.col("id").alias("var_pos"))
+    names = params.select("fun", F.col("var_name").alias("par_name"), F.col("var_pos").alias("par_pos")).where("var_pos % 4 = 0")
+    got = scopes.parameter_links(params, names, most_pairs=500).withColumn("task", F.spark_partition_id())
+    want = {("f", a.var_name, a.var_pos, b.par_pos) for a in params.collect() for b in names.collect() if a.var_name == b.par_name}
+    rows = [tuple(r) for r in got.drop("task").collect()]
+    assert set(rows) == want and len(rows) == len(want) == 200 * 50 + 25
+    assert got.where("var_name = 'v'").select("task").distinct().count() > 5
+    assert scopes.parameter_links(params.limit(0), names).count() == 0
+
+
 def test_wide_and_empty_intervals(spark):
     rng = random.Random(5)
     spans = [(i, a, a + rng.choice([0, 3, 70, 5000, 10**12])) for i, a in enumerate(rng.randrange(-(10**6), 10**6) for _ in range(80))] + [(99, 5, 4)]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.operators.trace import asof, range_join
-from tracewright.session import checkpointed
+from tracewright.session import broadcast_within, checkpointed
 
 
 def innermost(lines: DataFrame, scopes: DataFrame, width: int = 64) -> DataFrame:
@@ -107,10 +107,23 @@ def sibling_edges(uses: DataFrame, keys: list[str]) -> DataFrame:
     return before.where("reads and src is not null").select(*keys, "var", "src", F.col("pos").alias("dst"))
 
 
-def parameter_links(params: DataFrame, pragmas: DataFrame) -> DataFrame:
-    """Positional parameters (fun, var_name, var_pos) and pragma names (fun, par_name, par_pos) of the same name."""
+def parameter_links(params: DataFrame, pragmas: DataFrame, most_pairs: int = 4_000_000) -> DataFrame:
+    """Positional parameters (fun, var_name, var_pos) and pragma names (fun, par_name, par_pos) of the same name.
+
+    A name has as many rows as its parameters times its pragmas, which says nothing of the bytes that go into the join, so tasks are cut by pairs:
+    the parameters of a name with over most_pairs of them are dealt to several slices, each of which gets all the name's pragmas."""
     named = pragmas.select("fun", F.col("par_name").alias("var_name"), "par_pos")
-    return params.join(named, ["fun", "var_name"]).select("fun", "var_name", "var_pos", "par_pos")
+    key = ["fun", "var_name"]
+    pairs = params.groupBy(*key).agg(F.count("*").alias("a")).join(named.groupBy(*key).agg(F.count("*").alias("b")), key)
+    sizes = checkpointed(pairs.select(*key, (F.col("a") * F.col("b")).alias("pairs")))
+    parts = max(1, min(100_000, -(-(sizes.agg(F.sum("pairs")).first()[0] or 0) // most_pairs)))
+    slices = F.ceil(F.col("pairs") / most_pairs).cast("int")
+    wide = broadcast_within(sizes.where(F.col("pairs") > most_pairs).select(*key, slices.alias("_slices")), 100_000)
+    many = F.coalesce("_slices", F.lit(1))
+    left = params.join(wide, key, "left").withColumn("_slice", F.pmod(F.xxhash64("var_pos"), many).cast("int"))
+    right = named.join(wide, key, "left").withColumn("_slice", F.explode(F.sequence(F.lit(0), many - 1)))
+    key = [*key, "_slice"]
+    return left.repartition(parts, *key).join(right.repartition(parts, *key), key).select("fun", "var_name", "var_pos", "par_pos")
 
 
 def propagate_memory(params: DataFrame, tree: DataFrame) -> DataFrame:
