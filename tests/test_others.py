@@ -153,6 +153,21 @@ def test_periods_and_policy(spark):
     assert sorted(map(tuple, signals.injection_schedule(plans, ["plan"]).collect())) == [(1, loop, r, 10 + 5 * r) for loop in range(2) for r in range(3)]
 
 
+def test_periods_of_many_signals_equal_those_of_each(spark):
+    """Signals of one length are transformed together; lengths, flat and short ones and missing values stay apart."""
+    rng = np.random.default_rng(4)
+    made = {k: np.where(np.arange(n) % p < 2, 5.0, 0.0) + rng.random(n) for k, (n, p) in enumerate([(60, 7), (60, 9), (61, 5), (3, 2), (120, 11), (4, 2), (60, 13)])}
+    made |= {50: np.zeros(30), 51: np.ones(60), 52: np.array([1.0, -1.0] * 5)}
+    rows = [(k, t, float(v)) for k, x in made.items() for t, v in enumerate(x)] + [(60, t, None if t == 3 else 1.0) for t in range(20)]
+    got = {r.k: r for r in signals.periods(spark.createDataFrame(rows, "k int, time long, value double").repartition(3), "k").collect()}
+    for k, x in made.items():
+        p, good = signals.dominant_period(x)
+        assert (got[k].period, got[k].iterations) == (p, len(x) // p if p else 0) and abs(got[k].goodness - good) < 1e-9
+    assert got[60].period == 0 and len(got) == len(made) + 1
+    m = np.array([made[0], made[1], made[6]])
+    assert signals.dominant_periods(m, 60)[0].tolist() == signals.dominant_periods(m)[0].tolist() == [7, 9, 13]
+
+
 def test_periods_of_long_signals_equal_those_of_whole_ones(spark):
     rng = random.Random(4)
     waves = {"a": [math.sin(2 * math.pi * i / 37) + 0.2 * rng.random() for i in range(5000)], "b": [(i % 60 < 7) * 5.0 + rng.random() for i in range(3001)], "c": [rng.random() for _ in range(900)], "d": [1.0] * 50, "e": [1.0, 2.0]}
