@@ -324,6 +324,25 @@ int main(int n) {
         assert len(code.features(odd)) == 23
 
 
+def test_equal_texts_are_parsed_once(spark, tmp_path):
+    log, real = str(tmp_path / "parsed"), code.features
+
+    def logged(text):
+        with open(log, "a") as f:
+            f.write("x")
+        return real(text)
+
+    texts = ["int f() { g(); }", "int f() { if (a) { } }", None, "/*" + "x" * 5000 + "*/ int f() { g(); g(); }"]
+    df = spark.createDataFrame([(i, texts[i % 4]) for i in range(40)], "file int, value string").coalesce(1)
+    code.features = logged
+    try:
+        got = {r.file: r.feat for r in code.code_features(df).collect()}
+    finally:
+        code.features = real
+    assert got == {i: real(texts[i % 4] or "") for i in range(40)}
+    assert len(open(log).read()) == 3 + 10
+
+
 def test_rules_and_protocols(spark, tmp_path):
     assert len(rules.RULES) == 61 and len(rules.TRANSFORMATIONS) == 52 and rules.transformations(spark).where("name = 'roll_up_array'").first().type == 1_000_051
     seen = []
