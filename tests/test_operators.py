@@ -29,6 +29,14 @@ def test_roll_up_of_a_hundred_levels(spark):
         assert got[i] == {"1": want}
 
 
+def test_closures_are_not_sent_through_the_driver(spark, monkeypatch):
+    plans, kept = [], scopes.checkpointed
+    told = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(scopes, "checkpointed", lambda df, *rest: plans.append(told(df)) or kept(df, *rest))
+    plans.append(told(scopes.roll_up(chain(spark, 6))))
+    assert len(plans) > 4 and not any("Broadcast" in p for p in plans)
+
+
 def test_cycles_of_scopes_are_errors(spark):
     ring = spark.createDataFrame([("f", i, (i + 1) % 3, "NONE", 1, None) for i in range(3)], "file string, scope_id int, parent_id int, kind string, own long, repeat string")
     with pytest.raises(ValueError):

@@ -63,16 +63,16 @@ def ancestors(scopes: DataFrame) -> DataFrame:
     to: a product of names (term, empty for none) and of numbers (c).
 
     By doubling the length of the ways, so a tree of depth d takes log2(d) rounds of two joins; its rows are those of the closure, the sum
-    of all depths. A scope whose parent isn't listed is a top one; a cycle is an error."""
+    of all depths. Their files are a small part of their size in memory, so no join sends them through the driver. A scope whose parent isn't listed is a top one; a cycle is an error."""
     number = F.col("repeat").rlike("^[0-9]+$")
     times = F.col("kind").isin("ITN", "MAP", "ZIPWITH", "FOLDL") & F.col("repeat").isNotNull()
     by = scopes.select("file", F.col("scope_id").alias("above"), F.when(times & ~number, F.col("repeat")).otherwise("").alias("term"), F.when(times & number, F.col("repeat").try_cast("long")).otherwise(F.lit(1).cast("long")).alias("c"))
-    step = checkpointed(scopes.where("parent_id is not null").select("file", F.col("parent_id").alias("above"), "scope_id").join(by, ["file", "above"]).select("file", "above", "scope_id", "term", "c"))
+    step = checkpointed(scopes.where("parent_id is not null").select("file", F.col("parent_id").alias("above"), "scope_id").join(by.hint("merge"), ["file", "above"]).select("file", "above", "scope_id", "term", "c"))
     found = scopes.select("file", F.col("scope_id").alias("above"), "scope_id", F.lit("").alias("term"), F.lit(1).cast("long").alias("c"))
 
     def then(upper: DataFrame, lower: DataFrame) -> DataFrame:
         low = lower.select("file", F.col("above").alias("_at"), F.col("scope_id").alias("_to"), F.col("term").alias("_term"), F.col("c").alias("_c"))
-        both = upper.withColumnRenamed("scope_id", "_at").join(low, ["file", "_at"])
+        both = upper.withColumnRenamed("scope_id", "_at").join(low.hint("merge"), ["file", "_at"])
         return both.select("file", "above", F.col("_to").alias("scope_id"), F.concat_ws("*", F.nullif("term", F.lit("")), F.nullif("_term", F.lit(""))).alias("term"), (F.col("c") * F.col("_c")).alias("c"))
 
     most, length = scopes.count(), 1
@@ -92,11 +92,11 @@ def roll_up(scopes: DataFrame) -> DataFrame:
     all scopes in it of their own terms times the repeats on the way, whatever the depth."""
     memory = F.when(F.col("kind").isin("MEMALLOC", "MEMFREE"), F.array(F.struct(F.lit("os_call").alias("t"), F.lit(1).cast("long").alias("n")))).otherwise(F.array().cast("array<struct<t:string,n:bigint>>"))
     own = scopes.select("file", "scope_id", F.explode(F.concat(F.array(F.struct(F.lit("").alias("t"), F.col("own").cast("long").alias("n"))), memory)).alias("x")).select("file", "scope_id", "x.*")
-    each = ancestors(scopes).join(own, ["file", "scope_id"])
+    each = ancestors(scopes).join(own.hint("merge"), ["file", "scope_id"])
     term = F.concat_ws("*", F.nullif("term", F.lit("")), F.nullif("t", F.lit("")))
     summed = each.groupBy("file", F.col("above").alias("scope_id"), F.when(term == "", "1").otherwise(term).alias("term")).agg(F.sum(F.col("c") * F.col("n")).alias("c")).where("c <> 0")
     totals = summed.groupBy("file", "scope_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("term", "c")))).alias("total"))
-    return scopes.select("file", "scope_id").join(totals, ["file", "scope_id"], "left").withColumn("total", F.coalesce("total", F.create_map().cast("map<string,bigint>")))
+    return scopes.select("file", "scope_id").join(totals.hint("merge"), ["file", "scope_id"], "left").withColumn("total", F.coalesce("total", F.create_map().cast("map<string,bigint>")))
 
 
 def sibling_edges(uses: DataFrame, keys: list[str]) -> DataFrame:
