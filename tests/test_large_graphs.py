@@ -151,3 +151,32 @@ def test_later_rounds_value_changed_ways_only(spark, monkeypatch):
         best[k // 4] = max(best[k // 4], best[k])
     assert got == {3 * k + i: best[k] for k in range(n) for i in range(3)}
     assert valued[0] == 3 * n and len(valued) > 2 and sum(valued) < 2 * len(valued) * n  # of 3 n each round
+
+
+def strong_by_brute(edges):
+    nodes = {x for e in edges for x in e}
+    reach = {n: {n} for n in nodes}
+    for _ in nodes:
+        for a, b in edges:
+            reach[a] |= reach[b]
+    return {n: min(m for m in reach[n] if n in reach[m]) for n in nodes}
+
+
+@pytest.mark.parametrize("block", [3, 1000])
+def test_strong_components_within_and_over_blocks(spark, block):
+    rng = random.Random(block)
+    edges = [(a, b) for a in range(30) for b in range(30) if rng.random() < 0.05]
+    edges += [(40 + i, 40 + (i + 1) % 9) for i in range(9)] + [(40, 3), (60, 60), (61, 40), (62, 63), *[(0, 100 + i) for i in range(12)], (111, 0)]
+    df = spark.createDataFrame(edges + edges[:5], "src long, dst long")
+    want = strong_by_brute(edges)
+    got = graph.strong_components(df, block=block).collect()
+    assert len(got) == len(want) and {r.node: r.component for r in got} == want
+
+
+def test_rings_in_a_tree_are_not_coloured(spark, monkeypatch):
+    """Only the parts between rings are left after the blocks, and these form a tree, which is peeled."""
+    monkeypatch.setattr(graph, "coloured", lambda *_: pytest.fail("coloured"))
+    n = 500
+    edges = [(8 * k + i, 8 * k + (i + 1) % 5) for k in range(n) for i in range(5)] + [(8 * (k // 4), 8 * k) for k in range(1, n)]
+    got = graph.strong_components(spark.createDataFrame(edges, "src long, dst long"), block=600)
+    assert {r.node: r.component for r in got.collect()} == {8 * k + i: 8 * k for k in range(n) for i in range(5)}

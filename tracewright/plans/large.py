@@ -109,7 +109,7 @@ RINGS = "o AS (SELECT l_orderkey AS k, l_orderkey * 8 + l_linenumber AS node, l_
 
 def _rings(spark, d) -> tuple[DataFrame, DataFrame]:
     """(src, dst, weight, tokens) of the rings, and of the edges between orders."""
-    o = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("line")).agg(F.sum("l_quantity").cast("long").alias("weight"))
+    o = table(spark, d, "lineitem").repartition("l_orderkey").groupBy(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("line")).agg(F.sum("l_quantity").cast("long").alias("weight"))
     o = o.withColumn("node", F.col("k") * 8 + F.col("line"))
     w = Window.partitionBy("k")
     ring = o.select(F.col("node").alias("src"), F.coalesce(F.lead("node").over(w.orderBy("node")), F.min("node").over(w)).alias("dst"), "weight", (1 + F.col("line") % 2).cast("long").alias("tokens"))
