@@ -180,3 +180,16 @@ def test_rings_in_a_tree_are_not_coloured(spark, monkeypatch):
     edges = [(8 * k + i, 8 * k + (i + 1) % 5) for k in range(n) for i in range(5)] + [(8 * (k // 4), 8 * k) for k in range(1, n)]
     got = graph.strong_components(spark.createDataFrame(edges, "src long, dst long"), block=600)
     assert {r.node: r.component for r in got.collect()} == {8 * k + i: 8 * k for k in range(n) for i in range(5)}
+
+
+def test_rates_of_channels_are_not_carried_as_maps(spark, monkeypatch):
+    """Tables of channels hold numbers; maps of exponents are made for actors."""
+    kept = []
+    real = large_graphs.checkpointed
+    monkeypatch.setattr(large_graphs, "checkpointed", lambda df, *rest: (out := real(df, *rest), kept.append((out.count(), "map<" in out.schema.simpleString())))[0])
+    rng = random.Random(9)
+    rates = [rng.choice([1, 2, 3, 6]) for _ in range(20)]
+    channels = [(a, b, rates[b], rates[a]) for a in range(20) for b in range(20) if a != b]
+    got = repetition_of_one(spark.createDataFrame(channels, "src long, dst long, production long, consumption long"))
+    assert {r.actor: (r.component, r.consistent, r.q) for r in got.collect()} == repetition_by_brute(channels)
+    assert max(n for n, _ in kept) == len(channels) and all(n <= 20 for n, maps in kept if maps)

@@ -75,22 +75,34 @@ def written(numbers: DataFrame, column: str, name: str) -> DataFrame:
 # repetition vectors -----------------------------------------------------------------------------------------------------
 
 
-def scaled_components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
-    """(node, root, scale): for edges (a, b, scale), where b is a times scale, each node's own scale against its component's smallest node.
+def scaled_components(edges: DataFrame, factors: DataFrame, most_rounds: int = 64) -> DataFrame:
+    """(node, root, scale): for edges (a, b, n, d), where b is a times n / d, each node's own scale against its component's smallest node, as a map of
+    exponents; factors: (rate, factors) of all n and d.
 
     A forest by rounds: every root hooks to its smallest neighbour if that is smaller, chains of hooks are followed by doubling, products taken on
-    the way, and edges move to the roots. Which of several edges hooks two roots doesn't matter where the graph is consistent."""
-    both = edges.select("a", "b", "scale").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), inverse(F.col("scale")).alias("scale")))
-    both = checkpointed(both.where("a <> b"))
+    the way, and edges move to the roots. Which of several edges hooks two roots doesn't matter where the graph is consistent. Edges keep their own
+    ends and rates; maps are made for the hooks only, of which a root has one."""
+    ways = edges.select("a", "b", F.col("a").alias("u"), F.col("b").alias("v"), "n", "d")
     nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
     one = F.create_map().cast(FACTORS)
     label = checkpointed(nodes.select("node", F.col("node").alias("root"), one.alias("scale")))
+
+    def downward(rows: DataFrame) -> DataFrame:  # from the larger root to the smaller one
+        turned = F.col("a") < F.col("b")
+        pick = lambda x, y: F.when(turned, F.col(y)).otherwise(F.col(x)).alias(x)
+        return rows.where("a <> b").select(*[pick(x, y) for x, y in (("a", "b"), ("b", "a"), ("u", "v"), ("v", "u"), ("n", "d"), ("d", "n"))])
+
+    rate = lambda c: factors.select(F.col("rate").alias(c), F.col("factors").alias(f"_{c}"))
+    at = lambda c: label.select(F.col("node").alias(c), F.col("scale").alias(f"_{c}"))
+    ways = checkpointed(downward(ways))
     for _ in range(most_rounds):
-        if both.isEmpty():
+        if ways.isEmpty():
             return label
         # up to one hook for each root; root = up * scale
-        hook = both.groupBy("a").agg(F.min_by(F.struct(F.col("b").alias("up"), inverse(F.col("scale")).alias("scale")), F.col("b")).alias("h")).where("h.up < a")
-        hook = checkpointed(hook.select(F.col("a").alias("root"), "h.up", "h.scale"))
+        hook = ways.groupBy(F.col("a").alias("root")).agg(F.min_by(F.struct(F.col("b").alias("up"), "u", "v", "n", "d"), F.col("b")).alias("h")).select("root", "h.*")
+        # v = u * n / d, u = root * x, v = up * y: root = up * (y / x) / (n / d)
+        hook = hook.join(at("u"), "u").join(at("v"), "v").join(rate("n"), "n").join(rate("d"), "d")
+        hook = checkpointed(hook.select("root", "up", times(times(F.col("_v"), F.col("_u"), -1), times(F.col("_d"), F.col("_n"), -1)).alias("scale")))
         while True:  # twice as far each time
             far = hook.select(F.col("root").alias("up"), F.col("up").alias("_up"), F.col("scale").alias("_scale"))
             moved = hook.join(far, "up", "left").select("root", F.coalesce("_up", "up").alias("up"), F.when(F.col("_up").isNull(), F.col("scale")).otherwise(times(F.col("scale"), F.col("_scale"))).alias("scale"), F.col("_up").isNotNull().alias("moved"))
@@ -101,10 +113,9 @@ def scaled_components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
             hook = new.drop("moved")
         to = hook.select(F.col("root").alias("_root"), "up", F.col("scale").alias("_scale"))
         label = checkpointed(label.join(to, F.col("root") == F.col("_root"), "left").select("node", F.coalesce("up", "root").alias("root"), F.when(F.col("up").isNull(), F.col("scale")).otherwise(times(F.col("scale"), F.col("_scale"))).alias("scale")), None, [label])
-        # b = a * s, a = A * x, b = B * y: B = A * x * s / y
-        first = both.join(to, F.col("a") == F.col("_root"), "left").select(F.coalesce("up", "a").alias("a"), "b", F.when(F.col("up").isNull(), F.col("scale")).otherwise(times(F.col("scale"), F.col("_scale"))).alias("scale"))
-        second = first.join(to, F.col("b") == F.col("_root"), "left").select("a", F.coalesce("up", "b").alias("b"), F.when(F.col("up").isNull(), F.col("scale")).otherwise(times(F.col("scale"), F.col("_scale"), -1)).alias("scale"))
-        both = checkpointed(second.where("a <> b").groupBy("a", "b").agg(F.any_value("scale").alias("scale")), None, [both])
+        end = lambda c: hook.select(F.col("root").alias(c), F.col("up").alias(f"_{c}"))
+        moved = ways.join(end("a"), "a", "left").join(end("b"), "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"), "u", "v", "n", "d")
+        ways = checkpointed(downward(moved), None, [ways])
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
@@ -114,12 +125,20 @@ def repetition_of_one(channels: DataFrame, most_broadcast: int = 1_000_000) -> D
     Actors of any number of connected components; q: the smallest whole numbers with q(src) production = q(dst) consumption on every channel, as
     digits; null in an inconsistent component. Rates are exact at any length of path: products are kept as exponents of primes."""
     rates = broadcast_within(checkpointed(factored(channels.select(F.col("production").alias("rate")).union(channels.select("consumption")))), most_broadcast)
-    p, c = (rates.select(F.col("rate").cast("long").alias(n), F.col("factors").alias(f"_{n}")) for n in ("production", "consumption"))
-    own = channels.select("src", "dst", F.col("production").cast("long").alias("production"), F.col("consumption").cast("long").alias("consumption")).distinct()
-    edges = checkpointed(own.join(p, "production").join(c, "consumption").select(F.col("src").alias("a"), F.col("dst").alias("b"), times(F.col("_production"), F.col("_consumption"), -1).alias("scale")))
-    label = scaled_components(edges)
-    a, b = label.select(F.col("node").alias("a"), "root", F.col("scale").alias("_a")), label.select(F.col("node").alias("b"), F.col("scale").alias("_b"))
-    wrong = edges.join(a, "a").join(b, "b").where(~same(times(F.col("_a"), F.col("scale")), F.col("_b"))).select("root").distinct()
+    rates = rates.select(F.col("rate").cast("long").alias("rate"), "factors")
+    edges = checkpointed(channels.select(F.col("src").alias("a"), F.col("dst").alias("b"), F.col("production").cast("long").alias("n"), F.col("consumption").cast("long").alias("d")).distinct())
+    label = scaled_components(edges, rates)
+    # equal scales are one number, so that channels are held against each other's scales by numbers, and each case is looked at once
+    key = F.array_sort(F.map_entries("scale"))
+    kinds = checkpointed(label.select(key.alias("key"), "scale").groupBy("key").agg(F.any_value("scale").alias("scale")).withColumn("kind", F.monotonically_increasing_id()))
+    told = checkpointed(label.select("node", "root", key.alias("key")).join(kinds, "key").select("node", "root", "kind"))
+    a, b = told.select(F.col("node").alias("a"), "root", F.col("kind").alias("ka")), told.select(F.col("node").alias("b"), F.col("kind").alias("kb"))
+    cases = edges.join(a, "a").join(b, "b").select("root", "ka", "kb", "n", "d").distinct()
+    for c in ("ka", "kb"):
+        cases = cases.join(kinds.select(F.col("kind").alias(c), F.col("scale").alias(f"_{c}")), c)
+    for c in ("n", "d"):
+        cases = cases.join(rates.select(F.col("rate").alias(c), F.col("factors").alias(f"_{c}")), c)
+    wrong = cases.where(~same(times(F.col("_ka"), F.col("_n")), times(F.col("_kb"), F.col("_d")))).select("root").distinct()
     # an exponent is lowered by the component's least one; an actor without the prime counts as 0
     each = label.select("root", F.explode("scale").alias("prime", "e"))
     sizes = label.groupBy("root").agg(F.count("*").alias("n"))
