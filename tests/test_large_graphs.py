@@ -193,3 +193,14 @@ def test_rates_of_channels_are_not_carried_as_maps(spark, monkeypatch):
     got = repetition_of_one(spark.createDataFrame(channels, "src long, dst long, production long, consumption long"))
     assert {r.actor: (r.component, r.consistent, r.q) for r in got.collect()} == repetition_by_brute(channels)
     assert max(n for n, _ in kept) == len(channels) and all(n <= 20 for n, maps in kept if maps)
+
+
+def test_paths_of_the_full_length_are_not_kept(spark, monkeypatch):
+    """Paths that only have to close are joined as they are made; others hold their nodes and nothing else."""
+    kept = []
+    real = large_graphs.checkpointed
+    monkeypatch.setattr(large_graphs, "checkpointed", lambda df, *rest: (kept.append(df.columns), real(df, *rest))[1])
+    edges = [(0, 1), (1, 2), (2, 0), (2, 1), (1, 3), (3, 0), (3, 3)]
+    got = short_cycles(spark.createDataFrame(edges, "src long, dst long"), 3).collect()
+    assert sorted(tuple(r.nodes) for r in got) == [(0, 1, 2), (0, 1, 3), (1, 2), (3,)]
+    assert kept == [["src", "dst"], ["src", "dst"], ["n1", "n2"]]

@@ -271,11 +271,14 @@ def short_cycles(edges: DataFrame, most_length: int) -> DataFrame:
     loops = own.where("src = dst").select(F.lit(1).alias("length"), F.array("src").alias("nodes"))
     own = checkpointed(own.where("src <> dst"))
     back = own.select(F.col("src").alias("_end"), F.col("dst").alias("_first"))
-    paths, found = own.where("src < dst").select(F.col("src").alias("first"), F.col("dst").alias("end"), F.array("src", "dst").alias("nodes")), loops
+    # a path's nodes are columns n1, n2, ...: its first and last ones need no columns of their own
+    paths, found = own.where("src < dst").select(F.col("src").alias("n1"), F.col("dst").alias("n2")), loops
     for length in range(2, most_length + 1):
-        paths = checkpointed(paths)
-        closed = paths.join(back, (F.col("end") == F.col("_end")) & (F.col("first") == F.col("_first"))).select(F.lit(length).alias("length"), "nodes")
+        nodes = [f"n{i}" for i in range(1, length + 1)]
+        if length < most_length:
+            paths = checkpointed(paths)  # read twice
+        closed = paths.join(back, (F.col(nodes[-1]) == F.col("_end")) & (F.col("n1") == F.col("_first"))).select(F.lit(length).alias("length"), F.array(*nodes).alias("nodes"))
         found = found.union(closed)
-        grown = paths.join(own, F.col("end") == F.col("src")).where("dst > first and not array_contains(nodes, dst)")
-        paths = grown.select("first", F.col("dst").alias("end"), F.concat("nodes", F.array("dst")).alias("nodes"))
+        grown = paths.join(own, F.col(nodes[-1]) == F.col("src")).where(" and ".join(["dst > n1", *[f"dst <> {n}" for n in nodes[1:]]]))
+        paths = grown.select(*nodes, F.col("dst").alias(f"n{length + 1}"))
     return found
