@@ -164,3 +164,21 @@ def test_wildcards_of_one_key_span_many_tasks(spark):
         assert T.match_wildcard(df.where("time < 0"), ["pair"]).count() == 0
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_sends_of_one_tag_are_matched_by_place(spark, monkeypatch):
+    from tracewright.operators import matching
+
+    monkeypatch.setattr(matching, "in_rounds", None)  # no rounds, however many ends stay open
+    rng = random.Random(11)
+    before = split_over(spark, 9)
+    try:
+        for receives, sends in (([matching.ANY_TAG, 7], [7]), ([matching.ANY_TAG, 7, 3], [7]), ([matching.ANY_TAG, 7], [matching.ANY_TAG]), ([matching.ANY_TAG, 7], [])):
+            for share in (0.2, 0.5, 0.8):
+                ends = [(0, t, t, *(("send", rng.choice(sends)) if sends and rng.random() < share else ("recv", rng.choice(receives)))) for t in range(600)]
+                matcher = matching.Matcher()
+                want = [(k, *m) for k, _, seq, kind, tag in ends if (m := matcher.end(seq, kind, tag))]
+                df = spark.createDataFrame(ends, "pair int, time long, seq long, kind string, tag int")
+                assert rows(T.match_wildcard(df, ["pair"]), "pair", "send_seq", "recv_seq") == sorted(want)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)

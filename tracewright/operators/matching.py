@@ -3,7 +3,8 @@
 A key within one range of events is replayed by itself. A key that spans ranges is many tasks:
 * without receives of any tag, the n-th send of a tag meets its n-th receive; with no others, the n-th send of all the n-th receive. Places are
   counted by range and the ranges' numbers added up, so this is two joins by place;
-* with both, a match depends on all ends that are open by then. Ranges are replayed at once, each from the ends that the one before it left open
+* with both, but sends of one tag only, receives of other tags meet nothing, and the n-th send meets the n-th of the other receives;
+* with both and sends of several tags, a match depends on all ends that are open by then. Ranges are replayed at once, each from the ends that the one before it left open
   when it was last replayed (none at first), and again while these differ. A range that starts right ends right, so in round k the first k ranges are
   final, and all are as soon as nothing changes: after two rounds or so where messages are mostly received soon, one after the other at worst."""
 
@@ -81,9 +82,11 @@ def match_wildcard(ends: DataFrame, key: Sequence[str]) -> DataFrame:
     rows = checkpointed(ends.repartitionByRange(ranges_for(ends), *key, "time", "seq").withColumn("_range", F.spark_partition_id()))
     any_ = (F.col("kind") != "send") & (F.col("tag") == ANY_TAG)
     own = (F.col("kind") != "send") & (F.col("tag") != ANY_TAG)
-    spans = rows.groupBy(*key).agg(F.min("_range").alias("_a"), F.max("_range").alias("_b"), F.max(any_).alias("_any"), F.max(own).alias("_own")).where("_a < _b")
-    how = F.when(~F.coalesce("_any", F.lit(False)), "tags").when(~F.coalesce("_own", F.lit(False)), "order").otherwise("both")
-    spans = checkpointed(spans.select(*key, how.alias("_how")), 1)  # fewer than ranges
+    sent = F.when(F.col("kind") == "send", F.col("tag"))
+    spans = rows.groupBy(*key).agg(F.min("_range").alias("_a"), F.max("_range").alias("_b"), F.max(any_).alias("_any"), F.max(own).alias("_own"), F.min(sent).alias("_sent"), F.max(sent).alias("_most")).where("_a < _b")
+    one = ~F.coalesce(F.col("_sent") < F.col("_most"), F.lit(False))
+    how = F.when(~F.coalesce("_any", F.lit(False)), "tags").when(~F.coalesce("_own", F.lit(False)), "order").when(one, "one").otherwise("both")
+    spans = checkpointed(spans.select(*key, how.alias("_how"), "_sent"), 1)  # fewer than ranges
     rows = joined(rows, spans, key, "left")
     found = replayed(rows.where("_how is null"), key)
     kinds = {r["_how"] for r in spans.select("_how").distinct().collect()}
@@ -91,8 +94,10 @@ def match_wildcard(ends: DataFrame, key: Sequence[str]) -> DataFrame:
         found = found.union(by_place(rows.where("_how = 'tags'"), key, [*key, "tag"]))
     if "order" in kinds:
         found = found.union(by_place(rows.where("_how = 'order'"), key, key))
+    if "one" in kinds:
+        found = found.union(by_place(rows.where((F.col("_how") == "one") & ((F.col("kind") == "send") | F.col("tag").isin(F.col("_sent"), ANY_TAG))), key, key))
     if "both" in kinds:
-        found = found.union(in_rounds(rows.where("_how = 'both'").drop("_how"), key))
+        found = found.union(in_rounds(rows.where("_how = 'both'").drop("_how", "_sent"), key))
     return found
 
 
