@@ -35,6 +35,15 @@ def test_ring_buffer_over_restarts(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) == sorted(brute)
 
 
+def test_keys_of_a_bucket_share_a_state(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(rng.choice([*range(30), None]), t, t, rng.random() < 0.2) for t in range(400)]
+    schema = "task long, time long, seq long, flush boolean"
+    got = turns(spark, tmp_path, [rows[:150], rows[150:151], rows[151:]], schema, lambda s: state.stream_ring(s, "task", 3, buckets=4))
+    want = state.ring(spark.createDataFrame(rows, schema), "task", 3)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count() > 50
+
+
 def test_phases_are_closed_by_timers_over_restarts(spark, tmp_path):
     rng = random.Random(2)
     at = sorted(rng.sample(range(1, 30_000), 40))

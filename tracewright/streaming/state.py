@@ -24,26 +24,30 @@ def kind_of(df: DataFrame, column: str) -> str:
 
 
 class RingBuffer(StatefulProcessor):
-    """The newest `most` events of a key; a flush gives them out, oldest first, and empties the buffer."""
+    """The newest `most` events of each of a bucket's keys; a flush gives out its key's, oldest first, and forgets them. A bucket's events are one state."""
 
-    def __init__(self, key: str, most: int):
-        self.key, self.most = key, most
+    def __init__(self, key: str, kind: str, most: int):
+        self.key, self.kind, self.most = key, kind, most
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.newest = handle.getListState("newest", "time long, seq long")
+        self.newest = handle.getValueState("newest", f"keys array<{self.kind}>, times array<long>, seqs array<long>")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = list(self.newest.get()) if self.newest.exists() else []
+        held: dict = {}
+        if self.newest.exists():  # what is held comes before the batch
+            for own, *event in zip(*self.newest.get(), strict=True):
+                held.setdefault(own, []).append(event)
         out = []
         new = pd.concat(list(rows)).sort_values(["time", "seq"])
-        for time, seq, flush in new[["time", "seq", "flush"]].itertuples(index=False, name=None):
+        for own, time, seq, flush in zip(*(new[c].tolist() for c in (self.key, "time", "seq", "flush")), strict=True):
             if flush:
-                out += [(key[0], int(seq), place, int(s)) for place, (_, s) in enumerate(held)]
-                held = []
+                out += [(own, seq, place, s) for place, (_, s) in enumerate(held.pop(own, ()))]
             else:
-                held = [*held[max(0, len(held) - self.most + 1) :], (int(time), int(seq))]
+                newest = held.setdefault(own, [])
+                newest.append((time, seq))
+                del newest[: -self.most]
         if held:
-            self.newest.put([tuple(map(int, h)) for h in held])
+            self.newest.update(tuple(map(list, zip(*((own, *event) for own, newest in held.items() for event in newest), strict=True))))
         elif self.newest.exists():
             self.newest.clear()
         yield pd.DataFrame(out, columns=[self.key, "flush_seq", "place", "seq"])
@@ -52,12 +56,18 @@ class RingBuffer(StatefulProcessor):
         pass
 
 
-def stream_ring(events: DataFrame, key: str, most: int) -> DataFrame:
+#: How many states the keys of a stream of rings are dealt over; a checkpoint holds for one number.
+BUCKETS = 512
+
+
+def stream_ring(events: DataFrame, key: str, most: int, buckets: int = BUCKETS) -> DataFrame:
     """T9 on a stream of events (key, time, seq, flush): (key, flush_seq, place, seq), the newest events at each flush, since the one before. Events of one
-    micro-batch are taken by time and seq, batches as they come; a task holds one key's rows of a batch."""
+    micro-batch are taken by time and seq, batches as they come; a task holds the rows of a batch and the state of one bucket of keys, as a call and a state for
+    each key cost far more than its rows. Events without a key belong to none."""
     use_state_store(events.sparkSession)
-    rows = events.select(key, "time", "seq", "flush")
-    return rows.groupBy(key).transformWithStateInPandas(RingBuffer(key, most), f"{key} {kind_of(events, key)}, flush_seq long, place long, seq long", "Append", "None")
+    kind = kind_of(events, key)
+    rows = events.where(F.col(key).isNotNull()).select(F.pmod(F.hash(key), F.lit(buckets)).alias("_bucket"), key, "time", "seq", "flush")
+    return rows.groupBy("_bucket").transformWithStateInPandas(RingBuffer(key, kind, most), f"{key} {kind}, flush_seq long, place long, seq long", "Append", "None")
 
 
 def ring(events: DataFrame, key: str, most: int) -> DataFrame:
