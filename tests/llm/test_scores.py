@@ -318,6 +318,22 @@ def plain_scores(docs, labels):
     return {i: share[place(surprise(t))] + 1e-6 * min(surprise(t), 1000) / 1000 for i, t in stat.items()}
 
 
+def test_toxicity_labels_are_no_rows_of_the_driver(spark):
+    """Some hundred bytes for each label would fill the driver of a large table."""
+    import tracemalloc
+
+    docs, labels = toxic_table(spark, 100)
+    want = toxicity.fit(docs, labels)
+    others = spark.range(1_000_000, 1_300_000).select(F.col("id").alias("doc_id"), F.lit(0).alias("quality"), (F.col("id") % 2).cast("int").alias("toxic"))
+    tracemalloc.start()
+    try:
+        got, most = toxicity.fit(docs, labels.union(others)), tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 20_000_000
+    assert got.table.keys.tolist() == want.table.keys.tolist() and got.table.counts.tolist() == want.table.counts.tolist() and got.steps is not None
+
+
 def test_toxicity_scores_against_plain_python(spark):
     docs, labels = toxic_table(spark, 240)
     mixed = docs.collect()

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import checkpointed, id_crc, parts_for, tidy, whole_texts
+from tracewright.llm.common import checkpointed, id_crc, parts_for, stored, tidy, whole_texts
 
 WORDS = re.compile(rb"[a-z\x80-\xff]+")
 PREFIXES = (4, 5, 6)
@@ -75,14 +75,15 @@ def added(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return keys[first], np.add.reduceat(counts, first, axis=0) if len(keys) else counts
 
 
-def labelled(labels: DataFrame, max_labels: int = MAX_LABELS) -> pd.DataFrame:
-    """(doc_id, toxic, fold) of the labels that may be learnt from, max_labels about at most."""
+def labelled(labels: DataFrame, max_labels: int = MAX_LABELS) -> DataFrame:
+    """(doc_id, toxic, fold) of the labels that may be learnt from, max_labels about at most; toxic is 0 or 1."""
     rows = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     rows = rows.withColumn("fold", (id_crc() % 4).cast("int")).where("fold <> 2")
+    rows = stored(rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.least(F.greatest("toxic", F.lit(0)), F.lit(1)).alias("toxic"), "fold"), "labels", parts_for(labels))
     n = rows.count()
     if n > max_labels:
         rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * max_labels / n))
-    return rows.toPandas().sort_values("doc_id", ignore_index=True)
+    return rows
 
 
 def count_words(docs: DataFrame, labels: pd.DataFrame, least: int = LEAST) -> Counts:
@@ -123,13 +124,14 @@ def count_words(docs: DataFrame, labels: pd.DataFrame, least: int = LEAST) -> Co
         total, often = counts.sum(axis=0), counts.sum(axis=1) >= least
         return pd.DataFrame({"range": [key[0]], "keys": [keys[often].tobytes()], "counts": [counts[often].tobytes()], "clean": [int(total[0])], "toxic": [int(total[1])]})
 
-    # the driver gets RANGES rows: the features of at most max_labels documents
+    # the driver gets RANGES rows: the features of at most max_labels documents, as Arrow, which isn't decoded and pickled on its way
     sums = whole_texts(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("t"))).mapInArrow(tidy(run), "range long, keys binary, counts binary").groupBy("range").applyInPandas(add, "range long, keys binary, counts binary, clean long, toxic long")
-    found = sorted(sums.collect(), key=lambda r: r["range"]) if len(ids) else []
+    found = sums.toArrow().sort_by("range") if len(ids) else pa.table({c: [] for c in ("keys", "counts", "clean", "toxic")})
     given.unpersist()
-    keys = np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(bytes(r["keys"]), "<u8") for r in found]])
-    counts = np.concatenate([np.zeros((0, 2), np.int64), *[np.frombuffer(bytes(r["counts"]), "<i8").reshape(-1, 2) for r in found]])
-    return Counts(keys, counts, np.array([sum(r["clean"] for r in found), sum(r["toxic"] for r in found)], np.int64))
+    parts = lambda c, kind: [np.frombuffer(x.as_buffer(), kind) for x in found[c]]
+    keys = np.concatenate([np.zeros(0, np.uint64), *parts("keys", "<u8")])
+    counts = np.concatenate([np.zeros(0, np.int64), *parts("counts", "<i8")]).reshape(-1, 2)
+    return Counts(keys, counts, np.array([sum(found[c].to_pylist()) for c in ("clean", "toxic")], np.int64))
 
 
 class Scorer:
@@ -263,20 +265,17 @@ def statistics(docs: DataFrame, table: Counts, passages: bool = False, location:
 
 def fit(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> Model:
     """Counts from folds 0 and 1, the Gumbel law and the probabilities from fold 3."""
-    spark = docs.sparkSession
     known = labelled(labels, max_labels)
-    base = float(known["toxic"].clip(0, 1).mean()) if len(known) else 0.0
-    known["toxic"] = known["toxic"].clip(0, 1)
-    table = count_words(docs, known[known["fold"] < 3])
-    rest = known[known["fold"] == 3]
-    if rest["toxic"].nunique() < 2:
-        rest = known
-    if rest["toxic"].nunique() < 2:
+    base, every, last = known.agg(F.avg("toxic"), F.countDistinct("toxic"), F.countDistinct(F.when(F.col("fold") == 3, F.col("toxic")))).first()
+    base = base or 0.0
+    # numbers of 12 bytes a label: rows of the driver's Python would take some hundred
+    table = count_words(docs, known.where("fold < 3").select("doc_id", "toxic").toArrow().to_pandas().sort_values("doc_id", ignore_index=True))
+    if every < 2:
         return Model(table, 0.0)
     model = Model(table, base)
-    ids = spark.createDataFrame(rest[["doc_id", "toxic"]].astype({"doc_id": "int64", "toxic": "int32"}), "doc_id long, toxic int")
-    chosen = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi")  # bounded by max_labels
-    t = checkpointed(statistics(chosen, table).join(F.broadcast(ids), "doc_id"), parts_for(docs))
+    ids = (known if last < 2 else known.where("fold = 3")).select("doc_id", "toxic")
+    chosen = docs.select("doc_id", "text").join(F.broadcast(ids.select("doc_id")), "doc_id", "left_semi")  # bounded by max_labels
+    t = checkpointed(statistics(chosen, table).join(ids.hint("merge"), "doc_id"), parts_for(docs))
     clean = t.where("toxic = 0").agg(F.avg("t").alias("m"), F.stddev_samp("t").alias("s")).first()
     if clean["s"] and clean["s"] > 1e-9:  # else equal but for rounding
         scale = clean["s"] * math.sqrt(6) / math.pi
