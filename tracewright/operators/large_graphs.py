@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.functions.exprs import gcd
+from tracewright.operators.graph import strong_components
 from tracewright.session import broadcast_within, checkpointed
 
 # rates as maps of prime exponents ---------------------------------------------------------------------------------------
@@ -208,6 +209,9 @@ def max_cycle_ratio(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
     edge that leads to the best cycle, or, of equal ones, the one with the best way (den w - num t), until none is better. Then the values, of the ways
     to the cycles, prove the result: no edge has den w - num t above its source's value less its target's. A cycle without tokens is an error: nothing on it could ever start.
 
+    A way that ends where no edge leaves is valued by its tokens: as long as a cycle has some, a node on it has an edge to a way of more tokens, until
+    the links close a cycle.
+
     After the first round only the nodes that came to the cycle of a changed node are valued again, and only edges at them are looked at: a way
     that leaves them goes on with the value of the node that it comes to."""
     whole = "decimal(38,0)"
@@ -236,7 +240,7 @@ def max_cycle_ratio(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
         if not cycles.where(f"t > {10**9}").isEmpty():
             raise OverflowError("a cycle has too many tokens for its ratio to be told from others")
         g = gcd(F.col("w").cast("long"), F.col("t").cast("long"))
-        told = cycles.join(stops, "root", "left").select("root", F.col("root").alias("home"), *[F.call_function("div", F.col(c), g).cast(whole).alias(n) for c, n in (("w", "num"), ("t", "den"))], F.when(F.col("stop"), F.lit(NEVER).cast(whole)).otherwise(ratio_key(F.col("w"), F.col("t"))).alias("key"), zero.alias("base"))
+        told = cycles.join(stops, "root", "left").select("root", F.col("root").alias("home"), *[F.when(F.col("stop"), F.lit(stopped)).otherwise(F.call_function("div", F.col(c), g)).cast(whole).alias(n) for c, n, stopped in (("w", "num", -1), ("t", "den", 0))], F.when(F.col("stop"), F.lit(NEVER).cast(whole)).otherwise(ratio_key(F.col("w"), F.col("t"))).alias("key"), zero.alias("base"))
         if rims is not None:
             told = told.union(rims.select("node", "root", "num", "den", "key", "value"))
             ways = ways.join(known.withColumnRenamed("root", "node"), "node", "left_anti")
@@ -245,7 +249,7 @@ def max_cycle_ratio(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
         ahead = value.select(F.col("node").alias("dst"), F.col("key").alias("_key"), F.col("num").alias("_num"), F.col("den").alias("_den"), F.col("value").alias("_value"))
         offer = touched.join(ahead, "dst").select(F.col("src").alias("node"), "dst", "w", "t", "stop", "_key", (F.col("_den") * F.col("w") - F.col("_num") * F.col("t") + F.col("_value")).cast(whole).alias("_offer"))
         best = offer.groupBy("node").agg(F.max(F.struct("_key", "_offer", "dst", "w", "t", "stop")).alias("best"))
-        better = (F.col("best._key") > F.col("key")) | ((F.col("best._key") == F.col("key")) & (F.col("best._offer") > F.col("value")) & (F.col("key") != NEVER))
+        better = ~F.col("best.stop") & ((F.col("best._key") > F.col("key")) | ((F.col("best._key") == F.col("key")) & (F.col("best._offer") > F.col("value"))))
         changed = checkpointed(value.join(best, "node").where(better).select("node", "root", F.col("best.dst").alias("next"), "best.w", "best.t", "best.stop"))
         if changed.isEmpty():
             reached = F.col("key") != NEVER
@@ -259,6 +263,55 @@ def max_cycle_ratio(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
     raise RuntimeError(f"policies did not settle in {most_rounds} rounds")
 
 
+def reachable_ratio(edges: DataFrame, most_rounds: int = 12, block: int = 200_000) -> DataFrame:
+    """(node, num, den) as of max_cycle_ratio, by strong components: all nodes of one reach the same cycles.
+
+    A component with one edge for each node is one cycle, whose ratio is that of two sums; policies are iterated in the other ones only. Ratios then go
+    from component to component against the edges between them, those that have risen only. Where components need colours to be found, or ways
+    between them have more than `most_rounds` edges, policies are iterated over the whole graph, or over one node for each component."""
+    whole = "decimal(38,0)"
+    own = edges.select("src", "dst", F.col("weight").cast(whole).alias("weight"), F.col("tokens").cast(whole).alias("tokens"))
+    # of parallel edges with the same tokens only the heaviest can count
+    own = checkpointed(own.groupBy("src", "dst", "tokens").agg(F.max("weight").alias("weight")).select("src", "dst", "weight", "tokens"))
+    if (found := strong_components(own, block=block, colours=False)) is None:
+        return max_cycle_ratio(own).select("node", "num", "den")
+    found = checkpointed(found)
+    at = lambda c, name: found.select(F.col("node").alias(c), F.col("component").alias(name))
+    own = checkpointed(own.join(at("src", "a"), "src").join(at("dst", "b"), "dst"), None, [own])
+    inside = own.where("a = b")
+    parts = found.groupBy("component").agg(F.count("*").alias("nodes"))
+    sums = inside.groupBy(F.col("a").alias("component")).agg(F.count("*").alias("edges"), F.sum("weight").alias("w"), F.sum("tokens").alias("t"))
+    parts = checkpointed(parts.join(sums, "component", "left"))
+    cycles = parts.where("edges = nodes").withColumn("g", gcd(F.col("w").cast("long"), F.col("t").cast("long")))
+    if not cycles.where("t = 0").isEmpty():
+        raise ValueError("a cycle has no tokens")
+    if not cycles.where(f"t > {10**9}").isEmpty():
+        raise OverflowError("a cycle has too many tokens for its ratio to be told from others")
+
+    told = cycles.select("component", F.struct(ratio_key(F.col("w"), F.col("t")).alias("key"), *[F.call_function("div", F.col(c), F.col("g")).cast(whole).alias(n) for c, n in (("w", "num"), ("t", "den"))]).alias("best"))
+    many = parts.where("edges > nodes").select(F.col("component").alias("a"))
+    if not many.isEmpty():
+        hard = max_cycle_ratio(inside.join(many, "a", "left_semi").select("src", "dst", "weight", "tokens"))
+        num, den = (F.col(c).cast(whole) for c in ("num", "den"))
+        told = told.union(hard.join(found.where("node = component"), "node").select("component", F.struct(ratio_key(num, den).alias("key"), num.alias("num"), den.alias("den"))))
+    best = checkpointed(parts.select("component").join(told, "component", "left"))
+    between = checkpointed(own.where("a <> b").select("a", "b").distinct(), None, [own])
+    risen = best.where("best is not null")
+    for _ in range(most_rounds):
+        offers = between.join(risen.select(F.col("component").alias("b"), F.col("best").alias("_best")), "b").groupBy(F.col("a").alias("component")).agg(F.max("_best").alias("_best"))
+        better = F.col("best").isNull() | (F.col("_best.key") > F.col("best.key"))
+        risen = checkpointed(best.join(offers, "component").where(better).select("component", F.col("_best").alias("best")))
+        if risen.isEmpty():
+            break
+        best = checkpointed(best.join(risen.withColumnRenamed("best", "_best"), "component", "left").select("component", F.coalesce("_best", "best").alias("best")), None, [best])
+    else:
+        steps = between.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit(0).cast(whole).alias("weight"), F.lit(1).cast(whole).alias("tokens"))
+        rings = best.where("best is not null").select(F.col("component").alias("src"), F.col("component").alias("dst"), F.col("best.num").alias("weight"), F.col("best.den").alias("tokens"))
+        far = max_cycle_ratio(rings.union(steps))
+        best = best.select("component").join(far.where("num is not null").select(F.col("node").alias("component"), F.struct("num", "den").alias("best")), "component", "left")
+    return found.join(best, "component").select("node", F.col("best.num").cast("long").alias("num"), F.col("best.den").cast("long").alias("den"))
+
+
 # cycles as rows -----------------------------------------------------------------------------------------------------------
 
 

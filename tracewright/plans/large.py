@@ -122,7 +122,7 @@ def _rings(spark, d) -> tuple[DataFrame, DataFrame]:
 def cycle_ratios_one_graph(spark, d):
     """The largest cycle ratio that each line of the graph can reach."""
     ring, between = _rings(spark, d)
-    return large_graphs.max_cycle_ratio(ring.union(between)).select("node", "num", "den")
+    return large_graphs.reachable_ratio(ring.union(between))
 
 
 @query("WITH " + RINGS + " SELECT o.node, f.node AS component FROM o JOIN f USING (k)")
